@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalModel
@@ -43,29 +43,32 @@ def c_index(scored: DataFrame, limit: int = ONE_WINDOW_LIMIT, block: int = TIME_
     """
     staged = scored.select(
         F.col("risk").cast("double").alias("risk"),
-        # Even codes are events, odd ones censorings: censored at t sorts after events at t.
-        F.struct(
-            F.col("duration").cast("double").alias("t"), (~F.col("event")).cast("int").alias("c")
-        ).alias("_when"),
+        F.col("duration").cast("double").alias("t"),
+        # Added to twice the time rank: a censoring at t sorts after the events at t.
+        (~F.col("event")).cast("int").alias("c"),
     )
-    cells = (
-        staged.groupBy("risk", F.col("_when.t").alias("t"), F.col("_when.c").alias("c"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    splits = measure_splits(scored.select("risk", F.col("duration").cast("double").alias("t")), ["risk", "t"], limit)
+    cells = staged.groupBy("risk", "t", "c").agg(F.count(F.lit(1)).alias("n"))
+    splits = measure_splits(staged, ["risk", "t"], limit)
     risks = dense_ranks(cells, "risk", "u", splits["risk"])
     times = dense_ranks(cells, "t", "v", splits["t"])
     ranked = cells.join(risks, "risk").join(times, "t").select(
         "u",
         (F.col("v") * 2 + F.col("c")).alias("v"),
-        F.col("n").cast("decimal(38,0)").alias("n"),
-        F.when(F.col("c") == 0, F.col("n")).otherwise(0).cast("decimal(38,0)").alias("a"),
+        "n",
+        F.when(F.col("c") == 0, F.col("n")).otherwise(0).alias("a"),
     )
-    top = risks.agg(F.max("u")).first()[0] or 0
+    sizes = cells.agg(F.sum("n").alias("n")).first()["n"] or 0
+    top = risks.agg(F.max("u").alias("u")).first()["u"] or 0
     digits = max(1, int(top).bit_length())
+    # Products of two counts stay below 2^63 up to three billion rows.
+    exact = "bigint" if sizes < 3_000_000_000 else "decimal(38,0)"
     level = F.col("level")
-    digit = F.expr("(shiftright(u, greatest(level, 0)) & 1)")
-    prefix = F.expr("CASE WHEN level >= 0 THEN shiftright(u, level + 1) WHEN level = -1 THEN u ELSE 0 END")
+    digit = F.expr("shiftright(u, greatest(level, 0)) & 1")
+    prefix = (
+        F.when(level >= 0, F.expr("shiftright(u, greatest(level, 0) + 1)"))
+        .when(level == -1, F.col("u"))
+        .otherwise(0)
+    )
     filed = ranked.withColumn(
         "level", F.explode(F.sequence(F.lit(-2), F.lit(digits - 1)))
     ).select(
@@ -86,15 +89,18 @@ def c_index(scored: DataFrame, limit: int = ONE_WINDOW_LIMIT, block: int = TIME_
         .orderBy(F.col("v").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    zero = F.lit(0).cast("decimal(38,0)")
-    exact = "decimal(38,0)"
+
+    def times_count(x: Column, y: Column) -> Column:
+        side = "bigint" if exact == "bigint" else "decimal(19,0)"
+        return (F.coalesce(x, F.lit(0)).cast(side) * F.coalesce(y, F.lit(0)).cast(side)).cast(exact)
+
     per_block = (
-        collapsed.withColumn("_later", F.coalesce(F.sum("later").over(after), zero))
+        collapsed.withColumn("_later", F.sum("later").over(after))
         .groupBy("level", "prefix", "block")
         .agg(
-            F.sum((F.col("early").cast("decimal(19,0)") * F.col("_later").cast("decimal(19,0)")).cast(exact)).cast(exact).alias("pairs"),
-            F.sum("later").cast("decimal(19,0)").alias("later"),
-            F.sum("early").cast("decimal(19,0)").alias("early"),
+            F.sum(times_count(F.col("early"), F.col("_later"))).cast(exact).alias("pairs"),
+            F.sum("later").alias("later"),
+            F.sum("early").alias("early"),
         )
     )
     later_blocks = (
@@ -102,13 +108,11 @@ def c_index(scored: DataFrame, limit: int = ONE_WINDOW_LIMIT, block: int = TIME_
         .orderBy(F.col("block").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    crossing = F.coalesce(F.sum("later").over(later_blocks), F.lit(0)).cast("decimal(19,0)")
-    pairs = per_block.select(
-        "level", (F.col("pairs") + (F.col("early") * crossing).cast(exact)).cast(exact).alias("pairs")
-    )
+    crossing = times_count(F.col("early"), F.sum("later").over(later_blocks))
+    pairs = per_block.select("level", (F.col("pairs") + crossing).cast(exact).alias("pairs"))
 
-    def total(condition):
-        return F.coalesce(F.sum(F.when(condition, F.col("pairs"))), zero).cast("double")
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("pairs"))).cast("double"), F.lit(0.0))
 
     return pairs.agg(
         total(level >= 0).alias("concordant"),
