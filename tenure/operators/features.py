@@ -86,15 +86,23 @@ MAX_LEVELS = 1000  # a categorical column with more values is not one-hot materi
 
 
 def levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per categorical column, learned once and then frozen."""
-    out = {}
-    for c in cols:
-        distinct = df.select(c).filter(F.col(c).isNotNull()).distinct()
-        seen = [r[0] for r in distinct.limit(MAX_LEVELS + 1).collect()]
+    """Sorted distinct non-null values per categorical column, learned once and then frozen.
+
+    One scan for all columns; what is fetched is bounded, and a column beyond the bound raises.
+    """
+    stacked = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
+        ).alias("_x")
+    ).select("_x.*")
+    distinct = stacked.filter(F.col("value").isNotNull()).distinct()
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in distinct.take(MAX_LEVELS * len(cols) + 1):
+        out[r["column"]].append(r["value"])
+    for c, seen in out.items():
         if len(seen) > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-        out[c] = sorted(seen)
-    return out
+    return {c: sorted(seen) for c, seen in out.items()}
 
 
 def session_rollup(
