@@ -15,7 +15,7 @@ from tenure.operators.features import (
     session_rollup,
     ticket_features,
 )
-from tenure.operators.pipeline import FeaturePipeline, Preprocessor
+from tenure.operators.pipeline import TARGETS, FeaturePipeline, Preprocessor
 from tenure.plans.materialise import materialise
 from tenure.sources import retail
 
@@ -247,7 +247,7 @@ def _fitted(spark, sf_dir) -> FeaturePipeline:
 )
 def _matrix_raw(spark, sf_dir):
     raw = _fitted(spark, sf_dir).raw_features(*sources(spark, sf_dir))
-    return tidy(raw, MATRIX)
+    return tidy(raw.drop(*TARGETS), MATRIX)
 
 
 def _raw_table(spark, sf_dir):
@@ -260,7 +260,7 @@ def _raw_table(spark, sf_dir):
 )
 def _matrix_imputed(spark, sf_dir):
     raw = _raw_table(spark, sf_dir)
-    return tidy(Preprocessor.fit(raw, scale=False).transform(raw), MATRIX)
+    return tidy(Preprocessor.fit(raw, scale=False).transform(raw).drop(*TARGETS), MATRIX)
 
 
 @register(
@@ -271,7 +271,7 @@ def _matrix_imputed(spark, sf_dir):
 )
 def _matrix_scaled(spark, sf_dir):
     raw = _raw_table(spark, sf_dir)
-    return rounded(Preprocessor.fit(raw, scale=True).transform(raw), DIGITS, *MATRIX)
+    return rounded(Preprocessor.fit(raw, scale=True).transform(raw).drop(*TARGETS), DIGITS, *MATRIX)
 
 
 @register(

@@ -132,9 +132,6 @@ _NEWTON_STEPS = 8
 
 
 def _newton_sql() -> str:
-    steps = ["SELECT 0::DOUBLE AS b"]
-    for _ in range(_NEWTON_STEPS):
-        steps.append("")
     head = "x_ AS (SELECT duration AS t, event AS e, frequency / 10 AS x FROM scored),\nb0 AS (SELECT 0::DOUBLE AS b)"
     for i in range(_NEWTON_STEPS):
         head += f""",
@@ -389,7 +386,7 @@ def _curve_sanity(spark, sf_dir):
     return curve_breaks(curves).agg(F.count(F.lit(1)).alias("n_breaks"))
 
 
-@register("score_invariance", "SELECT 0::BIGINT AS n_changed")
+@register("score_invariance")
 def _score_invariance(spark, sf_dir):
     """Scores of the same rows laid out differently; none may change."""
     table = scored_table(spark, sf_dir).select("customer_id", *RISK_FEATURES)

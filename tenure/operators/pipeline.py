@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tenure.operators.features import Behaviour, Demographics, Rfm, ticket_features
-from tenure.operators.labels import with_targets
 from tenure.plans.materialise import materialise
 from tenure.plans.quantiles import exact_quantiles
 
 KEY = "customer_id"
+TARGETS = ("event", "duration")
 
 
 def merge_features(
@@ -24,14 +24,17 @@ def merge_features(
     behaviour: DataFrame,
     tickets: DataFrame,
 ) -> DataFrame:
-    """Left joins on one key over inputs already aggregated to one row per customer."""
-    merged = base.select(KEY)
+    """Left joins on one key over inputs already aggregated to one row per customer.
+
+    Columns of `base` (the targets, when it has them) stay in the row.
+    """
+    merged = base
     for part in (demographics, purchases, behaviour, tickets):
         merged = merged.join(part, KEY, "left")
     return merged.withColumn("n_tickets", F.coalesce("n_tickets", F.lit(0.0)))
 
 
-def feature_columns(df: DataFrame, skip: tuple[str, ...] = (KEY,)) -> list[str]:
+def feature_columns(df: DataFrame, skip: tuple[str, ...] = (KEY, *TARGETS)) -> list[str]:
     """Numeric columns, then booleans; a column of another type is an error, not a silent loss."""
     numeric, flags, other = [], [], []
     for f in df.schema.fields:
@@ -66,19 +69,23 @@ class Preprocessor:
         absent value becomes the same constant.
         """
         cols = feature_columns(raw)
-        rows = raw.count()
+        value = {c: F.col(c).cast("double") for c in cols}
+        moments = [F.count(F.lit(1)).alias("rows")]
+        if scale:
+            for c in cols:
+                moments += [
+                    F.count(c).alias(f"n_{c}"),
+                    F.avg(value[c]).alias(f"m_{c}"),
+                    F.var_pop(value[c]).alias(f"v_{c}"),
+                ]
+        row = raw.agg(*moments).first()
+        rows = row["rows"]
         quantiles = exact_quantiles(raw, cols, [0.5], rows=rows)
         medians = {c: q[0] for c, q in quantiles.items() if q[0] is not None}
         kept = tuple(c for c in cols if c in medians)
         means: dict[str, float] = {}
         scales: dict[str, float] = {}
-        if scale and kept:
-            value = {c: F.col(c).cast("double") for c in kept}
-            row = raw.agg(
-                *[F.count(c).alias(f"n_{c}") for c in kept],
-                *[F.avg(value[c]).alias(f"m_{c}") for c in kept],
-                *[F.var_pop(value[c]).alias(f"v_{c}") for c in kept],
-            ).first()
+        if scale:
             for c in kept:
                 present = row[f"n_{c}"] / rows
                 mean = present * row[f"m_{c}"] + (1 - present) * medians[c]
@@ -91,14 +98,15 @@ class Preprocessor:
 
     def transform(self, raw: DataFrame) -> DataFrame:
         """A projection; no job."""
-        others = [c for c in raw.columns if c == KEY]
+        ahead = [KEY] if KEY in raw.columns else []
+        behind = [c for c in TARGETS if c in raw.columns]
         out = []
         for c in self.columns:
             filled = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
             if self.scale:
                 filled = (filled - F.lit(self.means[c])) / F.lit(self.scales[c])
             out.append(filled.alias(c))
-        return raw.select(*others, *out)
+        return raw.select(*ahead, *out, *behind)
 
 
 class FeaturePipeline:
@@ -134,7 +142,7 @@ class FeaturePipeline:
         if self._preprocessor is None:
             raise RuntimeError("fit() must run before transform()")
         raw = self.raw_features(customers, transactions, clickstream, tickets, labels)
-        return with_targets(self._preprocessor.transform(raw), labels)
+        return self._preprocessor.transform(raw)
 
     def fit_transform(
         self,
@@ -146,7 +154,7 @@ class FeaturePipeline:
     ) -> DataFrame:
         """Extracts once: the merged table written for fitting is also what gets transformed."""
         raw = self._fit(customers, transactions, clickstream, tickets, labels)
-        return with_targets(self._preprocessor.transform(raw), labels)
+        return self._preprocessor.transform(raw)
 
     def raw_features(
         self,
@@ -158,8 +166,14 @@ class FeaturePipeline:
     ) -> DataFrame:
         if self._rfm is None:
             raise RuntimeError("fit() must run before features can be extracted")
+        # Every customer with a label has a row, and brings its targets along: nothing to align.
+        base = labels.select(
+            KEY,
+            F.col("event_observed").cast("boolean").alias("event"),
+            F.col("duration_days").cast("double").alias("duration"),
+        )
         return merge_features(
-            labels,
+            base,
             self._demographics.transform(customers),
             self._rfm.transform(transactions),
             self._behaviour.transform(clickstream),

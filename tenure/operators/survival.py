@@ -18,6 +18,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,26 +115,42 @@ def partial_log_likelihood(
     )
 
 
-def weighted_gram(df: DataFrame, columns: Sequence[str], weight: str) -> np.ndarray:
-    """Sum of weight * x x' as one matrix product per partition, summed by Spark."""
-    columns = list(columns)
-    p = len(columns)
+def _matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    out = np.empty((batch.num_rows, len(columns)))
+    for i, c in enumerate(columns):
+        out[:, i] = batch.column(c).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _triangle(total: np.ndarray) -> pa.RecordBatch:
+    i, j = np.triu_indices(len(total))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "v"]
+    )
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((p, p))
-        for batch in batches:
-            x = batch[columns].to_numpy(dtype=float)
-            total += x.T @ (x * batch[weight].to_numpy(dtype=float)[:, None])
-        i, j = np.triu_indices(p)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
 
-    parts = df.select(*columns, weight).mapInPandas(partial, "i int, j int, v double")
+def _summed(parts: DataFrame, p: int) -> np.ndarray:
     out = np.zeros((p, p))
     for r in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
     return out
 
 
+def weighted_gram(df: DataFrame, columns: Sequence[str], weight: str) -> np.ndarray:
+    """Sum of weight * x x' as one matrix product per partition, summed by Spark."""
+    columns = list(columns)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            x = _matrix(batch, columns)
+            total += x.T @ (x * batch.column(weight).to_numpy(zero_copy_only=False)[:, None])
+        yield _triangle(total)
+
+    parts = df.select(*columns, weight).mapInArrow(partial, "i int, j int, v double")
+    return _summed(parts, len(columns))
+
+
 def tie_terms(d: np.ndarray, s0: np.ndarray, e0: np.ndarray) -> dict[str, np.ndarray]:
     """Efron sums over the d tied events of each time, m = 0..d-1, D_m = s0 - (m/d) e0:
 
@@ -416,34 +433,67 @@ class _CoxProblem:
         width = 2 + len(self.features) * (2 if self.efron else 1)
         return 1.2 * self.n_times * width <= self.spec.driver_cells
 
-    def _sums(self, beta: np.ndarray) -> tuple[DataFrame, dict[str, Column]]:
-        w = F.exp(linear_risk(self.x, beta))
-        weighted = self.rows.withColumn("_w", w)
-        died = F.when(F.col("e") == 1, F.col("_w")).otherwise(0.0)
-        sums = {"d": F.sum("e"), "s0": F.sum("_w")}
-        sums |= {f"s1_{i}": F.sum(F.col("_w") * F.col(c)) for i, c in enumerate(self.x)}
-        if self.efron:
-            sums["e0"] = F.sum(died)
-            sums |= {f"e1_{i}": F.sum(died * F.col(c)) for i, c in enumerate(self.x)}
-        return weighted, sums
+    def _cells(self, beta: np.ndarray) -> tuple[DataFrame, list[str]]:
+        """Per distinct duration: d, s0, s1_* (and e0, e1_* over the events for Efron).
+
+        Partial sums are numpy products inside each partition, so a step with new coefficients
+        compiles no new code; only (partition, duration) sums are shuffled.
+        """
+        x, efron = self.x, self.efron
+        p = len(x)
+        names = ["d", "s0", *[f"s1_{i}" for i in range(p)]]
+        if efron:
+            names += ["e0", *[f"e1_{i}" for i in range(p)]]
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            times, sums = [], []
+
+            def collapse() -> None:
+                t, row = np.unique(np.concatenate(times), return_inverse=True)
+                total = np.zeros((len(t), len(names)))
+                np.add.at(total, row, np.concatenate(sums))
+                times[:], sums[:] = [t], [total]
+
+            held = 0
+            for batch in batches:
+                died = batch.column("e").to_numpy(zero_copy_only=False).astype(float)
+                features = _matrix(batch, x)
+                w = np.exp(features @ beta)
+                moved = features * w[:, None]
+                parts = [died[:, None], w[:, None], moved]
+                if efron:
+                    parts += [(died * w)[:, None], moved * died[:, None]]
+                times.append(batch.column("t").to_numpy(zero_copy_only=False))
+                sums.append(np.hstack(parts))
+                held += batch.num_rows
+                if held > 100_000:
+                    collapse()
+                    held = 0
+            if times:
+                collapse()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(times[0]), *[pa.array(c) for c in sums[0].T]], ["t", *names]
+                )
+
+        schema = ", ".join(f"{n} double" for n in ("t", *names))
+        return self.rows.mapInArrow(partial, schema), names
 
     def evaluate(self, beta: np.ndarray) -> _State:
-        weighted, sums = self._sums(beta)
+        cells, names = self._cells(beta)
         if self.on_driver:
-            t = weighted.groupBy("t").agg(*[c.alias(n) for n, c in sums.items()]).toPandas()
+            t = cells.groupBy("t").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
             t = t.sort_values("t", ascending=False, ignore_index=True)
             cumulated = [c for c in t.columns if c.startswith("s")]
             t[cumulated] = t[cumulated].cumsum()
             t = t[::-1].reset_index(drop=True)
-            terms = self._terms(t)
-            t = t.assign(**terms)
+            t = t.assign(**self._terms(t))
             log_sum = float(t["log"].sum())
             pulled = self._stack(t, "s1").T @ t["a"].to_numpy()
             if self.efron:
                 pulled = pulled - self._stack(t, "e1").T @ t["b"].to_numpy()
             table: Any = t
         else:
-            table, log_sum, pulled = self._evaluate_spread(weighted, sums)
+            table, log_sum, pulled = self._evaluate_spread(cells, names)
         log_likelihood = float(beta @ self.death_x) - log_sum
         loss = (-log_likelihood + 0.5 * self.spec.alpha * float(beta @ beta)) / self.n
         gradient = (-(self.death_x - pulled) + self.spec.alpha * beta) / self.n
@@ -452,7 +502,6 @@ class _CoxProblem:
     def hessian(self, state: _State) -> np.ndarray:
         p = len(self.features)
         t = state.table
-        w = F.exp(linear_risk(self.x, state.beta))
         if self.on_driver:
             s1, c0 = self._stack(t, "s1"), t["c0"].to_numpy()
             outer = s1.T @ (s1 * c0[:, None])
@@ -460,22 +509,41 @@ class _CoxProblem:
                 e1 = self._stack(t, "e1")
                 cross = s1.T @ (e1 * t["c1"].to_numpy()[:, None])
                 outer = outer - cross - cross.T + e1.T @ (e1 * t["c2"].to_numpy()[:, None])
-            spark = self.rows.sparkSession
-            # Bounded by `on_driver`: this is the table the driver just held.
-            lookup = F.broadcast(
-                spark.createDataFrame(
-                    pd.DataFrame({"t": t["t"], "_a": t["a"].cumsum(), "_b": t["b"]})
-                )
-            )
+            gram = self._gram(state)
         else:
             outer = self._outer_spread(t)
             lookup = t.select("t", F.col("acc").alias("_a"), F.col("b").alias("_b"))
-        weighted = self.rows.join(lookup, "t").withColumn(
-            "_weight", w * (F.col("_a") - F.when(F.col("e") == 1, F.col("_b")).otherwise(0.0))
-        )
-        gram = weighted_gram(weighted, self.x, "_weight")
+            weight = F.col("_a") - F.when(F.col("e") == 1, F.col("_b")).otherwise(0.0)
+            weighted = self.rows.join(lookup, "t").withColumn(
+                "_weight", F.exp(linear_risk(self.x, state.beta)) * weight
+            )
+            gram = weighted_gram(weighted, self.x, "_weight")
         return (gram - outer + self.spec.alpha * np.eye(p)) / self.n
 
+    def _gram(self, state: _State) -> np.ndarray:
+        """The weighted Gram matrix with A(t) looked up in the broadcast table of durations,
+        whose size `on_driver` bounds."""
+        t = state.table
+        x, beta = self.x, state.beta
+        steps = self.rows.sparkSession.sparkContext.broadcast(
+            (t["t"].to_numpy(), t["a"].cumsum().to_numpy(), t["b"].to_numpy())
+        )
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            times, acc, tied = steps.value
+            total = np.zeros((len(x), len(x)))
+            for batch in batches:
+                features = _matrix(batch, x)
+                at = np.searchsorted(times, batch.column("t").to_numpy(zero_copy_only=False))
+                died = batch.column("e").to_numpy(zero_copy_only=False)
+                w = np.exp(features @ beta) * (acc[at] - died * tied[at])
+                total += features.T @ (features * w[:, None])
+            yield _triangle(total)
+
+        out = _summed(self.rows.mapInArrow(partial, "i int, j int, v double"), len(x))
+        steps.unpersist()
+        return out
+
     def baseline(self, state: _State) -> DataFrame:
         """Breslow hazard on the uncentred scale, so that S = exp(-H exp(beta . x))."""
         spark = self.rows.sparkSession
@@ -502,14 +570,14 @@ class _CoxProblem:
 
     # The same sums when durations are too many for the driver: everything stays a Spark table.
 
-    def _evaluate_spread(self, weighted: DataFrame, sums: dict[str, Column]):
-        splits = measure_splits(weighted, ["t"])["t"]
+    def _evaluate_spread(self, partials: DataFrame, names: list[str]):
+        splits = measure_splits(self.rows, ["t"])["t"]
         cells = (
-            with_bucket(weighted, splits)
+            with_bucket(partials, splits)
             .groupBy(BUCKET, "t")
-            .agg(*[c.alias(n) for n, c in sums.items()])
+            .agg(*[F.sum(n).alias(n) for n in names])
         )
-        cumulated = {n: F.col(n) for n in sums if n.startswith("s")}
+        cumulated = {n: F.col(n) for n in names if n.startswith("s")}
         sets = running(cells, "t", cumulated, descending=True, bucketed=splits.bucketed)
         efron = self.efron
 
