@@ -19,6 +19,7 @@ from tenure.operators.pipeline import TARGETS, FeaturePipeline, Preprocessor
 from tenure.plans.materialise import materialise
 from tenure.sources import retail
 
+GAP = retail.SESSION_GAP_HOURS * 3600
 DIGITS = 6  # for scaled values
 
 
@@ -148,7 +149,7 @@ def sources(spark, sf_dir):
     return (
         retail.customers(spark, sf_dir),
         retail.transactions(spark, sf_dir),
-        retail.clickstream(spark, sf_dir),
+        retail.clicks(spark, sf_dir),
         retail.support_tickets(spark, sf_dir),
         labels(spark, sf_dir),
     )
@@ -156,7 +157,7 @@ def sources(spark, sf_dir):
 
 def feature_table(spark, sf_dir, scale: bool = True):
     """(feature rows with event and duration, names), extracted once and written."""
-    pipe = FeaturePipeline(scale=scale)
+    pipe = FeaturePipeline(scale=scale, session_gap_seconds=GAP)
     out = pipe.fit_transform(*sources(spark, sf_dir))
     return materialise(out, "matrix"), pipe.feature_names
 
@@ -178,7 +179,7 @@ def _rfm(spark, sf_dir):
     ),
 )
 def _sessions(spark, sf_dir):
-    rolled = session_rollup(retail.clickstream(spark, sf_dir))
+    rolled = session_rollup(retail.clicks(spark, sf_dir), gap_seconds=GAP)
     return rounded(
         rolled.select(
             "customer_id",
@@ -200,9 +201,18 @@ def _sessions(spark, sf_dir):
     ),
 )
 def _behaviour(spark, sf_dir):
-    # The levels come from the event log itself, without building sessions for them.
-    fitted = Behaviour().fit(retail.clicks(spark, sf_dir))
-    return tidy(fitted.transform(retail.clickstream(spark, sf_dir)), BEHAVIOUR)
+    events = retail.clicks(spark, sf_dir)
+    return tidy(Behaviour(gap_seconds=GAP).fit(events).transform(events), BEHAVIOUR)
+
+
+@register(
+    "session_events",
+    sql("SELECT session_id, customer_id, event_timestamp, page_type FROM clickstream", "clickstream"),
+)
+def _session_events(spark, sf_dir):
+    return retail.clickstream(spark, sf_dir).select(
+        "session_id", "customer_id", "event_timestamp", "page_type"
+    )
 
 
 @register(
@@ -234,7 +244,7 @@ def _customer_orders(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir) -> FeaturePipeline:
-    return FeaturePipeline().fit_extractors(
+    return FeaturePipeline(session_gap_seconds=GAP).fit_extractors(
         retail.customers(spark, sf_dir),
         retail.purchases(spark, sf_dir),
         retail.clicks(spark, sf_dir),

@@ -23,9 +23,9 @@ def epoch_seconds(ts: Column, kind: str) -> Column:
     since = ts - F.lit("1970-01-01 00:00:00").cast(kind)
     return (
         F.extract(F.lit("DAY"), since).cast("long") * 86400
-        + F.extract(F.lit("HOUR"), since) * 3600
-        + F.extract(F.lit("MINUTE"), since) * 60
-        + F.floor(F.extract(F.lit("SECOND"), since))
+        + F.extract(F.lit("HOUR"), since).cast("long") * 3600
+        + F.extract(F.lit("MINUTE"), since).cast("long") * 60
+        + F.floor(F.extract(F.lit("SECOND"), since)).cast("long")
     )
 
 

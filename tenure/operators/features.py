@@ -6,6 +6,7 @@ holds a large part of the rows is reduced map-side before anything is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -19,33 +20,43 @@ from tenure.operators.labels import timestamp_literal, window_end
 TIER_ORDER = ["Bronze", "Silver", "Gold", "Platinum"]
 
 
-def sessionise(clicks: DataFrame, gap_seconds: int) -> DataFrame:
-    """Add `session_id` to events: a customer's session ends after a silence of `gap_seconds`.
+def _with_block(clicks: DataFrame, gap_seconds: int) -> DataFrame:
+    """Add `_block`, the event time in steps of gap/12: events of one customer inside one block
+    can never belong to different sessions."""
+    seconds = epoch_seconds(F.col("event_timestamp"), dict(clicks.dtypes)["event_timestamp"])
+    return clicks.withColumn("_block", F.floor(seconds / max(1, gap_seconds // 12)))
+
 
-    Events of one customer inside one block of gap/12 can never belong to different sessions, so
-    only (customer, block) extents are ordered, not events: the per-customer window holds at most
-    one row per block of calendar time, however many events the customer has.
+def _number_sessions(blocks: DataFrame, gap_seconds: int) -> DataFrame:
+    """Replace the extents `_from`, `_to` of (customer, block) rows by `session_id`.
+
+    A customer's session ends after a silence of `gap_seconds`. The window holds at most one row
+    per block of calendar time, however many events the customer has.
     """
-    block_seconds = max(1, gap_seconds // 12)
-    seconds = epoch_seconds(F.col("event_timestamp"), dict(clicks.dtypes)["event_timestamp"])
-    events = clicks.withColumn("_block", F.floor(seconds / block_seconds))
-    blocks = events.groupBy("customer_id", "_block").agg(
-        F.min("event_timestamp").alias("_from"), F.max("event_timestamp").alias("_to")
-    )
     by_time = Window.partitionBy("customer_id").orderBy("_block")
     silence = F.col("_from") - F.lag("_to").over(by_time)
     opens = F.when(silence < F.make_dt_interval(secs=F.lit(gap_seconds)), 0).otherwise(1)
-    numbered = blocks.select("customer_id", "_block", opens.alias("_opens")).select(
-        "customer_id", "_block", F.sum("_opens").over(by_time).alias("_session")
-    )
-    session_id = F.concat_ws("-", F.col("customer_id"), F.col("_session").cast("string"))
+    number = F.sum("_opens").over(by_time).cast("string")
     return (
-        events.join(numbered, ["customer_id", "_block"])
-        .withColumn("session_id", session_id)
-        .select("session_id", *clicks.columns)
+        blocks.withColumn("_opens", opens)
+        .withColumn("session_id", F.concat_ws("-", "customer_id", number))
+        .drop("_opens", "_from", "_to")
     )
 
 
+_EXTENT = (F.min, "_from"), (F.max, "_to")
+
+
+def sessionise(clicks: DataFrame, gap_seconds: int) -> DataFrame:
+    """Add `session_id` to every event; for roll-ups alone `session_rollup` needs no such join."""
+    events = _with_block(clicks, gap_seconds)
+    blocks = events.groupBy("customer_id", "_block").agg(
+        *[fold("event_timestamp").alias(name) for fold, name in _EXTENT]
+    )
+    numbered = _number_sessions(blocks, gap_seconds)
+    return events.join(numbered, ["customer_id", "_block"]).select("session_id", *clicks.columns)
+
+
 @dataclass(frozen=True)
 class Rfm:
     """Recency, frequency and monetary features; the reference date is learned by `fit`."""
@@ -106,20 +117,49 @@ def levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
 
 
 def session_rollup(
-    clickstream: DataFrame, devices: list[str] = (), pages: list[str] = ()
+    clickstream: DataFrame,
+    devices: Sequence[str] = (),
+    pages: Sequence[str] = (),
+    gap_seconds: int | None = None,
 ) -> DataFrame:
-    """Per (customer, session): time on page, pages, any cart, and counts per device and page."""
+    """Per (customer, session): time on page, pages, any cart, and counts per device and page.
+
+    Events without a `session_id` column are cut into sessions by silences of `gap_seconds`.
+    They are then summed per (customer, block of time) first and only those sums are ordered and
+    joined into sessions: no event is ever shuffled.
+    """
+    known = clickstream.filter(F.col("customer_id").isNotNull())
+    counts = {f"_device_{v}": F.col("device_type") == v for v in devices}
+    counts |= {f"_page_{v}": F.col("page_type") == v for v in pages}
+    first = [
+        F.coalesce(F.sum("time_on_page_seconds"), F.lit(0.0)).alias("session_duration_s"),
+        F.max(F.col("added_to_cart").cast("double")).alias("added_to_cart_in_session"),
+        F.count("device_type").alias("_device"),
+        F.count("page_type").alias("_page"),
+        *[F.count_if(c).alias(n) for n, c in counts.items()],
+    ]
+    if "session_id" in clickstream.columns:
+        return known.groupBy("customer_id", "session_id").agg(
+            F.count("session_id").alias("pages_per_session"), *first
+        )
+    if gap_seconds is None:
+        raise ValueError("events carry no session_id: name the gap that ends a session")
+    blocks = (
+        _with_block(known, gap_seconds)
+        .groupBy("customer_id", "_block")
+        .agg(
+            *[fold("event_timestamp").alias(name) for fold, name in _EXTENT],
+            F.count(F.lit(1)).alias("pages_per_session"),
+            *first,
+        )
+    )
+    sums = ["pages_per_session", "session_duration_s", "_device", "_page", *counts]
     return (
-        clickstream.filter(F.col("customer_id").isNotNull())
+        _number_sessions(blocks, gap_seconds)
         .groupBy("customer_id", "session_id")
         .agg(
-            F.coalesce(F.sum("time_on_page_seconds"), F.lit(0.0)).alias("session_duration_s"),
-            F.count("session_id").alias("pages_per_session"),
-            F.max(F.col("added_to_cart").cast("double")).alias("added_to_cart_in_session"),
-            F.count("device_type").alias("_device"),
-            F.count("page_type").alias("_page"),
-            *[F.count_if(F.col("device_type") == v).alias(f"_device_{v}") for v in devices],
-            *[F.count_if(F.col("page_type") == v).alias(f"_page_{v}") for v in pages],
+            *[F.sum(c).alias(c) for c in sums],
+            F.max("added_to_cart_in_session").alias("added_to_cart_in_session"),
         )
     )
 
@@ -130,17 +170,18 @@ class Behaviour:
 
     devices: list[str] | None = None
     pages: list[str] | None = None
+    gap_seconds: int | None = None
 
     def fit(self, clickstream: DataFrame) -> "Behaviour":
         seen = levels(clickstream, ["device_type", "page_type"])
-        return Behaviour(seen["device_type"], seen["page_type"])
+        return Behaviour(seen["device_type"], seen["page_type"], self.gap_seconds)
 
     def transform(self, clickstream: DataFrame) -> DataFrame:
         """Shares come out of the same roll-up as the session means, so one scan serves both."""
         if self.devices is None or self.pages is None:
             raise RuntimeError("fit() must run before transform()")
         real = F.col("session_id").isNotNull()
-        sessions = session_rollup(clickstream, self.devices, self.pages)
+        sessions = session_rollup(clickstream, self.devices, self.pages, self.gap_seconds)
 
         def share(kind: str, level: str):
             part, whole = F.sum(f"_{kind}_{level}"), F.sum(f"_{kind}")

@@ -112,9 +112,15 @@ class Preprocessor:
 class FeaturePipeline:
     """Raw tables to one row per labelled customer: features, `event`, `duration`."""
 
-    def __init__(self, scale: bool = True, reference_date: datetime | None = None) -> None:
+    def __init__(
+        self,
+        scale: bool = True,
+        reference_date: datetime | None = None,
+        session_gap_seconds: int | None = None,
+    ) -> None:
         self.scale = scale
         self.reference_date = reference_date
+        self.session_gap_seconds = session_gap_seconds
         self._rfm: Rfm | None = None
         self._behaviour: Behaviour | None = None
         self._demographics: Demographics | None = None
@@ -184,7 +190,7 @@ class FeaturePipeline:
         self, customers: DataFrame, transactions: DataFrame, clickstream: DataFrame
     ) -> "FeaturePipeline":
         self._rfm = Rfm(self.reference_date).fit(transactions)
-        self._behaviour = Behaviour().fit(clickstream)
+        self._behaviour = Behaviour(gap_seconds=self.session_gap_seconds).fit(clickstream)
         self._demographics = Demographics().fit(customers)
         return self
 
