@@ -25,10 +25,10 @@ CATEGORICAL = ["l_returnflag", "l_linestatus", "price_band"]
 # `shifted` and `price_band` move with the side, so that drift is there to be found.
 _SIDE_SQL = """
     SELECT l_shipdate >= TIMESTAMP '{cut}' AS cur, l_quantity, l_extendedprice, l_discount, l_tax,
-           l_extendedprice * (CASE WHEN l_shipdate >= TIMESTAMP '{cut}' THEN 1.1::DOUBLE ELSE 1::DOUBLE END)
+           l_extendedprice * (CASE WHEN l_shipdate >= TIMESTAMP '{cut}' THEN 1.3::DOUBLE ELSE 1::DOUBLE END)
                AS shifted, l_returnflag, l_linestatus,
-           CASE WHEN l_extendedprice * (CASE WHEN l_shipdate >= TIMESTAMP '{cut}' THEN 1.1::DOUBLE
-                                             ELSE 1::DOUBLE END) < 40000 THEN 'low' ELSE 'high' END
+           CASE WHEN l_extendedprice * (CASE WHEN l_shipdate >= TIMESTAMP '{cut}' THEN 1.3::DOUBLE
+                                             ELSE 1::DOUBLE END) < 60000 THEN 'low' ELSE 'high' END
                AS price_band
     FROM lineitem""".format(cut=CUT)
 
@@ -48,10 +48,10 @@ def sides(spark, sf_dir):
             shifted.alias("shifted"),
             "l_returnflag",
             "l_linestatus",
-            F.when(shifted < 40000, "low").otherwise("high").alias("price_band"),
+            F.when(shifted < 60000, "low").otherwise("high").alias("price_band"),
         )
 
-    return side(~late, 1.0), side(late, 1.1)
+    return side(~late, 1.0), side(late, 1.3)
 
 
 _LONG_SQL = (
@@ -181,7 +181,7 @@ _REPORT_SQL = (
 )
 # A low threshold, so that both severities occur in the report.
 THRESHOLDS = {c: 0.01 for c in NUMERIC + CATEGORICAL} | {"l_tax": 0.25}
-CRITICAL = 0.05
+CRITICAL = 0.2
 
 
 def _psi_report(spark, sf_dir):

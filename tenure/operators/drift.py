@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tenure.functions.columns import kolmogorov_p
 from tenure.functions.special import chi_square_p, chi_square_tail
-from tenure.plans.ordered import BUCKET, ONE_WINDOW_LIMIT, measure_splits, running, union_all, with_bucket
+from tenure.plans.ordered import BUCKET, ONE_WINDOW_LIMIT, SKETCH_ERROR, measure_splits, running, union_all, with_bucket
 from tenure.plans.quantiles import exact_quantiles
 
 # Which methods measure a distance (drift above the threshold).
@@ -49,7 +49,7 @@ class _Pair:
 
     rows: DataFrame  # numeric columns as double, `_cur` boolean
     columns: list[str]
-    facts: pd.DataFrame  # index column: n_ref, n_cur, sd_ref, lo, hi
+    facts: pd.DataFrame  # index column: n_ref, n_cur, sd_ref, lo, hi, distinct (approximate)
 
     @classmethod
     def of(cls, reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> "_Pair":
@@ -70,13 +70,12 @@ class _Pair:
                 F.stddev_pop(F.when(ref, v)).alias(f"sd_ref|{c}"),
                 F.min(v).alias(f"lo|{c}"),
                 F.max(v).alias(f"hi|{c}"),
+                F.approx_count_distinct(v, SKETCH_ERROR).alias(f"distinct|{c}"),
             ]
         row = rows.agg(*aggregates).first()
+        kinds = ("n_ref", "n_cur", "sd_ref", "lo", "hi", "distinct")
         facts = pd.DataFrame(
-            [
-                {"column": c, **{k: row[f"{k}|{c}"] for k in ("n_ref", "n_cur", "sd_ref", "lo", "hi")}}
-                for c in columns
-            ]
+            [{"column": c, **{k: row[f"{k}|{c}"] for k in kinds}} for c in columns]
         ).set_index("column")
         empty = [c for c in columns if not (facts.n_ref[c] and facts.n_cur[c])]
         if empty:
@@ -98,7 +97,8 @@ class _Pair:
 def _distribution(pair: _Pair, limit: int) -> DataFrame:
     """(column, value, next_value, f_ref, f_cur, n_ref, n_cur, sd_ref): both distribution functions
     at every distinct value."""
-    splits = measure_splits(pair.rows, pair.columns, limit)
+    distinct = {c: int(n) for c, n in pair.facts["distinct"].items()}
+    splits = measure_splits(pair.rows, pair.columns, limit, distinct)
     bucketed = any(s.bucketed for s in splits.values())
     rows = pair.rows
     for i, c in enumerate(pair.columns):
@@ -118,30 +118,33 @@ def _distribution(pair: _Pair, limit: int) -> DataFrame:
             )
         ).alias("_x"),
     ).select("_cur", "_x.*")
-    cells = (
-        stacked.filter(F.col("value").isNotNull())
-        .groupBy("column", BUCKET, "value")
-        .agg(F.count_if(~F.col("_cur")).alias("c_ref"), F.count_if("_cur").alias("c_cur"))
+    stacked = stacked.filter(F.col("value").isNotNull())
+    counts = {"u_ref": F.count_if(~F.col("_cur")), "u_cur": F.count_if("_cur")}
+    cells = stacked.groupBy("column", BUCKET, "value").agg(
+        *[c.alias(f"c_{n[2:]}") for n, c in counts.items()]
     )
+    totals = None
+    if bucketed:
+        # Straight from the rows: partial sums leave one row per (task, column, bucket), so this
+        # second scan shuffles next to nothing. One row per column and bucket in the end.
+        per_bucket = stacked.groupBy("column", BUCKET).agg(
+            *[c.alias(n) for n, c in counts.items()], F.min("value").alias("_start")
+        )
+        following = Window.partitionBy("column").orderBy(BUCKET)
+        totals = per_bucket.withColumn("_next_start", F.lead("_start").over(following)).drop("_start")
     upto = running(
         cells,
         "value",
         {"u_ref": F.col("c_ref"), "u_cur": F.col("c_cur")},
         by=("column",),
         bucketed=bucketed,
+        totals=totals,
     )
     inside = Window.partitionBy("column", *([BUCKET] if bucketed else [])).orderBy("value")
-    upto = upto.withColumn("next_value", F.lead("value").over(inside))
+    following_value = F.lead("value").over(inside)
     if bucketed:
-        starts = cells.groupBy("column", BUCKET).agg(F.min("value").alias("_start"))
-        following = Window.partitionBy("column").orderBy(BUCKET)
-        starts = starts.select(
-            "column", BUCKET, F.lead("_start").over(following).alias("_next_start")
-        )
-        # One row per column and bucket.
-        upto = upto.join(F.broadcast(starts), ["column", BUCKET]).withColumn(
-            "next_value", F.coalesce("next_value", "_next_start")
-        )
+        following_value = F.coalesce(following_value, F.col("_next_start"))
+    upto = upto.withColumn("next_value", following_value)
     return upto.join(pair.facts_table(), "column").select(
         "column",
         "value",
@@ -230,8 +233,7 @@ def _side_counts(stacked: DataFrame) -> DataFrame:
 
 def _few_valued(pair: _Pair) -> set[str]:
     """Columns with at most FEW_VALUES values; the sketch only rules out the clear cases."""
-    row = pair.rows.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in pair.columns]).first()
-    maybe = [c for c in pair.columns if row[c] <= 2 * FEW_VALUES]
+    maybe = [c for c in pair.columns if pair.facts["distinct"][c] <= 2 * FEW_VALUES]
     return {
         c
         for c in maybe

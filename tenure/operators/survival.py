@@ -405,7 +405,7 @@ class _CoxProblem:
         row = keep.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("e").alias("events"),
-            F.approx_count_distinct("t", 0.02).alias("times"),
+            F.approx_count_distinct("t").alias("times"),
             *[F.avg(f"v{i}").alias(f"m{i}") for i in range(p)],
             *[F.sum(F.when(F.col("e") == 1, F.col(f"v{i}"))).alias(f"d{i}") for i in range(p)],
         ).first()

@@ -17,9 +17,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenure.plans.materialise import materialise
+
 BUCKET = "_bucket"
 ONE_WINDOW_LIMIT = 50_000  # distinct keys one ordered window may hold
 MAX_BUCKETS = 1024  # bounds every per-bucket table
+SKETCH_ERROR = 0.05  # a wider sketch carries thousands of buffer columns through the plan
 
 
 @dataclass(frozen=True)
@@ -38,35 +41,43 @@ def measure_splits(
     df: DataFrame,
     keys: Sequence[str],
     limit: int = ONE_WINDOW_LIMIT,
-    rows_per_bucket: int | None = None,
+    distinct: dict[str, int] | None = None,
 ) -> dict[str, Splits]:
-    """Distinct-count and quantiles of several keys in one scan, as Spark's range sort samples."""
-    per_bucket = rows_per_bucket or limit
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    counts = df.agg(*[F.approx_count_distinct(k, 0.02).alias(k) for k in keys]).first()
-    large = [k for k in keys if counts[k] > 0.9 * limit]
+    """Bucket borders of several keys: distinct counts in one scan (or given), quantiles of those
+    beyond the limit in another, as Spark's own range sort samples before it shuffles.
+    """
+    if distinct is None:
+        row = df.agg(*[F.approx_count_distinct(k, SKETCH_ERROR).alias(k) for k in keys]).first()
+        distinct = row.asDict()
+    wanted = {
+        k: min(MAX_BUCKETS, int(distinct[k] // limit) + 1) for k in keys if (1 + 3 * SKETCH_ERROR) * distinct[k] > limit
+    }
+    wanted = {k: max(2, n) for k, n in wanted.items()}
     found = {k: Splits(k) for k in keys}
-    if large:
+    if wanted:
         row = df.agg(
             *[
-                F.percentile_approx(F.col(k).cast("double"), probs, 20 * MAX_BUCKETS).alias(k)
-                for k in large
+                F.percentile_approx(
+                    F.col(k).cast("double"), [i / n for i in range(1, n)], max(1000, 20 * n)
+                ).alias(k)
+                for k, n in wanted.items()
             ]
         ).first()
-        for k in large:
-            wanted = min(MAX_BUCKETS, max(2, counts[k] // per_bucket + 1))
-            step = max(1, MAX_BUCKETS // wanted)
-            found[k] = Splits(k, tuple(sorted(set(row[k][step - 1 :: step]))))
+        for k in wanted:
+            found[k] = Splits(k, tuple(sorted(set(row[k]))))
     return found
 
 
 def with_bucket(df: DataFrame, splits: Splits, name: str = BUCKET) -> DataFrame:
-    """Add the bucket number of the key (0 everywhere when not bucketed); the key is non-null."""
+    """Add the bucket number of the key, 0 everywhere when not bucketed.
+
+    The number is never null, so joins on it add no filter to their inputs.
+    """
     if not splits.bucketed:
         return df.withColumn(name, F.lit(0))
     borders = [float("-inf"), *splits.points, float("inf")]
     binner = Bucketizer(splits=borders, inputCol=splits.key, outputCol=name, handleInvalid="keep")
-    return binner.transform(df).withColumn(name, F.col(name).cast("int"))
+    return binner.transform(df).withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1)))
 
 
 def running(
@@ -77,11 +88,13 @@ def running(
     descending: bool = False,
     product: bool = False,
     bucketed: bool = True,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums (or products) of `outputs` along `key` within `by`.
 
-    `cells` holds one row per (by, key) and a bucket column. The bucket totals are bounded by
-    MAX_BUCKETS rows per group, so they are broadcast.
+    `cells` holds one row per (by, key) and a bucket column. `totals` may give the outputs summed
+    per (by, bucket) where that is cheaper than summing the cells, and may bring more columns,
+    which are kept. Totals hold at most MAX_BUCKETS rows per group, so they are broadcast.
     """
     fold = F.product if product else F.sum
     staged = cells.select("*", *[e.alias(f"_in_{n}") for n, e in outputs.items()])
@@ -93,22 +106,28 @@ def running(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     if not bucketed:
-        return staged.select(
-            *plain, *[fold(f"_in_{n}").over(within).alias(n) for n in outputs]
+        return staged.select(*plain, *[fold(f"_in_{n}").over(within).alias(n) for n in outputs])
+    kept: list[str] = []
+    if totals is None:
+        # Totals and rows are read separately: write the cells rather than compute them twice.
+        staged = materialise(staged, "cells")
+        totals = staged.groupBy(*by, BUCKET).agg(
+            *[fold(f"_in_{n}").alias(f"_tot_{n}") for n in outputs]
+        )
+    else:
+        kept = [c for c in totals.columns if c not in (*by, BUCKET, *outputs)]
+        totals = totals.select(
+            *by, BUCKET, *kept, *[F.col(n).alias(f"_tot_{n}") for n in outputs]
         )
-    totals = staged.groupBy(*by, BUCKET).agg(
-        *[fold(f"_in_{n}").alias(f"_tot_{n}") for n in outputs]
-    )
     bucket_order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     before = (
-        Window.partitionBy(*by)
-        .orderBy(bucket_order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     )
     neutral = F.lit(1.0) if product else F.lit(0)
     offsets = totals.select(
         *by,
         BUCKET,
+        *kept,
         *[F.coalesce(fold(f"_tot_{n}").over(before), neutral).alias(f"_off_{n}") for n in outputs],
     )
     joined = staged.join(F.broadcast(offsets), [*by, BUCKET])
@@ -117,13 +136,7 @@ def running(
         inner = fold(f"_in_{n}").over(within)
         offset = F.col(f"_off_{n}")
         combined.append((inner * offset if product else inner + offset).alias(n))
-    return joined.select(*plain, *combined)
-
-
-def next_key(cells: DataFrame, key: str, by: Sequence[str] = (), bucketed: bool = True) -> Column:
-    """The following key inside a bucket; pair with `next_bucket_start` across buckets."""
-    window = Window.partitionBy(*by, *([BUCKET] if bucketed else [])).orderBy(key)
-    return F.lead(key).over(window)
+    return joined.select(*plain, *kept, *combined)
 
 
 def dense_ranks(df: DataFrame, key: str, rank: str, splits: Splits) -> DataFrame:
