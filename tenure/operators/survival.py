@@ -25,7 +25,14 @@ from pyspark.sql import types as T
 
 from tenure.functions.special import digamma, log_gamma, trigamma
 from tenure.plans.materialise import materialise
-from tenure.plans.ordered import BUCKET, measure_splits, running, step_lookup, with_bucket
+from tenure.plans.ordered import (
+    BUCKET,
+    Splits,
+    measure_splits,
+    running,
+    step_lookup,
+    with_bucket,
+)
 from tenure.sources.io import read_table, write_table
 
 DEFAULT_HORIZONS = (30, 60, 90, 180, 365)
@@ -62,6 +69,7 @@ def risk_sets(
     duration: str = "duration",
     event: str = "event",
     risk: str = "risk",
+    splits: Splits | None = None,
 ) -> tuple[DataFrame, bool]:
     """Per distinct duration: deaths `d`, `s0` = sum of exp(risk) over the risk set, and `sums`
     accumulated over the risk set likewise. Second value: whether the table is bucketed.
@@ -74,7 +82,8 @@ def risk_sets(
         F.col(risk).alias("_r"),
         *[c.alias(n) for n, c in sums.items()],
     )
-    splits = measure_splits(staged, ["t"])["t"]
+    if splits is None:
+        splits = measure_splits(staged, ["t"])["t"]
     cells = (
         with_bucket(staged, splits)
         .groupBy(BUCKET, "t")

@@ -124,8 +124,12 @@ def _event_key(props: Column) -> Column:
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as clickstream rows that carry no session yet."""
+    return as_clicks(table(spark, sf_dir, "events"))
+
+
+def as_clicks(events: DataFrame) -> DataFrame:
     k = _event_key(F.col("props"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("customer_id"),
         F.col("ts").alias("event_timestamp"),
         _coded(F.col("event_type"), PAGES).alias("page_type"),
