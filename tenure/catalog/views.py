@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts)::BIGINT AS session_no,
                      (props->>'k')::INT AS k
               FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
-                                        < INTERVAL {retail.SESSION_GAP_HOURS} HOUR
+                                        <= INTERVAL {retail.SESSION_GAP_HOURS} HOUR
                                    THEN 0 ELSE 1 END AS opens FROM events))""",
     ),
     "support_tickets": (

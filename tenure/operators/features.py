@@ -30,12 +30,13 @@ def _with_block(clicks: DataFrame, gap_seconds: int) -> DataFrame:
 def _number_sessions(blocks: DataFrame, gap_seconds: int) -> DataFrame:
     """Replace the extents `_from`, `_to` of (customer, block) rows by `session_id`.
 
-    A customer's session ends after a silence of `gap_seconds`. The window holds at most one row
-    per block of calendar time, however many events the customer has.
+    A customer's session ends after a silence longer than `gap_seconds`, as in Spark's session
+    windows. The window holds at most one row per block of calendar time, however many events the
+    customer has.
     """
     by_time = Window.partitionBy("customer_id").orderBy("_block")
     silence = F.col("_from") - F.lag("_to").over(by_time)
-    opens = F.when(silence < F.make_dt_interval(secs=F.lit(gap_seconds)), 0).otherwise(1)
+    opens = F.when(silence <= F.make_dt_interval(secs=F.lit(gap_seconds)), 0).otherwise(1)
     number = F.sum("_opens").over(by_time).cast("string")
     return (
         blocks.withColumn("_opens", opens)

@@ -14,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_own_root: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder the session names; one of our own only where the setting is unset."""
+    """The folder the session names; one of our own, per application, only where it is unset."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tenure-checkpoint-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_root:
+            _own_root[app] = tempfile.mkdtemp(prefix="tenure-checkpoint-")
+        root = _own_root[app]
     return root.rstrip("/")
 
 
