@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,18 +197,22 @@ def stripped(df: DataFrame) -> DataFrame:
     )
 
 
+def conditions(contract: Contract) -> dict[str, Column]:
+    """"column:rule" -> true where the row breaks it, in declaration order; never null."""
+    out = {f"{c}:required": F.col(c).isNull() for c in contract.required}
+    for r in contract.rules:
+        out[f"{r.column}:{r.name}"] = F.coalesce(r.broken(F.col(r.column)), F.lit(False))
+    return out
+
+
 def with_violations(df: DataFrame, contract: Contract) -> DataFrame:
-    """Add `violations`: "column:rule" for every broken rule, in declaration order.
+    """Add `violations`: the name of every broken rule.
 
     One projection over the scan, no shuffle.
     """
     if contract.strip:
         df = stripped(df)
-    checks = [F.when(F.col(c).isNull(), F.lit(f"{c}:required")) for c in contract.required]
-    checks += [
-        F.when(rule.broken(F.col(rule.column)), F.lit(f"{rule.column}:{rule.name}"))
-        for rule in contract.rules
-    ]
+    checks = [F.when(broken, F.lit(name)) for name, broken in conditions(contract).items()]
     return df.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
@@ -218,14 +224,17 @@ def apply_contract(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFr
 
 
 def violation_counts(df: DataFrame, contract: Contract) -> DataFrame:
-    """Rows breaking each rule, every rule listed, from one scan and one row of aggregates."""
-    checked = with_violations(df, contract)
-    names = [f"{c}:required" for c in contract.required] + [
-        f"{r.column}:{r.name}" for r in contract.rules
-    ]
-    counted = checked.agg(
-        *[F.count_if(F.array_contains("violations", n)).alias(n) for n in names],
-        F.count_if(F.size("violations") > 0).alias("any"),
+    """Rows breaking each rule, every rule listed, and rows breaking `any`, from one scan."""
+    if contract.strip:
+        df = stripped(df)
+    checks = conditions(contract)
+    any_broken = reduce(or_, checks.values())
+    named = {**checks, "any": any_broken}
+    counted = df.agg(*[F.count_if(broken).alias(f"n{i}") for i, broken in enumerate(named.values())])
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("rule"), F.col(f"n{i}").alias("n_rows"))
+            for i, name in enumerate(named)
+        ]
     )
-    columns = [F.col(f"`{n}`").alias(n) for n in [*names, "any"]]
-    return counted.select(*columns).unpivot([], [f"`{n}`" for n in [*names, "any"]], "rule", "n_rows")
+    return counted.select(F.explode(rows).alias("r")).select("r.*")

@@ -47,8 +47,11 @@ def c_index(scored: DataFrame, limit: int = ONE_WINDOW_LIMIT, block: int = TIME_
         # Added to twice the time rank: a censoring at t sorts after the events at t.
         (~F.col("event")).cast("int").alias("c"),
     )
-    cells = staged.groupBy("risk", "t", "c").agg(F.count(F.lit(1)).alias("n"))
-    splits = measure_splits(staged, ["risk", "t"], limit)
+    # Read four times below: for both ranks, their join and the row count.
+    cells = materialise(
+        staged.groupBy("risk", "t", "c").agg(F.count(F.lit(1)).alias("n")), "pairs"
+    )
+    splits = measure_splits(cells, ["risk", "t"], limit)
     risks = dense_ranks(cells, "risk", "u", splits["risk"])
     times = dense_ranks(cells, "t", "v", splits["t"])
     ranked = cells.join(risks, "risk").join(times, "t").select(

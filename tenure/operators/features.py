@@ -102,6 +102,8 @@ def levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
 
     One scan for all columns; what is fetched is bounded, and a column beyond the bound raises.
     """
+    if not cols:
+        return {}
     stacked = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
@@ -174,7 +176,9 @@ class Behaviour:
     gap_seconds: int | None = None
 
     def fit(self, clickstream: DataFrame) -> "Behaviour":
-        seen = levels(clickstream, ["device_type", "page_type"])
+        """Learns whichever levels were not given."""
+        given = {"device_type": self.devices, "page_type": self.pages}
+        seen = given | levels(clickstream, [c for c, v in given.items() if v is None])
         return Behaviour(seen["device_type"], seen["page_type"], self.gap_seconds)
 
     def transform(self, clickstream: DataFrame) -> DataFrame:
@@ -228,7 +232,9 @@ class Demographics:
     channels: list[str] | None = None
 
     def fit(self, customers: DataFrame) -> "Demographics":
-        seen = levels(customers, ["gender", "acquisition_channel"])
+        """Learns whichever levels were not given."""
+        given = {"gender": self.genders, "acquisition_channel": self.channels}
+        seen = given | levels(customers, [c for c, v in given.items() if v is None])
         return Demographics(self.tier_order, seen["gender"], seen["acquisition_channel"])
 
     def transform(self, customers: DataFrame) -> DataFrame:

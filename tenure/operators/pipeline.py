@@ -117,10 +117,14 @@ class FeaturePipeline:
         scale: bool = True,
         reference_date: datetime | None = None,
         session_gap_seconds: int | None = None,
+        known_levels: dict[str, list[str]] | None = None,
     ) -> None:
+        """`known_levels` names the levels of categorical columns (device_type, page_type, gender,
+        acquisition_channel) that need not be learned by a scan."""
         self.scale = scale
         self.reference_date = reference_date
         self.session_gap_seconds = session_gap_seconds
+        self.known_levels = known_levels or {}
         self._rfm: Rfm | None = None
         self._behaviour: Behaviour | None = None
         self._demographics: Demographics | None = None
@@ -189,9 +193,14 @@ class FeaturePipeline:
     def fit_extractors(
         self, customers: DataFrame, transactions: DataFrame, clickstream: DataFrame
     ) -> "FeaturePipeline":
+        known = self.known_levels
         self._rfm = Rfm(self.reference_date).fit(transactions)
-        self._behaviour = Behaviour(gap_seconds=self.session_gap_seconds).fit(clickstream)
-        self._demographics = Demographics().fit(customers)
+        self._behaviour = Behaviour(
+            known.get("device_type"), known.get("page_type"), self.session_gap_seconds
+        ).fit(clickstream)
+        self._demographics = Demographics(
+            genders=known.get("gender"), channels=known.get("acquisition_channel")
+        ).fit(customers)
         return self
 
     def _fit(self, customers, transactions, clickstream, tickets, labels) -> DataFrame:

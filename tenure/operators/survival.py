@@ -36,7 +36,7 @@ from tenure.plans.ordered import (
 from tenure.sources.io import read_table, write_table
 
 DEFAULT_HORIZONS = (30, 60, 90, 180, 365)
-DRIVER_CELLS = 20_000_000  # doubles of the per-duration table the driver may hold
+DRIVER_CELLS = 4_000_000  # doubles of the per-duration table the driver may hold
 DIRECT_TIES = 512  # tied events summed term by term; beyond that in closed form
 
 
@@ -490,7 +490,7 @@ class _CoxProblem:
     def evaluate(self, beta: np.ndarray) -> _State:
         cells, names = self._cells(beta)
         if self.on_driver:
-            t = cells.groupBy("t").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+            t = cells.groupBy("t").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
             t = t.sort_values("t", ascending=False, ignore_index=True)
             cumulated = [c for c in t.columns if c.startswith("s")]
             t[cumulated] = t[cumulated].cumsum()
@@ -560,7 +560,9 @@ class _CoxProblem:
             t = state.table
             shift = math.exp(-float(state.beta @ self.centre))
             hazard = (t["d"] / t["s0"]).cumsum() * shift
-            table = spark.createDataFrame(pd.DataFrame({"t": t["t"], "hazard": hazard}))
+            table = spark.createDataFrame(
+                pa.table({"t": t["t"].to_numpy(), "hazard": hazard.to_numpy()})
+            )
             return materialise(table.coalesce(1), "baseline")
         names = [f"v{i}" for i in range(len(self.features))]
         scored = self.source.select(

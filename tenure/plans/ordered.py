@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +51,10 @@ def measure_splits(
         row = df.agg(*[F.approx_count_distinct(k, SKETCH_ERROR).alias(k) for k in keys]).first()
         distinct = row.asDict()
     wanted = {
-        k: min(MAX_BUCKETS, int(distinct[k] // limit) + 1) for k in keys if (1 + 3 * SKETCH_ERROR) * distinct[k] > limit
+        k: max(2, min(MAX_BUCKETS, int(distinct[k] // limit) + 1))
+        for k in keys
+        if (1 + 3 * SKETCH_ERROR) * distinct[k] > limit
     }
-    wanted = {k: max(2, n) for k, n in wanted.items()}
     found = {k: Splits(k) for k in keys}
     if wanted:
         row = df.agg(
@@ -177,14 +179,14 @@ def step_lookup(
 def _small_step_lookup(
     df: DataFrame, x: str, table: DataFrame, key: str, values: Sequence[str]
 ) -> DataFrame:
-    steps = table.select(F.col(key).cast("double").alias(key), *values).toPandas()
+    steps = table.select(F.col(key).cast("double").alias(key), *values).toArrow().to_pandas()
     steps = steps.sort_values(key, kind="stable").drop_duplicates(key, keep="last")
     if steps.empty:
         kinds = dict(table.dtypes)
         return df.select("*", *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
     borders = [float("-inf"), *steps[key].tolist(), float("inf")]
     steps = steps.drop(columns=[key]).assign(_step=range(1, len(steps) + 1))
-    steps_df = df.sparkSession.createDataFrame(steps)
+    steps_df = df.sparkSession.createDataFrame(pa.Table.from_pandas(steps, preserve_index=False))
     placed = Bucketizer(
         splits=borders, inputCol=x, outputCol="_step", handleInvalid="keep"
     ).transform(df.withColumn(x, F.col(x).cast("double")))

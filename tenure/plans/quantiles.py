@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import floor
+from math import ceil, floor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -79,42 +79,90 @@ def _bracketed(
                 )
             ]
         ).first()
-        narrower = []
-        for c, i in open_keys:
+        missed, wide = [], []
+        for key in open_keys:
+            c, i = key
             lt, inside = counted[f"lt_{c}_{i}"], counted[f"in_{c}_{i}"]
-            first, last = floor(wanted[c, i]), int(np.ceil(wanted[c, i]))
-            lo, hi = brackets[c, i]
+            first, last = floor(wanted[key]), ceil(wanted[key])
             if first < lt or last >= lt + inside:  # the estimate missed: take the whole range back
-                brackets[c, i] = extent[c]
-                slack[c, i] *= 4
-                narrower.append((c, i))
+                brackets[key] = extent[c]
+                slack[key] *= 4
+                missed.append(key)
                 continue
-            below[c, i] = lt
+            below[key] = lt
+            lo, hi = brackets[key]
             if inside > limit and lo < hi:
-                at = (wanted[c, i] - lt) / max(1, inside - 1)
-                part = df.filter(F.col(c).between(lo, hi)).agg(
-                    F.percentile_approx(
-                        c, [max(0.0, at - slack[c, i]), min(1.0, at + slack[c, i])], accuracy
-                    ).alias("q")
-                ).first()["q"]
-                if tuple(part) != (lo, hi):
-                    brackets[c, i] = (part[0], part[1])
-                    narrower.append((c, i))
-        open_keys = narrower
+                wide.append((key, (wanted[key] - lt) / max(1, inside - 1)))
+        narrowed = _narrow(df, brackets, slack, wide, accuracy)
+        open_keys = missed + narrowed
 
+    found = _values_inside(df, {k: brackets[k] for k in wanted if brackets[k][0] < brackets[k][1]})
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for (c, i), position in wanted.items():
-        lo, hi = brackets[c, i]
+    for key, position in wanted.items():
+        c, i = key
+        lo, hi = brackets[key]
         if lo == hi:
             out[c][i] = lo
             continue
-        # At most `limit` rows, or few distinct values each held many times: group before fetching.
-        found = (
-            df.filter(F.col(c).between(lo, hi)).groupBy(c).count().toPandas().sort_values(c)
-        )
-        upto = below[c, i] + found["count"].cumsum().to_numpy()
-        values = found[c].to_numpy()
+        values, counts = found[key]
+        upto = below[key] + counts.cumsum()
         at_lo = values[np.searchsorted(upto, floor(position), side="right")]
-        at_hi = values[np.searchsorted(upto, int(np.ceil(position)), side="right")]
+        at_hi = values[np.searchsorted(upto, ceil(position), side="right")]
         out[c][i] = float(at_lo + (at_hi - at_lo) * (position - floor(position)))
     return out
+
+
+def _narrow(df, brackets, slack, wide, accuracy) -> list[tuple[str, int]]:
+    """Tighten the given brackets in place, all in one scan; those that became smaller."""
+    if not wide:
+        return []
+    row = df.agg(
+        *[
+            F.percentile_approx(
+                F.when(F.col(c).between(*brackets[c, i]), F.col(c)),
+                [max(0.0, at - slack[c, i]), min(1.0, at + slack[c, i])],
+                accuracy,
+            ).alias(f"q_{c}_{i}")
+            for (c, i), at in wide
+        ]
+    ).first()
+    smaller = []
+    for (c, i), _ in wide:
+        part = tuple(row[f"q_{c}_{i}"])
+        if part != brackets[c, i]:
+            brackets[c, i] = part
+            smaller.append((c, i))
+    return smaller
+
+
+def _values_inside(
+    df: DataFrame, brackets: dict[tuple[str, int], tuple[float, float]]
+) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Distinct values and their counts inside every bracket, from one scan.
+
+    A bracket holds at most the row limit, or a few values held many times over: the rows are
+    grouped before they are fetched.
+    """
+    if not brackets:
+        return {}
+    keys = list(brackets)
+    inside = [
+        F.when(
+            F.col(c).between(*brackets[c, i]),
+            F.struct(F.lit(n).alias("k"), F.col(c).alias("v")),
+        )
+        for n, (c, i) in enumerate(keys)
+    ]
+    counts = (
+        df.select(F.explode(F.array_compact(F.array(*inside))).alias("x"))
+        .select("x.*")
+        .groupBy("k", "v")
+        .count()
+        .toArrow()
+        .to_pandas()
+        .sort_values(["k", "v"])
+    )
+    groups = dict(tuple(counts.groupby("k")))
+    return {
+        key: (groups[n]["v"].to_numpy(), groups[n]["count"].to_numpy()) for n, key in enumerate(keys)
+    }
