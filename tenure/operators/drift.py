@@ -86,17 +86,19 @@ class _Pair:
         """One row per monitored column, hence broadcast."""
         spark = self.rows.sparkSession
         rows = [
-            (c, float(f.n_ref), float(f.n_cur), float(f.sd_ref or 0.0))
-            for c, f in self.facts.iterrows()
+            (i, c, float(f.n_ref), float(f.n_cur), float(f.sd_ref or 0.0))
+            for i, (c, f) in enumerate(self.facts.iterrows())
         ]
         return F.broadcast(
-            spark.createDataFrame(rows, "column string, n_ref double, n_cur double, sd_ref double")
+            spark.createDataFrame(
+                rows, "_i int, column string, n_ref double, n_cur double, sd_ref double"
+            )
         )
 
 
 def _distribution(pair: _Pair, limit: int) -> DataFrame:
     """(column, value, next_value, f_ref, f_cur, n_ref, n_cur, sd_ref): both distribution functions
-    at every distinct value."""
+    at every distinct value. Columns go by number until the end: keys stay fixed width."""
     distinct = {c: int(n) for c, n in pair.facts["distinct"].items()}
     splits = measure_splits(pair.rows, pair.columns, limit, distinct)
     bucketed = any(s.bucketed for s in splits.values())
@@ -109,7 +111,7 @@ def _distribution(pair: _Pair, limit: int) -> DataFrame:
             F.array(
                 *[
                     F.struct(
-                        F.lit(c).alias("column"),
+                        F.lit(i).alias("_i"),
                         F.col(c).alias("value"),
                         F.col(f"_b{i}").alias(BUCKET),
                     )
@@ -120,32 +122,32 @@ def _distribution(pair: _Pair, limit: int) -> DataFrame:
     ).select("_cur", "_x.*")
     stacked = stacked.filter(F.col("value").isNotNull())
     counts = {"u_ref": F.count_if(~F.col("_cur")), "u_cur": F.count_if("_cur")}
-    cells = stacked.groupBy("column", BUCKET, "value").agg(
+    cells = stacked.groupBy("_i", BUCKET, "value").agg(
         *[c.alias(f"c_{n[2:]}") for n, c in counts.items()]
     )
     totals = None
     if bucketed:
         # Straight from the rows: partial sums leave one row per (task, column, bucket), so this
         # second scan shuffles next to nothing. One row per column and bucket in the end.
-        per_bucket = stacked.groupBy("column", BUCKET).agg(
+        per_bucket = stacked.groupBy("_i", BUCKET).agg(
             *[c.alias(n) for n, c in counts.items()], F.min("value").alias("_start")
         )
-        following = Window.partitionBy("column").orderBy(BUCKET)
+        following = Window.partitionBy("_i").orderBy(BUCKET)
         totals = per_bucket.withColumn("_next_start", F.lead("_start").over(following)).drop("_start")
     upto = running(
         cells,
         "value",
         {"u_ref": F.col("c_ref"), "u_cur": F.col("c_cur")},
-        by=("column",),
+        by=("_i",),
         bucketed=bucketed,
         totals=totals,
     )
-    inside = Window.partitionBy("column", *([BUCKET] if bucketed else [])).orderBy("value")
+    inside = Window.partitionBy("_i", *([BUCKET] if bucketed else [])).orderBy("value")
     following_value = F.lead("value").over(inside)
     if bucketed:
         following_value = F.coalesce(following_value, F.col("_next_start"))
     upto = upto.withColumn("next_value", following_value)
-    return upto.join(pair.facts_table(), "column").select(
+    return upto.join(pair.facts_table(), "_i").select(
         "column",
         "value",
         "next_value",

@@ -18,6 +18,7 @@ from tenure.plans.quantiles import exact_quantiles
 
 log = logging.getLogger(__name__)
 
+# Names of the check kinds, as summaries print them.
 EXISTS = "expect_column_to_exist"
 NOT_NULL = "expect_column_values_to_not_be_null"
 UNIQUE = "expect_column_values_to_be_unique"

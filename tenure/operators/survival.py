@@ -411,21 +411,38 @@ class _CoxProblem:
             "cox",
         )
         p = len(features)
+        names = [f"v{i}" for i in range(p)]
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every, died = np.zeros(p), np.zeros(p)
+            for batch in batches:
+                x = _matrix(batch, names)
+                every += x.sum(axis=0)
+                died += batch.column("e").to_numpy(zero_copy_only=False).astype(float) @ x
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(p), pa.int32()), pa.array(every), pa.array(died)], ["i", "s", "d"]
+            )
+
         row = keep.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("e").alias("events"),
             F.approx_count_distinct("t").alias("times"),
-            *[F.avg(f"v{i}").alias(f"m{i}") for i in range(p)],
-            *[F.sum(F.when(F.col("e") == 1, F.col(f"v{i}"))).alias(f"d{i}") for i in range(p)],
         ).first()
         if not row["n"]:
             raise ValueError("no rows to fit on")
-        centre = np.array([row[f"m{i}"] for i in range(p)], dtype=float)
+        every, died = np.zeros(p), np.zeros(p)
+        parts = keep.mapInArrow(sums, "i int, s double, d double")
+        for r in parts.groupBy("i").agg(F.sum("s").alias("s"), F.sum("d").alias("d")).collect():
+            every[r["i"]], died[r["i"]] = r["s"], r["d"]
+        centre = every / row["n"]
         rows = keep.select(
             "t", "e", *[(F.col(f"v{i}") - F.lit(float(centre[i]))).alias(f"x{i}") for i in range(p)]
         )
         events = int(row["events"] or 0)
-        death = np.array([row[f"d{i}"] or 0.0 for i in range(p)]) - events * centre
+        death = died - events * centre
+        if np.isnan(centre).any():
+            bad = [f for f, c in zip(features, centre) if np.isnan(c)]
+            raise ValueError(f"missing values in {', '.join(bad)}: impute first")
         return cls(rows, centre, features, spec, row["n"], events, row["times"], keep, death)
 
     @property
