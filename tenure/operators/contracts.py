@@ -189,7 +189,7 @@ def stripped(df: DataFrame) -> DataFrame:
     """Trim surrounding whitespace of every string column."""
     return df.select(
         *[
-            F.regexp_replace(f.name, r"^\s+|\s+$", "").alias(f.name)
+            F.btrim(f.name, F.lit(" \t\n\v\f\r")).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else F.col(f.name)
             for f in df.schema.fields
