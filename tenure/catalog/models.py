@@ -38,7 +38,6 @@ from tenure.operators.survival import (
     CoxModel,
     CoxPH,
     breslow_baseline,
-    linear_risk,
     partial_log_likelihood,
 )
 from tenure.operators.training import cross_validate
