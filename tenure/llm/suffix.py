@@ -6,7 +6,7 @@ in the same one) is removed. Texts are UTF-8 bytes, null is empty, and strings n
 1. Each window of `width` bytes has one anchor: the leftmost of its ANCHOR-byte strings with the least hash. Windows
    in a row with the same anchor make a stretch. Equal windows have equal anchors at the same place, so
    windows are only ever compared between stretches of one anchor.
-2. Stretches are sorted by anchor hash and content hash. A stretch whose content occurred earlier is removed as
+2. A batch keeps the earliest stretch of each content. Stretches are sorted by anchor hash and content hash. A stretch whose content occurred earlier is removed as
    a whole. An anchor seen with one content only is done; the first stretches of all others go on.
 3. Those are dealt to cells of bounded size by anchor. Inside a cell, the stretches are cut into shards; each
    shard's suffixes are sorted and its transform written down, then the shards' transforms are merged by
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,16 +89,25 @@ def stretches(text: Text, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[np.
 
 
 def _all_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch's texts. Of those with equal content the batch keeps the earliest; the others, certain to
+    be removed, get place -1 and, as they are compared with nothing any more, a number of their own for an anchor."""
     names = ["anchor", "content", "key", "start", "windows", "place"]
     for batch in batches:
+        parts = []
         for part in slices(batch, 1, 1 << 18):
             a, c, row, start, n, place = stretches(Text(part.column(1)))
             key = part.column(0).to_numpy(zero_copy_only=False)[row]
+            parts.append((a.view(np.int64), c.view(np.int64), key, start, n, place))
+        if parts:
+            a, c, key, start, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, key, c))
+            again = np.zeros(len(a), bool)
+            again[order[1:]] = (c[order[1:]] == c[order[:-1]]) & (a[order[1:]] == a[order[:-1]])
+            place[again] = -1
+            a[again] = mix((key[again] * 2**20 + start[again]).astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key, pa.int64()),
-                 *(pa.array(x, pa.int32()) for x in (start, n, place))],
-                names,
-            )
+                [*(pa.array(x, pa.int64()) for x in (a, c, key)), *(pa.array(x, pa.int32()) for x in (start, n, place))], names
+            )
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +115,9 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stretch of each content of an anchor that has several. Holds one row between batches."""
     last = None  # anchor, content, the anchor's first row, whether that was passed on
     for batch in batches:
+        known = pc.less(batch.column(5), 0)
+        yield batch.filter(known)
+        batch = batch.filter(pc.invert(known))
         if not batch.num_rows:
             continue
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
