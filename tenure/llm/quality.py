@@ -1,7 +1,7 @@
 """Quality rules: base rules on counts, then a calibrated logistic regression on hashed n-grams.
 
 Features are the relative frequencies of word unigrams and bigrams and of 3- and 4-byte n-grams, hashed into
-tables of `2 ** bits` slots each. The model is fitted on a bounded sample of labelled rows (`sample`: the labelled
+tables of `2 ** bits` slots each. The model is fitted on a bounded sample of labelled rows (`sample`: of each kind, the labelled
 documents with the smallest hash of doc_id); a fifth of the sample calibrates its score into a probability
 by Platt scaling. Scoring is one pass over all documents in Arrow batches, without a shuffle.
 
@@ -131,15 +131,11 @@ class Model:
 SCALE = 30.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, bits: int = 16, passes: int = 40) -> Model | None:
-    """Fit on at most `sample` labelled documents, those whose doc_id hashes lowest."""
-    chosen = (
-        labels.filter("doc_id is not null and quality in (0, 1)")
-        .groupBy("doc_id")
-        .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1400, bits: int = 16, passes: int = 50) -> Model | None:
+    """Fit on at most `sample` labelled documents, half of each kind, those whose doc_id hashes lowest."""
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    good, bad = (known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for q in (1, 0))
+    chosen = good.unionByName(bad)
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .mapInArrow(_sparse(bits), "doc_id long, quality int, slot binary, value binary")
@@ -148,18 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, bits: int = 16,
     )
     if rows.empty or rows["quality"].nunique() < 2:
         return None
-    slot = [np.frombuffer(x, np.int32) for x in rows["slot"]]
-    size = np.array([len(x) for x in slot])
-    slot, value = np.concatenate(slot), np.concatenate([np.frombuffer(x, np.float32) for x in rows["value"]])
+    size = np.array([len(x) // 4 for x in rows["slot"]])
+    slot, value = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("slot", np.int32), ("value", np.float32)))
     y = rows["quality"].to_numpy(float)
+    del rows
     held = np.arange(len(y)) % 5 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
-    row = np.repeat(np.arange(len(y)), size)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
     first = np.concatenate([[0], np.cumsum(size)])
     w, b = np.zeros(4 << bits), 0.0
     seen, seen_b = np.full(len(w), 1e-8), 1e-8
-    # Both kinds of rows weigh the same in the fit; the calibration restores their shares.
+    # Both kinds of rows weigh the same in the fit.
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     for _ in range(passes):
         p = 1 / (1 + np.exp(-np.clip(sums(value * w[slot], first) + b, -40, 40)))
