@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,15 +44,16 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        gc.collect()
         jvm.System.gc()
 
 
-def with_key(docs: DataFrame, scratch: Scratch, order: str = "doc_id") -> DataFrame:
-    """doc_id, text and `_key`: a number of its own for every row, ascending with doc_id (null last).
+def with_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with doc_id as long, text as string, and `_key`: a number of its own for every row, ascending with doc_id (null last).
 
     The key is doc_id itself where that is unique and never null; otherwise rows are numbered by doc_id, then text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
         return docs.withColumn("_key", F.col("doc_id"))

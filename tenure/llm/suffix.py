@@ -328,14 +328,16 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFr
     merged = cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(cells)).alias("cell")).applyInArrow(
         lambda key, table: _cell(table), "key long, begin int, end int"
     )
-    return whole.unionByName(scratch.table(merged))
+    merged = scratch.table(merged)
+    scratch.drop()
+    return whole.unionByName(merged)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Text, np.ndarray]]:
-    """Each run of rows (text in column 1, packed ranges in the last), and which bytes go."""
+def _remove(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[tuple[pa.RecordBatch, Text, np.ndarray]]:
+    """Each run of rows (text in column `at`, packed ranges in the last), and which bytes go."""
     for batch in batches:
-        for part in slices(batch, 1):
-            text = Text(part.column(1))
+        for part in slices(batch, at):
+            text = Text(part.column(at))
             lists = part.column(part.num_columns - 1)
             packed = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -361,7 +363,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_ranges(keyed: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
-    ranges = repeated_ranges(keyed, scratch)
+    ranges = repeated_ranges(keyed.select("_key", "text"), scratch)
     packed = (F.col("begin").cast("long") * 2**32 + F.col("end")).alias("packed")
     by_doc = ranges.groupBy("key").agg(F.collect_list(packed).alias("_ranges"))
     return keyed.join(by_doc, keyed["_key"] == by_doc["key"], "left").select(*columns, "_ranges")
@@ -370,29 +372,39 @@ def _with_ranges(keyed: DataFrame, columns: list[str], scratch: Scratch) -> Data
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     scratch = Scratch(docs.sparkSession)
-    keyed = with_key(docs, scratch)
+    keyed = with_key(docs.select("doc_id", "text"), scratch)
     return _with_ranges(keyed, ["doc_id", "text"], scratch).mapInArrow(
         _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 
-def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, text, gone in _remove(batches):
-        # A range may begin or end inside a character; what is left of such a character goes too.
-        texts = [bytes(text.data[a:b][~gone[a:b]]).decode("utf-8", "ignore") for a, b in zip(text.off[:-1], text.off[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["_key", "_text"])
+def _shorten(text_at: int, chars_at: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, text, gone in _remove(batches, text_at):
+            columns = part.columns[:-1]
+            old = columns[text_at]
+            # A range may begin or end inside a character; what is left of such a character goes too.
+            new = [
+                bytes(text.data[a:b][~gone[a:b]]).decode("utf-8", "ignore") if k else None
+                for a, b, k in zip(text.off[:-1], text.off[1:], old.is_valid().to_pylist(), strict=True)
+            ]
+            columns[text_at] = pa.array(new, old.type)
+            if chars_at is not None:
+                touched = pa.array(np.add.reduceat(np.append(gone, False).astype(np.int64), text.off[:-1]) * (np.diff(text.off) > 0) > 0)
+                columns[chars_at] = pc.if_else(touched, pc.utf8_length(columns[text_at]).cast(columns[chars_at].type), columns[chars_at])
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    return run
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes cut out of text; n_chars, where there is one, counts what is left.
+    """docs with the repeated bytes cut out of text; n_chars, where there is a whole number of that name, counts what is left.
 
-    doc_id must be unique here: other columns are joined back by it. Documents left empty stay, null texts stay null.
+    Documents left empty stay, null texts stay null.
     """
     scratch = Scratch(docs.sparkSession)
     keyed = with_key(docs, scratch)
-    new = _with_ranges(keyed, ["doc_id", "text"], scratch).filter("_ranges is not null")
-    new = new.mapInArrow(_shortened, "_key long, _text string")
-    rest = docs.join(new, docs["doc_id"].cast("long") == new["_key"], "left")
-    text = F.when(F.col("_key").isNotNull(), F.col("_text")).otherwise(docs["text"])
-    made = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rest.select(*(made[c].alias(c) if c in made else docs[c] for c in docs.columns))
+    types = dict(docs.dtypes)
+    schema = keyed.select(*docs.columns).schema
+    chars = docs.columns.index("n_chars") if types.get("n_chars") in ("int", "bigint") else None
+    return _with_ranges(keyed, docs.columns, scratch).mapInArrow(_shorten(docs.columns.index("text"), chars), schema)
