@@ -171,6 +171,7 @@ def gram_scores(grams: DataFrame, scratch: Scratch) -> DataFrame:
     chance = scratch.table(chance)
     one = F.coalesce("chance", F.lit(0.5))
     got = F.when(F.col("value") == 1, one).otherwise(1 - one)
+    scratch.drop(*levels)
     out = paths.join(chance, "node").groupBy("gram").agg(F.sum(F.log10(got)).alias("score"))
     return scratch.table(out)
 
@@ -188,13 +189,16 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     rows = keyed.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("_key"), F.lit(blocks)).alias("block"))
     words = scratch.table(rows.groupBy("block").applyInArrow(_block_words, "block long, word string, count long"))
+    scratch.drop()
     vocabulary = words.groupBy("word").agg(F.sum("count").alias("count"))
     found = words.count()
     parts = max(1, found // BLOCK_WORDS // 3)
     vocabulary = scratch.table(vocabulary.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts))))
+    scratch.drop()
     total, distinct = vocabulary.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, 1))).first()
     total = total or 0
     grams = scratch.table(vocabulary.groupBy("part").applyInArrow(_block_grams, "part long, gram long, count long"))
+    scratch.drop()
     scored = gram_scores(grams.groupBy("gram").agg(F.sum("count").alias("count")), scratch)
     told = grams.select("part", "gram").join(scored, "gram")
     known = vocabulary.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_word_scores, "word string, count long, score double")
