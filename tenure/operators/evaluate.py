@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,12 +156,10 @@ def censoring_km(train: DataFrame) -> DataFrame:
 
 
 def with_censoring_weight(scored: DataFrame, km: DataFrame) -> DataFrame:
-    """Add `inv_g` = 1 / G(duration), 0 where G is 0."""
+    """Add `inv_g` = 1 / G(duration), null where G is 0: such a row has no weight."""
     found = step_lookup(scored, "duration", km, "t", ["g"])
     g = F.coalesce(F.col("g"), F.lit(1.0))
-    return found.withColumn(
-        "inv_g", F.coalesce(F.try_divide(F.lit(1.0), g), F.lit(0.0))
-    ).drop("g")
+    return found.withColumn("inv_g", F.try_divide(F.lit(1.0), g)).drop("g")
 
 
 def censoring_at(km: DataFrame, horizons: Sequence[float]) -> list[float]:
@@ -194,7 +192,7 @@ def brier(
     """(t, brier): inverse-probability-of-censoring-weighted squared error of S at each horizon.
 
     `weighted` comes from `with_censoring_weight`; `hazards` is the baseline at the horizons. All
-    horizons share one aggregation.
+    horizons share one aggregation. Where a row that counts has no weight, the figure is null.
     """
     scale = F.exp(F.col("risk"))
     names, aggregates = [], []
@@ -202,14 +200,15 @@ def brier(
         surv = F.exp(-F.lit(float(base)) * scale)
         died = (F.col("duration") <= float(h)) & F.col("event")
         alive = F.col("duration") > float(h)
-        inv = 1.0 / g if g > 0 else 0.0
+        inv = F.lit(1.0 / g if g > 0 else None).cast("double")
         error = (
             F.when(died, surv * surv * F.col("inv_g"))
-            .when(alive, (1 - surv) * (1 - surv) * F.lit(inv))
+            .when(alive, (1 - surv) * (1 - surv) * inv)
             .otherwise(0.0)
         )
+        unweighted = F.count_if((died | alive) & error.isNull())
         names.append(f"b{i}")
-        aggregates.append(F.avg(error).alias(f"b{i}"))
+        aggregates.append(F.when(unweighted == 0, F.avg(error)).alias(f"b{i}"))
     return _long(weighted.agg(*aggregates), names, horizons, "brier")
 
 
@@ -234,7 +233,8 @@ def integrated_brier(scores: DataFrame) -> DataFrame:
 
 
 def td_auc(weighted: DataFrame, horizons: Sequence[float], limit: int = ONE_WINDOW_LIMIT) -> DataFrame:
-    """(t, auc): cumulative/dynamic AUC; null where a horizon has no cases or no controls.
+    """(t, auc): cumulative/dynamic AUC; null where a horizon has no cases, no controls, or a case
+    without a weight.
 
     For every risk value the controls at or below it are a running sum, so cases meet controls
     without a join; all horizons share one ordered pass.
@@ -244,7 +244,8 @@ def td_auc(weighted: DataFrame, horizons: Sequence[float], limit: int = ONE_WIND
     sums = []
     for i, h in enumerate(horizons):
         case = (F.col("duration") <= float(h)) & F.col("event")
-        sums.append(F.sum(F.when(case, F.col("inv_g")).otherwise(0.0)).alias(f"w{i}"))
+        weight = F.coalesce("inv_g", F.lit(float("nan")))
+        sums.append(F.sum(F.when(case, weight).otherwise(0.0)).alias(f"w{i}"))
         sums.append(F.count_if(F.col("duration") > float(h)).alias(f"n{i}"))
     cells = with_bucket(staged, splits).groupBy(BUCKET, "risk").agg(*sums)
     k = range(len(horizons))
@@ -254,9 +255,12 @@ def td_auc(weighted: DataFrame, horizons: Sequence[float], limit: int = ONE_WIND
     names = [f"auc{i}" for i in k]
     row = upto.agg(
         *[
-            F.try_divide(
-                F.sum(F.col(f"w{i}") * (F.col(f"c{i}") - F.col(f"n{i}") / 2.0)),
-                F.sum(f"w{i}") * F.sum(f"n{i}"),
+            F.nanvl(
+                F.try_divide(
+                    F.sum(F.col(f"w{i}") * (F.col(f"c{i}") - F.col(f"n{i}") / 2.0)),
+                    F.sum(f"w{i}") * F.sum(f"n{i}"),
+                ),
+                F.lit(None).cast("double"),
             ).alias(f"auc{i}")
             for i in k
         ]
@@ -274,41 +278,35 @@ def valid_horizons(
     return [h for h in horizons if h < end]
 
 
-@dataclass
-class EvaluationResult:
-    """The figures of one model on one fold."""
+@dataclass(frozen=True)
+class FoldMetrics:
+    """What one model scored on one fold: the rows of the metric table, (metric, t, value)."""
 
-    model_name: str
+    model: str
     fold: int
-    c_index: float
-    ibs: float
-    brier_scores: dict[int, float] = field(default_factory=dict)
-    td_auc: dict[int, float] = field(default_factory=dict)
-    n_train: int = 0
-    n_test: int = 0
-
-    def summary(self) -> str:
-        curve = ", ".join(f"{t}d={v:.3f}" for t, v in sorted(self.td_auc.items()))
-        return (
-            f"{self.model_name} fold={self.fold} C={self.c_index:.4f} IBS={self.ibs:.4f} "
-            f"tdAUC=[{curve}]"
-        )
+    figures: tuple[tuple[str, int | None, float], ...]
+
+    def value(self, metric: str) -> float:
+        return next(v for m, t, v in self.figures if m == metric and t is None)
+
+    def by_horizon(self, metric: str) -> dict[int, float]:
+        return {t: v for m, t, v in self.figures if m == metric and t is not None}
 
     def rows(self) -> list[tuple]:
-        def row(metric: str, value: float, t: int | None = None) -> tuple:
-            return (self.model_name, self.fold, metric, t, float(value))
-
-        return [
-            row("c_index", self.c_index),
-            row("ibs", self.ibs),
-            *[row("brier", v, t) for t, v in self.brier_scores.items()],
-            *[row("td_auc", v, t) for t, v in self.td_auc.items()],
-            row("n_train", self.n_train),
-            row("n_test", self.n_test),
-        ]
+        return [(self.model, self.fold, m, t, float(v)) for m, t, v in self.figures]
 
 
-def results_table(spark: SparkSession, results: Sequence[EvaluationResult]) -> DataFrame:
+def metric_lines(metrics: DataFrame) -> DataFrame:
+    """(model, fold, line): the metric table's figures of each fold as one line of text."""
+    label = F.when(F.col("t").isNull(), F.col("metric")).otherwise(F.concat("metric", F.lit("@"), "t"))
+    part = F.format_string("%s=%.4f", label, "value")
+    parts = F.array_sort(F.collect_list(F.struct("metric", "t", part.alias("text"))))
+    return metrics.groupBy("model", "fold").agg(parts.alias("p")).select(
+        "model", "fold", F.array_join("p.text", " ").alias("line")
+    )
+
+
+def results_table(spark: SparkSession, results: Sequence[FoldMetrics]) -> DataFrame:
     return spark.createDataFrame([r for x in results for r in x.rows()], METRIC_SCHEMA)
 
 
@@ -318,7 +316,7 @@ def evaluate(
     train: DataFrame,
     horizons: Sequence[int] = DEFAULT_HORIZONS,
     fold: int = 0,
-) -> EvaluationResult:
+) -> FoldMetrics:
     """All figures of a fitted model; the test rows are scored once and reused."""
     scored = materialise(
         model.risk(test).select(
@@ -338,7 +336,7 @@ def evaluate(
         km = materialise(censoring_km(train), "censoring")
         weighted = materialise(with_censoring_weight(scored, km), "weighted")
         scores = brier(weighted, km, model.hazard_at(times), times)
-        brier_at = {r["t"]: r["brier"] for r in scores.collect()}
+        brier_at = {r["t"]: math.nan if r["brier"] is None else r["brier"] for r in scores.collect()}
         if len(times) >= 2:
             ordered = sorted(brier_at)
             area = sum(
@@ -348,16 +346,10 @@ def evaluate(
             auc_at = {
                 r["t"]: r["auc"] for r in td_auc(weighted, times).collect() if r["auc"] is not None
             }
-    return EvaluationResult(
-        model.name,
-        fold,
-        math.nan if concordance is None else concordance,
-        ibs,
-        brier_at,
-        auc_at,
-        sizes["n"],
-        seen["n"],
-    )
+    figures = [("c_index", None, math.nan if concordance is None else concordance), ("ibs", None, ibs)]
+    figures += [("brier", t, v) for t, v in brier_at.items()] + [("td_auc", t, v) for t, v in auc_at.items()]
+    figures += [("n_train", None, sizes["n"]), ("n_test", None, seen["n"])]
+    return FoldMetrics(model.name, fold, tuple(figures))
 
 
 # --- folds --------------------------------------------------------------------------------------
@@ -370,25 +362,28 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "cust
 
     Rows are dealt in the order of a hash of (key, seed). The hash is uniform, so its leading
     digits cut each class into even slices: ranks are taken inside a slice and shifted by the
-    sizes of the slices before it, never over a whole class.
+    sizes of the slices before it, never over a whole class. Rows without an event are a class of
+    their own, and rows without a key are dealt out in the order of the hash of the seed.
     """
-    text = F.col(key).cast("string")
-    hashed = df.withColumn("_h", F.md5(F.concat(text, F.lit(str(seed))))).withColumn(
-        "_slice", F.substring("_h", 1, FOLD_PREFIX)
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    hashed = (
+        df.withColumn("_h", F.md5(F.concat(text, F.lit(str(seed)))))
+        .withColumn("_slice", F.substring("_h", 1, FOLD_PREFIX))
+        .withColumn("_class", F.coalesce(F.col("event").cast("int"), F.lit(-1)))
     )
-    sizes = hashed.groupBy("event", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = hashed.groupBy("_class", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = (
-        Window.partitionBy("event").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_class").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     # At most 4096 slices per class.
     offsets = sizes.select(
-        "event", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        "_class", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     inside = F.row_number().over(
-        Window.partitionBy("event", "_slice").orderBy("_h", key)
+        Window.partitionBy("_class", "_slice").orderBy("_h", key)
     )
     return (
-        hashed.join(F.broadcast(offsets), ["event", "_slice"])
+        hashed.join(F.broadcast(offsets), ["_class", "_slice"])
         .withColumn("fold", ((F.col("_before") + inside - 1) % k).cast("int"))
         .select(*df.columns, "fold")
     )

@@ -49,13 +49,14 @@ _EXTENT = (F.min, "_from"), (F.max, "_to")
 
 
 def sessionise(clicks: DataFrame, gap_seconds: int) -> DataFrame:
-    """Add `session_id` to every event; for roll-ups alone `session_rollup` needs no such join."""
+    """Add `session_id` to every event, null where it has no customer or no time; for roll-ups alone
+    `session_rollup` needs no such join."""
     events = _with_block(clicks, gap_seconds)
     blocks = events.groupBy("customer_id", "_block").agg(
         *[fold("event_timestamp").alias(name) for fold, name in _EXTENT]
     )
     numbered = _number_sessions(blocks, gap_seconds)
-    return events.join(numbered, ["customer_id", "_block"]).select("session_id", *clicks.columns)
+    return events.join(numbered, ["customer_id", "_block"], "left").select("session_id", *clicks.columns)
 
 
 @dataclass(frozen=True)

@@ -340,7 +340,8 @@ def fault_report(df: DataFrame, name: str, audit: FaultAudit) -> DataFrame:
 
 
 def drop_repeats(df: DataFrame, key: str, order_by: list[str] | None = None) -> DataFrame:
-    """One row per key, the first by `order_by` (all columns by default), kept whole.
+    """One row per key, the first by `order_by` (all columns by default), kept whole. Rows without a key
+    repeat nothing and all stay.
 
     `min_by` keeps one row per key map-side, so a key with very many copies is never sorted.
     """
@@ -348,4 +349,6 @@ def drop_repeats(df: DataFrame, key: str, order_by: list[str] | None = None) ->
     order = [F.col(c) for c in (order_by or columns)]
     row = F.struct(*[F.col(c) for c in columns])
     tied = F.struct(*order, *[F.col(c) for c in columns if c not in (order_by or columns)])
-    return df.groupBy(key).agg(F.min_by(row, tied).alias("_row")).select("_row.*")
+    keyed = df.filter(F.col(key).isNotNull())
+    firsts = keyed.groupBy(key).agg(F.min_by(row, tied).alias("_row")).select("_row.*")
+    return firsts.unionByName(df.filter(F.col(key).isNull()))

@@ -21,11 +21,14 @@ def feature_input(df: DataFrame, features: Sequence[str], column: str | None = N
 
 
 def split_scorable(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with every feature present and finite, the others with the missing names)."""
+    """(rows with every feature present and finite, the others with the names of what is missing or not finite)."""
     absent = F.array_compact(
         F.array(
             *[
-                F.when(F.col(f).isNull() | F.isnan(F.col(f).cast("double")), F.lit(f))
+                F.when(
+                    F.col(f).isNull() | F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")),
+                    F.lit(f),
+                )
                 for f in features
             ]
         )

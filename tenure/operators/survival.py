@@ -113,8 +113,11 @@ def partial_log_likelihood(
 ) -> DataFrame:
     """One row: events, total Breslow log-likelihood, and its negated mean per event (the loss).
 
-    Ties share the whole risk set of their time.
+    Ties share the whole risk set of their time. The largest risk is taken off all risks first, which leaves the
+    likelihood alone and keeps their exponentials finite.
     """
+    top = scored.agg(F.max(risk)).first()[0]
+    scored = scored.withColumn(risk, F.col(risk) - F.lit(float(top or 0.0)))
     sets, _ = risk_sets(scored, duration=duration, event=event, risk=risk)
     each = F.col("death_risk") - F.col("d") * F.log("s0")
     return sets.filter(F.col("d") > 0).agg(

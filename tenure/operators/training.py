@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.operators.evaluate import (
-    EvaluationResult,
+    FoldMetrics,
     evaluate,
     results_table,
     stratified_folds,
@@ -97,7 +97,7 @@ def cross_validate(
                 "n_features": len(features),
             },
         )
-    results: list[EvaluationResult] = []
+    results: list[FoldMetrics] = []
     for fold in range(n_splits):
         train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
         model = estimator.fit(train, features)

@@ -62,8 +62,14 @@ def score_stream(
     checkpoint: str,
     horizons: Sequence[int] = DEFAULT_HORIZONS,
 ) -> DataStreamWriter:
-    """Scores of every arriving customer row."""
-    return each_batch(features, lambda b: score(b, model, horizons)[0], path, checkpoint)
+    """Scores of every arriving customer row below `path`, rows that cannot be scored, with the names of what
+    they lack, below `path`-rejected."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        for table, folder in zip(score(batch, model, horizons), (path, f"{path}-rejected")):
+            table.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return features.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def drift_stream(

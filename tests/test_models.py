@@ -16,6 +16,8 @@ from tenure.operators.evaluate import (
     censoring_km,
     evaluate,
     integrated_brier,
+    metric_lines,
+    results_table,
     stratified_folds,
     td_auc,
     with_censoring_weight,
@@ -210,10 +212,35 @@ def test_cross_validation_and_runs(spark, cohort, tmp_path):
 
 def test_evaluation_summary(cohort, cox):
     result = evaluate(cox, cohort, cohort, [10, 20], fold=3)
-    assert result.n_train == result.n_test == cohort.count()
-    assert result.summary().startswith("CoxPH fold=3 C=0.")
+    assert result.value("n_train") == result.value("n_test") == cohort.count()
+    line = metric_lines(results_table(cohort.sparkSession, [result])).first()
+    assert (line["model"], line["fold"]) == ("CoxPH", 3) and "c_index=0." in line["line"] and "td_auc@10=" in line["line"]
     lone = evaluate(cox, cohort, cohort, [10])
-    assert math.isnan(lone.ibs) and lone.td_auc == {} and list(lone.brier_scores) == [10]
+    assert math.isnan(lone.value("ibs")) and lone.by_horizon("td_auc") == {} and list(lone.by_horizon("brier")) == [10]
+
+
+def test_rows_without_a_weight_make_the_figures_null(spark):
+    # Everyone is censored by time 5, so nothing after it has a censoring weight.
+    rows = [(1.0, 0.1, False), (5.0, 0.2, False), (7.0, 0.3, True)]
+    df = spark.createDataFrame(rows, "duration double, risk double, event boolean")
+    table = spark.createDataFrame([(1.0, 0.5), (5.0, 0.0)], "t double, g double")
+    weighted = with_censoring_weight(df, table)
+    assert {r["duration"]: r["inv_g"] for r in weighted.collect()} == {1.0: 2.0, 5.0: None, 7.0: None}
+    assert [r["brier"] for r in brier(weighted, table, [0.1], [6]).collect()] == [None]
+    assert [r["auc"] for r in td_auc(weighted, [7]).collect()] == [None]
+
+
+def test_folds_keep_rows_without_event_or_key(spark):
+    rows = [("a", True), (None, True), ("b", None), (None, None)] * 3
+    df = spark.createDataFrame(rows, "customer_id string, event boolean")
+    assert stratified_folds(df, 2).count() == 12
+
+
+def test_partial_likelihood_of_large_risks(spark):
+    rows = [(float(i + 1), i % 3 != 0, i * 0.7) for i in range(12)]
+    near = spark.createDataFrame(rows, "duration double, event boolean, risk double")
+    far = near.withColumn("risk", F.col("risk") + 790)
+    assert partial_log_likelihood(far).first()["log_likelihood"] == pytest.approx(partial_log_likelihood(near).first()["log_likelihood"])
 
 
 # --- behaviour and scoring ----------------------------------------------------------------------

@@ -88,9 +88,12 @@ def test_scores_and_drift_of_micro_batches(spark, cohort, tmp_path):
     model = CoxPH().fit(cohort, features)
     source = str(tmp_path / "in")
     cohort.select("customer_id", *features).write.parquet(source)
+    broken = spark.createDataFrame([("x", None, 1.0, 2.0), ("y", float("inf"), 1.0, 2.0)], "customer_id string, f1 double, f2 double, f3 double")
+    broken.write.mode("append").parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     run(score_stream(stream, model, str(tmp_path / "scores"), str(tmp_path / "c1"), [10, 20]))
     assert spark.read.parquet(str(tmp_path / "scores")).count() == cohort.count()
+    assert {r["customer_id"] for r in spark.read.parquet(str(tmp_path / "scores-rejected")).collect()} == {"x", "y"}
     run(
         drift_stream(
             stream, cohort, str(tmp_path / "drift"), str(tmp_path / "c2"), columns=["f1", "f2"]

@@ -362,6 +362,14 @@ def test_fault_report(spark):
     got = {r["fault"]: r["n"] for r in fault_report(df, "t", FaultAudit("transaction_id", day("2023-12-31"))).collect()}
     assert got == {"missing": 1, "outliers": 1, "future_dates": 1, "negative_amounts": 1, "duplicates": 3}
     assert drop_repeats(df, "transaction_id").count() == 1002
+    lost = spark.createDataFrame([(None, 1), (None, 1), ("a", 1), ("a", 2), ("b", 1)], "k string, v int")
+    assert drop_repeats(lost, "k").count() == 4
+
+
+def test_sessionise_keeps_events_without_customer_or_time(spark):
+    rows = [("a", day("2023-01-01")), (None, day("2023-01-01")), ("a", None)]
+    got = sessionise(spark.createDataFrame(rows, "customer_id string, event_timestamp timestamp"), 1800).collect()
+    assert len(got) == 3 and sum(r["session_id"] is None for r in got) == 2
 
 
 # --- files --------------------------------------------------------------------------------------
