@@ -24,7 +24,7 @@ from tenure.llm.scratch import Scratch
 FINE = 1024
 BUDGET = 65_536
 BUCKETS = 16
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 
 
 def cell(length: Column) -> Column:
