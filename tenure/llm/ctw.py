@@ -1,15 +1,15 @@
 """Language-model scores by context-tree weighting over the bytes of tokens.
 
-Tokens are the words of the A-Z lower-cased text, then one end. A token is coded byte by byte and closed by a stop byte; a
-byte is coded in eight binary decisions. Each decision has a context tree of its own over the DEPTH bytes before
-it in the token, nearest first (zero bytes before the token's start). A node keeps how often its decision came out 0 and 1
-in training; its Krichevsky-Trofimov estimate is mixed with that of deeper nodes, half and half at every depth, over all
-trees: weighting goes from the deepest nodes to the root, prediction back along a context. Nodes that training never
-reached are skipped, so what is predicted is a distribution over tokens.
-
-All counts are Spark tables that grow with the corpus: documents are dealt to blocks by a hash of their key, a block
-gives each distinct word once, words are counted by a join-free aggregate, and dealt to blocks again, of which
-each gives its distinct byte contexts once. Weighting and prediction are one aggregate or join for each depth.
+Tokens are the words of the A-Z lower-cased text, then one end. A document is coded byte by byte, every token closed by a
+stop byte; a byte is coded in eight binary decisions. Each decision has a context tree of its own over the DEPTH bytes before
+it in the document, nearest first, so that contexts reach into the token before (zero bytes before the document's start). A
+node keeps how often its decision came out 0 and 1 in training; its Krichevsky-Trofimov estimate is mixed with that of
+deeper nodes, half and half at every depth, over all trees: weighting goes from the deepest nodes to the root,
+prediction back along a context. Nodes that training never reached are skipped, so what is predicted is a distribution over texts.
+
+All counts are Spark tables that grow with the corpus: documents are dealt to blocks by a hash of their key, and a block
+gives each distinct word and each distinct context with its byte once, with its count; both are summed by a
+join-free aggregate. Weighting and prediction are one aggregate or join for each depth.
 Nothing is broadcast and nothing but totals reaches the driver.
 
 Null texts are empty: one end token. Rows that repeat a doc_id or lack one are scored one by one, as documents of their own
@@ -19,17 +19,20 @@ Null texts are empty: one end token. Rows that repeat a doc_id or lack one are s
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.scratch import Scratch, with_key
-from tenure.llm.text import Text, Words, flat, sums
+from tenure.llm.text import Text, Words, sums
 
 DEPTH = 5
-BLOCK_BYTES, BLOCK_WORDS = 16_000_000, 100_000
+BLOCK_BYTES, PIECE = 16_000_000, 1 << 20
 #: The end token is this word, which no text can hold, and every token is closed by STOP.
 END, STOP = "\n", 32
 
@@ -40,78 +43,101 @@ def _text(table: pa.Table) -> tuple[Text, Words]:
     return text, Words(text)
 
 
-def _block_words(key: tuple, table: pa.Table) -> pa.Table:
-    """The distinct words of a block and how often training documents have them."""
-    _, words = _text(table)
+@dataclass
+class Stream:
+    """The coded bytes of a batch: DEPTH zero bytes before each row, every token closed by STOP, END as the last one."""
+
+    data: np.ndarray
+    off: np.ndarray  # where rows begin, zero bytes included
+    row: np.ndarray
+
+    @classmethod
+    def of(cls, text: Text, words: Words) -> Stream:
+        own = sums(words.length + 1, words.first) + DEPTH + 2
+        off = np.concatenate([[0], np.cumsum(own)])
+        data = np.full(off[-1], STOP, np.uint8)
+        data[(off[:-1, None] + np.arange(DEPTH)).ravel()] = 0
+        data[off[1:] - 2] = ord(END)
+        compact = text.data[words.inside]
+        data[np.arange(len(compact)) + np.repeat(np.arange(len(words)) + (DEPTH + 2) * words.row + DEPTH, words.length)] = compact
+        return cls(data, off, np.repeat(np.arange(text.n, dtype=np.int32), own))
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row and packed context (nearest byte highest) with the byte below, of every coded position."""
+        for a in range(DEPTH, len(self.data), PIECE):
+            b = min(len(self.data), a + PIECE)
+            packed = self.data[a:b].astype(np.int64)
+            for k in range(1, DEPTH + 1):
+                packed |= self.data[a - k : b - k].astype(np.int64) << (8 * (DEPTH + 1 - k))
+            row = self.row[a:b]
+            coded = np.arange(a, b) - self.off[row] >= DEPTH
+            yield row[coded], packed[coded]
+
+
+def _counts(stream: Stream, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct packed contexts and bytes, ascending, and how often training rows have them."""
+    gram, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for row, packed in stream.pieces():
+        code = np.sort(packed * 2 + trains[row])
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(code))) * (code[first] & 1)
+        gram, count = np.concatenate([gram, code[first] >> 1]), np.concatenate([count, times])
+        order = np.argsort(gram, kind="stable")
+        gram, count = gram[order], count[order]
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        gram, count = gram[first], np.add.reduceat(count, first) if len(first) else count
+    return gram, count
+
+
+def _block_counts(key: tuple, table: pa.Table) -> pa.Table:
+    """The distinct words of a block, then its distinct contexts with bytes, and how often training documents have them."""
+    text, words = _text(table)
     trains = ~table["held_out"].to_numpy()
     ids, distinct = words.encode()
     count = np.bincount(ids[trains[words.row]], minlength=len(distinct))
     strings = pa.concat_arrays([distinct, pa.array([END])])
-    count = np.append(count, trains.sum())
-    return pa.table({"block": pa.array([key[0].as_py()] * len(strings), pa.int64()), "word": strings, "count": pa.array(count)})
-
-
-def contexts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Packed context and byte of every position of every word and its stop, and the words' first positions."""
-    data, off = flat(words)
-    first = off + np.arange(len(off))
-    text = np.full(first[-1], STOP, np.int64)
-    stops = first[1:] - 1
-    inside = np.ones(len(text), bool)
-    inside[stops] = False
-    text[inside] = data
-    place = np.arange(len(text)) - np.repeat(first[:-1], np.diff(first))
-    packed = text.copy()
-    for k in range(1, DEPTH + 1):
-        near = np.zeros(len(text), np.int64)
-        near[k:] = text[:-k]
-        near[place < k] = 0
-        packed |= near << (8 * (DEPTH + 1 - k))
-    return packed, first
-
-
-def _block_grams(key: tuple, table: pa.Table) -> pa.Table:
-    packed, first = contexts(table["word"].combine_chunks())
-    gram, at = np.unique(packed, return_inverse=True)
-    count = np.bincount(at, weights=np.repeat(table["count"].to_numpy(), np.diff(first))).astype(np.int64)
-    return pa.table({"part": pa.array([key[0].as_py()] * len(gram), pa.int64()), "gram": pa.array(gram), "count": pa.array(count)})
-
-
-def _word_scores(words: pa.Table, grams: pa.Table) -> pa.Table:
-    packed, first = contexts(words["word"].combine_chunks())
-    known = grams["gram"].to_numpy()
-    order = np.argsort(known)
-    at = order[np.searchsorted(known[order], packed)]
-    if not (known[at] == packed).all():
-        raise RuntimeError("a context is missing from its block")
-    return pa.table({"word": words["word"], "count": words["count"], "score": pa.array(sums(grams["score"].to_numpy()[at], first))})
+    gram, times = _counts(Stream.of(text, words), trains)
+    block = np.full(len(strings) + len(gram), key[0].as_py())
+    return pa.table({
+        "block": pa.array(block, pa.int64()),
+        "word": pa.concat_arrays([strings, pa.nulls(len(gram), pa.string())]),
+        "gram": pa.concat_arrays([pa.nulls(len(strings), pa.int64()), pa.array(gram)]),
+        "count": pa.array(np.concatenate([count, [trains.sum()], times]).astype(np.int64)),
+    })
 
 
 def _doc_scores(rest: int, total: int):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         text, own = _text(docs)
         ids, distinct = own.encode()
-        listed = words["word"].combine_chunks()
-        at = pa.compute.index_in(pa.concat_arrays([distinct, pa.array([END])]), value_set=listed)
+        is_word = pc.is_valid(told["word"])
+        words, grams = told.filter(is_word), told.filter(pc.invert(is_word))
+        at = pc.index_in(pa.concat_arrays([distinct, pa.array([END])]), value_set=words["word"].combine_chunks())
         if at.null_count:
             raise RuntimeError("a word is missing from its block")
-        at = at.to_numpy().astype(np.int64)
-        count, score = words["count"].to_numpy()[at], words["score"].to_numpy()[at]
+        count = words["count"].to_numpy()[at.to_numpy().astype(np.int64)]
         base = np.log10((count + 1) / rest)
+        gram, chance = grams["gram"].to_numpy(), grams["score"].to_numpy()
+        order = np.argsort(gram)
+        gram, chance = gram[order], chance[order]
+        score = np.zeros(text.n)
+        for row, packed in Stream.of(text, own).pieces():
+            at = np.minimum(np.searchsorted(gram, packed), len(gram) - 1)
+            if not (gram[at] == packed).all():
+                raise RuntimeError("a context is missing from its block")
+            score += np.bincount(row, weights=chance[at], minlength=text.n)
         each = lambda x: sums(x[:-1][ids], own.first) + x[-1]
-        out = {
+        bits = -score * math.log2(10)
+        return pa.table({
             "doc_id": docs["doc_id"],
             "held_out": docs["held_out"],
             "n_tokens": pa.array(own.count + 1),
             "n_known": pa.array(each((count > 0).astype(np.int64))),
             "train_tokens": pa.array(np.full(text.n, total)),
             "base_score": pa.array(each(base)),
-            "score": pa.array(each(score)),
-        }
-        size = np.diff(text.off)
-        bits = -np.asarray(out["score"]) * math.log2(10)
-        out["bits_per_byte"] = pa.array(bits / np.maximum(1, size))
-        return pa.table(out)
+            "score": pa.array(score),
+            "bits_per_byte": pa.array(bits / np.maximum(1, np.diff(text.off))),
+        })
 
     return run
 
@@ -188,22 +214,17 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     rows = keyed.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("_key"), F.lit(blocks)).alias("block"))
-    words = scratch.table(rows.groupBy("block").applyInArrow(_block_words, "block long, word string, count long"))
-    scratch.drop()
-    vocabulary = words.groupBy("word").agg(F.sum("count").alias("count"))
-    found = words.count()
-    parts = max(1, found // BLOCK_WORDS // 3)
-    vocabulary = scratch.table(vocabulary.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts))))
+    found = scratch.table(rows.groupBy("block").applyInArrow(_block_counts, "block long, word string, gram long, count long"))
     scratch.drop()
+    words, grams = found.filter("word is not null"), found.filter("word is null")
+    vocabulary = scratch.table(words.groupBy("word").agg(F.sum("count").alias("count")))
     total, distinct = vocabulary.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, 1))).first()
     total = total or 0
-    grams = scratch.table(vocabulary.groupBy("part").applyInArrow(_block_grams, "part long, gram long, count long"))
+    scored = gram_scores(scratch.table(grams.groupBy("gram").agg(F.sum("count").alias("count"))), scratch)
     scratch.drop()
-    scored = gram_scores(grams.groupBy("gram").agg(F.sum("count").alias("count")), scratch)
-    told = grams.select("part", "gram").join(scored, "gram")
-    known = vocabulary.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_word_scores, "word string, count long, score double")
-    known = scratch.table(known)
-    scratch.drop(grams)
-    told = words.select("block", "word").join(known, "word")
+    told = words.select("block", "word").join(vocabulary, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), "count", F.lit(0.0).alias("score"))
+    told = told.unionByName(
+        grams.select("block", "gram").join(scored, "gram").select("block", F.lit(None).cast("string").alias("word"), "gram", F.lit(0).cast("long").alias("count"), "score")
+    )
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_doc_scores(total + distinct + 1, total), schema)
