@@ -33,6 +33,8 @@ from tenure.llm.text import Text, Words, sums
 
 DEPTH = 5
 BLOCK_BYTES, PIECE = 16_000_000, 1 << 20
+#: The log10 probability of a byte is rounded to this part of 1, so that the scores take less disk.
+UNITS = 1e11
 #: The end token is this word, which no text can hold, and every token is closed by STOP.
 END, STOP = "\n", 32
 
@@ -117,7 +119,7 @@ def _doc_scores(rest: int, total: int):
             raise RuntimeError("a word is missing from its block")
         count = words["count"].to_numpy()[at.to_numpy().astype(np.int64)]
         base = np.log10((count + 1) / rest)
-        gram, chance = grams["gram"].to_numpy(), grams["score"].to_numpy()
+        gram, chance = grams["gram"].to_numpy(), grams["score"].to_numpy() / UNITS
         order = np.argsort(gram)
         gram, chance = gram[order], chance[order]
         score = np.zeros(text.n)
@@ -159,7 +161,7 @@ def _estimate() -> Column:
 
 
 def gram_scores(grams: DataFrame, scratch: Scratch) -> DataFrame:
-    """gram, score: the log10 probability of the byte after each context. grams has gram and count."""
+    """gram, score: the log10 probability of the byte after each context, in parts of UNITS. grams has gram and count."""
     bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")
     paths = grams.select("gram", "count", bits)
     byte = F.col("gram").bitwiseAND(255)
@@ -198,8 +200,10 @@ def gram_scores(grams: DataFrame, scratch: Scratch) -> DataFrame:
     one = F.coalesce("chance", F.lit(0.5))
     got = F.when(F.col("value") == 1, one).otherwise(1 - one)
     scratch.drop(*levels)
-    out = paths.join(chance, "node").groupBy("gram").agg(F.sum(F.log10(got)).alias("score"))
-    return scratch.table(out)
+    score = F.round(F.sum(F.log10(got)) * UNITS).cast("long")
+    out = scratch.table(paths.join(chance, "node").groupBy("gram").agg(score.alias("score")))
+    scratch.drop(chance)
+    return out
 
 
 def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
@@ -220,11 +224,15 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     vocabulary = scratch.table(words.groupBy("word").agg(F.sum("count").alias("count")))
     total, distinct = vocabulary.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, 1))).first()
     total = total or 0
-    scored = gram_scores(scratch.table(grams.groupBy("gram").agg(F.sum("count").alias("count"))), scratch)
-    scratch.drop()
-    told = words.select("block", "word").join(vocabulary, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), "count", F.lit(0.0).alias("score"))
+    counts = scratch.table(grams.groupBy("gram").agg(F.sum("count").alias("count")))
+    scored = gram_scores(counts, scratch)
+    scratch.drop(counts)
+    told = words.select("block", "word").join(vocabulary, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), "count", F.lit(0).cast("long").alias("score"))
     told = told.unionByName(
         grams.select("block", "gram").join(scored, "gram").select("block", F.lit(None).cast("string").alias("word"), "gram", F.lit(0).cast("long").alias("count"), "score")
     )
+    # Written, so that the counts and the shuffles of the joins are gone before texts are shuffled.
+    told = scratch.table(told)
+    scratch.drop(found, scored, vocabulary)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_doc_scores(total + distinct + 1, total), schema)
