@@ -32,7 +32,7 @@ from tenure.llm.scratch import Scratch, with_key
 from tenure.llm.text import Text, Words, sums
 
 DEPTH = 5
-BLOCK_BYTES, PIECE = 16_000_000, 1 << 20
+BLOCK_BYTES, PIECE = 16_000_000, 1 << 19
 #: The log10 probability of a byte is rounded to this part of 1, so that the scores take less disk.
 UNITS = 1e11
 #: The end token is this word, which no text can hold, and every token is closed by STOP.
@@ -51,7 +51,6 @@ class Stream:
 
     data: np.ndarray
     off: np.ndarray  # where rows begin, zero bytes included
-    row: np.ndarray
 
     @classmethod
     def of(cls, text: Text, words: Words) -> Stream:
@@ -62,7 +61,7 @@ class Stream:
         data[off[1:] - 2] = ord(END)
         compact = text.data[words.inside]
         data[np.arange(len(compact)) + np.repeat(np.arange(len(words)) + (DEPTH + 2) * words.row + DEPTH, words.length)] = compact
-        return cls(data, off, np.repeat(np.arange(text.n, dtype=np.int32), own))
+        return cls(data, off)
 
     def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row and packed context (nearest byte highest) with the byte below, of every coded position."""
@@ -71,7 +70,8 @@ class Stream:
             packed = self.data[a:b].astype(np.int64)
             for k in range(1, DEPTH + 1):
                 packed |= self.data[a - k : b - k].astype(np.int64) << (8 * (DEPTH + 1 - k))
-            row = self.row[a:b]
+            low, high = np.searchsorted(self.off, [a, b - 1], "right") - 1
+            row = np.repeat(np.arange(low, high + 1), np.diff(np.clip(self.off[low : high + 2], a, b)))
             coded = np.arange(a, b) - self.off[row] >= DEPTH
             yield row[coded], packed[coded]
 
