@@ -9,8 +9,9 @@ prediction back along a context. Nodes that training never reached are skipped,
 
 All counts are Spark tables that grow with the corpus: documents are dealt to blocks by a hash of their key, and a block
 gives each distinct word and each distinct context with its byte once, with its count; both are summed by a
-join-free aggregate. Weighting and prediction are one aggregate or join for each depth.
-Nothing is broadcast and nothing but totals reaches the driver.
+join-free aggregate. Weighting and prediction of the subtrees below the HEAD nearest bytes run over sorted grams, whose
+subtrees are bounded by the HEAD; above that they are one aggregate or join for each depth. Only nodes of depth 0 and 1 (at
+most 65 535) are broadcast and nothing but totals reaches the driver.
 
 Null texts are empty: one end token. Rows that repeat a doc_id or lack one are scored one by one, as documents of their own
 (a null doc_id counts as the empty text for the fold). An empty table gives no rows. Other columns are ignored.
@@ -25,13 +26,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.scratch import Scratch, with_key
 from tenure.llm.text import Text, Words, sums
 
 DEPTH = 5
+#: Grams are dealt by this many nearest bytes of the context, in runs of at least RUN rows.
+HEAD, RUN = 3, 1 << 17
 BLOCK_BYTES, PIECE = 16_000_000, 1 << 19
 #: The log10 probability of a byte is rounded to this part of 1, so that the scores take less disk.
 UNITS = 1e11
@@ -59,8 +62,10 @@ class Stream:
         data = np.full(off[-1], STOP, np.uint8)
         data[(off[:-1, None] + np.arange(DEPTH)).ravel()] = 0
         data[off[1:] - 2] = ord(END)
-        compact = text.data[words.inside]
-        data[np.arange(len(compact)) + np.repeat(np.arange(len(words)) + (DEPTH + 2) * words.row + DEPTH, words.length)] = compact
+        free = data == STOP
+        free[np.cumsum(words.length + 1) + (DEPTH + 2) * words.row + DEPTH - 1] = False
+        free[off[1:] - 1] = False
+        data[free] = text.data[words.inside]
         return cls(data, off)
 
     def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,6 +129,8 @@ def _doc_scores(rest: int, total: int):
         gram, chance = gram[order], chance[order]
         score = np.zeros(text.n)
         for row, packed in Stream.of(text, own).pieces():
+            order = np.argsort(packed)  # neighbours are looked up one after another
+            row, packed = row[order], packed[order]
             at = np.minimum(np.searchsorted(gram, packed), len(gram) - 1)
             if not (gram[at] == packed).all():
                 raise RuntimeError("a context is missing from its block")
@@ -144,65 +151,163 @@ def _doc_scores(rest: int, total: int):
     return run
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """Natural logarithm of the gamma function above 0, by Stirling's series eight above x."""
     y = x + 8
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
-    below = x
+    below = x.copy()
     for k in range(1, 8):
-        below = below * (x + k)
-    return series - F.log(below)
+        below *= x + k
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(below)
 
 
-def _estimate() -> Column:
-    """Logarithm of the Krichevsky-Trofimov probability of a node's whole count."""
-    zero, one = F.col("zero").cast("double"), F.col("one").cast("double")
-    return log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - math.log(math.pi)
+@dataclass
+class Nodes:
+    """Nodes of one depth, in order: their counts, and the logarithm of the weighted probability of their children."""
+
+    zero: np.ndarray
+    one: np.ndarray
+    below: np.ndarray | None = None
+
+    def __post_init__(self):
+        own = log_gamma(self.zero + 0.5) + log_gamma(self.one + 0.5) - log_gamma(self.zero + self.one + 1.0) - math.log(math.pi)
+        self.weighted = own if self.below is None else np.logaddexp(own, self.below) - math.log(2)
+        self.share = None if self.below is None else 1 / (1 + np.exp(np.clip(self.below - own, -700, 700)))
+        total = self.zero + self.one
+        #: The chance of a 1; nan where training never came.
+        self.kt = np.where(total > 0, (self.one + 0.5) / (total + 1), np.nan)
+
+    def mixed(self, deeper: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """The chance at this depth for nodes whose deeper chance and place of the parent are given."""
+        kt, share = self.kt[up], self.share[up]
+        return np.where(np.isnan(deeper), kt, share * kt + (1 - share) * deeper)
+
+
+def _parents(key: np.ndarray, nodes: Nodes) -> tuple[np.ndarray, np.ndarray, Nodes]:
+    """The distinct keys, each node's place in them, and the parents' nodes."""
+    keys, up = np.unique(key, return_inverse=True)
+    total = lambda x: np.bincount(up, weights=x, minlength=len(keys))
+    return keys, up, Nodes(total(nodes.zero), total(nodes.one), total(nodes.weighted))
+
+
+def _subtrees(gram: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
+    """For each of the eight decisions: the distinct nodes of depth HEAD (head, then prefix in the low byte), their Nodes, each
+    gram's place among them, its chance of a 1 there and the bit it has. gram is ascending and holds whole heads."""
+    byte = gram & 255
+    for bit in range(8):
+        # The bits above the decision, with a leading 1; the node is the context with that prefix in its low byte.
+        prefix = (1 << bit) + (byte >> (8 - bit))
+        value = byte >> (7 - bit) & 1
+        key = gram - byte + prefix
+        new = np.append(True, key[1:] != key[:-1])
+        first, place = np.flatnonzero(new), np.cumsum(new) - 1
+        nodes = Nodes(np.add.reduceat(count * (1 - value), first), np.add.reduceat(count * value, first))
+        key, chance = key[first], nodes.kt
+        where = np.arange(len(key))
+        for depth in range(DEPTH - 1, HEAD - 1, -1):
+            shift = 8 * (DEPTH - depth)
+            keys, up, nodes = _parents((key >> (8 + shift) << (8 + shift)) + (key & 255), nodes)
+            where = up[where]
+            chance = nodes.mixed(chance, where)
+            key = keys
+        head = 8 * (DEPTH - HEAD)
+        yield (key >> (8 + head) << 8) + (key & 255), nodes, where[place], chance[place], value
+
+
+def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches that are sorted by head, joined to runs of at least RUN rows that no head crosses. A head has at most
+    256 ** (DEPTH - HEAD + 1) grams, whatever the corpus."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < RUN:
+            continue
+        # The last head may go on; where it began in this batch, what lies before it is whole.
+        head = batch.column("head").to_numpy()
+        cut = int(np.searchsorted(head, head[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _head_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of depth HEAD with their counts and the logarithm of their weighted probability."""
+    for run in _whole_heads(batches):
+        for node, own, *_ in _subtrees(run["key"].to_numpy(), run["count"].to_numpy()):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.array(own.zero.astype(np.int64)), pa.array(own.one.astype(np.int64)), pa.array(own.weighted)],
+                ["node", "zero", "one", "weighted"],
+            )
+
+
+def _run_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of grams, from runs that also hold the coefficients of their nodes of depth HEAD."""
+    for run in _whole_heads(batches):
+        is_node = pc.is_null(run["count"])
+        above, grams = run.filter(is_node), run.filter(pc.invert(is_node))
+        nodes, a, b = above["key"].to_numpy(), above["a"].to_numpy(), above["b"].to_numpy()
+        gram = grams["key"].to_numpy()
+        score = np.zeros(len(gram))
+        for node, _, place, chance, value in _subtrees(gram, grams["count"].to_numpy()):
+            at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+            if not (nodes[at] == node).all():
+                raise RuntimeError("a node is missing from its head")
+            at = at[place]
+            one = np.where(np.isnan(chance), a[at], a[at] + b[at] * chance)
+            score += np.log10(np.where(value == 1, one, 1 - one))
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.round(score * UNITS).astype(np.int64))], ["gram", "score"])
+
+
+def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds what a node above depth HEAD needs: weighted probability, share of its own estimate and chance of a 1."""
+    for batch in batches:
+        own = Nodes(*(batch.column(c).to_numpy().astype(np.float64) for c in ("zero", "one", "below")))
+        kt = pa.array(own.kt, from_pandas=True)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("node", "zero", "one")), pa.array(own.weighted), pa.array(own.share), kt],
+            ["node", "zero", "one", "weighted", "share", "kt"],
+        )
 
 
 def gram_scores(grams: DataFrame, scratch: Scratch) -> DataFrame:
-    """gram, score: the log10 probability of the byte after each context, in parts of UNITS. grams has gram and count."""
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")
-    paths = grams.select("gram", "count", bits)
-    byte = F.col("gram").bitwiseAND(255)
-    # The bits above the decision, with a leading 1; the node is the context with that prefix in its low byte.
-    prefix = F.lit(1) * F.expr("shiftleft(1L, bit)") + F.expr("shiftright(gram & 255, 8 - bit)")
-    value = F.expr("shiftright(gram & 255, 7 - bit) & 1")
-    paths = paths.select("gram", "count", ((F.col("gram") - byte) + prefix).alias("node"), value.alias("value"))
-    nodes = paths.groupBy("node").agg(
-        F.sum(F.when(F.col("value") == 0, F.col("count")).otherwise(0)).alias("zero"),
-        F.sum(F.when(F.col("value") == 1, F.col("count")).otherwise(0)).alias("one"),
-    )
-    ln2 = math.log(2)
-    deepest = scratch.table(nodes.withColumn("weighted", _estimate()))
-    # From the deepest nodes up: a node's children add their counts and the logarithms of their weighted probability.
-    levels, current = [deepest], deepest
-    for depth in range(DEPTH - 1, -1, -1):
-        shift = 8 * (DEPTH - depth)
-        up = F.expr(f"shiftleft(shiftright(node, {8 + shift}), {8 + shift}) + (node & 255)")
-        parent = current.groupBy(up.alias("node")).agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("below"))
-        own = _estimate()
-        high, low = F.greatest("own", "below"), F.least("own", "below")
-        parent = parent.withColumn("own", own).withColumn("weighted", high + F.log1p(F.exp(low - high)) - ln2)
-        parent = parent.withColumn("share", 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("below") - F.col("own"))))))
-        current = scratch.table(parent.select("node", "zero", "one", "weighted", "share"))
-        levels.append(current)
-    # From the deepest node of each context to the root: mix its estimate of a 1 with what deeper nodes predict.
-    kt = (F.col("one") + 0.5) / (F.col("zero") + F.col("one") + 1)
-    chance = deepest.select("node", F.when(F.col("zero") + F.col("one") > 0, kt).alias("chance"))
-    for depth, level in zip(range(DEPTH - 1, -1, -1), levels[1:], strict=True):
-        shift = 8 * (DEPTH - depth)
-        up = F.expr(f"shiftleft(shiftright(node, {8 + shift}), {8 + shift}) + (node & 255)")
-        above = level.select(F.col("node").alias("up"), F.when(F.col("zero") + F.col("one") > 0, kt).alias("kt"), "share")
-        mixed = F.when(F.col("chance").isNull(), F.col("kt")).otherwise(F.col("share") * F.col("kt") + (1 - F.col("share")) * F.col("chance"))
-        chance = chance.withColumn("up", up).join(above, "up").select("node", mixed.alias("chance"))
-    chance = scratch.table(chance)
-    one = F.coalesce("chance", F.lit(0.5))
-    got = F.when(F.col("value") == 1, one).otherwise(1 - one)
+    """gram, score: the log10 probability of the byte after each context, in parts of UNITS. grams has gram and count.
+
+    Grams are dealt by the HEAD nearest bytes of their context, below which every subtree lies in one run of sorted rows;
+    what is above, at most 256 ** (HEAD + 1) nodes, is weighted by aggregates. The chance at the root is linear in that at
+    depth HEAD, a + b * chance, and a node's a and b come from its parent's.
+    """
+    rows = grams.select(F.col("gram").alias("key"), "count", F.shiftright("gram", 8 * (DEPTH - HEAD + 1)).alias("head"))
+    sorted_rows = rows.repartition("head").sortWithinPartitions("head", "key")
+    found = scratch.table(sorted_rows.mapInArrow(_head_nodes, "node long, zero long, one long, weighted double"))
+    up = ((F.shiftright("node", 16) * 256) + F.col("node").bitwiseAND(255)).alias("node")
+    levels = [found]
+    for _ in range(HEAD):
+        parent = levels[-1].groupBy(up).agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("below"))
+        level = parent.mapInArrow(_level, "node long, zero long, one long, weighted double, share double, kt double")
+        levels.append(scratch.table(level))
+    trained = F.col("zero") + F.col("one") > 0
+    line = levels[-1].select("node", "share", "kt", F.when(trained, 0.0).otherwise(0.5).alias("a"), trained.cast("double").alias("b"))
+    for depth, level in zip(range(1, HEAD + 1), levels[-2::-1], strict=True):
+        # At most 255 roots and 65 280 nodes of depth 1 are broadcast.
+        parent = F.broadcast(line) if depth <= 2 else line
+        parent = parent.select(F.col("node").alias("up"), F.col("share").alias("up_share"), F.col("kt").alias("up_kt"), "a", "b")
+        joined = level.withColumn("up", up).join(parent, "up")
+        rest = F.when(trained, F.col("up_share")).otherwise(1.0)
+        a = F.col("a") + F.coalesce(F.col("b") * rest * F.col("up_kt"), F.lit(0.0))
+        b = F.when(trained, F.col("b") * (1 - F.col("up_share"))).otherwise(0.0)
+        own = ["share", "kt"] if depth < HEAD else []
+        line = joined.select("node", *own, a.alias("a"), b.alias("b"))
+    above = line.select(F.col("node").alias("key"), F.lit(None).cast("long").alias("count"), F.shiftright("node", 8).alias("head"), "a", "b")
+    none = F.lit(None).cast("double")
+    both = rows.select("*", none.alias("a"), none.alias("b")).unionByName(above)
+    both = both.repartition("head").sortWithinPartitions("head", F.col("count").isNull(), "key")
+    out = scratch.table(both.mapInArrow(_run_scores, "gram long, score long"))
     scratch.drop(*levels)
-    score = F.round(F.sum(F.log10(got)) * UNITS).cast("long")
-    out = scratch.table(paths.join(chance, "node").groupBy("gram").agg(score.alias("score")))
-    scratch.drop(chance)
     return out
 
 
