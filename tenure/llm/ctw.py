@@ -30,22 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.scratch import Scratch, with_key
-from tenure.llm.text import Text, Words, sums
+from tenure.llm.text import Text, Words, slices, sums
 
 DEPTH = 5
 #: Grams are dealt by this many nearest bytes of the context, in runs of at least RUN rows.
 HEAD, RUN = 3, 1 << 17
-BLOCK_BYTES, PIECE = 16_000_000, 1 << 19
+BLOCK_BYTES, SLICE, PIECE = 16_000_000, 1 << 21, 1 << 19
 #: The log10 probability of a byte is rounded to this part of 1, so that the scores take less disk.
 UNITS = 1e11
 #: The end token is this word, which no text can hold, and every token is closed by STOP.
 END, STOP = "\n", 32
 
 
-def _text(table: pa.Table) -> tuple[Text, Words]:
-    column = table["text"].combine_chunks()
-    text = Text(column if isinstance(column, pa.Array) else column.chunk(0), lower=True)
-    return text, Words(text)
+def _slices(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, Text, Words]]:
+    """A block's rows in runs of about SLICE bytes of text, with their texts and words."""
+    for batch in table.combine_chunks().to_batches():
+        for rows in slices(batch, batch.schema.get_field_index("text"), SLICE):
+            text = Text(rows.column("text"), lower=True)
+            yield rows, text, Words(text)
 
 
 @dataclass
@@ -81,76 +83,98 @@ class Stream:
             yield row[coded], packed[coded]
 
 
-def _counts(stream: Stream, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts with bytes of all parts, ascending, and their summed counts."""
+    gram, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(gram, kind="stable")
+    gram, count = gram[order], count[order]
+    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    return gram[first], np.add.reduceat(count, first)
+
+
+def _part(trains: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct packed contexts and bytes, ascending, and how often training rows have them."""
-    gram, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for row, packed in stream.pieces():
-        code = np.sort(packed * 2 + trains[row])
-        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(code))) * (code[first] & 1)
-        gram, count = np.concatenate([gram, code[first] >> 1]), np.concatenate([count, times])
-        order = np.argsort(gram, kind="stable")
-        gram, count = gram[order], count[order]
-        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-        gram, count = gram[first], np.add.reduceat(count, first) if len(first) else count
-    return gram, count
+    code = np.sort(packed * 2 + trains)
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    times = np.diff(np.append(first, len(code))) * (code[first] & 1)
+    gram = code[first] >> 1
+    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    return gram[first], np.add.reduceat(times, first)
 
 
 def _block_counts(key: tuple, table: pa.Table) -> pa.Table:
     """The distinct words of a block, then its distinct contexts with bytes, and how often training documents have them."""
-    text, words = _text(table)
-    trains = ~table["held_out"].to_numpy()
-    ids, distinct = words.encode()
-    count = np.bincount(ids[trains[words.row]], minlength=len(distinct))
-    strings = pa.concat_arrays([distinct, pa.array([END])])
-    gram, times = _counts(Stream.of(text, words), trains)
-    block = np.full(len(strings) + len(gram), key[0].as_py())
+    strings, times = [pa.array([END])], [np.zeros(1, np.int64)]
+    parts, whole = [], 0  # the first part is merged, the others wait until they are as long together
+    for rows, text, words in _slices(table):
+        trains = ~rows.column("held_out").to_numpy(zero_copy_only=False)
+        ids, distinct = words.encode()
+        strings.append(distinct)
+        times += [np.bincount(ids[trains[words.row]], minlength=len(distinct))]
+        times[0] += trains.sum()
+        for row, packed in Stream.of(text, words).pieces():
+            if not len(row):
+                continue
+            parts.append(_part(trains[row], packed))
+            if sum(len(g) for g, _ in parts[1:]) > whole:
+                parts = [_merged(parts)]
+                whole = len(parts[0][0])
+    gram, count = _merged(parts)
+    words = pa.concat_arrays(strings).dictionary_encode()
+    told = np.bincount(words.indices.to_numpy(), weights=np.concatenate(times), minlength=len(words.dictionary))
+    words = words.dictionary
     return pa.table({
-        "block": pa.array(block, pa.int64()),
-        "word": pa.concat_arrays([strings, pa.nulls(len(gram), pa.string())]),
-        "gram": pa.concat_arrays([pa.nulls(len(strings), pa.int64()), pa.array(gram)]),
-        "count": pa.array(np.concatenate([count, [trains.sum()], times]).astype(np.int64)),
+        "block": pa.array(np.full(len(words) + len(gram), key[0].as_py(), np.int32)),
+        "word": pa.concat_arrays([words, pa.nulls(len(gram), pa.string())]),
+        "gram": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(gram)]),
+        "count": pa.array(np.concatenate([told.astype(np.int64), count])),
     })
 
 
 def _doc_scores(rest: int, total: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        text, own = _text(docs)
-        ids, distinct = own.encode()
         is_word = pc.is_valid(told["word"])
-        words, grams = told.filter(is_word), told.filter(pc.invert(is_word))
-        at = pc.index_in(pa.concat_arrays([distinct, pa.array([END])]), value_set=words["word"].combine_chunks())
-        if at.null_count:
-            raise RuntimeError("a word is missing from its block")
-        count = words["count"].to_numpy()[at.to_numpy().astype(np.int64)]
-        base = np.log10((count + 1) / rest)
-        gram, chance = grams["gram"].to_numpy(), grams["score"].to_numpy() / UNITS
+        words = pc.drop_null(told["word"]).combine_chunks()
+        known = pc.filter(told["number"], is_word).to_numpy()
+        gram = pc.filter(told["number"], pc.invert(is_word)).to_numpy()
+        chance = pc.filter(told["score"], pc.invert(is_word)).to_numpy()
         order = np.argsort(gram)
         gram, chance = gram[order], chance[order]
-        score = np.zeros(text.n)
-        for row, packed in Stream.of(text, own).pieces():
-            order = np.argsort(packed)  # neighbours are looked up one after another
-            row, packed = row[order], packed[order]
-            at = np.minimum(np.searchsorted(gram, packed), len(gram) - 1)
-            if not (gram[at] == packed).all():
-                raise RuntimeError("a context is missing from its block")
-            score += np.bincount(row, weights=chance[at], minlength=text.n)
-        each = lambda x: sums(x[:-1][ids], own.first) + x[-1]
-        bits = -score * math.log2(10)
-        return pa.table({
-            "doc_id": docs["doc_id"],
-            "held_out": docs["held_out"],
-            "n_tokens": pa.array(own.count + 1),
-            "n_known": pa.array(each((count > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(text.n, total)),
-            "base_score": pa.array(each(base)),
-            "score": pa.array(score),
-            "bits_per_byte": pa.array(bits / np.maximum(1, np.diff(text.off))),
-        })
+        return pa.concat_tables([_slice_scores(*x, words, known, gram, chance, rest, total) for x in _slices(docs)])
 
     return run
 
 
+def _slice_scores(rows, text: Text, own: Words, words: pa.Array, known: np.ndarray, gram: np.ndarray, chance: np.ndarray, rest: int, total: int) -> pa.Table:
+    """Scores of some rows, given their block's words with counts and contexts with chances."""
+    ids, distinct = own.encode()
+    at = pc.index_in(pa.concat_arrays([distinct, pa.array([END])]), value_set=words)
+    if at.null_count:
+        raise RuntimeError("a word is missing from its block")
+    count = known[at.to_numpy()]
+    base = np.log10((count + 1) / rest)
+    score = np.zeros(text.n)
+    for row, packed in Stream.of(text, own).pieces():
+        order = np.argsort(packed)  # neighbours are looked up one after another
+        row, packed = row[order], packed[order]
+        at = np.minimum(np.searchsorted(gram, packed), len(gram) - 1)
+        if not (gram[at] == packed).all():
+            raise RuntimeError("a context is missing from its block")
+        score += np.bincount(row, weights=chance[at] / UNITS, minlength=text.n)
+    each = lambda x: sums(x[:-1][ids], own.first) + x[-1]
+    bits = -score * math.log2(10)
+    return pa.table({
+        "doc_id": rows.column("doc_id"),
+        "held_out": rows.column("held_out"),
+        "n_tokens": pa.array(own.count + 1),
+        "n_known": pa.array(each((count > 0).astype(np.int64))),
+        "train_tokens": pa.array(np.full(text.n, total)),
+        "base_score": pa.array(each(base)),
+        "score": pa.array(score),
+        "bits_per_byte": pa.array(bits / np.maximum(1, np.diff(text.off))),
+    })
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Natural logarithm of the gamma function above 0, by Stirling's series eight above x."""
     y = x + 8
@@ -322,8 +346,8 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     keyed = keyed.select("_key", "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    rows = keyed.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("_key"), F.lit(blocks)).alias("block"))
-    found = scratch.table(rows.groupBy("block").applyInArrow(_block_counts, "block long, word string, gram long, count long"))
+    rows = keyed.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int").alias("block"))
+    found = scratch.table(rows.groupBy("block").applyInArrow(_block_counts, "block int, word string, gram long, count long"))
     scratch.drop()
     words, grams = found.filter("word is not null"), found.filter("word is null")
     vocabulary = scratch.table(words.groupBy("word").agg(F.sum("count").alias("count")))
@@ -332,9 +356,9 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     counts = scratch.table(grams.groupBy("gram").agg(F.sum("count").alias("count")))
     scored = gram_scores(counts, scratch)
     scratch.drop(counts)
-    told = words.select("block", "word").join(vocabulary, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), "count", F.lit(0).cast("long").alias("score"))
+    told = words.select("block", "word").join(vocabulary, "word").select("block", "word", F.col("count").alias("number"), F.lit(None).cast("long").alias("score"))
     told = told.unionByName(
-        grams.select("block", "gram").join(scored, "gram").select("block", F.lit(None).cast("string").alias("word"), "gram", F.lit(0).cast("long").alias("count"), "score")
+        grams.select("block", "gram").join(scored, "gram").select("block", F.lit(None).cast("string").alias("word"), F.col("gram").alias("number"), "score")
     )
     # Written, so that the counts and the shuffles of the joins are gone before texts are shuffled.
     told = scratch.table(told)
