@@ -136,7 +136,10 @@ def marginals(score: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> n
 
 def fit(learn: DataFrame, sample: int = 1200, words_each: int = 120, passes: int = 25, run: int = 24) -> Field | None:
     """Fit on at most `sample` rows of learn(doc_id, text, lang), and `words_each` words of each that lie spread over its text."""
-    rows = learn.filter("text is not null and lang is not null").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
+    known = learn.filter("text is not null and lang is not null").withColumn("_hash", F.xxhash64("doc_id", "text"))
+    # Hashes are chosen first, so that no more texts than the sample's leave their tasks.
+    chosen = known.select("_hash", "doc_id").orderBy("_hash", "doc_id").limit(sample).select("_hash").distinct()
+    rows = known.join(F.broadcast(chosen), "_hash", "left_semi").orderBy("_hash", "doc_id", "lang").limit(sample)
     rows = rows.select("text", "lang").toPandas()
     if rows.empty:
         return None
