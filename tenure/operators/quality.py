@@ -209,8 +209,8 @@ def summarise(results: DataFrame) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows whose key the parent does not hold."""
-    return child.join(parent.select(key), key, "left_anti")
+    """Child rows whose key the parent does not hold. Parents are reduced first, so that a hot key is one row of the join."""
+    return child.join(parent.select(key).distinct(), key, "left_anti")
 
 
 def coverage(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
