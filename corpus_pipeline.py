@@ -32,8 +32,8 @@ def mixed_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A place in a batch for every document."""
-    return packing.pack(docs)
+    """A place in a batch for every document; the batches of a bucket follow the order of docs as written."""
+    return packing.pack(packing.numbered(docs), ordered=True)
 
 
 STAGES = [

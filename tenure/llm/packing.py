@@ -3,10 +3,10 @@
 One pass gives the histogram of lengths (words). Lengths up to FINE are cells of their own, longer ones fall into cells that
 grow by 1/256, so the histogram has a few thousand cells for any corpus. Dynamic programming over the cells finds the
 `buckets` bucket bounds that minimise total padding, every document being padded to the bound of its bucket.
-Inside a bucket documents are dealt, in the order of a hash of doc_id, to batches of floor(budget / bound) documents
-(at least one: a document beyond the budget is a batch of its own).
+Inside a bucket documents are dealt, in a given order or else that of a hash of doc_id, to batches of floor(budget / bound)
+documents (at least one: a document beyond the budget is a batch of its own).
 
-Numbers inside a bucket come from counts of hash groups and a window inside a group. Null and empty texts have length
+Numbers inside a bucket come from counts of groups (ranges of the order, or of the hash) and a window inside a group. Null and empty texts have length
 0 and share the first bucket. Rows that repeat a doc_id are packed one by one, as tied rows. An empty table gives no rows.
 """
 
@@ -66,10 +66,27 @@ def best_bounds(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets:
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, bucket, pad_to, batch, slot (its place in the batch): one row per document."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_range` and `_place`: where a row stands in docs as it was sorted.
+
+    In a table of files that is the number of the file and the row in it, as tasks may read files in any order;
+    otherwise it is the partition and the row in it.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        file = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long").alias("number"), F.col("_metadata.file_path").alias("path"))
+        return docs.select("*", file.alias("_range"), F.col("_metadata.row_index").alias("_place"))
+    at = docs.select("*", F.monotonically_increasing_id().alias("_at"))
+    return at.select(*docs.columns, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+
+
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, ordered: bool = False) -> DataFrame:
+    """doc_id, n_tokens, bucket, pad_to, batch, slot (its place in the batch): one row per document.
+
+    ordered: docs has the columns of numbered(), and batches of a bucket follow them.
+    """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")))
+    rows = scratch.table(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"), *(("_range", "_place") if ordered else ())))
     cells = (
         rows.groupBy(cell(F.col("n_tokens")).alias("cell"))
         .agg(F.max("n_tokens").alias("top"), F.count("*").alias("count"), F.sum("n_tokens").alias("total"))
@@ -84,7 +101,11 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     largest = int(cells["count"].sum())
     digits = max(0, math.ceil(math.log(max(1, largest / GROUP_ROWS), 16)))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("bucket", where).withColumn("_order", order).withColumn("_group", F.substring("_order", 1, digits) if digits else F.lit(""))
+    if ordered:
+        order, group = F.col("_place"), F.struct("_range", F.floor(F.col("_place") / GROUP_ROWS).alias("part"))
+    else:
+        group = F.substring("_order", 1, digits) if digits else F.lit("")
+    rows = rows.withColumn("bucket", where).withColumn("_order", order).withColumn("_group", group)
     groups = rows.groupBy("bucket", "_group").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("bucket").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("bucket", "_group", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))

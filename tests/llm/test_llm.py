@@ -370,3 +370,64 @@ def test_pipeline(spark, tmp_path, docs):
         assert table.columns == clean.columns
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(out) == table.count()
+
+
+def mixed_in_order(rows: list) -> list:
+    """(doc_id, text) of rows (doc_id, text, source) as the mix takes them, by training position."""
+    size = {r: len(re.findall(WORD, r[1] or "")) for r in rows}
+    own = collections.Counter()
+    for r in rows:
+        own[r[2]] += size[r]
+    names = sorted(own, key=lambda s: (s is None, s))
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    target = {}
+    while len(target) < len(names):
+        open_ = [s for s in names if s not in target]
+        per = max(0.0, sum(own.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * per > 3 * own[s]]
+        target |= {s: 3.0 * own[s] for s in over} if over else {s: weight[s] * per for s in open_}
+    out = []
+    for k, s in enumerate(names):
+        start, end = mixing.CURVES[k % 3]
+        before = 0
+        for r in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+            passes = int(target[s] / own[s] + 1e-12)
+            passes += passes < 3 and before + size[r] / 2 <= target[s] - passes * own[s]
+            for n in range(passes if size[r] else 0):
+                area = min(1.0, (before + n * own[s]) / target[s]) * (start + end) / 2
+                at = area / start if start == end else (math.sqrt(start**2 + 2 * (end - start) * area) - start) / (end - start)
+                out.append((at, r[0], r[1]))
+            before += size[r]
+    return [(i, t) for _, i, t in sorted(out)]
+
+
+def test_pipeline_batches_follow_training_position(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        table = stage(spark, table, str(tmp_path))
+    taken = mixed_in_order([(r["doc_id"], r["text"], r["source"]) for r in table.collect()])
+    assert len(taken) > len(set(taken)) > 9
+    lengths = [len(re.findall(WORD, t)) for _, t in taken]
+    top, count = np.unique(lengths, return_counts=True)
+    bounds = packing.best_bounds(top.astype(float), count.astype(float), top * count.astype(float), packing.BUCKETS)
+    want, filled = [], collections.Counter()
+    for (i, _), n in zip(taken, lengths, strict=True):
+        b = next(k for k, x in enumerate(bounds) if n <= x)
+        fits = max(1, packing.BUDGET // max(1, bounds[b]))
+        want.append((i, n, b, bounds[b], filled[b] // fits, filled[b] % fits))
+        filled[b] += 1
+    got = [tuple(r[c] for c in ("doc_id", "n_tokens", "bucket", "pad_to", "batch", "slot")) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_packing_in_a_given_order(spark, tmp_path):
+    rows = [(i * 7919 % 1000, "w " * (3 + i % 2)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(13, "doc_id").sortWithinPartitions("doc_id")
+    df.write.parquet(str(tmp_path / "t"))
+    for table in (df, spark.read.parquet(str(tmp_path / "t"))):
+        got = packing.pack(packing.numbered(table), buckets=1, budget=40, ordered=True).collect()
+        assert all((r["batch"], r["slot"]) == divmod(r["doc_id"], 10) for r in got) and len(got) == 1000
