@@ -7,16 +7,17 @@ shingle; a text without words has an empty set and is linked with nothing. Two d
 1. One pass makes each document's signature. SuperMinHash gives every shingle a random order of the 160
    slots and offers (rank + fraction) to the slot of each rank; ranks are taken in turn, and a document stops
    early once every slot holds less than the next rank. Slots form 32 bands of 5.
-2. Documents with equal sets (their size and a 128-bit sum of the set's hashes) form a class; the smallest doc_id
-   stands for it, so copies meet as one row.
-3. Class representatives that share a band's key with the band's smallest doc_id join a candidate
+2. Documents with equal sets (their size and a 128-bit sum of the set's hashes) form a class; a row with its smallest
+   doc_id stands for it, so copies meet as one row.
+3. Class representatives that share a band's key with the band's first representative join a candidate
    component. At a similarity of exactly 0.8 a pair shares no band with probability 3e-6.
 4. Candidate components are cut into blocks of bounded size. A task compares the signatures of two blocks
    and verifies, on full sets, each promising pair that is not connected already.
 5. Verified links become components.
 
 Null doc_ids can stand for nothing: such a row takes its class's component, or null, and is kept only where that
-is null. Rows that repeat a doc_id share its component. Columns other than doc_id and text are ignored.
+is null. Rows that repeat a doc_id with different texts are documents of their own: each takes its own class's component,
+whose id is the smallest doc_id of its rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.components import Union, connected_components
-from tenure.llm.scratch import Scratch
+from tenure.llm.scratch import Scratch, with_key
 from tenure.llm.text import Text, U, Words, flat, grouped, hashes, mix, slices, sums
 
 SLOTS, BANDS = 160, 32
@@ -127,9 +128,9 @@ def _signatures(size: int):
                     pa.array(np.arange(text.n + 1) * BANDS, pa.int32()), pa.array(key.view(np.int64).ravel())
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(first)), *map(pa.array, marks),
+                    [part.column(0), part.column(2), pa.array(np.diff(first)), *map(pa.array, marks),
                      pa.array([x.tobytes() for x in small], pa.binary()), bands],
-                    ["doc_id", "n_shingles", "mark_a", "mark_b", "signature", "bands"],
+                    ["_key", "doc_id", "n_shingles", "mark_a", "mark_b", "signature", "bands"],
                 )
 
     return run
@@ -141,7 +142,7 @@ def _sets(size: int):
             for part in slices(batch, 1):
                 value, first, _ = shingles(Text(part.column(1), lower=True), size)
                 sets = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["_key", "shingles"])
 
     return run
 
@@ -150,7 +151,7 @@ def _verify(percent: int):
     """Spanning links of verified pairs of a cell: several small components, or two blocks of a large one."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc = table["doc_id"].to_numpy()
+        doc = table["_key"].to_numpy()
         order = np.lexsort((doc, table["component"].to_numpy()))
         doc, component = doc[order], table["component"].to_numpy()[order]
         block = table["block"].to_numpy()[order]
@@ -187,58 +188,68 @@ LEAST_EQUAL = 100
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
+    scratch = Scratch(docs.sparkSession)
+    out = _components(with_key(docs.select("doc_id", "text"), scratch), scratch, size, percent)
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
+    )
+
+
+def _components(docs: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """_key, doc_id, n_shingles, component (the key of a row of it) and component_id (its smallest doc_id) of
+    docs(_key, doc_id, text); the last two are null where no row with a doc_id and words has the text."""
     if percent < 80:
         raise ValueError("bands and estimates are set for a similarity of 0.8 or more")
-    scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, mark_a long, mark_b long, signature binary, bands array<long>"
+    docs = docs.select("_key", "text", "doc_id")
+    schema = "_key long, doc_id long, n_shingles long, mark_a long, mark_b long, signature binary, bands array<long>"
     made = scratch.table(docs.mapInArrow(_signatures(size), schema))
     same = ["mark_a", "mark_b", "n_shingles"]
-    classes = made.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("stands")).filter("stands is not null")
+    # Keys ascend with doc_id: the least key of a class is that of its smallest doc_id.
+    classes = made.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("_key").alias("stands"), F.min("doc_id").alias("low_id"))
     classes = scratch.table(classes)
-    stands = made.join(classes.withColumnRenamed("stands", "doc_id"), ["doc_id", *same]).select("doc_id", "signature", "bands")
-    keys = stands.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("high > low")
-    near = keys.join(shared, "key").filter("doc_id <> low").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
+    stands = made.join(classes.select(F.col("stands").alias("_key")), "_key").select("_key", "signature", "bands")
+    keys = stands.select("_key", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("_key").alias("low"), F.max("_key").alias("high")).filter("high > low")
+    near = keys.join(shared, "key").filter("_key <> low").select(F.col("_key").alias("u"), F.col("low").alias("v"))
     candidates = scratch.table(connected_components(near, scratch))
     cells = _cells(candidates, scratch)
-    sets = docs.join(candidates.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary")
-    rows = cells.join(sets.join(stands.select("doc_id", "signature"), "doc_id").dropDuplicates(["doc_id"]), "doc_id")
+    sets = docs.join(candidates.select(F.col("node").alias("_key")), "_key").select("_key", "text").mapInArrow(_sets(size), "_key long, shingles binary")
+    rows = cells.join(sets.join(stands.select("_key", "signature"), "_key"), "_key")
     links = scratch.table(rows.groupBy("cell", "two").applyInArrow(_verify(percent), "u long, v long"))
     linked = connected_components(links, scratch)
-    classes = classes.join(linked, F.col("stands") == F.col("node"), "left").select(*same, F.coalesce("component", "stands").alias("class_component"))
-    out = made.select("doc_id", *same).join(classes, same, "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("class_component", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("class_component", "doc_id")).alias("kept"),
-    )
+    classes = classes.join(linked, F.col("stands") == F.col("node"), "left").withColumn("component", F.coalesce("component", "stands"))
+    # The least key of a component is that of its smallest doc_id, too: it stands for its class.
+    low = classes.filter("component = stands").select("component", F.col("low_id").alias("component_id"))
+    classes = classes.select(*same, "component").join(low, "component")
+    return made.select("_key", "doc_id", *same).join(classes, same, "left").select("_key", "doc_id", "n_shingles", "component", "component_id")
 
 
 def _cells(candidates: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, component, block, cell, two: small components share a cell, large ones meet block by block."""
+    """_key, component, block, cell, two: small components share a cell, large ones meet block by block."""
     total = candidates.count()
     sizes = candidates.groupBy("component").agg(F.count("*").alias("members"))
     rows = candidates.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    rows = rows.select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    rows = rows.select(F.col("node").alias("_key"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     few = rows.filter("blocks = 1").select(
-        "doc_id", "component", "block", F.pmod(F.xxhash64("component"), F.lit(max(1, total // BLOCK))).alias("cell"), F.lit(False).alias("two")
+        "_key", "component", "block", F.pmod(F.xxhash64("component"), F.lit(max(1, total // BLOCK))).alias("cell"), F.lit(False).alias("two")
     )
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y"))))
-    many = rows.filter("blocks > 1").select("doc_id", "component", "block", pairs.alias("pair"))
-    many = many.select("doc_id", "component", "block", F.xxhash64("component", "pair").alias("cell"), (F.col("pair.x") != F.col("pair.y")).alias("two"))
+    many = rows.filter("blocks > 1").select("_key", "component", "block", pairs.alias("pair"))
+    many = many.select("_key", "component", "block", F.xxhash64("component", "pair").alias("cell"), (F.col("pair.x") != F.col("pair.y")).alias("two"))
     return few.unionByName(many)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each group keeps the one with the smallest doc_id, with all their columns.
+    """Of each group of near-duplicates the row with the smallest doc_id, with all its columns.
 
-    Of rows that repeat a kept doc_id one stays.
+    A row is dropped only where another row with a doc_id stands for its text's group: rows that repeat a doc_id with
+    unrelated texts stay; of those in one group the first by text does. Rows without doc_id or without words stay.
     """
-    kept = near_duplicates(docs, size, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    unknown = docs.filter("doc_id is null")
-    out = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
-    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(unknown)
+    scratch = Scratch(docs.sparkSession)
+    keyed = with_key(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), scratch)
+    found = _components(keyed, scratch, size, percent)
+    kept = found.filter("component is null or doc_id is null or _key = component").select("_key")
+    return keyed.join(kept, "_key", "left_semi").select("_row.*")

@@ -51,13 +51,14 @@ class Scratch:
 def with_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with doc_id as long, text as string, and `_key`: a number of its own for every row, ascending with doc_id (null last).
 
-    The key is doc_id itself where that is unique and never null; otherwise rows are numbered by doc_id, then text.
+    The key is doc_id itself where that is unique and never null; otherwise rows are numbered by doc_id, then text, then a hash
+    of the other columns.
     """
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
         return docs.withColumn("_key", F.col("doc_id"))
-    ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("text")).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_last(), F.col("text")
-    )
+    rest = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text"), rest]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     return scratch.table(ranged.withColumn("_key", F.monotonically_increasing_id()))

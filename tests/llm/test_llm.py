@@ -198,6 +198,18 @@ def test_near_duplicates(docs, size, monkeypatch):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), find(i), find(i) == i)
 
 
+def test_near_duplicates_under_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    near = c + " end"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "y"), (6, c, "x"), (6, d, "y"), (7, near, "x"), (None, d, "z"), (None, a, "z"), (8, None, "x"), (8, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = collections.Counter(tuple(r) for r in minhash.keep_one(df).collect())
+    assert got == collections.Counter(set(rows) - {(5, a, "x"), (7, near, "x")})
+    out = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert out == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (6, 6, True), (6, 6, True), (7, 6, False), (0, 6, False), (0, 1, False), (8, 8, True), (8, 8, True)])
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
