@@ -235,6 +235,22 @@ def test_mixing_meets_targets(spark):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_curriculum_takes_every_row_by_its_own_passes(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 5 == 0 else i // 3, prose(rng, rng.randint(1, 60)), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = collections.Counter()
+    for r in mixing.mixed(df).collect():
+        plan[r["doc_id"], r["size"], r["source"]] += r["passes"]
+    got, words = collections.Counter(), collections.Counter()
+    for r in mixing.curriculum(df).collect():
+        size = len(r["text"].split())
+        got[r["doc_id"], size, r["source"]] += 1
+        words[r["source"]] += size
+    assert got == +plan and any(i is None for i, _, _ in got)
+    assert all(abs(words[r["source"]] - r["target"]) <= 60 for r in mixing.mixed(df).select("source", "target").distinct().collect())
+
+
 def removed(texts: dict) -> dict:
     seen, out = set(), {}
     for i in sorted(texts):
