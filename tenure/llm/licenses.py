@@ -1,9 +1,11 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-Every line of every whole text (cut into overlapping windows of SPAN words where it is longer) is a passage. Its terms are
-words, lower-cased and without outer punctuation; weights are (1 + ln count) * idf, the idf coming from the document
-frequencies of the templates' terms over all documents. Words that no template has share one axis of the largest idf, so prose around
-a notice lowers the cosine. The best template with a cosine of LEAST or more is a document's own licence.
+Templates are short notices, SPDX tags and full licence texts. Passages are windows of a template's length, across lines,
+wherever a cue word stands in them: at every word for short notices, in steps of an eighth for full texts. Terms are words,
+lower-cased and without outer punctuation; weights are (1 + ln count) * idf, the idf coming from the document frequencies
+of the templates' terms over all documents. Words that no template has share one axis of the fixed weight OTHER, so that what
+matches does not depend on the size of the table. A short notice counts only with its licence's own words (KEYS). The
+template with the best cosine of LEAST or more, of equals the longest, is a document's own licence.
 
 A document at least half of whose words are in matching passages is a licence file of its directory (the path without
 its last part). A document without a licence of its own takes that of the nearest ancestor directory which has a
@@ -16,6 +18,7 @@ Null and empty texts match nothing; a null path has no ancestors. Rows that repe
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from tenure.llm.text import Text, Words, slices
 
 LEAST = 0.6
-SPAN = 40
+#: The idf of a word in one document of twenty.
+OTHER = 4.0
 #: Short notices by which the licences' own texts ask to be named.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Apache License Version 2.0"],
@@ -46,8 +50,24 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "proprietary": ["All rights reserved", "Copyright, all rights reserved"],
 }
+#: Files of licence_texts.
+FULL = {
+    "Apache-2.0": "Apache-2.0", "MIT": "MIT", "BSD-3-Clause": "BSD", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-3.0": "LGPL-3",
+    "MPL-2.0": "MPL-2.0", "ISC": "ISC", "Unlicense": "Unlicense",
+}
+TAGS = {name: [name] for name in TEMPLATES if name != "proprietary"}
+for _name in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0"):
+    TAGS[_name] = [_name, f"{_name}-only", f"{_name}-or-later", f"{_name}+"]
 #: A passage is compared only if it has one of these.
-CUES = {"license", "licensed", "licence", "redistribution", "cc", "creative", "unencumbered", "rights", "gnu", "mozilla"}
+CUES = {
+    "license", "licensed", "licence", "redistribution", "cc", "creative", "unencumbered", "rights", "gnu", "mozilla",
+    "permission", "spdx-license-identifier",
+}
+#: Of these words, a short notice must have those that its template has.
+KEYS = {
+    "apache", "mit", "bsd", "gnu", "lesser", "affero", "mozilla", "cc", "by", "by-sa", "by-nc", "commons", "sharealike", "noncommercial",
+    "isc", "unencumbered", "reserved", "redistribution",
+} | {tag.lower() for tags in TAGS.values() for tag in tags}
 _OUTER = ".,;:!?()[]{}<>\"'*#-/"
 
 
@@ -55,8 +75,10 @@ def _terms(text: str) -> list[str]:
     return [w for w in (x.strip(_OUTER).lower() for x in re.findall(r"[^\x20\x09-\x0D]+", text)) if w]
 
 
-VOCABULARY = sorted({w for t in TEMPLATES.values() for x in t for w in _terms(x)} | CUES)
-_NAMES = [name for name, texts in TEMPLATES.items() for _ in texts]
+_SHORT = [(name, _terms(x)) for name, texts in TEMPLATES.items() for x in texts]
+_SHORT += [(name, _terms(f"SPDX-License-Identifier: {tag}")) for name, tags in TAGS.items() for tag in tags]
+_LONG = [(name, _terms(pkgutil.get_data("tenure.llm", f"licence_texts/{file}.txt").decode())) for name, file in FULL.items()]
+VOCABULARY = sorted({w for _, terms in _SHORT + _LONG for w in terms} | CUES)
 
 
 def _numbers(distinct: pa.Array) -> np.ndarray:
@@ -78,12 +100,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def idf(docs: DataFrame) -> np.ndarray:
-    """ln((1 + documents) / (1 + documents with the term)) + 1 of each template term, and the largest for all other words."""
+    """ln((1 + documents) / (1 + documents with the term)) + 1 of each template term, and OTHER for all other words."""
     total = docs.count()
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, "term long, count long")
     found = dict(rows.groupBy("term").agg(F.sum("count")).collect())
     out = [math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in range(len(VOCABULARY))]
-    return np.array([*out, math.log(1 + total) + 1])
+    return np.array([*out, OTHER])
 
 
 def _vectors(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -91,42 +113,69 @@ def _vectors(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return v / np.maximum(1e-300, np.sqrt((v * v).sum(1, keepdims=True)))
 
 
-def _templates(weights: np.ndarray) -> np.ndarray:
-    counts = np.zeros((len(_NAMES), len(weights)))
-    for i, text in enumerate(x for texts in TEMPLATES.values() for x in texts):
-        for w in _terms(text):
-            counts[i, VOCABULARY.index(w)] += 1
-    return _vectors(counts, weights)
+class Templates:
+    """Templates of a kind over the terms that they use; `number` has the place of every term of VOCABULARY among those."""
 
+    def __init__(self, templates: list[tuple[str, list[str]]], weights: np.ndarray, short: bool):
+        own = sorted({w for _, terms in templates for w in terms})
+        place = {w: i for i, w in enumerate(own)}
+        self.number = np.array([place.get(w, len(own)) for w in VOCABULARY] + [len(own)])
+        self.weights = np.array([*(weights[VOCABULARY.index(w)] for w in own), weights[-1]])
+        self.names = [name for name, _ in templates]
+        self.lengths = np.array([len(terms) for _, terms in templates])
+        counts = np.zeros((len(templates), len(own) + 1))
+        self.must = np.zeros((len(templates), len(own) + 1), bool)
+        for i, (_, terms) in enumerate(templates):
+            for w in terms:
+                counts[i, place[w]] += 1
+                self.must[i, place[w]] |= short and w in KEYS
+        self.vectors = _vectors(counts, self.weights)
+        self.short = short
 
-def scan(text: Text, weights: np.ndarray, templates: np.ndarray) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+
+def scan(text: Text, kinds: list[Templates]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
     """Each row's licence, its cosine, and the share of words in matching passages."""
     words = Words(text)
     ids, distinct = words.encode()
     numbers = _numbers(distinct)
     term = numbers[ids]
-    cue = np.isin(numbers, [VOCABULARY.index(c) for c in CUES])[ids]
-    feeds = np.flatnonzero(text.data == 10)
-    line = np.searchsorted(feeds, words.start) + words.row
+    cues = np.flatnonzero(np.isin(numbers, [VOCABULARY.index(c) for c in CUES])[ids])
     best, score, covered = [None] * text.n, np.zeros(text.n), np.zeros(len(words) + 1, np.int64)
-    hit = np.unique(line[cue])
-    begin, end = np.searchsorted(line, hit), np.searchsorted(line, hit, "right")
-    passages = []
-    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-        passages += [(s, min(b, s + SPAN)) for s in range(a, max(a + 1, b - SPAN // 2), SPAN // 2)]
-    for run in range(0, len(passages), 2000):
-        some = passages[run : run + 2000]
-        counts = np.zeros((len(some), len(weights)))
-        for i, (a, b) in enumerate(some):
-            np.add.at(counts[i], term[a:b], 1)
-        cosine = _vectors(counts, weights) @ templates.T
-        top = cosine.argmax(1)
-        for i in np.flatnonzero(cosine.max(1) >= LEAST):
-            a, b = some[i]
-            row = words.row[a]
-            covered[a:b] = 1
-            if cosine[i, top[i]] > score[row]:
-                score[row], best[row] = cosine[i, top[i]], _NAMES[top[i]]
+    rank = [(0.0, 0)] * text.n
+    row_first, row_end = words.first[words.row[cues]], words.first[words.row[cues] + 1]
+    for kind in kinds:
+        mine = kind.number[term]
+        known = np.concatenate([[0], np.cumsum(mine < len(kind.weights) - 1)])
+        for length in np.unique(kind.lengths).tolist() if len(cues) else ():
+            these = np.flatnonzero(kind.lengths == length)
+            step = 1 if kind.short else max(1, length // 8)
+            # Windows at multiples of step from the row's first word that hold a cue, and the row's last window.
+            last = np.maximum(row_first, row_end - length)
+            lo, hi = np.maximum(row_first, cues - length + 1), np.minimum(cues, last)
+            k = -(-(lo - row_first) // step)
+            many = np.maximum(0, (hi - row_first) // step - k + 1)
+            at = np.repeat(row_first + k * step, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * step
+            begin = np.unique(np.concatenate([at, last[lo <= last]]))
+            end = np.minimum(begin + length, words.first[words.row[begin] + 1])
+            full = known[end] - known[begin] >= 0.4 * length
+            begin, end = begin[full], end[full]
+            for run in range(0, len(begin), 500):
+                a, b = begin[run : run + 500], end[run : run + 500]
+                size = b - a
+                which = np.repeat(np.arange(len(a)), size)
+                inside = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                width = len(kind.weights)
+                counts = np.bincount(which * width + mine[inside], minlength=len(a) * width).reshape(len(a), width)
+                cosine = _vectors(counts, kind.weights) @ kind.vectors[these].T
+                if kind.short:
+                    cosine[(counts == 0).astype(np.float32) @ kind.must[these].T.astype(np.float32) > 0] = 0
+                top = cosine.argmax(1)
+                for i in np.flatnonzero(cosine.max(1) >= LEAST):
+                    row = words.row[a[i]]
+                    covered[a[i] : b[i]] = 1
+                    value = round(float(cosine[i, top[i]]), 6), length
+                    if value > rank[row]:
+                        rank[row], score[row], best[row] = value, cosine[i, top[i]], kind.names[these[top[i]]]
     share = np.diff(np.concatenate([[0], np.cumsum(covered[:-1])])[words.first]) / np.maximum(1, words.count)
     return best, np.minimum(1.0, score), share
 
@@ -139,12 +188,12 @@ def directory(path: Column) -> Column:
 def licences(docs: DataFrame) -> DataFrame:
     """doc_id, path, own_license, score, is_license_file, license, inherited_from of docs(doc_id, path, text)."""
     weights = idf(docs)
-    templates = _templates(weights)
+    kinds = [Templates(_SHORT, weights, True), Templates(_LONG, weights, False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                best, score, share = scan(Text(part.column(2)), weights, templates)
+                best, score, share = scan(Text(part.column(2)), kinds)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(best, pa.string()), pa.array(score), pa.array(share >= 0.5)],
                     ["doc_id", "path", "own_license", "score", "is_license_file"],

@@ -386,6 +386,26 @@ def test_licences_are_found_and_inherited(spark):
     assert [i for i, r in got.items() if r["is_license_file"]] == [1, 4]
 
 
+@pytest.mark.parametrize("total", [100, 10_000_000])
+def test_licences_with_holders_in_prose_and_in_full(total):
+    import pkgutil
+
+    rng = random.Random(4)
+    full = {name: pkgutil.get_data("tenure.llm", f"licence_texts/{file}.txt").decode() for name, file in licenses.FULL.items()}
+    holder = lambda t: t.replace("Copyright (c)", "Copyright (c) 2019-2024 Jane Q. Doe and the Acme authors", 1)
+    cases = [("MIT", "Copyright 2024 Acme. Licensed under the MIT License."), ("MIT", f"{prose(rng, 60)} Released under the MIT License. {prose(rng, 60)}")]
+    cases += [("Apache-2.0", f"{prose(rng, 9)} Licensed under the Apache\n# License, Version 2.0 {prose(rng, 9)}")]
+    cases += [("GPL-3.0", f"// SPDX-License-Identifier: GPL-3.0-or-later\n{prose(rng, 80)}"), ("MIT", f"# SPDX-License-Identifier: MIT\n{prose(rng, 80)}")]
+    cases += [(None, "SPDX-License-Identifier: Zlib"), (None, "a license is granted to all rights holders of the work"), (None, prose(rng, 50))]
+    cases += [(name, holder(t)) for name, t in full.items()]
+    shares = [0.02 if w in licenses.CUES | licenses.KEYS else 0.05 for w in licenses.VOCABULARY]
+    weights = np.array([math.log((1 + total) / (1 + total * x)) + 1 for x in shares] + [licenses.OTHER])
+    kinds = [licenses.Templates(licenses._SHORT, weights, True), licenses.Templates(licenses._LONG, weights, False)]
+    best, _, share = licenses.scan(Text(pa.array([t for _, t in cases])), kinds)
+    assert best == [name for name, _ in cases]
+    assert (share[-len(full) :] >= 0.5).all() and share[1] < 0.5
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
