@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.llm.text import BYTE, LOWER, Text, U, Words, flat, hashes, mix, slices, sums
@@ -135,11 +135,18 @@ def marginals(score: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> n
 
 
 def fit(learn: DataFrame, sample: int = 1200, words_each: int = 120, passes: int = 25, run: int = 24) -> Field | None:
-    """Fit on at most `sample` rows of learn(doc_id, text, lang), and `words_each` words of each that lie spread over its text."""
+    """Fit on at most `sample` rows of learn(doc_id, text, lang), and `words_each` words of each that lie spread over its text.
+
+    Every language has an equal share of the rows (at least one row, at most all it has), those of the lowest hashes.
+    """
     known = learn.filter("text is not null and lang is not null").withColumn("_hash", F.xxhash64("doc_id", "text"))
+    counts = [r["count"] for r in known.groupBy("lang").count().collect()]
+    # Spark cuts ranks of up to 1000 off before rows meet.
+    share = max([1, *(k for k in range(1, min(sample, 1000) + 1) if sum(min(n, k) for n in counts) <= sample)])
     # Hashes are chosen first, so that no more texts than the sample's leave their tasks.
-    chosen = known.select("_hash", "doc_id").orderBy("_hash", "doc_id").limit(sample).select("_hash").distinct()
-    rows = known.join(F.broadcast(chosen), "_hash", "left_semi").orderBy("_hash", "doc_id", "lang").limit(sample)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    chosen = known.select("_hash", "lang").withColumn("_rank", rank).filter(F.col("_rank") <= share).select("_hash", "lang").distinct()
+    rows = known.join(F.broadcast(chosen), ["_hash", "lang"], "left_semi").dropDuplicates(["_hash", "lang"]).orderBy("_hash", "lang")
     rows = rows.select("text", "lang").toPandas()
     if rows.empty:
         return None

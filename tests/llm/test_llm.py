@@ -138,6 +138,14 @@ def test_languages_held_out_and_switched(spark):
     assert likely[:25].count("aa") >= 22 and likely[-25:].count("cc") >= 22
 
 
+def test_rare_languages_are_in_the_sample(spark):
+    rng = random.Random(1)
+    parts = {"aa": ["ka", "to", "mi"], "bb": ["zö", "ßu", "ng"], "cc": ["que", "ion", "el"]}
+    rows = [(i, " ".join("".join(rng.choices(parts[x], k=2)) for _ in range(30)), x) for i, x in enumerate(["aa"] * 500 + ["bb"] * 300 + ["cc"] * 2)]
+    field = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=30)
+    assert field.languages == ["aa", "bb", "cc"]
+
+
 def test_quality_base_columns_and_verdict(spark, docs):
     rng = random.Random(5)
     rows = [(1000 + i, prose(rng, 80) if i % 2 else " | ".join(prose(rng, 90).split())) for i in range(60)]
