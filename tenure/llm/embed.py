@@ -7,7 +7,7 @@ Two vectors are linked when the cosine of the originals, in double precision, is
    principal axes that make sign bits balanced and close to the data; further random starts give further bits.
 3. Codes are cut into keys of about log2(rows / 64) bits, one Hamming table for each. How many tables are needed is computed from
    the sample: pairs are made at a cosine of exactly `least`, and tables are added until the share of pairs that meet
-   in one is RECALL.
+   in one is RECALL. Where MAX_TABLES are not enough, keys are shortened bit by bit until they are.
 4. A bucket's vectors are compared by one matrix product; a bucket of over BLOCK vectors is cut into blocks
    that meet pairwise, so that no task grows with it. A pair counts in the first table in which it meets. A task
    gives each vector its number of links and one link to its local component, never the pairs.
@@ -90,28 +90,34 @@ class Tables:
     def __init__(self, x: np.ndarray, rows: int, least: float):
         dims = x.shape[1]
         self.bits = int(min(dims, 30, max(6, math.ceil(math.log2(max(1, rows) / 64)))))
-        each = dims // self.bits
         self.centre = x.mean(0)
         rng = np.random.default_rng(5)
         noise = rng.normal(size=x.shape)
         noise -= (noise * x).sum(1, keepdims=True) * x
         noise /= np.maximum(1e-300, np.sqrt((noise * noise).sum(1, keepdims=True)))
         other = least * x + math.sqrt(1 - least * least) * noise
+        turns = rotations(x - self.centre, -(-MAX_TABLES // (dims // self.bits)))
+        while not self._reached(x, other, turns):
+            self.bits -= 1
+
+    def _reached(self, x: np.ndarray, other: np.ndarray, turns: list[np.ndarray]) -> bool:
+        """Add tables until RECALL is reached; keys of no bits put all vectors into one bucket."""
         self.projections: list[np.ndarray] = []
-        met = np.zeros(len(x), bool)
         self.tables = 0
-        for p in rotations(x - self.centre, -(-MAX_TABLES // each)):
+        met = np.zeros(len(x), bool)
+        for p in turns:
             self.projections.append(p)
             same = self._keys(x, p) == self._keys(other, p)
-            for t in range(each):
+            for t in range(min(same.shape[1], MAX_TABLES - self.tables)):
                 met |= same[:, t]
                 self.tables += 1
                 if met.mean() >= RECALL:
-                    break
-            if met.mean() >= RECALL:
-                break
+                    return True
+        return False
 
     def _keys(self, x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros((len(x), 1), np.int64)
         each = projection.shape[1] // self.bits
         on = ((x - self.centre) @ projection[:, : each * self.bits] >= 0).reshape(len(x), each, self.bits)
         return on @ (1 << np.arange(self.bits))

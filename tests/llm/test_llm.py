@@ -375,6 +375,20 @@ def test_near_vectors(spark, block, monkeypatch):
     assert embed.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.0, 3.0])
+def test_tables_reach_their_recall_for_any_number_of_rows(mean):
+    rng = np.random.default_rng(8)
+    x, noise = rng.normal(size=(2, 1200, 64))
+    x += mean * rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables = embed.Tables(x, 2**30, 0.9)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    other = 0.9 * x + math.sqrt(1 - 0.81) * noise
+    assert tables.tables <= embed.MAX_TABLES
+    assert (tables.keys(x) == tables.keys(other)).any(1).mean() >= 0.96
+
+
 def test_licences_are_found_and_inherited(spark):
     rng = random.Random(2)
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
