@@ -39,6 +39,8 @@ from tenure.llm.text import BASE, BYTE, Text, U, mix, slices
 WIDTH, ANCHOR = 100, 64
 CELL, HOT, SHARD = 6000, 30_000, 1500
 _LOW = U((1 << 26) - 1)
+#: Bytes that are looked at together: places in them fit into _LOW.
+RUN = 1 << 23
 
 
 def _rolling(d: np.ndarray, size: int) -> np.ndarray:
@@ -54,14 +56,29 @@ _INVERSE = U(pow(int(BASE), -1, 2**64))
 
 
 def stretches(text: Text, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, row, start in the row, number of windows and anchor's place of every stretch."""
+    """Anchor hash, content hash, row, start in the row, number of windows and anchor's place of every stretch.
+
+    Longer texts are cut into runs that overlap by width - 1 bytes, so that every window is in one run.
+    """
+    if len(text.data) <= RUN:
+        return _stretches(text, width, anchor)
+    parts = []
+    for r, (a, b) in enumerate(zip(text.off[:-1].tolist(), text.off[1:].tolist(), strict=True)):
+        for s in range(a, max(a + 1, b - width + 1), RUN - width + 1):
+            run = Text(pa.array([], pa.string()))
+            run.data, run.n = text.data[s : min(b, s + RUN)], 1
+            run.off = np.array([0, len(run.data)])
+            anchors, content, row, start, windows, place = _stretches(run, width, anchor)
+            parts.append((anchors, content, row + r, start + (s - a), windows, place))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _stretches(text: Text, width: int, anchor: int) -> tuple[np.ndarray, ...]:
     d, off = text.data, text.off
     empty = np.zeros(0, np.int64)
     if len(d) < width:
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
     h = mix(_rolling(d, anchor))
-    if len(d) > int(_LOW):
-        raise ValueError("a text of over 64 MB")
     least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     span, k = width - anchor + 1, 1
     while 2 * k <= span:

@@ -282,6 +282,27 @@ def test_repeated_bytes(docs, hot, monkeypatch):
         assert tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
 
 
+def test_stretches_of_a_text_of_many_runs(monkeypatch):
+    rng = random.Random(2)
+    passage = prose(rng, 60)
+    text = Text(pa.array([prose(rng, 300) + passage + prose(rng, 300), "short", passage + prose(rng, 200)]))
+
+    def windows():
+        return sorted(
+            (int(r), int(s) + k, int(s + p), int(a))
+            for a, _, r, s, n, p in zip(*suffix.stretches(text), strict=True) for k in range(int(n))
+        )
+
+    whole = windows()
+    monkeypatch.setattr(suffix, "RUN", 700, raising=False)
+    assert windows() == whole
+    monkeypatch.undo()
+    large = Text(pa.array([""]))
+    large.data, large.off = np.random.default_rng(1).integers(97, 123, (1 << 26) + 5, dtype=np.uint8), np.array([0, (1 << 26) + 5])
+    _, _, _, start, n, _ = suffix.stretches(large)
+    assert n.sum() == (1 << 26) + 5 - 99 and start[-1] + n[-1] == (1 << 26) + 5 - 99
+
+
 def test_texts_without_repeats(docs):
     got = {r["doc_id"]: r for r in suffix.without_repeats(docs).collect()}
     want = removed(texts_of(docs))
