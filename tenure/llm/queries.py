@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import codes, ctw, embed, langid, licenses, minhash, mixing, packing, quality, suffix, tokens
+from tenure.llm import codes, ctw, decontaminate, embed, langid, licenses, minhash, mixing, packing, quality, suffix, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(_read(spark, sf_dir, "documents").withColumn("path", path))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(_read(spark, sf_dir, "embeddings"))
 
@@ -75,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_lm_scores,
         op10_licenses,
+        op11_decontamination,
         op13_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {"op13_vector_codes": codes.oracle()}
+ORACLES: dict[str, str] = {"op11_decontamination": decontaminate.oracle(), "op13_vector_codes": codes.oracle()}
