@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import codes, ctw, decontaminate, embed, langid, licenses, minhash, mixing, packing, quality, suffix, tokens
+from tenure.llm import codes, conversations, ctw, decontaminate, embed, langid, licenses, minhash, mixing, packing, quality, suffix, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.structure(conversations.damaged(_read(spark, sf_dir, "conversations")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(_read(spark, sf_dir, "embeddings"))
 
@@ -80,7 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lm_scores,
         op10_licenses,
         op11_decontamination,
+        op12_conversations,
         op13_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {"op11_decontamination": decontaminate.oracle(), "op13_vector_codes": codes.oracle()}
+ORACLES: dict[str, str] = {
+    "op11_decontamination": decontaminate.oracle(),
+    "op12_conversations": conversations.oracle(),
+    "op13_vector_codes": codes.oracle(),
+}
