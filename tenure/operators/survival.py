@@ -1,8 +1,7 @@
 """Cox proportional hazards on Spark: fit, baseline hazard, curves, medians, loss.
 
-The fit never moves rows. One Newton step is two aggregations: risk-set sums per distinct
-duration (p + 1 sums, partials map-side), and one p x p weighted Gram matrix. The second moments
-of the risk sets need no table of their own, because
+The fit lays its rows out in the order of time once (`plans.timeline`); a Newton step then only moves sums. The second
+moments of the risk sets need no table of their own, because
 
     sum_k a_k * S2(t_k) = sum_j exp(r_j) * x_j x_j' * A(t_j),   A(t) = sum_{t_k <= t} a_k.
 """
@@ -12,16 +11,14 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tenure.functions.special import digamma, log_gamma, trigamma
 from tenure.plans.materialise import materialise
@@ -33,10 +30,13 @@ from tenure.plans.ordered import (
     step_lookup,
     with_bucket,
 )
+from tenure.plans.timeline import NO_GROUP, PART_ROWS, Borders, Part, Timeline, border_vector, borders
 from tenure.sources.io import read_table, write_table
 
 DEFAULT_HORIZONS = (30, 60, 90, 180, 365)
-DRIVER_CELLS = 4_000_000  # doubles of the per-duration table the driver may hold
+RANK_TOLERANCE = 1e-10  # of the greatest eigenvalue: below it the likelihood is flat
+CURVE_POINTS = 4096  # times in one array of a curve
+ENDLESS = 12.0  # log hazard per standard deviation beyond which a coefficient has no finite value
 DIRECT_TIES = 512  # tied events summed term by term; beyond that in closed form
 
 
@@ -134,35 +134,6 @@ def _matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
     return out
 
 
-def _triangle(total: np.ndarray) -> pa.RecordBatch:
-    i, j = np.triu_indices(len(total))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "v"]
-    )
-
-
-def _summed(parts: DataFrame, p: int) -> np.ndarray:
-    out = np.zeros((p, p))
-    for r in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
-    return out
-
-
-def weighted_gram(df: DataFrame, columns: Sequence[str], weight: str) -> np.ndarray:
-    """Sum of weight * x x' as one matrix product per partition, summed by Spark."""
-    columns = list(columns)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(columns), len(columns)))
-        for batch in batches:
-            x = _matrix(batch, columns)
-            total += x.T @ (x * batch.column(weight).to_numpy(zero_copy_only=False)[:, None])
-        yield _triangle(total)
-
-    parts = df.select(*columns, weight).mapInArrow(partial, "i int, j int, v double")
-    return _summed(parts, len(columns))
-
-
 def tie_terms(d: np.ndarray, s0: np.ndarray, e0: np.ndarray) -> dict[str, np.ndarray]:
     """Efron sums over the d tied events of each time, m = 0..d-1, D_m = s0 - (m/d) e0:
 
@@ -220,21 +191,12 @@ class SurvivalModel:
 
     def hazard_at(self, times: Sequence[float]) -> list[float]:
         """Cumulative baseline hazard at each time: 0 before the first, carried forward after."""
-        row = self.baseline.agg(
-            *[
-                F.coalesce(F.max(F.when(F.col("t") <= float(t), F.col("hazard"))), F.lit(0.0)).alias(
-                    f"h{i}"
-                )
-                for i, t in enumerate(times)
-            ]
-        ).first()
-        return [float(v) for v in row]
-
-    def training_times(self) -> list[float]:
-        size = self.baseline.count()
-        if size > 100_000:
-            raise ValueError("more than 100000 training times: name the times wanted")
-        return sorted(float(r["t"]) for r in self.baseline.select("t").collect())
+        if not len(times):
+            return []
+        asked = self.baseline.sparkSession.createDataFrame([(i, float(t)) for i, t in enumerate(times)], "i int, at double")
+        found = step_lookup(asked, "at", self.baseline, "t", ["hazard"])
+        hazard = {r["i"]: r["hazard"] for r in found.select("i", "hazard").collect()}
+        return [0.0 if hazard[i] is None else float(hazard[i]) for i in range(len(times))]
 
     def survival_array(self, times: Sequence[float], risk: str = "risk") -> Column:
         """array<double> of S(t | x) at the times, a projection over a column of risks."""
@@ -242,23 +204,55 @@ class SurvivalModel:
         hazards = self.hazard_at(times)
         return F.array(*[F.exp(-F.lit(h) * scale) for h in hazards])
 
+    def curve(self, times: Sequence[float] | None = None) -> DataFrame:
+        """(points): the baseline at the times (all training times by default) as arrays of (t, h) in order of time.
+
+        One array per range of times, so that neither the number of training times nor that of arrays has a limit.
+        """
+        if times is None:
+            points = self.baseline.select("t", F.col("hazard").alias("h"))
+        else:
+            rows = [(float(t), h) for t, h in zip(times, self.hazard_at(times))]
+            points = self.baseline.sparkSession.createDataFrame(rows, "t double, h double")
+        ranges = with_bucket(points, measure_splits(points, ["t"], CURVE_POINTS)["t"])
+        return ranges.groupBy(BUCKET).agg(F.array_sort(F.collect_list(F.struct("t", "h"))).alias("points")).select("points")
+
     def survival(self, df: DataFrame, times: Sequence[float] | None = None) -> DataFrame:
-        """One row per (input row, t) with `surv`; times default to the training times."""
-        wanted = list(times) if times is not None else self.training_times()
-        at = F.transform(
-            F.arrays_zip(
-                F.array(*[F.lit(float(t)) for t in wanted]).alias("t"),
-                F.array(*[F.lit(h) for h in self.hazard_at(wanted)]).alias("h"),
-            ),
-            lambda x: F.struct(
-                x["t"].alias("t"), F.exp(-x["h"] * F.exp(F.col("risk"))).alias("surv")
-            ),
+        """One row per (input row, t) with `surv`; times default to the training times.
+
+        Every row meets every array of the curve, as every row has a value at every time.
+        """
+        at = F.transform("_points", lambda x: F.struct(x["t"].alias("t"), F.exp(-x["h"] * F.exp(F.col("risk"))).alias("surv")))
+        rows = self.risk(df).crossJoin(self.curve(times).withColumnRenamed("points", "_points"))
+        return rows.withColumn("_at", F.explode(at)).select(
+            *df.columns, "risk", F.col("_at.t").alias("t"), F.col("_at.surv").alias("surv")
         )
-        return (
-            self.risk(df)
-            .withColumn("_at", F.explode(at))
-            .select(*df.columns, "risk", F.col("_at.t").alias("t"), F.col("_at.surv").alias("surv"))
+
+    def restricted_mean(self, df: DataFrame) -> DataFrame:
+        """Add `risk`, `n_times`, `horizon_days` (the last training time) and `mean_days`: the area below the whole curve up to there."""
+        span = Window.orderBy("t")
+        points = materialise(self.baseline.select("t", F.col("hazard").alias("h")), "curve")
+        splits = measure_splits(points, ["t"], CURVE_POINTS)["t"]
+        ranges = with_bucket(points, splits)
+        first = ranges.groupBy(BUCKET).agg(F.min("t").alias("t"))
+        following = first.select(BUCKET, F.lead("t").over(span).alias("_next"))  # one row per range
+        inside = Window.partitionBy(BUCKET).orderBy("t")
+        steps = ranges.join(F.broadcast(following), BUCKET).select(
+            BUCKET, "t", "h", (F.coalesce(F.lead("t").over(inside), "_next", "t") - F.col("t")).alias("width")
         )
+        pieces = steps.groupBy(BUCKET).agg(
+            F.collect_list(F.struct("h", "width")).alias("_points"), F.min("t").alias("_first"), F.max("t").alias("_last")
+        ).drop(BUCKET)
+        start = points.agg(F.min("t").alias("_start"))
+        area = F.aggregate("_points", F.lit(0.0), lambda s, x: s + x["width"] * F.exp(-x["h"] * F.exp(F.col("risk"))))
+        # A row's ranges are added up in the order of time, so the sum does not hang on the order of rows.
+        row = self.risk(df).withColumn("_row", F.struct(*df.columns, "risk"))
+        number = F.monotonically_increasing_id()
+        met = row.withColumn("_id", number).crossJoin(pieces).select("_id", "_row", "_first", "_last", F.size("_points").alias("_n"), area.alias("_area"))
+        parts = F.array_sort(F.collect_list(F.struct("_first", "_area")))
+        whole = met.groupBy("_id").agg(F.first("_row").alias("_row"), F.sum("_n").alias("n_times"), F.max("_last").alias("horizon_days"), parts.alias("_parts"))
+        mean = F.aggregate("_parts", F.col("_start"), lambda s, x: s + x["_area"])
+        return whole.crossJoin(F.broadcast(start)).select("_row.*", "n_times", "horizon_days", mean.alias("mean_days"))
 
     def median(self, df: DataFrame) -> DataFrame:
         """Add `risk` and `median_days`: the first time with S <= 1/2, infinite when there is none.
@@ -325,15 +319,16 @@ class CoxPH:
     """Ridge-penalised Cox model, Newton steps with halving.
 
     Minimises (-log partial likelihood + alpha/2 * |beta|^2) / n and stops when the relative change
-    of that value falls below `tol`. `alpha` must be positive: full dummy sets and shares that sum
-    to one make the unpenalised problem singular.
+    of that value falls below `tol`. Without a penalty (alpha = 0) directions that the likelihood does not
+    depend on, such as those of a full set of dummies, stay where they are, and a coefficient that grows without
+    end (monotone likelihood) is an error that names its feature.
     """
 
     alpha: float = 1.0
     ties: str = "breslow"
     n_iter: int = 100
     tol: float = 1e-9
-    driver_cells: int = DRIVER_CELLS
+    part_rows: int = PART_ROWS
 
     @property
     def name(self) -> str:
@@ -343,328 +338,351 @@ class CoxPH:
         return {"alpha": self.alpha, "ties": self.ties, "n_iter": self.n_iter, "tol": self.tol}
 
     def fit(self, df: DataFrame, features: Sequence[str]) -> CoxModel:
-        if self.alpha <= 0:
-            raise ValueError("alpha must be positive")
+        return self._fit(df, list(features), None, 1)[0]
+
+    def fit_folds(self, df: DataFrame, features: Sequence[str], k: int, fold: str = "fold") -> list[CoxModel]:
+        """One model per fold, each fitted on the rows of all other folds; every scan serves all models."""
+        return self._fit(df, list(features), fold, k)
+
+    def _fit(self, df: DataFrame, features: list[str], fold: str | None, k: int) -> list[CoxModel]:
+        if self.alpha < 0:
+            raise ValueError("alpha must not be negative")
         if self.ties not in ("breslow", "efron"):
             raise ValueError(f"unknown ties method {self.ties!r}")
-        problem = _CoxProblem.prepare(df, list(features), self)
-        beta = np.zeros(len(features))
-        state = problem.evaluate(beta)
-        if problem.n_events == 0:
-            raise ValueError("no event observed")
-        steps = 0
-        while steps < self.n_iter:
-            steps += 1
-            hessian = problem.hessian(state)
-            delta = np.linalg.solve(hessian, state.gradient)
-            if not np.all(np.isfinite(delta)):
-                raise ValueError("search direction is not finite, raise alpha")
-            candidate = problem.evaluate(beta - delta)
-            while candidate.loss > state.loss and steps < self.n_iter and np.abs(delta).max() > 1e-14:
-                delta = delta / 2
-                candidate = problem.evaluate(beta - delta)
-                steps += 1
-            beta = candidate.beta
-            change = abs(1 - candidate.loss / state.loss) if state.loss else abs(candidate.loss)
-            state = candidate
-            if change < self.tol:
-                break
-        return CoxModel(
-            name=self.name,
-            features=list(features),
-            baseline=problem.baseline(state),
-            params=self.get_params(),
-            version=f"cox-{uuid.uuid4().hex[:12]}",
-            coef=[float(b) for b in beta],
-            n_iterations=steps,
-            loss=float(state.loss),
-            gradient_norm=float(np.linalg.norm(state.gradient)),
-        )
+        problem = _CoxProblem.prepare(df, features, self, fold, k)
+        try:
+            states, steps = self._minimise(problem)
+            return [
+                CoxModel(
+                    name=self.name,
+                    features=features,
+                    baseline=baseline,
+                    params=self.get_params(),
+                    version=f"cox-{uuid.uuid4().hex[:12]}",
+                    coef=[float(b) for b in states[m].beta],
+                    n_iterations=steps[m],
+                    loss=float(states[m].loss),
+                    gradient_norm=float(np.linalg.norm(states[m].gradient)),
+                )
+                for m, baseline in enumerate(problem.baselines(states))
+            ]
+        finally:
+            problem.timeline.release()
+
+    def _minimise(self, problem: _CoxProblem) -> tuple[dict[int, _State], dict[int, int]]:
+        """Newton steps of all models at once; a model that has converged drops out of the scans."""
+        states = problem.evaluate({m: np.zeros(len(problem.features)) for m in range(problem.models)})
+        steps = dict.fromkeys(states, 0)
+        active = set(states)
+        while active:
+            delta = {}
+            for m, hessian in problem.hessian({m: states[m] for m in active}).items():
+                delta[m] = self._direction(hessian, states[m].gradient)
+                steps[m] += 1
+            ahead = problem.evaluate({m: states[m].beta - delta[m] for m in active})
+
+            def worse() -> set[int]:
+                return {
+                    m for m in active
+                    if ahead[m].loss > states[m].loss and steps[m] < self.n_iter and np.abs(delta[m]).max() > 1e-14
+                }
+
+            while again := worse():
+                for m in again:
+                    delta[m] = delta[m] / 2
+                    steps[m] += 1
+                ahead |= problem.evaluate({m: states[m].beta - delta[m] for m in again})
+            for m in list(active):
+                loss, before = ahead[m].loss, states[m].loss
+                states[m] = ahead[m]
+                if (abs(1 - loss / before) if before else abs(loss)) < self.tol or steps[m] >= self.n_iter:
+                    active.discard(m)
+        if self.alpha == 0:
+            problem.refuse_endless(states)
+        return states, steps
+
+    def _direction(self, hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        if self.alpha > 0:
+            delta = np.linalg.solve(hessian, gradient)
+        else:
+            size, axes = np.linalg.eigh(hessian)
+            kept = size > max(size.max(initial=0.0), 0.0) * RANK_TOLERANCE
+            delta = axes[:, kept] @ ((axes[:, kept].T @ gradient) / size[kept])
+        if not np.all(np.isfinite(delta)):
+            raise ValueError("search direction is not finite, raise alpha")
+        return delta
 
 
 @dataclass
 class _State:
+    """A model's loss and gradient, and what its Hessian and baseline need of each part."""
+
     beta: np.ndarray
     loss: float
     gradient: np.ndarray
-    table: Any  # per-duration sums: pandas on the driver, or a Spark table
+    borders: Borders | None  # None: one part
+    inner: np.ndarray  # per part: log, a, hazard of its inner times
+    terms: dict[str, np.ndarray] | None  # of the border times
+
+
+def _upto(borders: Borders, inner: np.ndarray, at_border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per part, a running sum over ascending times up to its last (lowest) and up to its first time."""
+    place = {t: i for i, t in enumerate(borders.times)}
+    below = np.zeros(len(borders.times) + 1)
+    for q, t in enumerate(borders.first):
+        if not np.isnan(t):
+            below[place[t]] += inner[q]  # inner times of q lie below its first time
+    total = np.cumsum((at_border + below[:-1])[::-1])[::-1]
+    found = [[total[place[t]] if not np.isnan(t) else 0.0 for t in side] for side in (borders.last, borders.first)]
+    return np.array(found[0]), np.array(found[1])
 
 
 @dataclass
 class _CoxProblem:
-    rows: DataFrame  # t, e, centred x0..xp-1
-    centre: np.ndarray
-    features: list[str]
+    """Rows in the order of time and one model per fold (or one of all rows).
+
+    A Newton step scans the parts three times for all models (twice if there is one part): totals per part, terms of the times
+    inside, second derivatives. Nothing is shuffled but those sums.
+    """
+
+    timeline: Timeline
     spec: CoxPH
-    n: int
-    n_events: int
-    n_times: int
-    source: DataFrame
-    death_x: np.ndarray  # sum of x over events
+    features: list[str]
+    models: int
+    centre: np.ndarray
+    deviation: np.ndarray
+    n: np.ndarray  # rows of each model
+    death_x: np.ndarray  # per model, the sum of x over its events
 
     @classmethod
-    def prepare(cls, df: DataFrame, features: list[str], spec: CoxPH) -> "_CoxProblem":
-        """Write the needed columns once (every iteration scans them) and centre them."""
+    def prepare(cls, df: DataFrame, features: list[str], spec: CoxPH, fold: str | None, models: int) -> _CoxProblem:
+        """Write the needed columns once, centre them and lay them out in the order of time."""
+        group = F.lit(NO_GROUP) if fold is None else F.col(fold).cast("int")
+        p = len(features)
+        names = [f"v{i}" for i in range(p)]
         keep = materialise(
             df.select(
                 F.col("duration").cast("double").alias("t"),
                 F.col("event").cast("int").alias("e"),
-                *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(features)],
+                group.alias("g"),
+                *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)],
             ),
             "cox",
         )
-        p = len(features)
-        names = [f"v{i}" for i in range(p)]
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            every, died = np.zeros(p), np.zeros(p)
             for batch in batches:
                 x = _matrix(batch, names)
-                every += x.sum(axis=0)
-                died += batch.column("e").to_numpy(zero_copy_only=False).astype(float) @ x
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(p), pa.int32()), pa.array(every), pa.array(died)], ["i", "s", "d"]
-            )
-
-        row = keep.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("e").alias("events"),
-            F.approx_count_distinct("t").alias("times"),
-        ).first()
-        if not row["n"]:
+                g = batch.column("g").to_numpy(zero_copy_only=False)
+                died = np.nan_to_num(batch.column("e").to_numpy(zero_copy_only=False).astype(float))
+                for m in np.unique(g):
+                    mine = g == m
+                    parts = [x[mine].sum(axis=0), died[mine] @ x[mine], (x[mine] ** 2).sum(axis=0)]
+                    parts = [np.append(v, last) for v, last in zip(parts, (mine.sum(), died[mine].sum(), 0.0))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(p + 1, m), pa.int32()), pa.array(range(p + 1), pa.int32()), *map(pa.array, parts)], ["g", "i", "s", "d", "q"]
+                    )
+
+        totals: dict[int, np.ndarray] = {}
+        parts = keep.mapInArrow(sums, "g int, i int, s double, d double, q double")
+        for r in parts.groupBy("g", "i").agg(*(F.sum(c).alias(c) for c in "sdq")).collect():
+            totals.setdefault(r["g"], np.zeros((3, p + 1)))[:, r["i"]] = r["s"], r["d"], r["q"]
+        every = sum(totals.values(), np.zeros((3, p + 1)))
+        size = int(every[0, p])
+        if not size:
             raise ValueError("no rows to fit on")
-        every, died = np.zeros(p), np.zeros(p)
-        parts = keep.mapInArrow(sums, "i int, s double, d double")
-        for r in parts.groupBy("i").agg(F.sum("s").alias("s"), F.sum("d").alias("d")).collect():
-            every[r["i"]], died[r["i"]] = r["s"], r["d"]
-        centre = every / row["n"]
-        rows = keep.select(
-            "t", "e", *[(F.col(f"v{i}") - F.lit(float(centre[i]))).alias(f"x{i}") for i in range(p)]
-        )
-        events = int(row["events"] or 0)
-        death = died - events * centre
+        centre = every[0, :p] / size
         if np.isnan(centre).any():
             bad = [f for f, c in zip(features, centre) if np.isnan(c)]
             raise ValueError(f"missing values in {', '.join(bad)}: impute first")
-        return cls(rows, centre, features, spec, row["n"], events, row["times"], keep, death)
-
-    @property
-    def x(self) -> list[str]:
-        return [f"x{i}" for i in range(len(self.features))]
+        own = [every - totals.get(m, 0.0) for m in range(models)] if fold is not None else [every]
+        if any(o[1, p] == 0 for o in own):
+            raise ValueError("no event observed")
+        rows = keep.select("t", "e", "g", *[(F.col(v) - F.lit(float(c))).alias(f"x{i}") for i, (v, c) in enumerate(zip(names, centre))])
+        return cls(
+            timeline=Timeline(rows, [f"x{i}" for i in range(p)], size, spec.part_rows),
+            spec=spec,
+            features=features,
+            models=models,
+            centre=centre,
+            deviation=np.sqrt(np.maximum(every[2, :p] / size - centre**2, 0.0)),
+            n=np.array([o[0, p] for o in own]),
+            death_x=np.array([o[1, :p] - o[1, p] * centre for o in own]),
+        )
 
     @property
     def efron(self) -> bool:
         return self.spec.ties == "efron"
 
-    @property
-    def on_driver(self) -> bool:
-        """Whether the table of distinct durations is provably small enough for the driver."""
-        width = 2 + len(self.features) * (2 if self.efron else 1)
-        return 1.2 * self.n_times * width <= self.spec.driver_cells
-
-    def _cells(self, beta: np.ndarray) -> tuple[DataFrame, list[str]]:
-        """Per distinct duration: d, s0, s1_* (and e0, e1_* over the events for Efron).
+    def _cells(self) -> Callable[[Part, int, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A part's sums per distinct time for a model (d, s0, s1..., and e0, e1... over the events for Efron), and its rows' weights and deaths."""
+        efron = self.efron
 
-        Partial sums are numpy products inside each partition, so a step with new coefficients
-        compiles no new code; only (partition, duration) sums are shuffled.
-        """
-        x, efron = self.x, self.efron
-        p = len(x)
-        names = ["d", "s0", *[f"s1_{i}" for i in range(p)]]
-        if efron:
-            names += ["e0", *[f"e1_{i}" for i in range(p)]]
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            times, sums = [], []
-
-            def collapse() -> None:
-                t, row = np.unique(np.concatenate(times), return_inverse=True)
-                total = np.zeros((len(t), len(names)))
-                np.add.at(total, row, np.concatenate(sums))
-                times[:], sums[:] = [t], [total]
-
-            held = 0
-            for batch in batches:
-                died = batch.column("e").to_numpy(zero_copy_only=False).astype(float)
-                features = _matrix(batch, x)
-                w = np.exp(features @ beta)
-                moved = features * w[:, None]
-                parts = [died[:, None], w[:, None], moved]
-                if efron:
-                    parts += [(died * w)[:, None], moved * died[:, None]]
-                times.append(batch.column("t").to_numpy(zero_copy_only=False))
-                sums.append(np.hstack(parts))
-                held += batch.num_rows
-                if held > 100_000:
-                    collapse()
-                    held = 0
-            if times:
-                collapse()
+        def cells(part: Part, m: int, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            mine = (part.g != m).astype(float)
+            died = part.e * mine
+            w = np.exp(part.x @ beta) * mine
+            moved = part.x * w[:, None]
+            columns = [died[:, None], w[:, None], moved]
+            if efron:
+                columns += [(died * w)[:, None], moved * died[:, None]]
+            return part.per_time(np.hstack(columns)), w, died
+
+        return cells
+
+    def _split(self, sums: np.ndarray, cells: np.ndarray) -> dict[str, np.ndarray]:
+        """Terms of times whose risk-set sums and own sums are given, with S1 and E1 beside them."""
+        return _split_terms(sums, cells, len(self.features), self.efron)
+
+    def evaluate(self, betas: dict[int, np.ndarray]) -> dict[int, _State]:
+        cells, p, efron = self._cells(), len(self.features), self.efron
+        single = self.timeline.parts == 1
+        found: dict[int, Borders] = {}
+        if not single:
+            vectors: dict[int, dict[int, np.ndarray]] = {m: {} for m in betas}
+
+            def totals(part: Part) -> Iterator[tuple[int, np.ndarray]]:
+                for m, beta in betas.items():
+                    yield m, border_vector(part, cells(part, m, beta)[0])
+
+            for q, m, v in self.timeline.vectors(totals):
+                vectors[m][q] = v
+            found = {m: borders(v, self.timeline.parts) for m, v in vectors.items()}
+        before = self._shared({m: b.before for m, b in found.items()})
+
+        def inside(part: Part) -> Iterator[tuple[int, np.ndarray]]:
+            for m, beta in betas.items():
+                own, _, _ = cells(part, m, beta)
+                own, carry = (own, 0.0) if single else (own[1:-1], before.value[m][part.number])
+                x = _split_terms(carry + np.cumsum(own, axis=0), own, p, efron)
+                pulled = x["s1"].T @ x["a"] - x["e1"].T @ x["b"]
+                yield m, np.concatenate([[x["log"].sum(), x["a"].sum(), x["hazard"].sum()], pulled])
+
+        inner = {m: np.zeros((self.timeline.parts, 3)) for m in betas}
+        pulled = {m: np.zeros(p) for m in betas}
+        for q, m, v in self.timeline.vectors(inside):
+            inner[m][q] = v[:3]
+            pulled[m] = pulled[m] + v[3:]
+        before.unpersist()
+        states = {}
+        for m, beta in betas.items():
+            log_sum, pull, terms = inner[m][:, 0].sum(), pulled[m], None
+            if m in found:
+                terms = self._split(found[m].sums, found[m].at)
+                log_sum += terms["log"].sum()
+                pull = pull + terms["s1"].T @ terms["a"] - terms["e1"].T @ terms["b"]
+            log_likelihood = float(beta @ self.death_x[m]) - log_sum
+            loss = (-log_likelihood + 0.5 * self.spec.alpha * float(beta @ beta)) / self.n[m]
+            gradient = (-(self.death_x[m] - pull) + self.spec.alpha * beta) / self.n[m]
+            states[m] = _State(beta, loss, gradient, found.get(m), inner[m], terms)
+        return states
+
+    def _shared(self, value: Any) -> Any:
+        return self.timeline.spark.sparkContext.broadcast(value)
+
+    def hessian(self, states: dict[int, _State]) -> dict[int, np.ndarray]:
+        cells, p, efron = self._cells(), len(self.features), self.efron
+        single = self.timeline.parts == 1
+        betas = {m: s.beta for m, s in states.items()}
+        carried = {}
+        for m, s in states.items():
+            if s.borders is not None:
+                low, high = _upto(s.borders, s.inner[:, 1], s.terms["a"])
+                tied = dict(zip(s.borders.times, s.terms["b"]))
+                b = np.array([[tied.get(t, 0.0) for t in side] for side in (s.borders.first, s.borders.last)]).T
+                carried[m] = (s.borders.before, low, high, b)
+        shared = self._shared(carried)
+
+        def second(part: Part) -> Iterator[pa.RecordBatch]:
+            i, j = np.triu_indices(p)
+            for m, beta in betas.items():
+                own, w, died = cells(part, m, beta)
+                if single:
+                    x = _split_terms(np.cumsum(own, axis=0), own, p, efron)
+                    acc, tied = np.cumsum(x["a"][::-1])[::-1], x["b"]
+                else:
+                    before, low, high, b = (v[part.number] for v in shared.value[m])
+                    x = _split_terms(before + np.cumsum(own[1:-1], axis=0), own[1:-1], p, efron)
+                    acc = np.concatenate([[high], low + np.cumsum(x["a"][::-1])[::-1], [low]])[: len(own)]
+                    tied = np.concatenate([[b[0]], x["b"], [b[1]]])[: len(own)]
+                weight = w * (part.spread(acc) - died * part.spread(tied))
+                total = part.x.T @ (part.x * weight[:, None]) - _outer(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(times[0]), *[pa.array(c) for c in sums[0].T]], ["t", *names]
+                    [pa.array(np.full(len(i), m), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["m", "i", "j", "v"]
                 )
 
-        schema = ", ".join(f"{n} double" for n in ("t", *names))
-        return self.rows.mapInArrow(partial, schema), names
-
-    def evaluate(self, beta: np.ndarray) -> _State:
-        cells, names = self._cells(beta)
-        if self.on_driver:
-            t = cells.groupBy("t").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
-            t = t.sort_values("t", ascending=False, ignore_index=True)
-            cumulated = [c for c in t.columns if c.startswith("s")]
-            t[cumulated] = t[cumulated].cumsum()
-            t = t[::-1].reset_index(drop=True)
-            t = t.assign(**self._terms(t))
-            log_sum = float(t["log"].sum())
-            pulled = self._stack(t, "s1").T @ t["a"].to_numpy()
-            if self.efron:
-                pulled = pulled - self._stack(t, "e1").T @ t["b"].to_numpy()
-            table: Any = t
-        else:
-            table, log_sum, pulled = self._evaluate_spread(cells, names)
-        log_likelihood = float(beta @ self.death_x) - log_sum
-        loss = (-log_likelihood + 0.5 * self.spec.alpha * float(beta @ beta)) / self.n
-        gradient = (-(self.death_x - pulled) + self.spec.alpha * beta) / self.n
-        return _State(beta, loss, gradient, table)
-
-    def hessian(self, state: _State) -> np.ndarray:
-        p = len(self.features)
-        t = state.table
-        if self.on_driver:
-            s1, c0 = self._stack(t, "s1"), t["c0"].to_numpy()
-            outer = s1.T @ (s1 * c0[:, None])
-            if self.efron:
-                e1 = self._stack(t, "e1")
-                cross = s1.T @ (e1 * t["c1"].to_numpy()[:, None])
-                outer = outer - cross - cross.T + e1.T @ (e1 * t["c2"].to_numpy()[:, None])
-            gram = self._gram(state)
-        else:
-            outer = self._outer_spread(t)
-            lookup = t.select("t", F.col("acc").alias("_a"), F.col("b").alias("_b"))
-            weight = F.col("_a") - F.when(F.col("e") == 1, F.col("_b")).otherwise(0.0)
-            weighted = self.rows.join(lookup, "t").withColumn(
-                "_weight", F.exp(linear_risk(self.x, state.beta)) * weight
-            )
-            gram = weighted_gram(weighted, self.x, "_weight")
-        return (gram - outer + self.spec.alpha * np.eye(p)) / self.n
-
-    def _gram(self, state: _State) -> np.ndarray:
-        """The weighted Gram matrix with A(t) looked up in the broadcast table of durations,
-        whose size `on_driver` bounds."""
-        t = state.table
-        x, beta = self.x, state.beta
-        steps = self.rows.sparkSession.sparkContext.broadcast(
-            (t["t"].to_numpy(), t["a"].cumsum().to_numpy(), t["b"].to_numpy())
-        )
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            times, acc, tied = steps.value
-            total = np.zeros((len(x), len(x)))
-            for batch in batches:
-                features = _matrix(batch, x)
-                at = np.searchsorted(times, batch.column("t").to_numpy(zero_copy_only=False))
-                died = batch.column("e").to_numpy(zero_copy_only=False)
-                w = np.exp(features @ beta) * (acc[at] - died * tied[at])
-                total += features.T @ (features * w[:, None])
-            yield _triangle(total)
-
-        out = _summed(self.rows.mapInArrow(partial, "i int, j int, v double"), len(x))
-        steps.unpersist()
-        return out
-
-    def baseline(self, state: _State) -> DataFrame:
-        """Breslow hazard on the uncentred scale, so that S = exp(-H exp(beta . x))."""
-        spark = self.rows.sparkSession
-        if self.on_driver:  # the risk sets at the final beta are already here
-            t = state.table
-            shift = math.exp(-float(state.beta @ self.centre))
-            hazard = (t["d"] / t["s0"]).cumsum() * shift
-            table = spark.createDataFrame(
-                pa.table({"t": t["t"].to_numpy(), "hazard": hazard.to_numpy()})
-            )
-            return materialise(table.coalesce(1), "baseline")
-        names = [f"v{i}" for i in range(len(self.features))]
-        scored = self.source.select(
-            F.col("t").alias("duration"),
-            F.col("e").alias("event"),
-            linear_risk(names, state.beta).alias("risk"),
-        )
-        return materialise(breslow_baseline(scored), "baseline")
-
-    def _stack(self, t: pd.DataFrame, kind: str) -> np.ndarray:
-        return t[[f"{kind}_{i}" for i in range(len(self.features))]].to_numpy(dtype=float)
+        out = {m: self.spec.alpha * np.eye(p) - (_outer(s.terms) if s.terms else 0.0) for m, s in states.items()}
+        parts = self.timeline.rows(second, "m int, i int, j int, v double")
+        for r in parts.groupBy("m", "i", "j").agg(F.sum("v").alias("v")).collect():
+            out[r["m"]][r["i"], r["j"]] += r["v"]
+            if r["i"] != r["j"]:
+                out[r["m"]][r["j"], r["i"]] += r["v"]
+        shared.unpersist()
+        return {m: h / self.n[m] for m, h in out.items()}
+
+    def refuse_endless(self, states: dict[int, _State]) -> None:
+        for s in states.values():
+            endless = [f for f, b, d in zip(self.features, s.beta, self.deviation) if abs(b) * d > ENDLESS]
+            if endless:
+                raise ValueError(f"monotone likelihood, no finite coefficient of {', '.join(endless)}: raise alpha")
+
+    def baselines(self, states: dict[int, _State]) -> list[DataFrame]:
+        """Breslow hazards on the uncentred scale, so that S = exp(-H exp(beta . x)): one table (t, hazard) per model."""
+        cells, p, efron = self._cells(), len(self.features), self.efron
+        single = self.timeline.parts == 1
+        betas = {m: s.beta for m, s in states.items()}
+        shift = {m: math.exp(-float(s.beta @ self.centre)) for m, s in states.items()}
+        carried, at_borders = {}, []
+        for m, s in states.items():
+            if s.borders is not None:
+                low, high = _upto(s.borders, s.inner[:, 2], s.terms["hazard"])
+                total = dict(zip(s.borders.last, low)) | dict(zip(s.borders.first, high))
+                own_times = s.borders.times[s.borders.at[:, 1] > 0]
+                at_borders += [(m, float(t), float(total[t] * shift[m])) for t in own_times]
+                carried[m] = (s.borders.before, low)
+        shared = self._shared(carried)
+
+        def hazards(part: Part) -> Iterator[pa.RecordBatch]:
+            for m, beta in betas.items():
+                own, _, _ = cells(part, m, beta)
+                times, before, low = part.time, 0.0, 0.0
+                if not single:
+                    own, times = own[1:-1], times[1:-1]
+                    before, low = (v[part.number] for v in shared.value[m])
+                present = own[:, 1] > 0
+                x = _split_terms(before + np.cumsum(own, axis=0), own, p, efron)
+                hazard = (low + np.cumsum(x["hazard"][::-1])[::-1]) * shift[m]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(present.sum()), m), pa.int32()), pa.array(times[present]), pa.array(hazard[present])], ["m", "t", "hazard"]
+                )
 
-    def _terms(self, t: pd.DataFrame) -> dict[str, np.ndarray]:
-        d, s0 = t["d"].to_numpy(dtype=float), t["s0"].to_numpy(dtype=float)
-        return _time_terms(d, s0, t["e0"].to_numpy(dtype=float) if self.efron else None)
+        schema = "m int, t double, hazard double"
+        table = self.timeline.rows(hazards, schema)
+        if at_borders:
+            table = table.unionByName(self.timeline.spark.createDataFrame(at_borders, schema))
+        table = materialise(table, "baseline")
+        shared.unpersist()
+        return [table.filter(F.col("m") == m).select("t", "hazard") for m in sorted(states)]
 
-    # The same sums when durations are too many for the driver: everything stays a Spark table.
 
-    def _evaluate_spread(self, partials: DataFrame, names: list[str]):
-        splits = measure_splits(self.rows, ["t"])["t"]
-        cells = (
-            with_bucket(partials, splits)
-            .groupBy(BUCKET, "t")
-            .agg(*[F.sum(n).alias(n) for n in names])
-        )
-        cumulated = {n: F.col(n) for n in names if n.startswith("s")}
-        sets = running(cells, "t", cumulated, descending=True, bucketed=splits.bucketed)
-        efron = self.efron
+def _split_terms(sums: np.ndarray, cells: np.ndarray, p: int, efron: bool) -> dict[str, np.ndarray]:
+    d, s0 = cells[:, 0], sums[:, 1]
+    out = _time_terms(d, s0, cells[:, 2 + p] if efron else None)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out["hazard"] = np.where(d > 0, d / s0, 0.0)
+    out["s1"] = sums[:, 2 : 2 + p]
+    out["e1"] = cells[:, 3 + p :] if efron else np.zeros((len(d), p))
+    return out
 
-        def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                e0 = batch["e0"].to_numpy(dtype=float) if efron else None
-                yield batch.assign(
-                    **_time_terms(
-                        batch["d"].to_numpy(dtype=float), batch["s0"].to_numpy(dtype=float), e0
-                    )
-                )
 
-        extra = [T.StructField(n, T.DoubleType()) for n in ("log", "a", "b", "c0", "c1", "c2")]
-        schema = T.StructType([*sets.schema.fields, *extra])
-        with_terms = sets.mapInPandas(terms, schema)
-        table = materialise(
-            running(
-                with_terms.withColumn("acc", F.col("a")),
-                "t",
-                {"acc": F.col("acc")},
-                bucketed=splits.bucketed,
-            ),
-            "risk-sets",
-        )
-        p = len(self.features)
-        pulls = [
-            F.sum(
-                F.col("a") * F.col(f"s1_{i}")
-                - (F.col("b") * F.col(f"e1_{i}") if efron else F.lit(0.0))
-            ).alias(f"p{i}")
-            for i in range(p)
-        ]
-        row = table.agg(F.sum("log").alias("log"), *pulls).first()
-        return table, float(row["log"]), np.array([row[f"p{i}"] for i in range(p)], dtype=float)
-
-    def _outer_spread(self, table: DataFrame) -> np.ndarray:
-        p = len(self.features)
-        s1 = [f"s1_{i}" for i in range(p)]
-        if not self.efron:
-            return weighted_gram(table, s1, "c0")
-        # sum of (c0 S S' - c1 (S E' + E S') + c2 E E') from three Gram matrices, using
-        # S E' + E S' = (S+E)(S+E)' - S S' - E E'.
-        e1 = [f"e1_{i}" for i in range(p)]
-        both = table.select(
-            *s1,
-            *e1,
-            *[(F.col(a) + F.col(b)).alias(f"u_{i}") for i, (a, b) in enumerate(zip(s1, e1))],
-            (F.col("c0") + F.col("c1")).alias("ws"),
-            (F.col("c2") + F.col("c1")).alias("we"),
-            "c1",
-        )
-        return (
-            weighted_gram(both, s1, "ws")
-            + weighted_gram(both, e1, "we")
-            - weighted_gram(both, [f"u_{i}" for i in range(p)], "c1")
-        )
+def _outer(x: dict[str, np.ndarray]) -> np.ndarray:
+    """The products of risk-set sums that the second derivative takes off, over the times given."""
+    s1, e1 = x["s1"], x["e1"]
+    out = s1.T @ (s1 * x["c0"][:, None])
+    if x["c1"].any() or x["c2"].any():
+        cross = s1.T @ (e1 * x["c1"][:, None])
+        out = out - cross - cross.T + e1.T @ (e1 * x["c2"][:, None])
+    return out
 
 
 def _time_terms(d: np.ndarray, s0: np.ndarray, e0: np.ndarray | None) -> dict[str, np.ndarray]:

@@ -25,6 +25,7 @@ from tenure.operators.evaluate import (
 from tenure.operators.scoring import counted, score
 from tenure.operators.survival import CoxModel, CoxPH, partial_log_likelihood, tie_terms
 from tenure.operators.training import RunLog, cross_validate, train_final
+from tenure.plans.timeline import PART_ROWS
 
 FEATURES = ["f1", "f2", "f3"]
 
@@ -58,16 +59,85 @@ def cox(cohort):
 
 
 @pytest.mark.parametrize("ties", ["breslow", "efron"])
-@pytest.mark.parametrize("cells", [survival.DRIVER_CELLS, 0])
-def test_fit_matches_dense_newton(cohort, cohort_pdf, ties, cells):
-    model = CoxPH(alpha=1.0, ties=ties, driver_cells=cells).fit(cohort, FEATURES)
+@pytest.mark.parametrize("part_rows", [PART_ROWS, 90, 7])
+def test_fit_matches_dense_newton(cohort, cohort_pdf, ties, part_rows):
+    """One part, a few parts, and so many that one time fills several."""
+    model = CoxPH(alpha=1.0, ties=ties, part_rows=part_rows).fit(cohort, FEATURES)
     np.testing.assert_allclose(model.coef, newton(cohort_pdf, 1.0, ties), atol=1e-7)
     assert model.gradient_norm < 1e-6
+    assert_baseline(model, cohort_pdf)
 
 
-def test_fit_refuses_no_penalty(cohort):
+def assert_baseline(model, pdf):
+    w = np.exp(pdf[FEATURES].to_numpy() @ np.array(model.coef))
+    hazard, want = 0.0, {}
+    for t in sorted(pdf.duration.unique()):
+        hazard += ((pdf.duration == t) & pdf.event).sum() / w[(pdf.duration >= t).to_numpy()].sum()
+        want[t] = hazard
+    got = [(r["t"], r["hazard"]) for r in model.baseline.collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("part_rows", [PART_ROWS, 31])
+@pytest.mark.parametrize("ties", ["breslow", "efron"])
+def test_folds_are_fitted_together(spark, cohort_pdf, part_rows, ties):
+    """Each fold's model is the one fitted on the other folds alone; a time of one fold only is in no other baseline."""
+    pdf = cohort_pdf.assign(fold=[i % 3 for i in range(len(cohort_pdf))])
+    pdf.loc[0, ["duration", "event", "fold"]] = [77.0, True, 0]
+    models = CoxPH(alpha=0.5, ties=ties, part_rows=part_rows).fit_folds(spark.createDataFrame(pdf).repartition(4), FEATURES, 3)
+    for k, model in enumerate(models):
+        rest = pdf[pdf.fold != k]
+        np.testing.assert_allclose(model.coef, newton(rest, 0.5, ties), atol=1e-6)
+        assert_baseline(model, rest)
+
+
+def test_continuous_times_over_many_parts(spark, cohort_pdf):
+    rng = np.random.default_rng(5)
+    pdf = cohort_pdf.assign(duration=rng.exponential(30, len(cohort_pdf)))
+    model = CoxPH(alpha=1.0, part_rows=11).fit(spark.createDataFrame(pdf), FEATURES)
+    np.testing.assert_allclose(model.coef, newton(pdf, 1.0, "breslow"), atol=1e-7)
+    assert_baseline(model, pdf)
+
+
+def test_fit_without_penalty(spark, cohort, cohort_pdf):
+    model = CoxPH(alpha=0.0).fit(cohort, FEATURES)
+    np.testing.assert_allclose(model.coef, newton(cohort_pdf, 0.0, "breslow"), atol=1e-6)
+    # a full set of dummies and a constant: the likelihood is flat along their sum
+    pdf = cohort_pdf.assign(d0=(cohort_pdf.f3 == 0) * 1.0, d1=(cohort_pdf.f3 == 1) * 1.0, d2=(cohort_pdf.f3 == 2) * 1.0, one=1.0)
+    flat = CoxPH(alpha=0.0).fit(spark.createDataFrame(pdf), ["f1", "d0", "d1", "d2", "one"])
+    less = CoxPH(alpha=0.0).fit(spark.createDataFrame(pdf), ["f1", "d1", "d2"])
+    assert flat.coef[4] == 0 and flat.coef[0] == pytest.approx(less.coef[0], abs=1e-6)
+    assert [flat.coef[2] - flat.coef[1], flat.coef[3] - flat.coef[1]] == pytest.approx(less.coef[1:], abs=1e-6)
+    assert flat.loss == pytest.approx(less.loss)
+
+
+def test_fit_names_what_has_no_finite_coefficient(spark):
+    rows = [(float(i), True, float(10 - i), float(i % 2)) for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "duration double, event boolean, early double, odd double")
+    with pytest.raises(ValueError, match="monotone likelihood.*early"):
+        CoxPH(alpha=0.0).fit(df, ["early", "odd"])
     with pytest.raises(ValueError, match="alpha"):
-        CoxPH(alpha=0.0).fit(cohort, FEATURES)
+        CoxPH(alpha=-1.0).fit(df, ["odd"])
+    with pytest.raises(ValueError, match="no event"):
+        CoxPH().fit(df.withColumn("event", F.lit(False)), ["odd"])
+
+
+def test_curves_at_all_training_times(spark):
+    times = [(i / 7, i * 0.001) for i in range(1, 10_001)]
+    model = CoxModel(name="m", features=["x"], baseline=spark.createDataFrame(times, "t double, hazard double"), coef=[1.0])
+    rows = spark.createDataFrame([(i, i / 1000) for i in range(300)], "id int, x double")
+    curves = model.survival(rows)
+    out = curves.groupBy("id").agg(F.count("t").alias("n"), F.sum("surv").alias("s")).collect()
+    hazard = np.array([h for _, h in times])
+    assert len(out) == 300 and {r["n"] for r in out} == {10_000}
+    for r in out[:5]:
+        assert r["s"] == pytest.approx(np.exp(-hazard * math.exp(r["id"] / 1000)).sum())
+    t = np.array([t for t, _ in times])
+    for r in model.restricted_mean(rows).collect()[:5]:
+        s = np.exp(-hazard * math.exp(r["x"]))
+        assert r["mean_days"] == pytest.approx(t[0] + (s[:-1] * np.diff(t)).sum())
+        assert (r["n_times"], r["horizon_days"]) == (10_000, t[-1])
+    assert model.hazard_at([0, 1 / 7, 5000 / 7 + 0.01, 1e9]) == pytest.approx([0, 0.001, 5.0, 10.0])
 
 
 def test_closed_form_tie_terms(monkeypatch):
