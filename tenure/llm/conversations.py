@@ -370,13 +370,18 @@ def _bounds(parts: pa.Table) -> pa.Table:
     return pa.table(table)
 
 
-def repair(conversations: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def repair(conversations: DataFrame) -> DataFrame:
     """Segments of repaired conversations: SOLVED, with `turns` the rows that the edits leave and `audit` the edits' initials.
 
     Counts are those of the conversation, beside its first segment; cost is 0 or null elsewhere. `alone` says that there is one segment only.
     conversations has conv_id, turn, role, text, and may have copies: how often a row is there, 0 for a row that only names its conversation.
     """
-    scratch = scratch or Scratch(conversations.sparkSession)
+    alone, parts = _solutions(conversations, Scratch(conversations.sparkSession))
+    return alone.unionByName(parts)
+
+
+def _solutions(conversations: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """SOLVED of the conversations that are one segment, and of the others' segments (written)."""
     order = ["_conv", "turn", "role", "text"]
     rows = _rows(conversations, scratch).repartitionByRange(*order).sortWithinPartitions(*order)
     segments = scratch.table(rows.mapInArrow(_segments, SEGMENT))
@@ -391,7 +396,7 @@ def repair(conversations: DataFrame, scratch: Scratch | None = None) -> DataFram
     parts = segments.filter("not alone")
     bounds = scratch.table(parts.select(*light).groupBy("_conv").applyInArrow(_bounds, BOUNDS))
     parts = parts.select("_conv", "conv_id", "segment", "alone", "codes", "roles", "texts").join(bounds, "segment").select(*columns)
-    return alone.mapInArrow(_solved, SOLVED).unionByName(scratch.table(parts.mapInArrow(_solved, SOLVED)))
+    return alone.mapInArrow(_solved, SOLVED), scratch.table(parts.mapInArrow(_solved, SOLVED))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,11 +425,9 @@ COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
 def structure(conversations: DataFrame) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 (rows as `role:text`, a line each) of every conversation."""
-    scratch = Scratch(conversations.sparkSession)
-    solved = repair(conversations, scratch)
+    alone, parts = _solutions(conversations, Scratch(conversations.sparkSession))
     body = F.concat_ws("\n", F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])))
-    alone = solved.filter("alone").select("conv_id", *COUNTS, "audit", F.sha2(body, 256).alias("repaired_sha256"))
-    parts = solved.filter("not alone")
+    alone = alone.select("conv_id", *COUNTS, "audit", F.sha2(body, 256).alias("repaired_sha256"))
     audit = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "audit"))), lambda x: x["audit"]), "")
     whole = parts.groupBy("_conv").agg(F.first("conv_id").alias("conv_id"), *(F.max(c).alias(c) for c in COUNTS), audit.alias("audit"))
     text = parts.select("_conv", "segment", body.alias("body"), (F.size("turns") > 0).alias("some")).repartition("_conv")
