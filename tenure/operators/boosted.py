@@ -1,4 +1,11 @@
-"""Gradient-boosted Cox model: Spark decision trees fitted to Newton steps of the Cox loss."""
+"""Gradient-boosted Cox model: histogram trees on Newton steps of the Cox loss.
+
+Features are cut into at most 256 bins once and kept as bytes, in the order of time (`plans.timeline`). A round takes the risk-set
+sums that give each row its gradient and curvature, then grows a tree level by level: gradients and curvatures are added up per
+node, feature and bin inside each part and summed by Spark, the larger child of a node being its parent less the smaller, and
+the split with the greatest gain is taken. Margins are kept with the rows and moved on every ROUNDS trees; the
+blocks before are given back. Where the table is one part, its task grows ROUNDS trees in a row by the same steps.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +13,26 @@ import json
 import math
 import random
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenure.operators.survival import (
-    SurvivalModel,
-    breslow_baseline,
-    partial_log_likelihood,
-    risk_sets,
-)
-from tenure.plans.materialise import materialise
-from tenure.plans.ordered import measure_splits, running
+from tenure.operators.survival import SurvivalModel, breslow_baseline, running_sums
+from tenure.plans.materialise import discard, materialise
+from tenure.plans.timeline import NO_GROUP, PART_ROWS, Part, Timeline, border_vector, borders
 from tenure.sources.io import read_table, write_table
 
-REWRITE_EVERY = 10  # rounds between two writes of the margins
+BINS = 256
+ROUNDS = 25  # trees between two moves of the margins
+LEAST_GAIN = 1e-6
+QUANTILE_ACCURACY = 10_000
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, below int, above int, value double"
 )
@@ -36,7 +40,7 @@ NODE_SCHEMA = (
 
 @dataclass(frozen=True)
 class Tree:
-    """Nodes in breadth order; feature is -1 at a leaf."""
+    """Nodes in breadth order; feature is -1 at a leaf. A row goes below if its value is at most the threshold."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -53,7 +57,7 @@ class Tree:
         ]
 
     @classmethod
-    def of_rows(cls, rows: Sequence[Any]) -> "Tree":
+    def of_rows(cls, rows: Sequence[Any]) -> Tree:
         def column(name: str, kind: type) -> np.ndarray:
             return np.array([r[name] for r in rows], dtype=kind)
 
@@ -65,27 +69,20 @@ class Tree:
             column("value", float),
         )
 
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The node at which each row of values ends."""
+        node = np.zeros(len(x), dtype=np.int64)
+        row = np.arange(len(x))
+        while True:
+            f = self.feature[node]
+            inner = f >= 0
+            if not inner.any():
+                return node
+            below = x[row, np.maximum(f, 0)] <= self.threshold[node]
+            node = np.where(inner, np.where(below, self.below[node], self.above[node]), node)
 
-def read_tree(model: Any, columns: Sequence[int], reg_lambda: float) -> Tree:
-    """Flatten a fitted Spark tree; leaf values are -sum(g) / (sum(h) + lambda).
-
-    Spark keeps (sum of weights, sum of weight * label) per node. Weights are h and labels -g/h,
-    so these are sum(h) and -sum(g).
-    """
-    nodes: list[list] = []
-    queue = [model._java_obj.rootNode()]
-    while queue:
-        node = queue.pop(0)
-        if node.getClass().getSimpleName() == "LeafNode":
-            weight, total = list(node.impurityStats().stats())[:2]
-            nodes.append([-1, 0.0, -1, -1, total / (weight + reg_lambda)])
-        else:
-            split = node.split()
-            ahead = len(nodes) + len(queue) + 1
-            nodes.append([columns[split.featureIndex()], split.threshold(), ahead, ahead + 1, 0.0])
-            queue += [node.leftChild(), node.rightChild()]
-    f, t, b, a, v = zip(*nodes)
-    return Tree(np.array(f), np.array(t, float), np.array(b), np.array(a), np.array(v, float))
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return self.value[self.leaf(x)]
 
 
 def forest_column(trees: Sequence[Tree], features: Sequence[str], rate: float) -> Column:
@@ -97,20 +94,7 @@ def forest_column(trees: Sequence[Tree], features: Sequence[str], rate: float) -
     @F.pandas_udf(T.DoubleType())
     def evaluate(rows: pd.DataFrame) -> pd.Series:
         x = rows.to_numpy(dtype=float)
-        at_row = np.arange(len(x))
-        total = np.zeros(len(x))
-        for tree in trees:
-            node = np.zeros(len(x), dtype=int)
-            while True:
-                f = tree.feature[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                goes_below = x[at_row, np.maximum(f, 0)] <= tree.threshold[node]
-                step = np.where(goes_below, tree.below[node], tree.above[node])
-                node = np.where(inner, step, node)
-            total += tree.value[node]
-        return pd.Series(total * rate)
+        return pd.Series(sum((tree.values(x) for tree in trees), np.zeros(len(x))) * rate)
 
     return evaluate(F.struct(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]))
 
@@ -126,6 +110,9 @@ class BoostedModel(SurvivalModel):
     def risk_column(self) -> Column:
         return forest_column(self.trees, self.features, self.rate)
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([r for i, t in enumerate(self.trees) for r in t.rows(i)], NODE_SCHEMA)
+
     def save(self, path: str) -> None:
         spark = self.baseline.sparkSession
         meta = {
@@ -135,13 +122,11 @@ class BoostedModel(SurvivalModel):
             "features": self.features,
             "rate": self.rate,
         }
-        nodes = [r for i, t in enumerate(self.trees) for r in t.rows(i)]
-        table = spark.createDataFrame(nodes, NODE_SCHEMA).withColumn("meta", F.lit(json.dumps(meta)))
-        write_table(table.coalesce(1), f"{path}/trees")
+        write_table(self.nodes(spark).withColumn("meta", F.lit(json.dumps(meta))).coalesce(1), f"{path}/trees")
         write_table(self.baseline, f"{path}/baseline")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "BoostedModel":
+    def load(cls, spark: SparkSession, path: str) -> BoostedModel:
         rows = read_table(spark, f"{path}/trees").orderBy("tree", "node").collect()
         meta = json.loads(rows[0]["meta"])
         by_tree: dict[int, list] = {}
@@ -158,128 +143,393 @@ class BoostedModel(SurvivalModel):
         )
 
 
+# --- bins ---------------------------------------------------------------------------------------
+
+
+def bin_borders(rows: DataFrame, names: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
+    """Upper borders of each column's bins but the last: all distinct values where they are few, else quantiles.
+
+    What a scan returns is bounded by bins. Nulls and NaN fall into the last bin.
+    """
+    value = lambda n: F.when(~F.isnan(n), F.col(n))
+    counts = rows.agg(*[F.approx_count_distinct(value(n)).alias(n) for n in names]).first()
+    few = {n for n in names if counts[n] <= 2 * bins}
+    found = rows.agg(
+        *[
+            (F.collect_set(value(n)) if n in few else F.percentile_approx(value(n), [i / bins for i in range(1, bins)], QUANTILE_ACCURACY)).alias(n)
+            for n in names
+        ]
+    ).first()
+    out = []
+    for n in names:
+        distinct = np.unique(np.array(found[n] or [], float))
+        if n in few:
+            distinct = distinct[:-1] if len(distinct) <= bins else np.unique(np.quantile(distinct, np.arange(1, bins) / bins, method="lower"))
+        out.append(distinct)
+    return out
+
+
+def binned(borders_: list[np.ndarray]):
+    def encode(x: np.ndarray) -> np.ndarray:
+        out = np.empty(x.shape, np.uint8)
+        for i, b in enumerate(borders_):
+            out[:, i] = np.searchsorted(b, x[:, i], "left")  # NaN sorts last
+        return out
+
+    return encode
+
+
+# --- rounds -------------------------------------------------------------------------------------
+
+
+def _margin(part: Part, trees: Sequence[Tree], rate: float) -> np.ndarray:
+    m = part.m
+    for tree in trees:
+        m = m + rate * tree.values(part.x)
+    return m
+
+
+def _sums_at(part: Part, w: np.ndarray) -> np.ndarray:
+    """Events and summed weights at each distinct time."""
+    return part.per_time(np.column_stack([part.e.astype(float), w]))
+
+
+def _steps(sums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """d / S0 and d / S0^2 of times whose risk-set and own sums are given."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.where(at[:, 0] > 0, at[:, 0] / sums[:, 1], 0.0)
+        return a, np.where(at[:, 0] > 0, a / sums[:, 1], 0.0)
+
+
+def _ascending(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a[::-1])[::-1]
+
+
+def _gradients(part: Part, w: np.ndarray, carry: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of every row; carry: the part's sums from other parts (None: it is the only one)."""
+    at = _sums_at(part, w)
+    if carry is None:
+        sums = [_ascending(s) for s in _steps(np.cumsum(at, axis=0), at)]
+    else:
+        before, low, high = carry
+        inner = at[1:-1]
+        steps = _steps(before + np.cumsum(inner, axis=0), inner)
+        sums = [np.concatenate([[h], lo + _ascending(s), [lo]])[: len(at)] for s, lo, h in zip(steps, low, high)]
+    a, b = (part.spread(s) for s in sums)
+    return w * a - part.e, w * a - w * w * b
+
+
+def _drawn(part: Part, seed: int, number: int, share: float) -> np.ndarray:
+    """Whether a row takes part in a round: a hash of its number, so it does not hang on the parts."""
+    x = part.r.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + number * 0xD1B54A32D192ED03) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 < share
+
+
+def _histograms(part: Part, node: np.ndarray, wanted: list[int], columns: list[int], g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(wanted node, column, bin, 2): summed gradient and curvature."""
+    place = np.full(max(int(node.max(initial=0)), max(wanted)) + 1, -1)
+    place[wanted] = range(len(wanted))
+    here = np.flatnonzero(place[node] >= 0)
+    slot = place[node[here]] * BINS
+    out = np.empty((len(wanted), len(columns), BINS, 2))
+    for i, c in enumerate(columns):
+        at = slot + part.x[here, c]
+        for k, v in enumerate((g, h)):
+            out[:, i, :, k] = np.bincount(at, v[here], len(wanted) * BINS).reshape(-1, BINS)
+    return out
+
+
+class _InTask:
+    """The sums of a round from the rows of a single part, inside its task."""
+
+    def __init__(self, part: Part, spec: BoostedCox):
+        self.part, self.spec = part, spec
+        self.m = part.m
+
+    def start(self, trees: Sequence[Tree], number: int) -> None:
+        if trees:
+            self.m = self.m + self.spec.learning_rate * trees[-1].values(self.part.x)
+        self.g, self.h = _gradients(self.part, np.exp(self.m), None)
+        if self.spec.subsample < 1:
+            out = ~_drawn(self.part, self.spec.random_state, number, self.spec.subsample)
+            self.g, self.h = np.where(out, 0.0, self.g), np.where(out, 0.0, self.h)
+
+    def histograms(self, tree: Tree, wanted: list[int], columns: list[int]) -> np.ndarray:
+        return _histograms(self.part, tree.leaf(self.part.x), wanted, columns, self.g, self.h)
+
+
+class _OnTable:
+    """The sums of a round as Spark jobs over all parts."""
+
+    def __init__(self, timeline: Timeline, spec: BoostedCox):
+        self.timeline, self.spec = timeline, spec
+        self.shared: Any = None
+
+    def start(self, trees: Sequence[Tree], number: int) -> None:
+        self.trees, self.number = list(trees), number
+        rate = self.spec.learning_rate
+        given = self.trees
+
+        def totals(part: Part) -> Iterator[tuple[int, np.ndarray]]:
+            yield 0, border_vector(part, _sums_at(part, np.exp(_margin(part, given, rate))))
+
+        parts = self.timeline.parts
+        found = borders({q: v for q, _, v in self.timeline.vectors(totals)}, parts)
+        before = self._share(found.before)
+
+        def inside(part: Part) -> Iterator[tuple[int, np.ndarray]]:
+            at = _sums_at(part, np.exp(_margin(part, given, rate)))[1:-1]
+            yield 0, np.array([s.sum() for s in _steps(before.value[part.number] + np.cumsum(at, axis=0), at)])
+
+        inner = np.zeros((parts, 2))
+        for q, _, v in self.timeline.vectors(inside):
+            inner[q] = v
+        before.unpersist()
+        low, high = zip(*(running_sums(found, inner[:, k], s) for k, s in enumerate(_steps(found.sums, found.at))))
+        if self.shared is not None:
+            self.shared.unpersist()
+        self.shared = self._share((found.before, np.array(low).T, np.array(high).T))
+
+    def _share(self, value: Any) -> Any:
+        return self.timeline.spark.sparkContext.broadcast(value)
+
+    def histograms(self, tree: Tree, wanted: list[int], columns: list[int]) -> np.ndarray:
+        spec, given, number, shared = self.spec, self.trees, self.number, self.shared
+
+        def add_up(part: Part) -> Iterator[pa.RecordBatch]:
+            carry = tuple(v[part.number] for v in shared.value)
+            g, h = _gradients(part, np.exp(_margin(part, given, spec.learning_rate)), carry)
+            if spec.subsample < 1:
+                out = ~_drawn(part, spec.random_state, number, spec.subsample)
+                g, h = np.where(out, 0.0, g), np.where(out, 0.0, h)
+            sums = _histograms(part, tree.leaf(part.x), wanted, columns, g, h).reshape(-1, 2)
+            cell = np.flatnonzero(sums.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell, 0]), pa.array(sums[cell, 1])], ["cell", "g", "h"])
+
+        rows = self.timeline.rows(add_up, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        out = np.zeros((len(wanted) * len(columns) * BINS, 2))
+        cell = rows.column("cell").to_numpy()
+        out[cell, 0], out[cell, 1] = rows.column("g").to_numpy(), rows.column("h").to_numpy()
+        return out.reshape(len(wanted), len(columns), BINS, 2)
+
+
+class _Growing:
+    """A tree in binned thresholds, grown level by level."""
+
+    def __init__(self):
+        self.feature, self.threshold, self.below, self.above, self.value = [-1], [0.0], [-1], [-1], [0.0]
+
+    def tree(self) -> Tree:
+        return Tree(*(np.array(c) for c in (self.feature, self.threshold, self.below, self.above, self.value)))
+
+    def leaf(self, value: float) -> int:
+        for column, v in zip((self.feature, self.threshold, self.below, self.above, self.value), (-1, 0.0, -1, -1, value)):
+            column.append(v)
+        return len(self.feature) - 1
+
+
+def _best_split(sums: np.ndarray, spec: BoostedCox) -> tuple[float, int, int, np.ndarray, np.ndarray] | None:
+    """(gain, column, bin, sums below, sums above) of a node's histograms; of equal gains the first column and bin."""
+    below = np.cumsum(sums, axis=1)[:, :-1]
+    whole = sums[0].sum(axis=0)
+    above = whole - below
+    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + spec.reg_lambda)
+    gain = score(below) + score(above) - score(whole)
+    gain[(below[..., 1] < spec.min_child_weight) | (above[..., 1] < spec.min_child_weight)] = -math.inf
+    column, place = np.unravel_index(np.argmax(gain), gain.shape)
+    if not gain[column, place] > LEAST_GAIN:
+        return None
+    return float(gain[column, place]), int(column), int(place), below[column, place], above[column, place]
+
+
+def _grow(sums: _InTask | _OnTable, spec: BoostedCox, width: int, number: int) -> Tree:
+    """One tree, its thresholds being bins."""
+    kept = max(1, round(spec.colsample_bytree * width))
+    columns = sorted(random.Random(spec.random_state * 1_000_003 + number).sample(range(width), kept))
+    worth = lambda s: float(-s[0] / (s[1] + spec.reg_lambda))
+    growing = _Growing()
+    at_level = {0: sums.histograms(growing.tree(), [0], columns)[0]}
+    growing.value[0] = worth(at_level[0][0].sum(axis=0))
+    for depth in range(spec.max_depth):
+        pairs = []
+        for node, held in sorted(at_level.items()):
+            split = _best_split(held, spec)
+            if split is None:
+                continue
+            _, column, place, below, above = split
+            growing.feature[node], growing.threshold[node] = columns[column], float(place)
+            growing.below[node], growing.above[node] = growing.leaf(worth(below)), growing.leaf(worth(above))
+            children = [(growing.below[node], below[1]), (growing.above[node], above[1])]
+            pairs.append((held, *(c for c, _ in sorted(children, key=lambda c: c[1]))))
+        if depth + 1 == spec.max_depth or not pairs:
+            break
+        found = sums.histograms(growing.tree(), [small for _, small, _ in pairs], columns)
+        at_level = {}
+        for (held, small, large), mine in zip(pairs, found):
+            at_level[small], at_level[large] = mine, held - mine
+    return growing.tree()
+
+
+def _losses(timeline: Timeline, trees: list[Tree], rate: float) -> list[float]:
+    """The mean negative log partial likelihood per event after each of the trees, for all of them in one or two scans."""
+    k, single = len(trees), timeline.parts == 1
+
+    def sums(part: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Per time: events, and the summed weights after each tree; and the summed margins of events."""
+        m = part.m
+        columns, died = [part.e.astype(float)], []
+        for tree in trees:
+            m = m + rate * tree.values(part.x)
+            columns.append(np.exp(m))
+            died.append(m[part.e > 0].sum())
+        return part.per_time(np.column_stack(columns)), np.array(died)
+
+    def log_sums(total: np.ndarray, at: np.ndarray) -> np.ndarray:
+        dead = at[:, 0] > 0
+        return at[dead, 0] @ np.log(total[dead, 1:])
+
+    outside, shared = np.zeros(k), None
+    if not single:
+
+        def totals(part: Part) -> Iterator[tuple[int, np.ndarray]]:
+            yield 0, border_vector(part, sums(part)[0])
+
+        found = borders({q: v for q, _, v in timeline.vectors(totals)}, timeline.parts)
+        outside = log_sums(found.sums, found.at)
+        shared = timeline.spark.sparkContext.broadcast(found.before)
+
+    def inside(part: Part) -> Iterator[tuple[int, np.ndarray]]:
+        at, died = sums(part)
+        own, before = (at, 0.0) if shared is None else (at[1:-1], shared.value[part.number])
+        yield 0, np.concatenate([[part.e.sum()], died - log_sums(before + np.cumsum(own, axis=0), own)])
+
+    total = sum((v for _, _, v in timeline.vectors(inside)), np.zeros(k + 1))
+    return [float(-(v - o) / total[0]) if total[0] else math.nan for v, o in zip(total[1:], outside)]
+
+
 @dataclass(frozen=True)
 class BoostedCox:
-    """Each round: gradient and curvature of the Cox loss from risk-set sums, then one tree on
-    -gradient/curvature weighted by the curvature."""
+    """Each round: gradient and curvature of the Cox loss from risk-set sums, then one tree.
+
+    A split needs a summed curvature of min_child_weight on both sides; leaves are Newton steps -G / (H + reg_lambda). With
+    an eval_set, rounds end early_stopping_rounds after the least loss on it.
+    """
 
     n_estimators: int = 400
     max_depth: int = 6
     learning_rate: float = 0.05
     subsample: float = 0.8
     colsample_bytree: float = 0.8
-    min_child_weight: int = 5
+    min_child_weight: float = 5
     early_stopping_rounds: int | None = 30
     random_state: int = 42
     reg_lambda: float = 1.0
+    part_rows: int = PART_ROWS
 
     @property
     def name(self) -> str:
         return "BoostedCox"
 
     def get_params(self) -> dict[str, Any]:
-        return {k: getattr(self, k) for k in self.__dataclass_fields__}
+        return {k: getattr(self, k) for k in self.__dataclass_fields__ if k != "part_rows"}
 
     def fit(
         self, df: DataFrame, features: Sequence[str], eval_set: DataFrame | None = None
     ) -> BoostedModel:
         features = list(features)
-        rng = random.Random(self.random_state)
         names = [f"v{i}" for i in range(len(features))]
 
         def prepared(rows: DataFrame) -> DataFrame:
             return materialise(
                 rows.select(
-                    F.monotonically_increasing_id().alias("_row"),
                     F.col("duration").cast("double").alias("t"),
                     F.col("event").cast("int").alias("e"),
+                    F.lit(NO_GROUP).alias("g"),
                     *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)],
-                    F.lit(0.0).alias("m"),
                 ),
                 "boost",
             )
 
         train = prepared(df)
-        held_out = prepared(eval_set) if eval_set is not None else None
-        splits = measure_splits(train, ["t"])["t"]
-        trees: list[Tree] = []
-        losses: list[float] = []
-        best, best_at = math.inf, 0
-        for number in range(self.n_estimators):
-            steps = self._hazard_steps(train, splits)
-            tree = self._grow(train.join(steps, "t"), names, rng, number)
-            trees.append(tree)
-            grown = F.col("m") + forest_column([tree], names, self.learning_rate)
-            train = train.withColumn("m", grown)
-            if held_out is not None:
-                held_out = held_out.withColumn("m", grown)
-            if (number + 1) % REWRITE_EVERY == 0:
-                train = materialise(train, "boost")
-                held_out = None if held_out is None else materialise(held_out, "boost")
-            if held_out is None:
-                continue
-            losses.append(_loss(held_out))
-            if losses[-1] < best:
-                best, best_at = losses[-1], number
-            elif (
-                self.early_stopping_rounds is not None
-                and number - best_at >= self.early_stopping_rounds
-            ):
-                trees = trees[: best_at + 1]
-                break
+        tables = [train] + ([prepared(eval_set)] if eval_set is not None and eval_set is not df else [])
+        cuts = bin_borders(train, names)
+        lines = [Timeline(t, names, t.count(), self.part_rows, np.uint8, binned(cuts)) for t in tables]
+        try:
+            trees, losses = self._rounds(lines[0], lines[-1] if eval_set is not None else None, len(names))
+        finally:
+            for line in lines:
+                line.release()
+        trees = [_in_values(t, cuts) for t in trees]
         scored = train.select(
             F.col("t").alias("duration"),
             F.col("e").alias("event"),
             forest_column(trees, names, self.learning_rate).alias("risk"),
         )
-        return BoostedModel(
+        scored = materialise(scored, "scored")
+        model = BoostedModel(
             name=self.name,
             features=features,
-            baseline=materialise(breslow_baseline(materialise(scored, "scored")), "baseline"),
+            baseline=materialise(breslow_baseline(scored), "baseline"),
             params=self.get_params(),
             version=f"boosted-{uuid.uuid4().hex[:12]}",
             trees=trees,
             rate=self.learning_rate,
             losses=losses,
         )
+        discard(scored, *tables)
+        return model
 
-    @staticmethod
-    def _hazard_steps(train: DataFrame, splits) -> DataFrame:
-        """(t, a, b): running sums of d/S0 and d/S0^2 at every distinct duration."""
-        sets, bucketed = risk_sets(train, duration="t", event="e", risk="m", splits=splits)
-        each = F.col("d") / F.col("s0")
-        return running(
-            sets, "t", {"a": each, "b": each / F.col("s0")}, bucketed=bucketed
-        ).select("t", "a", "b")
-
-    def _grow(self, rows: DataFrame, names: list[str], rng: random.Random, number: int) -> Tree:
-        w = F.exp("m")
-        g = w * F.col("a") - F.col("e")
-        h = F.greatest(w * F.col("a") - w * w * F.col("b"), F.lit(1e-6))
-        kept = max(1, round(self.colsample_bytree * len(names)))
-        columns = sorted(rng.sample(range(len(names)), kept))
-        if self.subsample < 1:
-            # A draw per row and round that does not depend on how rows are laid out.
-            draw = F.pmod(F.xxhash64("_row", F.lit(self.random_state), F.lit(number)), F.lit(1_000_000))
-            rows = rows.filter(draw < int(self.subsample * 1_000_000))
-        labelled = rows.select(
-            *[names[i] for i in columns], (-g / h).alias("label"), h.alias("weight")
-        )
-        labelled = materialise(labelled, "gradient")
-        total = labelled.agg(F.sum("weight")).first()[0]
-        assembled = VectorAssembler(
-            inputCols=[names[i] for i in columns], outputCol="features"
-        ).transform(labelled)
-        model = DecisionTreeRegressor(
-            maxDepth=self.max_depth,
-            weightCol="weight",
-            minWeightFractionPerNode=min(0.49, self.min_child_weight / total) if total else 0.0,
-            seed=self.random_state + number,
-        ).fit(assembled)
-        return read_tree(model, columns, self.reg_lambda)
-
-
-def _loss(rows: DataFrame) -> float:
-    return float(
-        partial_log_likelihood(rows, duration="t", event="e", risk="m").first()["loss"]
-    )
+    def _rounds(self, line: Timeline, held_out: Timeline | None, width: int) -> tuple[list[Tree], list[float]]:
+        """The trees, their thresholds being bins, and the losses after each."""
+        trees: list[Tree] = []
+        losses: list[float] = []
+        while len(trees) < self.n_estimators:
+            more = self._grown(line, width, len(trees), min(ROUNDS, self.n_estimators - len(trees)))
+            trees += more
+            if held_out is not None:
+                losses += _losses(held_out, more, self.learning_rate)
+                best = int(np.argmin(losses))
+                if self.early_stopping_rounds is not None and len(losses) - 1 - best >= self.early_stopping_rounds:
+                    # Rounds that a round-by-round check would not have seen do not count.
+                    end = next(n for n in range(len(losses)) if n - int(np.argmin(losses[: n + 1])) >= self.early_stopping_rounds)
+                    losses = losses[: end + 1]
+                    return trees[: int(np.argmin(losses)) + 1], losses
+            if len(trees) < self.n_estimators:
+                rate = self.learning_rate
+                for each in {id(x): x for x in (line, held_out) if x is not None}.values():
+                    each.advance(lambda part, more=more: _margin(part, more, rate))
+        return trees, losses
+
+    def _grown(self, line: Timeline, width: int, first: int, rounds: int) -> list[Tree]:
+        if line.parts > 1:
+            sums, trees = _OnTable(line, self), []
+            for number in range(first, first + rounds):
+                sums.start(trees, number)
+                trees.append(_grow(sums, self, width, number))
+            return trees
+        spec = self
+
+        def boost(part: Part) -> Iterator[pa.RecordBatch]:
+            sums, grown = _InTask(part, spec), []
+            for number in range(first, first + rounds):
+                sums.start(grown, number)
+                grown.append(_grow(sums, spec, width, number))
+            rows = [r for i, t in enumerate(grown) for r in t.rows(i)]
+            names = ["tree", "node", "feature", "threshold", "below", "above", "value"]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        by_tree: dict[int, list] = {}
+        for r in line.rows(boost, NODE_SCHEMA).collect():
+            by_tree.setdefault(r["tree"], []).append(r)
+        return [Tree.of_rows(sorted(by_tree[k], key=lambda r: r["node"])) for k in sorted(by_tree)]
+
+
+def _in_values(tree: Tree, cuts: list[np.ndarray]) -> Tree:
+    """The tree with the borders of its bins as thresholds; a bin beyond the last border takes all values."""
+    threshold = [
+        0.0 if f < 0 else cuts[f][int(b)] if int(b) < len(cuts[f]) else math.inf for f, b in zip(tree.feature, tree.threshold)
+    ]
+    return Tree(tree.feature, np.array(threshold, float), tree.below, tree.above, tree.value)

@@ -425,7 +425,7 @@ class _State:
     terms: dict[str, np.ndarray] | None  # of the border times
 
 
-def _upto(borders: Borders, inner: np.ndarray, at_border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def running_sums(borders: Borders, inner: np.ndarray, at_border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per part, a running sum over ascending times up to its last (lowest) and up to its first time."""
     place = {t: i for i, t in enumerate(borders.times)}
     below = np.zeros(len(borders.times) + 1)
@@ -587,7 +587,7 @@ class _CoxProblem:
         carried = {}
         for m, s in states.items():
             if s.borders is not None:
-                low, high = _upto(s.borders, s.inner[:, 1], s.terms["a"])
+                low, high = running_sums(s.borders, s.inner[:, 1], s.terms["a"])
                 tied = dict(zip(s.borders.times, s.terms["b"]))
                 b = np.array([[tied.get(t, 0.0) for t in side] for side in (s.borders.first, s.borders.last)]).T
                 carried[m] = (s.borders.before, low, high, b)
@@ -635,7 +635,7 @@ class _CoxProblem:
         carried, at_borders = {}, []
         for m, s in states.items():
             if s.borders is not None:
-                low, high = _upto(s.borders, s.inner[:, 2], s.terms["hazard"])
+                low, high = running_sums(s.borders, s.inner[:, 2], s.terms["hazard"])
                 total = dict(zip(s.borders.last, low)) | dict(zip(s.borders.first, high))
                 own_times = s.borders.times[s.borders.at[:, 1] > 0]
                 at_borders += [(m, float(t), float(total[t] * shift[m])) for t in own_times]

@@ -8,7 +8,6 @@ bounded. A time that may reach over the border of a part (its first and its last
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,19 +20,24 @@ from pyspark.sql import functions as F
 PART_ROWS = 1 << 16  # rows a task holds, while there are no more parts than the driver follows
 MAX_PARTS = 1 << 16
 BLOCK_ROWS = 1 << 10
-LAYOUT = "part int, t binary, e binary, g binary, x binary"
+LAYOUT = "part int, t binary, e binary, g binary, x binary, r binary, m binary"
 NO_GROUP = -1
 
 
 @dataclass(frozen=True)
 class Part:
-    """The rows of one part, latest first: time, event, group and features; `start` is the first row of each distinct time."""
+    """The rows of one part, latest first: time, event, group, features, a row number that stays, and a margin (0 at first).
+
+    `start` is the first row of each distinct time.
+    """
 
     number: int
     t: np.ndarray
     e: np.ndarray
     g: np.ndarray
     x: np.ndarray
+    r: np.ndarray
+    m: np.ndarray
     start: np.ndarray
 
     def per_time(self, values: np.ndarray) -> np.ndarray:
@@ -52,9 +56,9 @@ def parts_of(batches: Iterator[pa.RecordBatch], width: int, kind: type = np.floa
     """The parts of a task; the blocks of a part follow one another."""
 
     def joined(held: list[tuple], number: int) -> Part:
-        t, e, g, x = (np.concatenate(c) for c in zip(*held))
+        t, e, g, x, r, m = (np.concatenate(c) for c in zip(*held))
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        return Part(number, t, e, g, x.reshape(len(t), width), start)
+        return Part(number, t, e, g, x.reshape(len(t), width), r, m, start)
 
     held: list[tuple] = []
     now = -1
@@ -65,38 +69,56 @@ def parts_of(batches: Iterator[pa.RecordBatch], width: int, kind: type = np.floa
                 yield joined(held, now)
                 held = []
             now = number
-            t, e, g, x = (batch.column(c)[i].as_buffer() for c in range(1, 5))
-            held.append((np.frombuffer(t), np.frombuffer(e, np.int8), np.frombuffer(g, np.int32), np.frombuffer(x, kind)))
+            t, e, g, x, r, m = (batch.column(c)[i].as_buffer() for c in range(1, 7))
+            numbers = (np.frombuffer(b, k) for b, k in ((t, np.float64), (e, np.int8), (g, np.int32), (x, kind), (r, np.int64), (m, np.float64)))
+            held.append(tuple(numbers))
     if held:
         yield joined(held, now)
 
 
+Encode = Callable[[np.ndarray], np.ndarray]
+
+
 class Timeline:
     """A table's rows as parts in the order of time; `release` gives the storage back."""
 
-    def __init__(self, rows: DataFrame, columns: Sequence[str], size: int, part_rows: int = PART_ROWS, kind: type = np.float64):
-        """rows: t, e (null counts as censored), g (a group number) and `columns`, none of them null; size: their number."""
+    def __init__(
+        self, rows: DataFrame, columns: Sequence[str], size: int, part_rows: int = PART_ROWS, kind: type = np.float64, encode: Encode | None = None
+    ):
+        """rows: t, e (null counts as censored), g (a group number) and `columns`; size: their number. encode turns a matrix of the columns into kind."""
         columns = list(columns)
         self.spark = rows.sparkSession
         self.width = len(columns)
         self.kind = kind
         self.parts = max(1, min(MAX_PARTS, -(-size // part_rows)))
-        number = f"_n{uuid.uuid4().hex[:8]}"
         rows = rows.select(
             F.col("t").cast("double").alias("t"),
             F.coalesce(F.col("e").cast("int"), F.lit(0)).alias("e"),
             F.col("g").cast("int").alias("g"),
+            F.monotonically_increasing_id().alias("_r"),
             *columns,
-            F.monotonically_increasing_id().alias(number),
         )
-        latest = [F.col("t").desc(), F.col(number)]
+        latest = [F.col("t").desc(), F.col("_r")]
         dealt = rows.repartition(1) if self.parts == 1 else rows.repartitionByRange(self.parts, *latest)
-        ordered = dealt.sortWithinPartitions(*latest).drop(number)
-        self.blocks = ordered.mapInArrow(_packer(columns, kind), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
+        ordered = dealt.sortWithinPartitions(*latest)
+        self.blocks = ordered.mapInArrow(_packer(columns, kind, encode), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
         self.blocks.unpersist()
 
+    def advance(self, margin: Callable[[Part], np.ndarray]) -> None:
+        """Give every row a new margin. The blocks with the old ones are given back."""
+
+        def moved(part: Part) -> Iterator[pa.RecordBatch]:
+            m = margin(part)
+            for begin in range(0, len(m), BLOCK_ROWS):
+                rows = slice(begin, begin + BLOCK_ROWS)
+                yield _block(part.number, *(a[rows] for a in (part.t, part.e, part.g, part.x, part.r, m)))
+
+        before, self.blocks = self.blocks, self.rows(moved, LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
+        self.blocks.agg(F.count("part")).collect()
+        before.unpersist()
+
     def rows(self, kernel: Callable[[Part], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """What the kernel makes of every part."""
         width, kind = self.width, self.kind
@@ -122,20 +144,23 @@ class Timeline:
         return [(p.as_py(), n.as_py(), x.values.to_numpy()) for p, n, x in zip(part, number, v)]
 
 
-def _packer(columns: list[str], kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _block(part: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    packed = [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *packed], ["part", "t", "e", "g", "x", "r", "m"])
+
+
+def _packer(columns: list[str], kind: type, encode: Encode | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK_ROWS):
                 rows = batch.slice(begin, BLOCK_ROWS)
-                x = np.empty((rows.num_rows, len(columns)), kind)
+                x = np.empty((rows.num_rows, len(columns)))
                 for i, c in enumerate(columns):
                     x[:, i] = rows.column(c).to_numpy(zero_copy_only=False)
-                t, e, g = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("t", "e", "g"))
-                arrays = [t.astype(np.float64), e.astype(np.int8), g.astype(np.int32), x]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], ["part", "t", "e", "g", "x"]
-                )
+                t, e, g, r = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("t", "e", "g", "_r"))
+                x = (x if encode is None else encode(x)).astype(kind)
+                yield _block(part, t.astype(np.float64), e.astype(np.int8), g.astype(np.int32), x, r.astype(np.int64), np.zeros(len(t)))
 
     return pack
 

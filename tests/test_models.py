@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.operators import survival
+from tenure.operators import boosted, survival
 from tenure.operators.behaviour import changed_scores, curve_breaks, quartile_means, risk_by_outcome, spearman
 from tenure.operators.boosted import BoostedCox, BoostedModel
 from tenure.operators.evaluate import (
@@ -346,6 +346,77 @@ def test_scoring_from_a_map(spark, cohort, cox):
     assert seen.get == {"total": cohort.count() + 1, "failed": 1}
 
 
+def plain_tree(pdf, margin, spec, number=0):
+    """Leaf values of one tree for every row, from the definition: all values are candidate thresholds."""
+    x, t, e = pdf[FEATURES].to_numpy(), pdf.duration.to_numpy(), pdf.event.to_numpy()
+    w = np.exp(margin)
+    s0 = np.array([w[t >= u].sum() for u in t])
+    a = np.array([(1 / s0)[e & (t <= u)].sum() for u in t])
+    b = np.array([(1 / s0**2)[e & (t <= u)].sum() for u in t])
+    g, h = w * a - e, w * a - w * w * b
+    out = np.zeros(len(pdf))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + spec.reg_lambda)
+
+    def grow(rows, depth):
+        best = (1e-6, None)
+        if depth < spec.max_depth:
+            for f in range(x.shape[1]):
+                for v in np.unique(x[rows, f])[:-1]:
+                    low, high = rows & (x[:, f] <= v), rows & (x[:, f] > v)
+                    if min(h[low].sum(), h[high].sum()) < spec.min_child_weight:
+                        continue
+                    gain = score(low) + score(high) - score(rows)
+                    best = max(best, (gain, (low, high)), key=lambda c: c[0])
+        if best[1] is None:
+            out[rows] = -g[rows].sum() / (h[rows].sum() + spec.reg_lambda)
+            return
+        for side in best[1]:
+            grow(side, depth + 1)
+
+    grow(np.ones(len(pdf), bool), 0)
+    return out
+
+
+@pytest.mark.parametrize("part_rows", [PART_ROWS, 50])
+def test_boosting_matches_the_definition(cohort, cohort_pdf, part_rows):
+    spec = BoostedCox(
+        n_estimators=3, max_depth=3, learning_rate=0.3, subsample=1.0, colsample_bytree=1.0, min_child_weight=4, part_rows=part_rows
+    )
+    model = spec.fit(cohort, FEATURES, eval_set=cohort)
+    margin = np.zeros(len(cohort_pdf))
+    got = np.zeros(len(cohort_pdf))
+    for tree, loss in zip(model.trees, model.losses):
+        margin = margin + 0.3 * plain_tree(cohort_pdf, margin, spec)
+        got = got + 0.3 * tree.values(cohort_pdf[FEATURES].to_numpy())
+        np.testing.assert_allclose(got, margin, atol=1e-9)
+        w, t = np.exp(margin), cohort_pdf.duration.to_numpy()
+        want = -np.mean([margin[i] - math.log(w[t >= t[i]].sum()) for i in np.flatnonzero(cohort_pdf.event)])
+        assert loss == pytest.approx(want)
+
+
+def test_parts_grow_the_same_trees(cohort, monkeypatch):
+    """With draws of rows and columns, margins moved in between, and a separate table for the losses."""
+    monkeypatch.setattr(boosted, "ROUNDS", 2)
+    held_out = cohort.filter("f3 > 0")
+    models = [
+        BoostedCox(n_estimators=5, max_depth=2, learning_rate=0.3, min_child_weight=2, part_rows=n).fit(cohort, FEATURES, eval_set=held_out)
+        for n in (PART_ROWS, 60)
+    ]
+    assert models[0].losses == pytest.approx(models[1].losses)
+    for one, many in zip(models[0].trees, models[1].trees):
+        assert one.feature.tolist() == many.feature.tolist() and one.threshold.tolist() == many.threshold.tolist()
+        assert one.value == pytest.approx(many.value)
+    assert models[0].losses[-1] == pytest.approx(partial_log_likelihood(models[0].risk(held_out)).first()["loss"])
+
+
+def test_bins_of_many_values_and_gaps(spark):
+    rows = [(float(i % 700), float(i % 3) if i % 5 else None, float("nan")) for i in range(2100)]
+    a, b, c = boosted.bin_borders(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"])
+    assert len(a) == 255 and np.all(np.diff(a) > 0) and b.tolist() == [0.0, 1.0] and len(c) == 0
+    placed = boosted.binned([a, b, c])(np.array([[0.0, 1.0, 5.0], [699.0, np.nan, np.nan]]))
+    assert placed.tolist() == [[0, 1, 0], [255, 2, 0]]
+
+
 def test_boosted_loss_falls_and_reloads(spark, cohort, tmp_path):
     model = BoostedCox(
         n_estimators=3, max_depth=2, learning_rate=0.3, subsample=1.0, colsample_bytree=1.0
@@ -364,5 +435,5 @@ def test_boosting_stops_early(cohort):
     model = BoostedCox(
         n_estimators=8, max_depth=2, learning_rate=30.0, subsample=1.0, early_stopping_rounds=1
     ).fit(cohort, FEATURES, eval_set=cohort)
-    assert len(model.losses) < 8
+    assert len(model.losses) == int(np.argmin(model.losses)) + 2 < 8
     assert len(model.trees) == int(np.argmin(model.losses)) + 1
