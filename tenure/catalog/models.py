@@ -93,6 +93,36 @@ def _survival_curve(spark, sf_dir):
     return rounded(curves.select("customer_id", "t", "surv"), 8, "surv")
 
 
+@register(
+    "survival_all_times",
+    sql(
+        f"""SELECT customer_id, count(*) AS n_times, round(min({_SURV}), 8) AS least, round(sum({_SURV}), 5) AS total
+            FROM scored, baseline GROUP BY customer_id""",
+        "baseline",
+    ),
+)
+def _survival_all_times(spark, sf_dir):
+    """Every customer's curve at every training time, summed up."""
+    table = scored_table(spark, sf_dir)
+    curves = fixed_model(table).survival(table.select("customer_id", *RISK_FEATURES))
+    each = curves.groupBy("customer_id").agg(F.count("t").alias("n_times"), F.min("surv").alias("least"), F.sum("surv").alias("total"))
+    return rounded(rounded(each, 8, "least"), 5, "total")
+
+
+@register(
+    "restricted_mean",
+    sql(
+        f"""SELECT customer_id, count(*) AS n_times, max(t) AS horizon_days, round(min(t) + sum({_SURV} * (coalesce(after, t) - t)), 5) AS mean_days
+            FROM scored, (SELECT *, lead(t) OVER (ORDER BY t) AS after FROM baseline) GROUP BY customer_id""",
+        "baseline",
+    ),
+)
+def _restricted_mean(spark, sf_dir):
+    table = scored_table(spark, sf_dir)
+    means = fixed_model(table).restricted_mean(table.select("customer_id", *RISK_FEATURES))
+    return rounded(means.select("customer_id", "n_times", "horizon_days", "mean_days"), 5, "mean_days")
+
+
 _MEDIAN = """coalesce((SELECT min(t) FROM baseline WHERE hazard >= ln(2) * exp(-risk)),
              'infinity'::DOUBLE)"""
 _MEDIANS_SQL = f"SELECT customer_id, event, risk, {_MEDIAN} AS median_days FROM scored"
@@ -159,6 +189,48 @@ def _cox_fit_small(spark, sf_dir):
     return rounded(model.coefficients(spark).select("feature", "coef"), 6, "coef")
 
 
+def _efron_sql() -> str:
+    """One-feature Newton steps with Efron's ties: the m-th of d tied events leaves m / d of their own sums out of the risk set."""
+    out = "x_ AS (SELECT duration AS t, event AS e, frequency / 10 AS x FROM scored),\nb0 AS (SELECT 0::DOUBLE AS b)"
+    for i in range(_NEWTON_STEPS):
+        out += f""",
+c{i} AS (
+  SELECT any_value(b) AS b, t, sum(e::INT) AS d, coalesce(sum(x) FILTER (WHERE e), 0) AS dx,
+         sum(sum(exp(b * x))) OVER w AS s0, sum(sum(x * exp(b * x))) OVER w AS s1, sum(sum(x * x * exp(b * x))) OVER w AS s2,
+         coalesce(sum(exp(b * x)) FILTER (WHERE e), 0) AS e0, coalesce(sum(x * exp(b * x)) FILTER (WHERE e), 0) AS e1,
+         coalesce(sum(x * x * exp(b * x)) FILTER (WHERE e), 0) AS e2
+  FROM x_, b{i} GROUP BY t WINDOW w AS (ORDER BY t DESC)),
+b{i + 1} AS (
+  SELECT any_value(b) - (any_value(b) - any_value(total) + sum(r1 / r0)) / (1 + sum(r2 / r0 - (r1 / r0) ** 2)) AS b
+  FROM (SELECT b, s0 - m / d * e0 AS r0, s1 - m / d * e1 AS r1, s2 - m / d * e2 AS r2, (SELECT sum(dx) FROM c{i}) AS total
+        FROM (SELECT *, unnest(range(d::BIGINT)) AS m FROM c{i})))"""
+    return out
+
+
+@register(
+    "cox_fit_efron_small",
+    sql("", "scored").rstrip() + ",\n" + _efron_sql() + f"\nSELECT 'x' AS feature, round(b, 6) AS coef FROM b{_NEWTON_STEPS}",
+)
+def _cox_fit_efron_small(spark, sf_dir):
+    table = scored(spark, sf_dir).select("duration", "event", (F.col("frequency") / 10).alias("x"))
+    model = CoxPH(alpha=1.0, ties="efron").fit(table, ["x"])
+    return rounded(model.coefficients(spark).select("feature", "coef"), 6, "coef")
+
+
+@register(
+    "cox_fit_unpenalised",
+    sql("", "scored").rstrip()
+    + ",\n"
+    + _newton_sql().replace("any_value(b) - sum(dx)", "- sum(dx)").replace("(1 + sum(d * (s2", "(sum(d * (s2")
+    + f"\nSELECT feature, round(CASE feature WHEN 'x' THEN b ELSE 0 END, 6) AS coef FROM b{_NEWTON_STEPS}, (SELECT unnest(['x', 'one']) AS feature)",
+)
+def _cox_fit_unpenalised(spark, sf_dir):
+    """No penalty, beside a constant that the likelihood does not depend on."""
+    table = scored(spark, sf_dir).select("duration", "event", (F.col("frequency") / 10).alias("x"), F.lit(1.0).alias("one"))
+    model = CoxPH(alpha=0.0).fit(table, ["x", "one"])
+    return rounded(model.coefficients(spark).select("feature", "coef"), 6, "coef").withColumn("coef", F.col("coef") + 0.0)
+
+
 @register("cox_fit")
 def _cox_fit(spark, sf_dir):
     """Coefficients on the whole scaled feature matrix."""
@@ -295,7 +367,56 @@ def _fold_aggregate(spark, sf_dir):
 def _cv_metrics(spark, sf_dir):
     """Every fold's figures for a Cox model on the scaled feature matrix."""
     table, names = feature_table(spark, sf_dir)
-    return cross_validate(CoxPH(alpha=1.0), table, names, n_splits=3, horizons=HORIZONS)
+    return cross_validate(CoxPH(alpha=1.0), table, names, horizons=HORIZONS)
+
+
+def _cv_sql() -> str:
+    """The five folds' one-feature Newton steps, unrolled, and every figure on the fold left out."""
+    out = f"""folded AS ({_FOLDS_SQL}), x_ AS (SELECT f.fold, duration AS t, s.event AS e, frequency / 10 AS x FROM folded f JOIN scored s USING (customer_id)),
+ks AS (SELECT unnest(range(5))::INT AS k), b0 AS (SELECT k, 0::DOUBLE AS b FROM ks)"""
+    for i in range(_NEWTON_STEPS):
+        out += f""",
+b{i + 1} AS (
+  SELECT k, any_value(b) - (any_value(b) - sum(dx) + sum(d * s1 / s0)) / (1 + sum(d * (s2 / s0 - (s1 / s0) ** 2))) AS b
+  FROM (SELECT k, b, sum(e::INT) AS d, sum(CASE WHEN e THEN x ELSE 0 END) AS dx, sum(sum(exp(b * x))) OVER w AS s0,
+               sum(sum(x * exp(b * x))) OVER w AS s1, sum(sum(x * x * exp(b * x))) OVER w AS s2
+        FROM x_ JOIN b{i} ON fold <> k GROUP BY k, b, t WINDOW w AS (PARTITION BY k ORDER BY t DESC)) GROUP BY k)"""
+    return (
+        out
+        + f""",
+base AS (SELECT k, t, sum(d / s0) OVER (PARTITION BY k ORDER BY t) AS hazard FROM (
+  SELECT k, t, sum(e::INT) AS d, sum(sum(exp(b * x))) OVER (PARTITION BY k ORDER BY t DESC) AS s0
+  FROM x_ JOIN b{_NEWTON_STEPS} ON fold <> k GROUP BY k, t)),
+km_ AS (SELECT k, t, product(CASE WHEN n - d > 0 THEN 1 - c / (n - d) ELSE 1 END) OVER (PARTITION BY k ORDER BY t) AS g FROM (
+  SELECT k, t, sum(e::INT) AS d, sum((NOT e)::INT) AS c, sum(count(*)) OVER (PARTITION BY k ORDER BY t DESC) AS n
+  FROM x_ JOIN ks ON fold <> k GROUP BY k, t)),
+ends AS (SELECT k, max(t) FILTER (WHERE fold <> k) AS train_end, max(t) FILTER (WHERE fold = k) AS test_end, count(*) FILTER (WHERE fold <> k) AS n_train,
+  count(*) FILTER (WHERE fold = k) AS n_test FROM x_, ks GROUP BY k),
+at_ AS (SELECT k, h, coalesce((SELECT min(g) FROM km_ WHERE km_.k = ends.k AND t <= h), 1) AS gh,
+  coalesce((SELECT max(hazard) FROM base WHERE base.k = ends.k AND t <= h), 0) AS hazard FROM ends, horizons WHERE h < least(train_end, test_end)),
+test AS (SELECT k, t, e, b * x AS risk, (SELECT 1 / arg_max(g, km_.t) FROM km_ WHERE km_.k = b{_NEWTON_STEPS}.k AND km_.t <= x_.t) AS inv FROM x_ JOIN b{_NEWTON_STEPS} ON fold = k),
+brier_ AS (SELECT k, h, avg(CASE WHEN t <= h AND e THEN s * s * coalesce(inv, 1) WHEN t > h THEN (1 - s) ** 2 / gh ELSE 0 END) AS v
+  FROM (SELECT test.*, h, gh, exp(-hazard * exp(risk)) AS s FROM test JOIN at_ USING (k)) GROUP BY k, h),
+auc_ AS (SELECT k, h, sum(w * (below + same / 2)) / (sum(w) * max(n)) AS v FROM (
+  SELECT a.k, h, coalesce(a.inv, 1) AS w, count(*) FILTER (WHERE b.t > h AND b.risk < a.risk) AS below,
+         count(*) FILTER (WHERE b.t > h AND b.risk = a.risk) AS same, count(*) FILTER (WHERE b.t > h) AS n
+  FROM (SELECT *, row_number() OVER () AS r FROM test) a JOIN at_ ON a.k = at_.k AND a.t <= h AND a.e JOIN test b ON a.k = b.k GROUP BY a.r, a.k, h, a.inv)
+  GROUP BY k, h),
+pairs AS (SELECT a.k, count(*) FILTER (WHERE a.risk > b.risk) + 0.5 * count(*) FILTER (WHERE a.risk = b.risk) AS c, count(*) AS n
+  FROM test a JOIN test b ON a.k = b.k AND a.e AND (a.t < b.t OR (a.t = b.t AND NOT b.e)) GROUP BY a.k),
+ibs_ AS (SELECT k, sum(area) / (max(h) - min(h)) AS v FROM (SELECT k, h, (lead(h) OVER w - h) * (lead(v) OVER w + v) / 2 AS area FROM brier_ WINDOW w AS (PARTITION BY k ORDER BY h)) GROUP BY k)
+SELECT 'CoxPH' AS model, k AS fold, metric, h::INT AS t, round(v, 6) AS value FROM (
+  SELECT k, 'c_index' AS metric, NULL AS h, c / n AS v FROM pairs UNION ALL SELECT k, 'ibs', NULL, v FROM ibs_
+  UNION ALL SELECT k, 'brier', h, v FROM brier_ UNION ALL SELECT k, 'td_auc', h, v FROM auc_
+  UNION ALL SELECT k, 'n_train', NULL, n_train FROM ends UNION ALL SELECT k, 'n_test', NULL, n_test FROM ends)"""
+    )
+
+
+@register("cv_metrics_small", sql("", "scored", "horizons").rstrip() + ",\n" + _cv_sql())
+def _cv_metrics_small(spark, sf_dir):
+    """Five folds of a Cox model on one feature: every figure, from folds to fitted models to metrics."""
+    table = scored(spark, sf_dir).select("customer_id", "duration", "event", (F.col("frequency") / 10).alias("x"))
+    return rounded(cross_validate(CoxPH(alpha=1.0), materialise(table, "table"), ["x"], horizons=HORIZONS), 6, "value")
 
 
 # --- behaviour of the scores --------------------------------------------------------------------

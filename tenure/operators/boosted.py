@@ -499,7 +499,7 @@ class BoostedCox:
             if len(trees) < self.n_estimators:
                 rate = self.learning_rate
                 for each in {id(x): x for x in (line, held_out) if x is not None}.values():
-                    each.advance(lambda part, more=more: _margin(part, more, rate))
+                    each.advance(lambda part, given=tuple(trees): _margin(part, given, rate))
         return trees, losses
 
     def _grown(self, line: Timeline, width: int, first: int, rounds: int) -> list[Tree]:

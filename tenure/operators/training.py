@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.operators.evaluate import (
-    FoldMetrics,
+    aggregate_folds,
     evaluate,
     results_table,
     stratified_folds,
 )
-from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalEstimator
+from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalEstimator, SurvivalModel
 from tenure.plans.materialise import checkpoint_root
 
 RUN_SCHEMA = (
@@ -25,7 +25,7 @@ RUN_SCHEMA = (
 
 
 class RunLog:
-    """Append-only Parquet tables `runs` and `metrics` under one folder."""
+    """Append-only Parquet tables `runs` and `metrics` under one folder, and the models of its runs under `models`."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
@@ -55,6 +55,20 @@ class RunLog:
             *results.columns,
         ).coalesce(1).write.mode("append").parquet(f"{self.path}/metrics")
 
+    def summary(self, results: DataFrame, run_id: str) -> None:
+        """Mean and deviation over folds of every figure, as metrics of the run that the folds belong to."""
+        each = aggregate_folds(results.filter(~F.col("metric").isin("n_train", "n_test"))).crossJoin(results.select("model").limit(1))
+        kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("mean", "std")]
+        rows = each.select("model", "metric", "t", F.explode(F.array(*kinds)).alias("_x")).select(
+            "model", F.lit(None).cast("int").alias("fold"), F.concat("_x.kind", F.lit("_"), "metric").alias("metric"), "t", "_x.value"
+        )
+        self.metrics(rows, run_id)
+
+    def keep_model(self, model: SurvivalModel, run_id: str) -> str:
+        path = f"{self.path}/models/{run_id}"
+        model.save(path)
+        return path
+
     def runs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/runs")
 
@@ -75,40 +89,31 @@ def cross_validate(
     """Fit on all folds but one and evaluate on that one; long table of every figure.
 
     The folded table is written once, partitioned by fold, so each side of every split is a
-    partition-pruned read. Folds run one after another, each a set of distributed jobs.
+    partition-pruned read. An estimator with `fit_folds` fits the models of all folds in the same scans. With a
+    run log, every fold's run keeps its figures and its model, and the run above them their means and deviations.
     """
     spark = df.sparkSession
     features = list(features)
     folded = stratified_folds(df.select(key, *features, "duration", "event"), n_splits, random_state, key)
     path = f"{checkpoint_root(spark)}/folds-{uuid.uuid4().hex}"
-    # Slices of the fold order share their partition; deal rows out evenly before writing.
     folded.write.partitionBy("fold").parquet(path)
     folded = spark.read.parquet(path)
-
-    parent = None
+    sides = [(folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)) for fold in range(n_splits)]
+    if hasattr(estimator, "fit_folds"):
+        models = estimator.fit_folds(folded, features, n_splits)
+    else:
+        models = [estimator.fit(train, features) for train, _ in sides]
+    results = [evaluate(model, test, train, horizons, fold) for fold, (model, (train, test)) in enumerate(zip(models, sides))]
+    table = results_table(spark, results)
     if runs is not None:
-        parent = runs.start(
-            f"{estimator.name}_cv{n_splits}",
-            estimator.get_params(),
-            {
-                "model": estimator.name,
-                "n_splits": n_splits,
-                "n_samples": folded.count(),
-                "n_features": len(features),
-            },
-        )
-    results: list[FoldMetrics] = []
-    for fold in range(n_splits):
-        train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        model = estimator.fit(train, features)
-        result = evaluate(model, test, train, horizons, fold)
-        results.append(result)
-        if runs is not None:
-            run_id = runs.start(
-                f"{estimator.name}_fold{fold}", estimator.get_params(), {"fold": fold}, parent
-            )
+        tags = {"model": estimator.name, "n_splits": n_splits, "n_samples": int(sum(r.value("n_test") for r in results)), "n_features": len(features)}
+        parent = runs.start(f"{estimator.name}_cv{n_splits}", estimator.get_params(), tags)
+        for fold, (model, result) in enumerate(zip(models, results)):
+            run_id = runs.start(f"{estimator.name}_fold{fold}", estimator.get_params(), {"fold": fold}, parent)
             runs.metrics(results_table(spark, [result]), run_id, parent)
-    return results_table(spark, results)
+            runs.keep_model(model, run_id)
+        runs.summary(table, parent)
+    return table
 
 
 def train_final(

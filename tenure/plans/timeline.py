@@ -101,13 +101,14 @@ class Timeline:
         latest = [F.col("t").desc(), F.col("_r")]
         dealt = rows.repartition(1) if self.parts == 1 else rows.repartitionByRange(self.parts, *latest)
         ordered = dealt.sortWithinPartitions(*latest)
-        self.blocks = ordered.mapInArrow(_packer(columns, kind, encode), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
+        self.first = self.blocks = ordered.mapInArrow(_packer(columns, kind, encode), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
         self.blocks.unpersist()
+        self.first.unpersist()
 
     def advance(self, margin: Callable[[Part], np.ndarray]) -> None:
-        """Give every row a new margin. The blocks with the old ones are given back."""
+        """Give every row the margin that follows from its first blocks. The blocks with the last margins are given back."""
 
         def moved(part: Part) -> Iterator[pa.RecordBatch]:
             m = margin(part)
@@ -115,9 +116,12 @@ class Timeline:
                 rows = slice(begin, begin + BLOCK_ROWS)
                 yield _block(part.number, *(a[rows] for a in (part.t, part.e, part.g, part.x, part.r, m)))
 
-        before, self.blocks = self.blocks, self.rows(moved, LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
+        # Always one step from the first blocks: a chain of steps would make every plan longer than the one before.
+        before, self.blocks = self.blocks, self.first
+        self.blocks = self.rows(moved, LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
         self.blocks.agg(F.count("part")).collect()
-        before.unpersist()
+        if before is not self.first:
+            before.unpersist()
 
     def rows(self, kernel: Callable[[Part], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """What the kernel makes of every part."""

@@ -275,7 +275,18 @@ def test_cross_validation_and_runs(spark, cohort, tmp_path):
     assert agg["c_index", None]["std"] == pytest.approx(np.std(c))
     logged = runs.runs().toPandas()
     assert len(logged) == 3 and logged.parent_run_id.isna().sum() == 1
-    assert runs.logged_metrics().count() == len(rows)
+    logged_metrics = runs.logged_metrics().toPandas()
+    of_folds = logged_metrics[logged_metrics.fold.notna()]
+    assert len(of_folds) == len(rows)
+    parent = logged.run_id[logged.parent_run_id.isna()].item()
+    above = logged_metrics[logged_metrics.run_id == parent].set_index(["metric", "t"]).value
+    assert set(of_folds.parent_run_id) == {parent}
+    assert above["mean_c_index"].item() == pytest.approx(c.mean()) and above["std_c_index"].item() == pytest.approx(np.std(c))
+    assert above["mean_td_auc", 20] == pytest.approx(rows[(rows.metric == "td_auc") & (rows.t == 20)]["value"].mean())
+    fold0 = of_folds.run_id[of_folds.fold == 0].iloc[0]
+    kept = CoxModel.load(spark, f"{tmp_path}/runs/models/{fold0}")
+    folded = stratified_folds(cohort, 2)
+    assert c_index(kept.risk(folded.filter("fold = 0"))).first()["c_index"] == pytest.approx(c.iloc[0])
     run_id = train_final(CoxPH(), cohort, FEATURES, str(tmp_path / "models"), runs)
     assert CoxModel.load(spark, f"{tmp_path}/models/{run_id}").version == run_id
 
