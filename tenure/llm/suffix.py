@@ -36,11 +36,15 @@ from pyspark.sql import functions as F
 from tenure.llm.scratch import Scratch, with_key
 from tenure.llm.text import BASE, BYTE, Text, U, mix, slices
 
-WIDTH, ANCHOR = 100, 64
+WIDTH, ANCHOR = 100, 32
 CELL, HOT, SHARD = 6000, 30_000, 1500
 _LOW = U((1 << 26) - 1)
 #: Bytes that are looked at together: places in them fit into _LOW.
 RUN = 1 << 23
+#: A stretch in a table: `spot` holds its start in the text, its number of windows and its anchor's place plus 1 (0: none) in 47, 8 and 8 bits.
+STRETCH = "anchor long, content long, key long, spot long"
+NAMES = ["anchor", "content", "key", "spot"]
+START, WINDOWS, PLACE = "cast(shiftright(spot, 16) as int)", "cast(shiftright(spot, 8) & 255 as int)", "cast((spot & 255) - 1 as int)"
 
 
 def _rolling(d: np.ndarray, size: int) -> np.ndarray:
@@ -108,7 +112,6 @@ def _stretches(text: Text, width: int, anchor: int) -> tuple[np.ndarray, ...]:
 def _all_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of a batch's texts. Of those with equal content the batch keeps the earliest; the others, certain to
     be removed, get place -1 and, as they are compared with nothing any more, a number of their own for an anchor."""
-    names = ["anchor", "content", "key", "start", "windows", "place"]
     for batch in batches:
         parts = []
         for part in slices(batch, 1, 1 << 18):
@@ -122,17 +125,16 @@ def _all_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             again[order[1:]] = (c[order[1:]] == c[order[:-1]]) & (a[order[1:]] == a[order[:-1]])
             place[again] = -1
             a[again] = mix((key[again] * 2**20 + start[again]).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x, pa.int64()) for x in (a, c, key)), *(pa.array(x, pa.int32()) for x in (start, n, place))], names
-            )
+            spot = start.astype(np.int64) << 16 | n.astype(np.int64) << 8 | (place + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, c, key, spot)], NAMES)
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, content, key and start: the ranges that occurred earlier (place -1), and the first
+    """Of rows sorted by anchor, content, key and spot: the ranges that occurred earlier (no place), and the first
     stretch of each content of an anchor that has several. Holds one row between batches."""
     last = None  # anchor, content, the anchor's first row, whether that was passed on
     for batch in batches:
-        known = pc.less(batch.column(5), 0)
+        known = pa.array(batch.column(3).to_numpy(zero_copy_only=False) & 255 == 0)
         yield batch.filter(known)
         batch = batch.filter(pc.invert(known))
         if not batch.num_rows:
@@ -161,9 +163,9 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 early = last[2]
             open_sent = True
         give |= fresh & several[group]
-        place = np.where(same_c, -1, cols[5])
+        spot = np.where(same_c, cols[3] & ~255, cols[3])
         at = np.flatnonzero(give)
-        parts = [c[at] for c in cols[:5]] + [place[at]]
+        parts = [c[at] for c in cols[:3]] + [spot[at]]
         if early is not None:
             parts = [np.concatenate([[e], p]) for e, p in zip(early, parts, strict=True)]
         if len(head):
@@ -171,9 +173,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = (anchor[-1], content[-1], [c[first] for c in cols], bool(several[group[-1]]))
         else:
             last = (anchor[-1], content[-1], last[2], last[3] or open_sent)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(p, pa.int64()) for p in parts[:3]), *(pa.array(p, pa.int32()) for p in parts[3:])], batch.schema.names
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in parts], NAMES)
 
 
 def shard_transform(symbols: np.ndarray, strings: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,14 +318,12 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """key, begin, end: byte ranges that together cover what is to be removed. docs has _key and text."""
-    found = docs.select("_key", "text").mapInArrow(_all_stretches, "anchor long, content long, key long, start int, windows int, place int")
-    sifted = scratch.table(
-        found.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "start")
-        .mapInArrow(_sift, "anchor long, content long, key long, start int, windows int, place int")
-    )
+    found = docs.select("_key", "text").mapInArrow(_all_stretches, STRETCH)
+    sifted = scratch.table(found.repartition("anchor").sortWithinPartitions(*NAMES).mapInArrow(_sift, STRETCH))
     scratch.drop()
-    whole = sifted.filter("place < 0").select("key", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + WIDTH - 1).alias("end"))
-    first = sifted.filter("place >= 0")
+    start, windows, place = (F.expr(e) for e in (START, WINDOWS, PLACE))
+    whole = sifted.filter("spot & 255 = 0").select("key", start.alias("begin"), (start + windows + WIDTH - 1).alias("end"))
+    first = sifted.filter("spot & 255 > 0").select("anchor", "key", start.alias("start"), windows.alias("windows"), place.alias("place"))
     sizes = first.groupBy("anchor").agg(F.count("*").alias("contents"))
     total, most = sizes.agg(F.sum("contents"), F.max("contents")).first()
     if not total:
