@@ -12,7 +12,7 @@ from tenure.catalog.views import rounded, scored, sql
 from tenure.operators.boosted import BoostedCox
 from tenure.plans.materialise import checkpoint_root, materialise
 from tenure.sources import retail
-from tenure.streaming.jobs import session_stream
+from tenure.streaming.jobs import replay_sessions
 
 
 @register("boosted_cox")
@@ -93,34 +93,22 @@ def _boosted_first_tree(spark, sf_dir):
 @register(
     "stream_sessions",
     sql(
-        f"""SELECT customer_id, session_start, pages_per_session,
+        """SELECT customer_id, session_start, pages_per_session,
                    round(session_duration_s, 6) AS session_duration_s
-            FROM (SELECT customer_id, min(event_timestamp) AS session_start,
-                         max(event_timestamp) AS last_seen, count(*) AS pages_per_session,
+            FROM (SELECT customer_id, min(event_timestamp) AS session_start, count(*) AS pages_per_session,
                          sum(time_on_page_seconds) AS session_duration_s
-                  FROM clickstream GROUP BY customer_id, session_id)
-            WHERE last_seen + INTERVAL {GAP} SECOND
-                  <= (SELECT max(event_timestamp) - INTERVAL 1 HOUR FROM clickstream)""",
+                  FROM clickstream GROUP BY customer_id, session_id)""",
         "clickstream",
     ),
 )
 def _stream_sessions(spark, sf_dir):
-    """The event file as a stream, read to its end; sessions still open then are not emitted."""
+    """The event file as a stream, read to its end: every session, those still open then included."""
     schema = retail.table(spark, sf_dir, "events").schema
     events = (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
     out = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        session_stream(retail.as_clicks(events), GAP)
-        .writeStream.format("parquet")
-        .option("path", f"{out}/sessions")
-        .option("checkpointLocation", f"{out}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    sessions = spark.read.parquet(f"{out}/sessions")
+    sessions = replay_sessions(retail.as_clicks(events), GAP, out)
     return rounded(
         sessions.select(
             "customer_id",

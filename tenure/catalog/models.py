@@ -506,7 +506,13 @@ def _curve_sanity(spark, sf_dir):
     return curve_breaks(curves).agg(F.count(F.lit(1)).alias("n_breaks"))
 
 
-@register("score_invariance")
+@register(
+    "score_invariance",
+    sql("", "scored", "baseline").rstrip()
+    + f""",
+m AS (SELECT customer_id, risk, median_days FROM ({_MEDIANS_SQL})), other AS (SELECT * FROM m ORDER BY md5(customer_id))
+SELECT count(*) AS n_changed FROM (SELECT * FROM m EXCEPT ALL SELECT * FROM other)""",
+)
 def _score_invariance(spark, sf_dir):
     """Scores of the same rows laid out differently; none may change."""
     table = scored_table(spark, sf_dir).select("customer_id", *RISK_FEATURES)

@@ -1,4 +1,8 @@
-"""Row contracts: every broken rule of a row is named, and bad rows are set apart with reasons."""
+"""Row contracts: every broken rule of a row is named, and bad rows are set apart with reasons.
+
+A contract also reads untyped input: a column of another type than the declared one is converted where that loses nothing, a value that
+cannot be converted breaks the rule `type`, and a column that is not there breaks the rule `column` in every row.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.columns import UUID_PATTERN
+from tenure.plans.columns import quoted
 
 # The enumerations of the customer tables.
 CHANNELS = ["organic_search", "paid_search", "social_media", "email", "referral", "direct"]
@@ -189,19 +194,65 @@ def stripped(df: DataFrame) -> DataFrame:
     """Trim surrounding whitespace of every string column."""
     return df.select(
         *[
-            F.btrim(f.name, F.lit(" \t\n\v\f\r")).alias(f.name)
+            F.btrim(F.col(quoted(f.name)), F.lit(" \t\n\v\f\r")).alias(f.name)
             if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
+            else F.col(quoted(f.name))
             for f in df.schema.fields
         ]
     )
 
 
-def conditions(contract: Contract) -> dict[str, Column]:
+def _converted(name: str, kind: T.DataType, want: T.DataType) -> Column:
+    """The column as the declared type, null where that would lose something; numbers are no text, and text is read as Spark casts it."""
+    c = F.col(quoted(name))
+    stamps = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    if isinstance(want, T.StringType) or (isinstance(want, stamps) and not isinstance(kind, (T.StringType, *stamps))):
+        return F.lit(None).cast(want)
+    if isinstance(want, T.BooleanType) and isinstance(kind, T.NumericType):
+        return F.when(c.isin(0, 1), c.cast("double") == 1)
+    cast = c.try_cast(want)
+    if isinstance(want, T.IntegralType) and isinstance(kind, T.FractionalType):
+        return F.when(cast.cast(kind) == c, cast)
+    if isinstance(want, T.NumericType) and isinstance(kind, T.BooleanType):
+        return F.lit(None).cast(want)
+    return cast
+
+
+def typed_columns(df: DataFrame, contract: Contract) -> dict[str, Column]:
+    """Every declared column in its declared type; null where it is absent or cannot be converted."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    out = {}
+    for f in contract.schema.fields:
+        if f.name not in kinds:
+            out[f.name] = F.lit(None).cast(f.dataType)
+        elif _same(kinds[f.name], f.dataType):
+            out[f.name] = F.col(quoted(f.name))
+        else:
+            out[f.name] = _converted(f.name, kinds[f.name], f.dataType)
+    return out
+
+
+def _same(kind: T.DataType, want: T.DataType) -> bool:
+    """Whether values need no conversion: the same type, or one that holds nothing the declared one lacks."""
+    if kind == want or (isinstance(kind, T.TimestampNTZType) and isinstance(want, T.TimestampType)):
+        return True
+    wider = {T.LongType: (T.IntegerType, T.ShortType, T.ByteType), T.IntegerType: (T.ShortType, T.ByteType)}
+    wider[T.DoubleType] = (T.FloatType, T.DecimalType, T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    return isinstance(kind, wider.get(type(want), ()))
+
+
+def conditions(df: DataFrame, contract: Contract) -> dict[str, Column]:
     """"column:rule" -> true where the row breaks it, in declaration order; never null."""
-    out = {f"{c}:required": F.col(c).isNull() for c in contract.required}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    typed = typed_columns(df, contract)
+    out = {f"{c}:column": F.lit(True) for c in typed if c not in kinds}
+    for f in contract.schema.fields:
+        if f.name in kinds and not _same(kinds[f.name], f.dataType):
+            out[f"{f.name}:type"] = F.col(quoted(f.name)).isNotNull() & typed[f.name].isNull()
+    out |= {f"{c}:required": F.col(quoted(c)).isNull() for c in contract.required if c in kinds}
     for r in contract.rules:
-        out[f"{r.column}:{r.name}"] = F.coalesce(r.broken(F.col(r.column)), F.lit(False))
+        if r.column in kinds:
+            out[f"{r.column}:{r.name}"] = F.coalesce(r.broken(typed[r.column]), F.lit(False))
     return out
 
 
@@ -212,14 +263,16 @@ def with_violations(df: DataFrame, contract: Contract) -> DataFrame:
     """
     if contract.strip:
         df = stripped(df)
-    checks = [F.when(broken, F.lit(name)) for name, broken in conditions(contract).items()]
+    checks = [F.when(broken, F.lit(name)) for name, broken in conditions(df, contract).items()]
     return df.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
 def apply_contract(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantined rows with their `violations`)."""
+    """(valid rows in the declared types, quarantined rows as they came with their `violations`)."""
     checked = with_violations(df, contract)
-    valid = checked.filter(F.size("violations") == 0).drop("violations")
+    typed = typed_columns(df, contract)
+    columns = [typed[c].alias(c) if c in typed else F.col(quoted(c)) for c in df.columns]
+    valid = checked.filter(F.size("violations") == 0).select(*columns)
     return valid, checked.filter(F.size("violations") > 0)
 
 
@@ -227,7 +280,7 @@ def violation_counts(df: DataFrame, contract: Contract) -> DataFrame:
     """Rows breaking each rule, every rule listed, and rows breaking `any`, from one scan."""
     if contract.strip:
         df = stripped(df)
-    checks = conditions(contract)
+    checks = conditions(df, contract)
     any_broken = reduce(or_, checks.values())
     named = {**checks, "any": any_broken}
     counted = df.agg(*[F.count_if(broken).alias(f"n{i}") for i, broken in enumerate(named.values())])

@@ -28,6 +28,8 @@ ORDERED = {"ks", "wasserstein", "ed"}
 DEFAULT_THRESHOLDS = {"distance": 0.1, "p_value": 0.05}
 FEW_VALUES = 20  # numeric columns with at most this many values are compared value by value
 EMPTY_SHARE = 1e-4  # share given to a bin that one side does not fill
+ORDERED_SCHEMA = "column string, ks_distance double, ks_p double, wasserstein double, energy double"
+COUNTS_SCHEMA = "column string, bin string, c_ref long, c_cur long"
 REPORT_SCHEMA = "column string, method string, score double, threshold double, drifted boolean"
 
 
@@ -44,7 +46,10 @@ def drift_rule(method: Column, score: Column, threshold: Column) -> Column:
 
 @dataclass
 class _Pair:
-    """Both tables under one another with a side flag, and per-column facts of one scan."""
+    """Both tables under one another with a side flag, and per-column facts of one scan.
+
+    A column without values on one side cannot be compared and is left out.
+    """
 
     rows: DataFrame  # numeric columns as double, `_cur` boolean
     columns: list[str]
@@ -76,10 +81,8 @@ class _Pair:
         facts = pd.DataFrame(
             [{"column": c, **{k: row[f"{k}|{c}"] for k in kinds}} for c in columns]
         ).set_index("column")
-        empty = [c for c in columns if not (facts.n_ref[c] and facts.n_cur[c])]
-        if empty:
-            raise ValueError(f"no values on one side: {', '.join(empty)}")
-        return cls(rows, columns, facts)
+        both = [c for c in columns if facts.n_ref[c] and facts.n_cur[c]]
+        return cls(rows, both, facts.loc[both])
 
     def facts_table(self) -> DataFrame:
         """One row per monitored column, hence broadcast."""
@@ -169,10 +172,13 @@ def ordered_scores(
     wasserstein is divided by the reference deviation (0.001 at least); energy is
     sqrt(2 * integral of (F - G)^2).
     """
+    pair = _Pair.of(reference, current, columns)
+    if not pair.columns:
+        return reference.sparkSession.createDataFrame([], ORDERED_SCHEMA)
     gap = F.abs(F.col("f_ref") - F.col("f_cur"))
     width = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     return (
-        _distribution(_Pair.of(reference, current, columns), limit)
+        _distribution(pair, limit)
         .groupBy("column")
         .agg(
             F.max(gap).alias("ks_distance"),
@@ -192,11 +198,15 @@ def ordered_scores(
     )
 
 
+def _side_totals(counts: DataFrame) -> DataFrame:
+    """Values of each column on both sides, one row per column; columns without any on one side are left out."""
+    totals = counts.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
+    return F.broadcast(totals.filter("n_ref > 0 and n_cur > 0"))
+
+
 def _shares(counts: DataFrame) -> DataFrame:
     """Add shares r and c to (column, bin, c_ref, c_cur); bins unfilled on a side get EMPTY_SHARE."""
-    totals = F.broadcast(  # one row per column
-        counts.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    )
+    totals = _side_totals(counts)
 
     def share(part: str, whole: str) -> Column:
         s = F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
@@ -283,11 +293,12 @@ def binned_scores(
     categorical: Sequence[str] = (),
 ) -> DataFrame:
     parts = []
-    if numeric:
-        parts.append(_numeric_bins(_Pair.of(reference, current, numeric)))
+    pair = _Pair.of(reference, current, numeric) if numeric else None
+    if pair is not None and pair.columns:
+        parts.append(_numeric_bins(pair))
     if categorical:
         parts.append(_categorical_counts(reference, current, categorical))
-    return divergences(union_all(parts))
+    return divergences(union_all(parts) if parts else reference.sparkSession.createDataFrame([], COUNTS_SCHEMA))
 
 
 def chi_square_scores(
@@ -298,9 +309,7 @@ def chi_square_scores(
     A value the reference lacks has expected count 0, so the statistic is infinite and p is 0.
     """
     counts = _categorical_counts(reference, current, columns)
-    totals = F.broadcast(
-        counts.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    )
+    totals = _side_totals(counts)
     expected = F.col("c_ref") * F.col("n_cur") / F.col("n_ref")
     miss = F.col("c_cur") - F.col("_expected")
     return (
@@ -323,17 +332,19 @@ def epps_singleton(
     """(column, statistic, es_p): distance of the characteristic functions at two points.
 
     The test needs means and covariances of four numbers per row and side: plain aggregates in
-    one scan. Only the 4 x 4 systems are solved here.
+    one scan. Only the 4 x 4 systems are solved here. A column whose quartiles are equal has no scale and is left out.
     """
-    columns = list(columns)
     pair = _Pair.of(reference, current, columns)
-    quartiles = exact_quantiles(pair.rows, columns, [0.25, 0.75])
+    quartiles = exact_quantiles(pair.rows, pair.columns, [0.25, 0.75])
+    spread = {c: (q[1] - q[0]) / 2 for c, q in quartiles.items()}
+    columns = [c for c in pair.columns if spread[c] > 0]
+    schema = "column string, statistic double, es_p double"
+    if not columns:
+        return reference.sparkSession.createDataFrame([], schema)
     points = (0.4, 0.8)
-    aggregates, names = [], {}
+    aggregates = []
     for ci, c in enumerate(columns):
-        sigma = (quartiles[c][1] - quartiles[c][0]) / 2
-        if sigma <= 0:
-            raise ValueError(f"{c} has no spread between its quartiles")
+        sigma = spread[c]
         angles = [F.col(c) * F.lit(t / sigma) for t in points]
         waves = [F.cos(a) for a in angles] + [F.sin(a) for a in angles]
         for side, flag in (("ref", ~F.col("_cur")), ("cur", F.col("_cur"))):
@@ -362,9 +373,7 @@ def epps_singleton(
         if max(n_ref, n_cur) < 25:
             stat /= 1.0 + n**-0.45 + 10.1 * (n_ref**-1.7 + n_cur**-1.7)
         out.append((c, stat, chi_square_tail(stat, rank)))
-    return reference.sparkSession.createDataFrame(
-        out, "column string, statistic double, es_p double"
-    )
+    return reference.sparkSession.createDataFrame(out, schema)
 
 
 # --- report -------------------------------------------------------------------------------------
@@ -417,7 +426,7 @@ def drift_report(
     """One row per monitored column: column, method, score, threshold, drifted.
 
     `thresholds` is one number for all columns or one per column; by default 0.05 for p-values
-    and 0.1 for distances.
+    and 0.1 for distances. A column without values on one side has a null score and has not drifted.
     """
     numeric, categorical = route_columns(reference, current, columns)
     parts = []
@@ -427,7 +436,10 @@ def drift_report(
         parts.append(_scores(reference, current, categorical, cat_method, False))
     if not parts:
         raise ValueError("no column to monitor")
-    scores = union_all(parts)
+    # A column that could not be compared is in the report without a score.
+    asked = [(c, num_method.lower()) for c in numeric] + [(c, cat_method.lower()) for c in categorical]
+    monitored = reference.sparkSession.createDataFrame(asked, "column string, method string")
+    scores = monitored.join(F.broadcast(union_all(parts)), ["column", "method"], "left")
     default = F.when(
         F.col("method").isin(*sorted(DISTANCES)), F.lit(DEFAULT_THRESHOLDS["distance"])
     ).otherwise(F.lit(DEFAULT_THRESHOLDS["p_value"]))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tenure.operators.features import Behaviour, Demographics, Rfm, ticket_features
+from tenure.plans.columns import quoted
 from tenure.plans.materialise import materialise
 from tenure.plans.quantiles import exact_quantiles
 
@@ -51,9 +52,17 @@ def feature_columns(df: DataFrame, skip: tuple[str, ...] = (KEY, *TARGETS)) -> l
     return numeric + flags
 
 
+def _number(name: str) -> Column:
+    """A column of numbers; NaN is missing."""
+    return F.nanvl(F.col(quoted(name)).cast("double"), F.lit(None).cast("double"))
+
+
 @dataclass(frozen=True)
 class Preprocessor:
-    """Median imputation and optional standardisation, learned once and applied as literals."""
+    """Median imputation and optional standardisation, learned once and applied as literals.
+
+    Nulls and NaN are missing. A column's name may hold any character.
+    """
 
     columns: tuple[str, ...]
     medians: dict[str, float]
@@ -69,18 +78,18 @@ class Preprocessor:
         absent value becomes the same constant.
         """
         cols = feature_columns(raw)
-        value = {c: F.col(c).cast("double") for c in cols}
+        value = {c: _number(c) for c in cols}
         moments = [F.count(F.lit(1)).alias("rows")]
         if scale:
             for c in cols:
                 moments += [
-                    F.count(c).alias(f"n_{c}"),
+                    F.count(value[c]).alias(f"n_{c}"),
                     F.avg(value[c]).alias(f"m_{c}"),
                     F.var_pop(value[c]).alias(f"v_{c}"),
                 ]
         row = raw.agg(*moments).first()
         rows = row["rows"]
-        quantiles = exact_quantiles(raw, cols, [0.5], rows=rows)
+        quantiles = exact_quantiles(raw.select(*[value[c].alias(c) for c in cols]), cols, [0.5], rows=rows)
         medians = {c: q[0] for c, q in quantiles.items() if q[0] is not None}
         kept = tuple(c for c in cols if c in medians)
         means: dict[str, float] = {}
@@ -102,7 +111,7 @@ class Preprocessor:
         behind = [c for c in TARGETS if c in raw.columns]
         out = []
         for c in self.columns:
-            filled = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
+            filled = F.coalesce(_number(c), F.lit(self.medians[c]))
             if self.scale:
                 filled = (filled - F.lit(self.means[c])) / F.lit(self.scales[c])
             out.append(filled.alias(c))

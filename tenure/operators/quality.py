@@ -42,12 +42,13 @@ class Expectation:
             return F.count(F.lit(1)), F.count(c)
         if self.kind == IN_SET:
             return F.count(c), F.count_if(c.isin(*self.values))
-        ok = c.isNotNull()
+        ok = c.isNotNull() & ~F.isnan(c.cast("double"))
+        judged = F.count_if(ok)  # NaN is missing, like null
         if self.low is not None:
             ok = ok & (c >= F.lit(self.low))
         if self.high is not None:
             ok = ok & (c <= F.lit(self.high))
-        return F.count(c), F.count_if(ok)
+        return judged, F.count_if(ok)
 
 
 SUITES: dict[str, list[Expectation]] = {
@@ -291,8 +292,8 @@ class FaultAudit:
 def fault_report(df: DataFrame, name: str, audit: FaultAudit) -> DataFrame:
     """(dataset, fault, n) for missing cells, repeated keys, outliers, future dates, negatives.
 
-    Outliers are values above 10 times the 99th percentile of their column; the fence is
-    computed first, then all counts except duplicates share one pass.
+    Outliers are values above 10 times the 99th percentile of their column, where that is positive: a multiple of zero or of
+    a negative number is no fence. The fence is computed first, then all counts except duplicates share one pass.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     nullable = [
@@ -312,7 +313,7 @@ def fault_report(df: DataFrame, name: str, audit: FaultAudit) -> DataFrame:
     outliers = zero
     for c in numeric:
         fence = fences[c][0]
-        if fence is not None:
+        if fence is not None and fence > 0:
             outliers = outliers + F.count_if(F.col(c) > F.lit(OUTLIER_FACTOR * fence))
     kind = dict(df.dtypes).get(ts)
     future = (

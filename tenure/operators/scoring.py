@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalModel
+from tenure.plans.columns import quoted
 
 
 def feature_input(df: DataFrame, features: Sequence[str], column: str | None = None) -> DataFrame:
@@ -20,20 +21,16 @@ def feature_input(df: DataFrame, features: Sequence[str], column: str | None = N
     )
 
 
+def lacking(features: Sequence[str]) -> Column:
+    """The names of the features that a row lacks, or that are not finite."""
+    number = lambda f: F.col(quoted(f)).cast("double")
+    bad = lambda f: number(f).isNull() | F.isnan(number(f)) | (F.abs(number(f)) == float("inf"))
+    return F.array_compact(F.array(*[F.when(bad(f), F.lit(f)) for f in features]))
+
+
 def split_scorable(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with every feature present and finite, the others with the names of what is missing or not finite)."""
-    absent = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f).isNull() | F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")),
-                    F.lit(f),
-                )
-                for f in features
-            ]
-        )
-    )
-    marked = df.withColumn("missing", absent)
+    marked = df.withColumn("missing", lacking(features))
     good = marked.filter(F.size("missing") == 0).drop("missing")
     return good, marked.filter(F.size("missing") > 0)
 
@@ -71,16 +68,6 @@ def score(
 def counted(df: DataFrame, model: SurvivalModel, features_map: str | None = None) -> tuple[DataFrame, Observation]:
     """The input with counters `total` and `failed` filled as a side effect of the next action."""
     wide = feature_input(df, model.features, features_map)
-    failed = None
-    for f in model.features:
-        lacks = F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
-        failed = lacks if failed is None else failed | lacks
     seen = Observation("scoring")
-    return (
-        wide.observe(
-            seen,
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(failed).alias("failed"),
-        ),
-        seen,
-    )
+    failed = F.count_if(F.size(lacking(model.features)) > 0)
+    return wide.observe(seen, F.count(F.lit(1)).alias("total"), failed.alias("failed")), seen

@@ -18,11 +18,13 @@ _own_root: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder set on the context or named by the session. Where there is neither, a local master gets one
-    of our own, per application; on a cluster that would be a folder only the driver sees, so it is an error."""
+    """The folder that the session's spark.checkpoint.dir names, else the one set on the context. Where there is neither, a local
+    master gets one of our own, per application; on a cluster that would be a folder only the driver sees, so it is an error."""
     context = spark.sparkContext
-    on_context = context._jsc.sc().getCheckpointDir()
-    root = on_context.get() if on_context.isDefined() else spark.conf.get(CHECKPOINT_CONF, None)
+    root = spark.conf.get(CHECKPOINT_CONF, None)
+    if not root:
+        on_context = context._jsc.sc().getCheckpointDir()
+        root = on_context.get() if on_context.isDefined() else None
     if not root:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")

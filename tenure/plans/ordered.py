@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenure.plans.columns import quoted
 from tenure.plans.materialise import materialise
 
 BUCKET = "_bucket"
@@ -44,11 +45,11 @@ def measure_splits(
     limit: int = ONE_WINDOW_LIMIT,
     distinct: dict[str, int] | None = None,
 ) -> dict[str, Splits]:
-    """Bucket borders of several keys: distinct counts in one scan (or given), quantiles of those
-    beyond the limit in another, as Spark's own range sort samples before it shuffles.
+    """Bucket borders of several keys: distinct counts in one scan (or given), then quantiles of the distinct keys of those
+    beyond the limit, so that a value most rows share takes no borders from the others.
     """
     if distinct is None:
-        row = df.agg(*[F.approx_count_distinct(k, SKETCH_ERROR).alias(k) for k in keys]).first()
+        row = df.agg(*[F.approx_count_distinct(quoted(k), SKETCH_ERROR).alias(k) for k in keys]).first()
         distinct = row.asDict()
     wanted = {
         k: max(2, min(MAX_BUCKETS, int(distinct[k] // limit) + 1))
@@ -56,17 +57,10 @@ def measure_splits(
         if (1 + 3 * SKETCH_ERROR) * distinct[k] > limit
     }
     found = {k: Splits(k) for k in keys}
-    if wanted:
-        row = df.agg(
-            *[
-                F.percentile_approx(
-                    F.col(k).cast("double"), [i / n for i in range(1, n)], max(1000, 20 * n)
-                ).alias(k)
-                for k, n in wanted.items()
-            ]
-        ).first()
-        for k in wanted:
-            found[k] = Splits(k, tuple(sorted(set(row[k]))))
+    for k, n in wanted.items():
+        cut = F.percentile_approx(F.col(quoted(k)).cast("double"), [i / n for i in range(1, n)], max(1000, 20 * n))
+        row = df.select(quoted(k)).distinct().agg(cut.alias("cut")).first()
+        found[k] = Splits(k, tuple(sorted(set(row["cut"]))))
     return found
 
 
@@ -223,7 +217,8 @@ def _merged_step_lookup(
     asked = with_bucket(queries, splits).select(
         "_k",
         BUCKET,
-        F.pmod(F.xxhash64(body), F.lit(salts)).cast("int").alias("_salt"),
+        # Numbers of rows, not their contents: rows that repeat spread as well.
+        F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("_salt"),
         body.alias("_row"),
         F.lit(1).alias("_asks"),
     )

@@ -1,15 +1,26 @@
-"""Exact linear-interpolated quantiles of many columns without holding a column in one task."""
+"""Exact linear-interpolated quantiles of many columns without holding a column in one task.
+
+A double's bits, read as an unsigned number after the sign is folded in, have the order of the doubles. So an order statistic is
+found digit by digit: a scan counts, for every column, the next DIGIT bits of the values whose higher bits are those found so
+far, and the digit in which the wanted rank falls is fixed. All columns and ranks share a scan, five scans settle all 64 bits, and what a scan
+returns is at most 2**DIGIT counts for each rank, whatever the values are and however often one repeats.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import ceil, floor
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.plans.columns import quoted
+
 EXACT_ROWS = 200_000  # rows one exact percentile aggregate may hold
+DIGIT = 13
+SIGN = np.uint64(1 << 63)
 
 
 def exact_quantiles(
@@ -22,147 +33,80 @@ def exact_quantiles(
     """`{column: [quantile per prob]}`; nulls are skipped, an all-null column gives None.
 
     Spark's exact percentile keeps one counter per distinct value in a single task, so above
-    `limit` rows the wanted order statistics are bracketed by approximate quantiles, and the
-    brackets are narrowed scan by scan until what lies inside them is small enough to fetch.
+    `limit` rows the order statistics are selected by digits instead.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
     if not cols:
         return {}
     n_rows = df.count() if rows is None else rows
+    numbers = df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     if n_rows <= limit:
-        row = df.agg(
-            *[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in cols]
-        ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
-    return _bracketed(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols, probs, limit)
-
-
-def _bracketed(
-    df: DataFrame, cols: list[str], probs: list[float], limit: int
-) -> dict[str, list[float | None]]:
-    accuracy = 10_000
-    edge = 5.0 / accuracy
-    spread = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-edge, edge)})
-    row = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in cols],
-        *[F.min(c).alias(f"min_{c}") for c in cols],
-        *[F.max(c).alias(f"max_{c}") for c in cols],
-        *[F.percentile_approx(c, spread, accuracy).alias(f"q_{c}") for c in cols],
-    ).first()
-
-    wanted: dict[tuple[str, int], float] = {}
-    brackets: dict[tuple[str, int], tuple[float, float]] = {}
-    extent: dict[str, tuple[float, float]] = {}
-    for c in cols:
-        n = row[f"n_{c}"]
-        if not n:
-            continue
-        extent[c] = (row[f"min_{c}"], row[f"max_{c}"])
-        for i, p in enumerate(probs):
-            wanted[c, i] = (n - 1) * p
-            lo = row[f"q_{c}"][spread.index(max(0.0, p - edge))]
-            hi = row[f"q_{c}"][spread.index(min(1.0, p + edge))]
-            brackets[c, i] = (extent[c][0] if p - edge <= 0 else lo, extent[c][1] if p + edge >= 1 else hi)
-
-    below: dict[tuple[str, int], int] = {}
-    slack = dict.fromkeys(wanted, edge)
-    open_keys = list(wanted)
-    while open_keys:
-        counted = df.agg(
-            *[
-                e
-                for c, i in open_keys
-                for e in (
-                    F.count_if(F.col(c) < brackets[c, i][0]).alias(f"lt_{c}_{i}"),
-                    F.count_if(F.col(c).between(*brackets[c, i])).alias(f"in_{c}_{i}"),
-                )
-            ]
-        ).first()
-        missed, wide = [], []
-        for key in open_keys:
-            c, i = key
-            lt, inside = counted[f"lt_{c}_{i}"], counted[f"in_{c}_{i}"]
-            first, last = floor(wanted[key]), ceil(wanted[key])
-            if first < lt or last >= lt + inside:  # the estimate missed: take the whole range back
-                brackets[key] = extent[c]
-                slack[key] *= 4
-                missed.append(key)
-                continue
-            below[key] = lt
-            lo, hi = brackets[key]
-            if inside > limit and lo < hi:
-                wide.append((key, (wanted[key] - lt) / max(1, inside - 1)))
-        narrowed = _narrow(df, brackets, slack, wide, accuracy)
-        open_keys = missed + narrowed
-
-    found = _values_inside(df, {k: brackets[k] for k in wanted if brackets[k][0] < brackets[k][1]})
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for key, position in wanted.items():
-        c, i = key
-        lo, hi = brackets[key]
-        if lo == hi:
-            out[c][i] = lo
-            continue
-        values, counts = found[key]
-        upto = below[key] + counts.cumsum()
-        at_lo = values[np.searchsorted(upto, floor(position), side="right")]
-        at_hi = values[np.searchsorted(upto, ceil(position), side="right")]
-        out[c][i] = float(at_lo + (at_hi - at_lo) * (position - floor(position)))
+        row = numbers.agg(*[F.percentile(f"c{i}", probs).alias(f"c{i}") for i in range(len(cols))]).first()
+        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
+    counts = numbers.agg(*[F.count(c) for c in numbers.columns]).first()
+    wanted = {}
+    for i, n in enumerate(counts):
+        places = [(n - 1) * p for p in probs] if n else []
+        wanted[i] = sorted({r for at in places for r in (floor(at), ceil(at))})
+    values = select_ranks(numbers, wanted)
+    out: dict[str, list[float | None]] = {}
+    for i, (c, n) in enumerate(zip(cols, counts)):
+        out[c] = [None] * len(probs)
+        for j, p in enumerate(probs if n else []):
+            at = (n - 1) * p
+            low, high = values[i, floor(at)], values[i, ceil(at)]
+            out[c][j] = low if low == high else float(low + (high - low) * (at - floor(at)))
     return out
 
 
-def _narrow(df, brackets, slack, wide, accuracy) -> list[tuple[str, int]]:
-    """Tighten the given brackets in place, all in one scan; those that became smaller."""
-    if not wide:
-        return []
-    row = df.agg(
-        *[
-            F.percentile_approx(
-                F.when(F.col(c).between(*brackets[c, i]), F.col(c)),
-                [max(0.0, at - slack[c, i]), min(1.0, at + slack[c, i])],
-                accuracy,
-            ).alias(f"q_{c}_{i}")
-            for (c, i), at in wide
-        ]
-    ).first()
-    smaller = []
-    for (c, i), _ in wide:
-        part = tuple(row[f"q_{c}_{i}"])
-        if part != brackets[c, i]:
-            brackets[c, i] = part
-            smaller.append((c, i))
-    return smaller
-
-
-def _values_inside(
-    df: DataFrame, brackets: dict[tuple[str, int], tuple[float, float]]
-) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
-    """Distinct values and their counts inside every bracket, from one scan.
-
-    A bracket holds at most the row limit, or a few values held many times over: the rows are
-    grouped before they are fetched.
-    """
-    if not brackets:
-        return {}
-    keys = list(brackets)
-    inside = [
-        F.when(
-            F.col(c).between(*brackets[c, i]),
-            F.struct(F.lit(n).alias("k"), F.col(c).alias("v")),
-        )
-        for n, (c, i) in enumerate(keys)
-    ]
-    counts = (
-        df.select(F.explode(F.array_compact(F.array(*inside))).alias("x"))
-        .select("x.*")
-        .groupBy("k", "v")
-        .count()
-        .toArrow()
-        .to_pandas()
-        .sort_values(["k", "v"])
-    )
-    groups = dict(tuple(counts.groupby("k")))
-    return {
-        key: (groups[n]["v"].to_numpy(), groups[n]["count"].to_numpy()) for n, key in enumerate(keys)
-    }
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; -0.0 counts as 0.0, NaN as the greatest."""
+    x = np.where(x == 0, 0.0, x)
+    x = np.where(np.isnan(x), np.nan, x)
+    bits = x.view(np.uint64)
+    return np.where(bits & SIGN != 0, ~bits, bits | SIGN)
+
+
+def from_bits(bits: int) -> float:
+    raw = bits & ~int(SIGN) if bits & int(SIGN) else ~bits & (2**64 - 1)
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
+
+
+def select_ranks(numbers: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """(column number, rank) to the value of that rank from 0, for columns of doubles; nulls have no rank."""
+    names = numbers.columns
+    found = {(c, r): 0 for c, ranks in wanted.items() for r in ranks}  # the bits so far
+    before = dict(found)  # values below those bits
+    done = 0
+    while found and done < 64:
+        step = min(DIGIT, 64 - done)
+        prefixes = sorted({(c, bits) for (c, _), bits in found.items()})
+
+        def count(batches: Iterator[pa.RecordBatch], done=done, step=step, prefixes=prefixes) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(prefixes), 1 << step), np.int64)
+            for batch in batches:
+                keys = {}
+                for i, (c, bits) in enumerate(prefixes):
+                    if c not in keys:
+                        keys[c] = ordered_bits(batch.column(c).drop_null().to_numpy(zero_copy_only=False).astype(np.float64))
+                    key = keys[c]
+                    if done:
+                        key = key[key >> np.uint64(64 - done) == np.uint64(bits)]
+                    digit = (key >> np.uint64(64 - done - step)) & np.uint64((1 << step) - 1)
+                    total[i] += np.bincount(digit.astype(np.int64), minlength=1 << step)
+            i, digit = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(digit, pa.int32()), pa.array(total[i, digit])], ["i", "digit", "n"])
+
+        parts = numbers.select(*names).mapInArrow(count, "i int, digit int, n long").groupBy("i", "digit").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros((len(prefixes), 1 << step), np.int64)
+        total[parts.column("i").to_numpy(), parts.column("digit").to_numpy()] = parts.column("n").to_numpy()
+        upto = np.cumsum(total, axis=1)
+        place = {p: i for i, p in enumerate(prefixes)}
+        for (c, r), bits in found.items():
+            line = upto[place[c, bits]]
+            digit = int(np.searchsorted(line, r - before[c, r], "right"))
+            before[c, r] += int(line[digit - 1]) if digit else 0
+            found[c, r] = bits << step | digit
+        done += step
+    return {k: from_bits(bits) for k, bits in found.items()}

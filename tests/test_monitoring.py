@@ -174,3 +174,17 @@ def test_rule_severity_and_order(spark):
         "  [WARNING] b: psi=0.1500 (threshold=0.1)",
     ]
     assert dataset_drift(report, 0.75).first()["dataset_drift"]
+
+
+@pytest.mark.parametrize("method", ["ks", "wasserstein", "ed", "psi", "es"])
+def test_a_column_without_values_does_not_end_the_report(spark, method):
+    reference = spark.createDataFrame([(float(i), None, "a", None) for i in range(60)], "x double, y double, k string, m string")
+    current = spark.createDataFrame([(float(i % 7), float(i), "b", "c") for i in range(60)], "x double, y double, k string, m string")
+    cat = "psi" if method == "psi" else "chi2"
+    rows = {r["column"]: r for r in drift_report(reference, current, num_method=method, cat_method=cat).collect()}
+    assert set(rows) == {"x", "y", "k", "m"}
+    assert rows["x"]["drifted"] and rows["k"]["drifted"]
+    for c in ("y", "m"):
+        assert rows[c]["score"] is None and not rows[c]["drifted"]
+    only = drift_report(reference, current, columns=["y"], num_method=method).collect()
+    assert [(r["column"], r["score"]) for r in only] == [("y", None)]

@@ -90,6 +90,32 @@ def test_exact_quantiles(spark, values, limit):
     assert got["d"] == [None, None, None]
 
 
+def test_quantiles_of_any_doubles(spark):
+    """Signs, zeros of both signs, the smallest and greatest numbers, infinities and one value that fills most rows."""
+    rng = np.random.default_rng(4)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, np.nextafter(1.0, 2.0)] * 7
+    v = np.concatenate([odd, rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), np.full(2000, -3.25)])
+    df = spark.createDataFrame(pd.DataFrame({"a.b": v})).repartition(5)
+    got = exact_quantiles(df, ["a.b"], [i / (len(v) - 1) for i in range(0, len(v), 97)], limit=10)["a.b"]
+    assert got == np.sort(v)[::97].tolist()
+
+
+def test_borders_come_from_distinct_keys(spark):
+    """A value most rows share leaves the borders to the others."""
+    df = spark.createDataFrame(pd.DataFrame({"k": np.concatenate([np.zeros(20_000), np.arange(400.0)])}))
+    points = measure_splits(df, ["k"], limit=20)["k"].points
+    assert len(points) >= 15
+
+
+def test_merged_lookup_of_rows_that_repeat(spark):
+    steps = spark.createDataFrame(pd.DataFrame({"t": np.arange(50.0), "v": np.arange(50)}))
+    rows = spark.createDataFrame(pd.DataFrame({"x": np.concatenate([np.full(3000, 7.5), np.arange(100.0) - 3])}))
+    got = step_lookup(rows, "x", steps, "t", ["v"], limit=5).groupBy("x", "v").count().collect()
+    assert {(r["x"], r["v"]): r["count"] for r in got} == {
+        (7.5, 7): 3000, **{(float(x), None if x < 0 else min(x, 49)): 1 for x in range(-3, 97)}
+    }
+
+
 class NamedFolder:
     """A session whose settings name a checkpoint folder."""
 

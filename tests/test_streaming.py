@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenure.operators.features import session_rollup
 from tenure.operators.survival import CoxPH
-from tenure.streaming.jobs import drift_stream, score_stream, session_stream
+from tenure.streaming.jobs import drift_stream, replay_sessions, score_stream, scoring_counters, session_stream
 
 from conftest import day
 
@@ -56,6 +56,20 @@ def test_streamed_sessions_equal_batch_sessions(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_a_replay_yields_open_sessions_too(spark, tmp_path):
+    batch = clicks(spark)
+    source = str(tmp_path / "in")
+    for day_part in range(3):  # several micro-batches
+        hours = F.hour("event_timestamp")
+        part = batch.filter((hours >= 8 * day_part) & (hours < 8 * day_part + 8))
+        part.repartition(1).sortWithinPartitions("event_timestamp").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = replay_sessions(stream, GAP, str(tmp_path / "replay"), delay="40 hours")
+    columns = ["customer_id", "pages_per_session", "session_duration_s", "added_to_cart_in_session"]
+    got, want = out.select(*columns), session_rollup(batch, gap_seconds=GAP).select(*columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = clicks(spark).schema
@@ -94,6 +108,8 @@ def test_scores_and_drift_of_micro_batches(spark, cohort, tmp_path):
     run(score_stream(stream, model, str(tmp_path / "scores"), str(tmp_path / "c1"), [10, 20]))
     assert spark.read.parquet(str(tmp_path / "scores")).count() == cohort.count()
     assert {r["customer_id"] for r in spark.read.parquet(str(tmp_path / "scores-rejected")).collect()} == {"x", "y"}
+    counters = scoring_counters(spark, str(tmp_path / "scores")).first()
+    assert (counters["total"], counters["failed"]) == (cohort.count() + 2, 2) and counters["mean_seconds"] > 0
     run(
         drift_stream(
             stream, cohort, str(tmp_path / "drift"), str(tmp_path / "c2"), columns=["f1", "f2"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -27,7 +27,9 @@ from tenure.operators.labels import (
 )
 from tenure.operators.pipeline import FeaturePipeline, Preprocessor, feature_columns
 from tenure.operators.quality import (
+    BETWEEN,
     SUITES,
+    Expectation,
     FaultAudit,
     drop_repeats,
     fault_report,
@@ -385,3 +387,50 @@ def test_tables_round_trip(spark, tiny, tmp_path):
         read_table(spark, str(tmp_path / "none"))
     paths = write_bundle({"customers": tiny["customers"]}, str(tmp_path / "bundle"))
     assert read_table(spark, paths["customers"]).count() == 2
+
+
+# --- untyped input ------------------------------------------------------------------------------
+
+
+def test_untyped_rows_are_converted_or_named(spark):
+    key = "00000000-0000-4000-8000-00000000000"
+    rows = [
+        (f"{key}1", f"{key}a", "2024-01-05 10:00:00", "12.5", 2.0, "toys", "paypal", "true", 0),
+        (f"{key}2", f"{key}a", "yesterday", "12.5", 2.5, "toys", "paypal", "maybe", 0),
+        (f"{key}3", f"{key}a", "2024-01-05", "n/a", None, "toys", "paypal", "no", 3),
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "transaction_id string, customer_id string, event_timestamp string, order_value string, num_items double, "
+        "product_category string, payment_method string, is_returned string, discount_applied int",
+    )
+    contract = CONTRACTS["transactions"]
+    named = [set(r["violations"]) for r in with_violations(df, contract).orderBy("transaction_id").collect()]
+    assert named == [
+        set(),
+        {"event_timestamp:type", "num_items:type", "is_returned:type"},
+        {"order_value:type", "num_items:required", "discount_applied:range"},
+    ]
+    valid, bad = apply_contract(df, contract)
+    assert dict(valid.dtypes)["num_items"] == "int" and valid.first()["event_timestamp"] == datetime(2024, 1, 5, 10)
+    assert valid.first()["is_returned"] is True and bad.filter("num_items = 2.5").count() == 1
+    fewer = df.drop("payment_method").withColumn("product_category", F.lit(7))
+    got = with_violations(fewer, contract).orderBy("transaction_id").first()["violations"]
+    assert got == ["payment_method:column", "product_category:type"]
+
+
+def test_nan_is_missing_and_names_may_hold_dots(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", nan, None), ("c", 5.0, nan), ("d", 3.0, 8.0)], "customer_id string, `x.y` double, z double")
+    fitted = Preprocessor.fit(df)
+    assert fitted.medians == {"x.y": 3.0, "z": 5.0}
+    out = {r["customer_id"]: r for r in fitted.transform(df).collect()}
+    assert out["b"]["x.y"] == 0 and out["b"]["z"] == out["c"]["z"] == 0
+    judged, passed = Expectation(BETWEEN, "z", low=1.0).counts()
+    assert tuple(df.agg(judged, passed).first()) == (2, 2)
+
+
+def test_fence_of_a_column_that_is_mostly_zero(spark):
+    df = spark.createDataFrame([(i, 0.0 if i < 995 else 4.0, -1.0 * i) for i in range(1000)], "k int, zeros double, below double")
+    report = {r["fault"]: r["n"] for r in fault_report(df, "t", FaultAudit(key="k", outlier_cols=("zeros", "below"))).collect()}
+    assert report["outliers"] == 0
