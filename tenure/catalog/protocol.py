@@ -40,15 +40,15 @@ _SPOILT = {"num_items": (7, ".5"), "order_value": (11, " EUR"), "is_returned": (
     + """,
 raw AS (SELECT *, transaction_id::BIGINT AS k FROM transactions),
 rows_ AS (SELECT k % 7 = 0 AND num_items IS NOT NULL AS items, k % 11 = 0 AS amount, k % 13 = 0 AND is_returned IS NOT NULL AS returned,
-                 k % 17 = 0 AS at, num_items, is_returned, discount_applied, payment_method, order_value FROM raw)
+                 k % 17 = 0 AS late, num_items, is_returned, discount_applied, payment_method, order_value FROM raw)
 SELECT r.rule, r.n AS n_rows FROM (SELECT count(*) AS n, count(*) FILTER (WHERE items) AS items, count(*) FILTER (WHERE amount) AS amount,
-  count(*) FILTER (WHERE returned) AS returned, count(*) FILTER (WHERE at) AS at, count(*) FILTER (WHERE num_items IS NULL) AS no_items,
+  count(*) FILTER (WHERE returned) AS returned, count(*) FILTER (WHERE late) AS late, count(*) FILTER (WHERE num_items IS NULL) AS no_items,
   count(*) FILTER (WHERE is_returned IS NULL) AS no_return, count(*) FILTER (WHERE discount_applied IS NULL) AS no_discount,
   count(*) FILTER (WHERE payment_method IS NULL) AS no_payment, count(*) FILTER (WHERE NOT amount AND order_value < 0) AS low,
   count(*) FILTER (WHERE NOT items AND num_items < 1) AS few, count(*) FILTER (WHERE payment_method = 'voucher') AS voucher,
   count(*) FILTER (WHERE discount_applied < 0 OR discount_applied > 1) AS discount FROM rows_),
 LATERAL (SELECT unnest([
-  {'rule': 'product_category:column', 'n': n}, {'rule': 'event_timestamp:type', 'n': at}, {'rule': 'order_value:type', 'n': amount},
+  {'rule': 'product_category:column', 'n': n}, {'rule': 'event_timestamp:type', 'n': late}, {'rule': 'order_value:type', 'n': amount},
   {'rule': 'num_items:type', 'n': items}, {'rule': 'is_returned:type', 'n': returned}, {'rule': 'discount_applied:type', 'n': 0},
   {'rule': 'transaction_id:required', 'n': 0}, {'rule': 'customer_id:required', 'n': 0}, {'rule': 'event_timestamp:required', 'n': 0},
   {'rule': 'order_value:required', 'n': 0}, {'rule': 'num_items:required', 'n': no_items}, {'rule': 'payment_method:required', 'n': no_payment},
