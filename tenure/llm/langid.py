@@ -78,14 +78,37 @@ def has_letter(strings: pa.Array) -> np.ndarray:
 
 
 def marginals(score: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Probability of every label at every position; sequences begin where `begin` is true.
+    """Probability of every label at every position; sequences begin where `begin` is true."""
+    forward, backward, _ = messages(score, begin, transition)
+    out = forward * backward
+    return out / out.sum(1, keepdims=True) if len(out) else out
+
+
+def pair_sums(score: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals, and the expected number of times each label follows each in the same sequence."""
+    forward, backward, local = messages(score, begin, transition)
+    out = forward * backward
+    if not len(out):
+        return out, np.zeros_like(transition)
+    at = np.flatnonzero(~begin[1:])
+    total = np.zeros_like(transition)
+    move = np.exp(transition - transition.max())
+    for run in np.array_split(at, max(1, len(at) // 100_000)):
+        # The forward message holds what is before and at a position, the other what is at and behind the next.
+        pair = forward[run][:, :, None] * move * (local[run + 1] * backward[run + 1])[:, None, :]
+        total += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+    return out / out.sum(1, keepdims=True), total
+
+
+def messages(score: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward messages (each with its own position's score), backward messages (without) and scores, all scaled.
 
     Chunks of CHUNK positions: each chunk's product of transfer matrices first, then the messages between
     chunks, then all chunks side by side.
     """
     n, m = score.shape
     if not n:
-        return score
+        return score, score, score
     move = np.exp(transition - transition.max())
     local = np.exp(score - score.max(1, keepdims=True))
     chunks = -(-n // CHUNK)
@@ -130,14 +153,13 @@ def marginals(score: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> n
         carried = wide[:, t] * state
         state = np.where(starts[:, t, None], carried.sum(1, keepdims=True), carried @ move.T)
         state = state / state.sum(1, keepdims=True)
-    out = (forward * backward).reshape(-1, m)[:n]
-    return out / out.sum(1, keepdims=True)
+    return forward.reshape(-1, m)[:n], backward.reshape(-1, m)[:n], local
 
 
 def fit(learn: DataFrame, sample: int = 1200, words_each: int = 120, passes: int = 25, run: int = 24) -> Field | None:
     """Fit on at most `sample` rows of learn(doc_id, text, lang), and `words_each` words of each that lie spread over its text.
 
-    Every language has an equal share of the rows (at least one row, at most all it has), those of the lowest hashes.
+    Every language has an equal share of the rows (at least one row, at most all it has and 1000), those of the lowest hashes.
     """
     known = learn.filter("text is not null and lang is not null").withColumn("_hash", F.xxhash64("doc_id", "text"))
     counts = [r["count"] for r in known.groupBy("lang").count().collect()]
@@ -178,10 +200,12 @@ def fit(learn: DataFrame, sample: int = 1200, words_each: int = 120, passes: int
     truth = np.eye(len(languages))[label]
     seen = np.full(field.weights.shape, 1e-6)
     seen_t = np.full(field.transition.shape, 1e-6)
-    inner = np.flatnonzero(~begin[1:]) if len(begin) > 1 else np.zeros(0, np.int64)
+    followed = np.zeros_like(field.transition)
+    inner = np.flatnonzero(~begin[1:])
+    np.add.at(followed, (label[inner], label[inner + 1]), 1)
     for _ in range(passes):
         emit = field.emissions(distinct)[ids]
-        p = marginals(emit, begin, field.transition)
+        p, pairs = pair_sums(emit, begin, field.transition)
         gap = p - truth
         per_word = np.stack([np.bincount(ids, weights=gap[:, k], minlength=len(distinct)) for k in range(len(languages))], 1)
         per_word[silent] = 0
@@ -189,10 +213,7 @@ def fit(learn: DataFrame, sample: int = 1200, words_each: int = 120, passes: int
         grad += 1e-3 * len(at) / SLOTS * field.weights
         seen += grad**2
         field.weights -= (0.25 * grad / np.sqrt(seen)).astype(np.float32)
-        # Pairs: the expected count by marginals of both ends given the transition, against the count seen.
-        pair = p[inner][:, :, None] * np.exp(field.transition) * (p[inner + 1] / np.maximum(1e-12, p[inner] @ np.exp(field.transition)))[:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        gap_t = pair.sum(0) - np.array([[np.sum((label[inner] == i) & (label[inner + 1] == j)) for j in range(len(languages))] for i in range(len(languages))])
+        gap_t = pairs - followed
         gap_t += 1e-2 * len(at) / 100 * field.transition
         seen_t += gap_t**2
         field.transition -= 0.1 * gap_t / np.sqrt(seen_t)
