@@ -132,12 +132,16 @@ SCALE = 30.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 1400, bits: int = 16, passes: int = 50) -> Model | None:
-    """Fit on at most `sample` labelled documents, half of each kind, those whose doc_id hashes lowest."""
+    """Fit on at most `sample` labelled documents, half of each kind, those whose doc_id hashes lowest.
+
+    Of rows that repeat a doc_id, the one whose text hashes lowest counts, so what reaches the driver has a bound.
+    """
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good, bad = (known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for q in (1, 0))
     chosen = good.unionByName(bad)
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
         .mapInArrow(_sparse(bits), "doc_id long, quality int, slot binary, value binary")
         .orderBy("doc_id")
         .toPandas()
