@@ -12,8 +12,10 @@ Two vectors are linked when the cosine of the originals, in double precision, is
    that meet pairwise, so that no task grows with it. A pair counts in the first table in which it meets. A task
    gives each vector its number of links and one link to its local component, never the pairs.
 
-Vectors that are null, empty, zero, or have null or non-finite components, or a length other than the most frequent,
-are linked with nothing. Rows that repeat a vec_id share a component; a null vec_id stands for nothing (its component is its
+5. Only vectors of one length are compared. Each length with over BLOCK vectors has tables of its own; shorter lists are one bucket each,
+   in which all pairs are compared.
+
+Vectors that are null, empty, zero, or have null or non-finite components are linked with nothing. Rows that repeat a vec_id share a component; a null vec_id stands for nothing (its component is its
 class's, or null). An empty table gives no rows. Labels and other columns are ignored.
 """
 
@@ -34,32 +36,30 @@ from tenure.llm.scratch import Scratch
 BLOCK = 2000
 RECALL = 0.98
 MAX_TABLES = 64
+#: Pairs that are made to judge the tables.
+PAIRS = 4000
 
 
-def _usable(length: int):
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows as (vec_id, mark_a, mark_b, data): the doubles of the vector, null where it links with nothing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, a, b = [], [], []
-            for v in batch.column(1):
-                values = v.values
-                x = None
-                if values is not None and len(values) == length and values.null_count == 0:
-                    x = values.to_numpy().astype(np.float64) + 0.0
-                    if not np.isfinite(x).all() or not x.any():
-                        x = None
-                raw = None if x is None else x.tobytes()
-                mark = hashlib.blake2b(raw or b"", digest_size=16).digest()
-                data.append(raw)
-                a.append(int.from_bytes(mark[:8], "little", signed=True))
-                b.append(int.from_bytes(mark[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(data, pa.binary())],
-                ["vec_id", "mark_a", "mark_b", "data"],
-            )
-
-    return run
+    for batch in batches:
+        data, a, b = [], [], []
+        for v in batch.column(1):
+            values = v.values
+            x = None
+            if values is not None and len(values) and values.null_count == 0:
+                x = values.to_numpy().astype(np.float64) + 0.0
+                if not np.isfinite(x).all() or not x.any():
+                    x = None
+            raw = None if x is None else x.tobytes()
+            mark = hashlib.blake2b(raw or b"", digest_size=16).digest()
+            data.append(raw)
+            a.append(int.from_bytes(mark[:8], "little", signed=True))
+            b.append(int.from_bytes(mark[8:], "little", signed=True))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(data, pa.binary())],
+            ["vec_id", "mark_a", "mark_b", "data"],
+        )
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -92,11 +92,12 @@ class Tables:
         self.bits = int(min(dims, 30, max(6, math.ceil(math.log2(max(1, rows) / 64)))))
         self.centre = x.mean(0)
         rng = np.random.default_rng(5)
+        x = np.tile(x, (-(-PAIRS // len(x)), 1))  # several pairs of each vector where there are few
         noise = rng.normal(size=x.shape)
         noise -= (noise * x).sum(1, keepdims=True) * x
         noise /= np.maximum(1e-300, np.sqrt((noise * noise).sum(1, keepdims=True)))
         other = least * x + math.sqrt(1 - least * least) * noise
-        turns = rotations(x - self.centre, -(-MAX_TABLES // (dims // self.bits)))
+        turns = rotations(x[:PAIRS] - self.centre, -(-MAX_TABLES // (dims // self.bits)))
         while not self._reached(x, other, turns):
             self.bits -= 1
 
@@ -173,49 +174,60 @@ def _compare(least: float):
     return run
 
 
+PLACED = "vec_id long, links long, root long"
+
+
+def _found(stands: DataFrame, rows: int, least: float, sample: int, scratch: Scratch) -> DataFrame:
+    """PLACED of the links between vectors of one length, through tables learned for them."""
+    drawn = stands.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("data").toPandas()
+    tables = Tables(_unit(list(drawn["data"])), rows, least)
+    schema = "vec_id long, copies long, data binary, keys array<int>"
+    coded = scratch.table(stands.mapInArrow(_coded(stands.sparkSession.sparkContext.broadcast(tables)), schema))
+    placed = coded.select("vec_id", "copies", "data", "keys", F.posexplode("keys").alias("place", "bucket"))
+    cells = max(1, rows * tables.tables // BLOCK)
+    single = F.pmod(F.xxhash64("place", "bucket"), F.lit(cells))
+    large = coded.select(F.posexplode("keys").alias("place", "bucket")).groupBy("place", "bucket").count().filter(F.col("count") > BLOCK)
+    large = scratch.table(large)
+    if large.isEmpty():
+        placed = placed.select("*", F.lit(0).cast("long").alias("block"), single.alias("cell"), F.lit(False).alias("two"))
+    else:
+        blocks = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1))
+        split = placed.join(large, ["place", "bucket"], "left").withColumn("blocks", blocks)
+        split = split.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("count")
+        few = split.filter("blocks = 1").withColumn("cell", single).withColumn("two", F.lit(False)).drop("blocks")
+        meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+        many = split.filter("blocks > 1").withColumn("pair", F.explode(meet))
+        many = many.withColumn("cell", F.xxhash64("place", "bucket", "pair")).withColumn("two", F.col("pair.x") != F.col("pair.y")).drop("pair", "blocks")
+        placed = few.unionByName(many)
+    return scratch.table(placed.groupBy("cell", "two").applyInArrow(_compare(least), PLACED))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 4000) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(vectors.sparkSession)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    common = vectors.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    length = common["n"] if common else 0
-    made = scratch.table(vectors.mapInArrow(_usable(length), "vec_id long, mark_a long, mark_b long, data binary"))
+    made = scratch.table(vectors.mapInArrow(_usable, "vec_id long, mark_a long, mark_b long, data binary"))
     mark = ["mark_a", "mark_b"]
     classes = scratch.table(
         made.filter("data is not null").groupBy(*mark).agg(F.min("vec_id").alias("stands"), F.count("*").alias("copies")).filter("stands is not null")
     )
     stands = made.join(classes, [*mark]).filter("vec_id = stands").select("vec_id", "copies", "data", *mark).dropDuplicates(mark).drop(*mark)
-    rows = classes.count()
-    links = comps = None
-    if rows:
-        drawn = stands.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("data").toPandas()
-        tables = Tables(_unit(list(drawn["data"])), rows, least)
-        schema = "vec_id long, copies long, data binary, keys array<int>"
-        coded = scratch.table(stands.mapInArrow(_coded(spark.sparkContext.broadcast(tables)), schema))
-        placed = coded.select("vec_id", "copies", "data", "keys", F.posexplode("keys").alias("place", "bucket"))
-        cells = max(1, rows * tables.tables // BLOCK)
-        single = F.pmod(F.xxhash64("place", "bucket"), F.lit(cells))
-        large = coded.select(F.posexplode("keys").alias("place", "bucket")).groupBy("place", "bucket").count().filter(F.col("count") > BLOCK)
-        large = scratch.table(large)
-        if large.isEmpty():
-            placed = placed.select("*", F.lit(0).cast("long").alias("block"), single.alias("cell"), F.lit(False).alias("two"))
-        else:
-            blocks = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1))
-            split = placed.join(large, ["place", "bucket"], "left").withColumn("blocks", blocks)
-            split = split.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("count")
-            few = split.filter("blocks = 1").withColumn("cell", single).withColumn("two", F.lit(False)).drop("blocks")
-            meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-            many = split.filter("blocks > 1").withColumn("pair", F.explode(meet))
-            many = many.withColumn("cell", F.xxhash64("place", "bucket", "pair")).withColumn("two", F.col("pair.x") != F.col("pair.y")).drop("pair", "blocks")
-            placed = few.unionByName(many)
-        found = scratch.table(placed.groupBy("cell", "two").applyInArrow(_compare(least), "vec_id long, links long, root long"))
-        links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-        comps = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")), scratch)
-        classes = classes.join(links, classes["stands"] == links["vec_id"], "left").drop("vec_id")
-        classes = classes.join(comps, classes["stands"] == comps["node"], "left").drop("node")
-    else:
-        classes = classes.select("*", F.lit(0).cast("long").alias("links"), F.col("stands").alias("component"))
+    length = F.length("data")
+    counts = stands.groupBy(length.alias("length")).agg(F.count("*").alias("rows"))
+    many = counts.filter(F.col("rows") > BLOCK).collect()  # at most one row for each BLOCK vectors
+    parts = [_found(stands.filter(length == r["length"]), r["rows"], least, sample, scratch) for r in many]
+    rest = stands.filter(~length.isin([r["length"] for r in many])) if many else stands
+    whole = rest.select(
+        "vec_id", "copies", "data", F.array(F.lit(0)).alias("keys"), F.lit(0).alias("place"), F.lit(0).alias("bucket"),
+        F.lit(0).cast("long").alias("block"), length.cast("long").alias("cell"), F.lit(False).alias("two"),
+    )
+    found = scratch.table(whole.groupBy("cell", "two").applyInArrow(_compare(least), PLACED))
+    for p in parts:
+        found = found.unionByName(p)
+    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+    comps = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")), scratch)
+    classes = classes.join(links, classes["stands"] == links["vec_id"], "left").drop("vec_id")
+    classes = classes.join(comps, classes["stands"] == comps["node"], "left").drop("node")
     classes = classes.select(
         *mark, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "stands").alias("_component")
     )
