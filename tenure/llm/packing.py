@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +68,20 @@ def best_bounds(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_range` and `_place`: where a row stands in docs as it was sorted.
+    """doc_id and text of docs with `_range` and `_place`: where a row stands in docs as it was sorted.
 
     In a table of files that is the number of the file and the row in it, as tasks may read files in any order;
-    otherwise it is the partition and the row in it.
+    otherwise it is the partition and the row in it. Other columns are left out, whatever their names.
     """
-    plan = docs._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() == "LogicalRelation":
-        file = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long").alias("number"), F.col("_metadata.file_path").alias("path"))
-        return docs.select("*", file.alias("_range"), F.col("_metadata.row_index").alias("_place"))
-    at = docs.select("*", F.monotonically_increasing_id().alias("_at"))
-    return at.select(*docs.columns, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    if docs.inputFiles():
+        meta = docs.metadataColumn("_metadata")
+        file = F.struct(F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).try_cast("long").alias("number"), meta["file_path"].alias("path"))
+        try:
+            return docs.select("doc_id", "text", file.alias("_range"), meta["row_index"].alias("_place"))
+        except AnalysisException:  # made from files, but not by a scan alone
+            pass
+    at = F.monotonically_increasing_id()
+    return docs.select("doc_id", "text", F.shiftright(at, 33).alias("_range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, ordered: bool = False) -> DataFrame:

@@ -3,27 +3,23 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenure.plans.materialise import checkpoint_root
+
 
 class Scratch:
     """Writes tables that outlive executors, in a new folder below the checkpoint folder.
 
-    The folder is read from the session; only where none is set, as in tests, a temporary one is used.
+    The folder is read from the session; only where none is set, as in tests, a local master uses a temporary one.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        context = spark.sparkContext
-        base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            set_on = context._jsc.sc().getCheckpointDir()
-            base = set_on.get() if set_on.isDefined() else tempfile.gettempdir()
-        self.root = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        self.root = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}"
         self._count = 0
         self._paths: dict[int, str] = {}
 

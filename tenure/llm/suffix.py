@@ -32,9 +32,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tenure.llm.scratch import Scratch, with_key
 from tenure.llm.text import BASE, BYTE, Text, U, mix, slices
+from tenure.plans.columns import quoted
 
 WIDTH, ANCHOR = 100, 32
 CELL, HOT, SHARD = 6000, 30_000, 1500
@@ -393,7 +395,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _shorten(text_at: int, chars_at: int | None):
+def _shorten(text_at: int, chars_at: int | None, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text, gone in _remove(batches, text_at):
             columns = part.columns[:-1]
@@ -407,7 +409,7 @@ def _shorten(text_at: int, chars_at: int | None):
             if chars_at is not None:
                 touched = pa.array(np.add.reduceat(np.append(gone, False).astype(np.int64), text.off[:-1]) * (np.diff(text.off) > 0) > 0)
                 columns[chars_at] = pc.if_else(touched, pc.utf8_length(columns[text_at]).cast(columns[chars_at].type), columns[chars_at])
-            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -418,8 +420,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Documents left empty stay, null texts stay null.
     """
     scratch = Scratch(docs.sparkSession)
-    keyed = with_key(docs, scratch)
-    types = dict(docs.dtypes)
-    schema = keyed.select(*docs.columns).schema
-    chars = docs.columns.index("n_chars") if types.get("n_chars") in ("int", "bigint") else None
-    return _with_ranges(keyed, docs.columns, scratch).mapInArrow(_shorten(docs.columns.index("text"), chars), schema)
+    # Names of our own for the other columns, whatever theirs are.
+    inner = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    keyed = with_key(docs.select(*(F.col(quoted(c)).alias(n) for c, n in inner.items())), scratch)
+    schema = StructType([StructField(c, keyed.schema[n].dataType) for c, n in inner.items()])
+    chars = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
+    shorten = _shorten(docs.columns.index("text"), chars, docs.columns)
+    return _with_ranges(keyed, list(inner.values()), scratch).mapInArrow(shorten, schema)

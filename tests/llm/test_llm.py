@@ -522,3 +522,81 @@ def test_packing_in_a_given_order(spark, tmp_path):
     for table in (df, spark.read.parquet(str(tmp_path / "t"))):
         got = packing.pack(packing.numbered(table), buckets=1, budget=40, ordered=True).collect()
         assert all((r["batch"], r["slot"]) == divmod(r["doc_id"], 10) for r in got) and len(got) == 1000
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 10, 30, 50])
+def test_small_tables_of_vectors_lose_no_link(spark, n):
+    """Planted pairs beside each other, vectors of other lengths among them."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n):
+        width = 16 if i % 3 else 24
+        x = rng.normal(size=width)
+        x /= np.linalg.norm(x)
+        noise = rng.normal(size=width)
+        noise -= (noise @ x) * x
+        c = rng.uniform(0.905, 0.999)
+        rows += [x, c * x + math.sqrt(1 - c * c) * noise / np.linalg.norm(noise)]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
+    want = {i: sum(j != i and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9 for j, y in enumerate(rows)) for i, x in enumerate(rows)}
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_vectors(df).collect()}
+    assert got == want
+
+
+def test_made_pairs_judge_the_tables():
+    """Few vectors do not make tables look better than they are."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables = embed.Tables(x, 5000, 0.9)
+    noise = rng.normal(size=(12, 200, 32))
+    noise -= (noise * x[:, None]).sum(2, keepdims=True) * x[:, None]
+    other = 0.9 * x[:, None] + math.sqrt(1 - 0.81) * noise / np.linalg.norm(noise, axis=2, keepdims=True)
+    met = (tables.keys(np.repeat(x, 200, axis=0)) == tables.keys(other.reshape(-1, 32))).any(1)
+    assert met.mean() > 0.95
+
+
+def test_gradient_of_the_transitions():
+    rng = np.random.default_rng(2)
+    score, move = rng.normal(size=(11, 3)), rng.normal(size=(3, 3))
+    begin = np.array([i in (0, 4, 5) for i in range(11)])
+
+    def log_z(transition):
+        total, state = 0.0, None
+        for i in range(11):
+            e = np.exp(score[i])
+            if begin[i]:
+                total += 0.0 if state is None else math.log(state.sum())
+                state = e
+            else:
+                state = (state @ np.exp(transition)) * e
+        return total + math.log(state.sum())
+
+    p, pairs = langid.pair_sums(score, begin, move)
+    for i in range(3):
+        for j in range(3):
+            step = np.zeros((3, 3))
+            step[i, j] = 1e-5
+            assert pairs[i, j] == pytest.approx((log_z(move + step) - log_z(move - step)) / 2e-5, abs=1e-6)
+    assert np.abs(p - langid.marginals(score, begin, move)).max() == 0
+
+
+def test_one_labelled_id_on_many_rows(spark):
+    """What reaches the driver does not grow with the rows of a doc_id."""
+    rows = [(i, f"good words number {i} " * 20) for i in range(30)] + [(i, f"bad # $ {i} " * 20) for i in range(30, 60)]
+    docs = spark.createDataFrame(rows + [(5, f"another text {k}") for k in range(10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, quality int")
+    few = spark.createDataFrame(rows[:5] + [(5, min((f"another text {k}" for k in range(3))))] + rows[6:], "doc_id long, text string")
+    assert quality.fit(docs, labels) is not None and quality.fit(few, labels) is not None
+
+
+def test_clashing_names_come_back_unchanged(spark):
+    names = ["key", "_key", "_ranges", "_at", "_range", "_place", "c0", "a.b", "_metadata"]
+    text = prose(random.Random(8), 60)
+    rows = [(i, text if i % 2 else prose(random.Random(i), 50), *range(100 * i, 100 * i + len(names))) for i in range(6)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = {r["doc_id"]: r for r in suffix.without_repeats(df).collect()}
+    assert {i: tuple(r)[2:] for i, r in out.items()} == {r[0]: r[2:] for r in rows}
+    assert out[1]["text"] == text and out[3]["text"] == out[5]["text"] == ""
+    packed = packing.pack(packing.numbered(df.drop("_metadata")), ordered=True).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(6))
