@@ -7,124 +7,135 @@ counted from ordered running totals.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalModel
+from tenure.plans.columns import quoted
 from tenure.plans.materialise import materialise
 from tenure.plans.ordered import (
     BUCKET,
+    MAX_BUCKETS,
     ONE_WINDOW_LIMIT,
-    dense_ranks,
     measure_splits,
     running,
     step_lookup,
     with_bucket,
 )
+from tenure.plans.pairs import decimals, pairs_below, total
+from tenure.plans.timeline import PART_ROWS, Part, Timeline
 
-TIME_BLOCK = 4096  # distinct times per block when counting ordered pairs
+DRIVER_CELLS = 1 << 24  # (part, risk bucket) counts the driver may hold
 METRIC_SCHEMA = "model string, fold int, metric string, t int, value double"
 
 
-def c_index(scored: DataFrame, limit: int = ONE_WINDOW_LIMIT, block: int = TIME_BLOCK) -> DataFrame:
-    """Harrell's concordance in one row: concordant, tied, comparable, c_index. Exact.
+def c_index(scored: DataFrame, by: str | None = None, part_rows: int = PART_ROWS, buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Harrell's concordance: concordant, tied, comparable, c_index, in one row or one per value of the whole number `by`. Exact.
 
-    A pair is comparable when the earlier one is an event (a censoring at the same time counts as
-    later). Two distinct risk ranks first differ at exactly one binary digit, the higher rank
-    having the 1 there. So each row is filed once per digit position under the digits above it,
-    and inside every such prefix the pairs (event with digit 1, later row with digit 0) are
-    counted by a running sum along time. Risk ties and the comparable total are two more filings.
-    Prefixes are cut into blocks of times, rows are collapsed per (prefix, time) before any
-    window, and pairs across blocks come from block totals, so neither a frequent risk nor a
-    frequent time fills a task.
+    A pair is comparable when the earlier one is an event (a censoring at the same time counts as later). Rows are laid out
+    from the latest time to the earliest, at one time censorings first and then the greater risks (`plans.timeline`), so
+    a pair is an event and a row before it, but for events of one time, whose pairs are counted apart and taken off. Pairs inside a part are
+    counted there. For pairs across parts, risks are cut into buckets: the rows and events of each (part, bucket) settle the pairs
+    of different buckets, and pairs of one bucket are counted where the bucket's cells (part, risk) meet. A frequent risk is one
+    cell a part and a frequent time is spread over parts, so neither fills a task.
     """
-    staged = scored.select(
-        F.col("risk").cast("double").alias("risk"),
+    group = F.lit(0) if by is None else F.col(quoted(by)).cast("int")
+    rows = scored.select(
         F.col("duration").cast("double").alias("t"),
-        # Added to twice the time rank: a censoring at t sorts after the events at t.
-        (~F.col("event")).cast("int").alias("c"),
-    )
-    # Read four times below: for both ranks, their join and the row count.
-    cells = materialise(
-        staged.groupBy("risk", "t", "c").agg(F.count(F.lit(1)).alias("n")), "pairs"
-    )
-    splits = measure_splits(cells, ["risk", "t"], limit)
-    risks = dense_ranks(cells, "risk", "u", splits["risk"])
-    times = dense_ranks(cells, "t", "v", splits["t"])
-    ranked = cells.join(risks, "risk").join(times, "t").select(
-        "u",
-        (F.col("v") * 2 + F.col("c")).alias("v"),
-        "n",
-        F.when(F.col("c") == 0, F.col("n")).otherwise(0).alias("a"),
-    )
-    sizes = cells.agg(F.sum("n").alias("n")).first()["n"] or 0
-    top = risks.agg(F.max("u").alias("u")).first()["u"] or 0
-    digits = max(1, int(top).bit_length())
-    # Products of two counts stay below 2^63 up to three billion rows.
-    exact = "bigint" if sizes < 3_000_000_000 else "decimal(38,0)"
-    level = F.col("level")
-    digit = F.expr("shiftright(u, greatest(level, 0)) & 1")
-    prefix = (
-        F.when(level >= 0, F.expr("shiftright(u, greatest(level, 0) + 1)"))
-        .when(level == -1, F.col("u"))
-        .otherwise(0)
-    )
-    filed = ranked.withColumn(
-        "level", F.explode(F.sequence(F.lit(-2), F.lit(digits - 1)))
-    ).select(
-        "level",
-        prefix.alias("prefix"),
-        F.floor(F.col("v") / block).alias("block"),
-        "v",
-        F.when((level < 0) | (digit == 0), F.col("n")).otherwise(0).alias("later"),
-        F.when((level < 0) | (digit == 1), F.col("a")).otherwise(0).alias("early"),
-    )
-    collapsed = (
-        filed.filter((F.col("later") > 0) | (F.col("early") > 0))
-        .groupBy("level", "prefix", "block", "v")
-        .agg(F.sum("later").alias("later"), F.sum("early").alias("early"))
-    )
-    after = (
-        Window.partitionBy("level", "prefix", "block")
-        .orderBy(F.col("v").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-
-    def times_count(x: Column, y: Column) -> Column:
-        side = "bigint" if exact == "bigint" else "decimal(19,0)"
-        return (F.coalesce(x, F.lit(0)).cast(side) * F.coalesce(y, F.lit(0)).cast(side)).cast(exact)
-
-    per_block = (
-        collapsed.withColumn("_later", F.sum("later").over(after))
-        .groupBy("level", "prefix", "block")
-        .agg(
-            F.sum(times_count(F.col("early"), F.col("_later"))).cast(exact).alias("pairs"),
-            F.sum("later").alias("later"),
-            F.sum("early").alias("early"),
-        )
-    )
-    later_blocks = (
-        Window.partitionBy("level", "prefix")
-        .orderBy(F.col("block").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    crossing = times_count(F.col("early"), F.sum("later").over(later_blocks))
-    pairs = per_block.select("level", (F.col("pairs") + crossing).cast(exact).alias("pairs"))
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("pairs"))).cast("double"), F.lit(0.0))
-
-    return pairs.agg(
-        total(level >= 0).alias("concordant"),
-        total(level == -1).alias("tied"),
-        total(level == -2).alias("comparable"),
-    ).withColumn(
-        "c_index",
-        F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), F.col("comparable")),
-    )
+        F.coalesce(F.col("event").cast("int"), F.lit(0)).alias("e"),
+        group.alias("g"),
+        F.col("risk").cast("double").alias("risk"),
+    ).dropna()
+    count = F.col("n").cast("decimal(38,0)")
+    at_risk = rows.groupBy("g", "t", "risk").agg(F.sum("e").alias("n"), F.count(F.lit(1)).alias("all"))
+    at_time = at_risk.groupBy("g", "t").agg(F.sum("n").alias("n"), F.sum("all").alias("all"), F.sum(count * (count - 1) / 2).alias("same"))
+    apart = {
+        r["g"]: (int(r["same"]), int(r["times"]), r["rows"])
+        for r in at_time.groupBy("g").agg(F.sum("same").alias("same"), F.sum(count * (count - 1) / 2).alias("times"), F.sum("all").alias("rows")).collect()
+    }
+    size = sum(n for *_, n in apart.values())
+    line = Timeline(rows, ["risk"], size, part_rows, ties=[F.col("e"), F.col("risk").desc()])
+    try:
+        counts = _concordance(line, rows, sorted(apart), buckets)
+    finally:
+        line.release()
+    out = []
+    for g, (same, times, _) in apart.items():
+        concordant, tied, comparable = (float(v) for v in (counts[g][0], counts[g][1] - same, counts[g][2] - times))
+        out.append((g, concordant, tied, comparable, (concordant + 0.5 * tied) / comparable if comparable else None))
+    if by is None and not out:
+        out = [(0, 0.0, 0.0, 0.0, None)]
+    table = scored.sparkSession.createDataFrame(out, f"{by or 'g'} int, concordant double, tied double, comparable double, c_index double")
+    return table if by is not None else table.drop("g")
+
+
+def _concordance(line: Timeline, rows: DataFrame, groups: list[int], buckets: int) -> dict[int, list[int]]:
+    """Per group, the events and rows before them: of smaller risk, of the same, and all."""
+    found = {g: [0, 0, 0] for g in groups}
+    many = min(buckets, max(2, DRIVER_CELLS // (line.parts * max(1, len(groups)))))
+    borders = np.zeros(0)
+    if line.parts > 1:
+        points = F.percentile_approx("risk", [i / many for i in range(1, many)], 20 * many)
+        borders = np.unique(np.array(rows.select("risk").distinct().agg(points.alias("p")).first()["p"], float))
+    width = len(borders) + 1
+
+    def inside(part: Part) -> Iterator[pa.RecordBatch]:
+        out = []
+        for g in np.unique(part.g):
+            mine = part.g == g
+            risk, e = part.x[mine, 0], part.e[mine].astype(np.int64)
+            place = np.arange(len(risk))
+            below, same = pairs_below(place, risk, np.ones(len(risk), np.int64), e)
+            bucket = np.searchsorted(borders, risk, "left")
+            out.append((int(g), below, same, int(e @ place), np.bincount(bucket, minlength=width), np.bincount(bucket, e, width).astype(np.int64)))
+        g, below, same, all_, n, died = zip(*out)
+        kinds = [pa.int32(), pa.int32(), *[pa.decimal128(38, 0)] * 3, pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = [[part.number] * len(g), g, decimals(below), decimals(same), decimals(all_), n, died]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "g", "below", "same", "all", "n", "died"])
+
+    schema = "part int, g int, below decimal(38,0), same decimal(38,0), all decimal(38,0), n array<long>, died array<long>"
+    of_parts: dict[int, dict[int, tuple]] = {g: {} for g in groups}
+    for r in line.rows(inside, schema).collect():
+        for k, v in enumerate(("below", "same", "all")):
+            found[r["g"]][k] += int(r[v])
+        of_parts[r["g"]][r["part"]] = (r["n"], r["died"])
+    if line.parts == 1:
+        return found
+    for g, parts in of_parts.items():
+        n, died = (np.array([parts[q][k] for q in sorted(parts)], np.int64) for k in (0, 1))
+        before = np.cumsum(n, axis=0) - n
+        lower = np.cumsum(before, axis=1) - before
+        found[g][0] += total((died * lower).ravel())
+        found[g][2] += total((died * before.sum(axis=1, keepdims=True)).ravel())
+
+    def cells(part: Part) -> Iterator[pa.RecordBatch]:
+        for g in np.unique(part.g):
+            mine = part.g == g
+            risk, at = np.unique(part.x[mine, 0], return_inverse=True)
+            n = np.bincount(at)
+            died = np.bincount(at, part.e[mine]).astype(np.int64)
+            bucket = np.searchsorted(borders, risk, "left")
+            whole = [np.full(len(risk), part.number, np.int32), np.full(len(risk), g, np.int32), bucket.astype(np.int32), risk, n, died]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in whole], ["part", "g", "bucket", "risk", "n", "died"])
+
+    def across(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        place, risk, n, died = (table.column(c).to_numpy() for c in ("part", "risk", "n", "died"))
+        below, same = pairs_below(place, risk, n, died)
+        kind = pa.decimal128(38, 0)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "below": pa.array(decimals([below]), kind), "same": pa.array(decimals([same]), kind)})
+
+    table = line.rows(cells, "part int, g int, bucket int, risk double, n long, died long")
+    table = table.groupBy("g", "bucket").applyInArrow(across, "g int, below decimal(38,0), same decimal(38,0)")
+    for r in table.groupBy("g").agg(F.sum("below").alias("below"), F.sum("same").alias("same")).collect():
+        found[r["g"]][0] += int(r["below"])
+        found[r["g"]][1] += int(r["same"])
+    return found
 
 
 def censoring_km(train: DataFrame) -> DataFrame:

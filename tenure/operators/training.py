@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.operators.evaluate import (
+    FoldMetrics,
     aggregate_folds,
     evaluate,
     results_table,
@@ -103,7 +105,14 @@ def cross_validate(
         models = estimator.fit_folds(folded, features, n_splits)
     else:
         models = [estimator.fit(train, features) for train, _ in sides]
-    results = [evaluate(model, test, train, horizons, fold) for fold, (model, (train, test)) in enumerate(zip(models, sides))]
+
+    def evaluated(fold: int) -> FoldMetrics:
+        train, test = sides[fold]
+        return evaluate(models[fold], test, train, horizons, fold)
+
+    # A fold's figures are many small jobs: those of all folds share the cluster.
+    with ThreadPoolExecutor(n_splits) as pool:
+        results = list(pool.map(evaluated, range(n_splits)))
     table = results_table(spark, results)
     if runs is not None:
         tags = {"model": estimator.name, "n_splits": n_splits, "n_samples": int(sum(r.value("n_test") for r in results)), "n_features": len(features)}

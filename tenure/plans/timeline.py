@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART_ROWS = 1 << 16  # rows a task holds, while there are no more parts than the driver follows
@@ -83,9 +83,19 @@ class Timeline:
     """A table's rows as parts in the order of time; `release` gives the storage back."""
 
     def __init__(
-        self, rows: DataFrame, columns: Sequence[str], size: int, part_rows: int = PART_ROWS, kind: type = np.float64, encode: Encode | None = None
+        self,
+        rows: DataFrame,
+        columns: Sequence[str],
+        size: int,
+        part_rows: int = PART_ROWS,
+        kind: type = np.float64,
+        encode: Encode | None = None,
+        ties: Sequence[Column] = (),
     ):
-        """rows: t, e (null counts as censored), g (a group number) and `columns`; size: their number. encode turns a matrix of the columns into kind."""
+        """rows: t, e (null counts as censored), g (a group number) and `columns`; size: their number.
+
+        encode turns a matrix of the columns into kind; ties orders rows of one time.
+        """
         columns = list(columns)
         self.spark = rows.sparkSession
         self.width = len(columns)
@@ -98,7 +108,7 @@ class Timeline:
             F.monotonically_increasing_id().alias("_r"),
             *columns,
         )
-        latest = [F.col("t").desc(), F.col("_r")]
+        latest = [F.col("t").desc(), *ties, F.col("_r")]
         dealt = rows.repartition(1) if self.parts == 1 else rows.repartitionByRange(self.parts, *latest)
         ordered = dealt.sortWithinPartitions(*latest)
         self.first = self.blocks = ordered.mapInArrow(_packer(columns, kind, encode), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)

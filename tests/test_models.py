@@ -25,6 +25,7 @@ from tenure.operators.evaluate import (
 from tenure.operators.scoring import counted, score
 from tenure.operators.survival import CoxModel, CoxPH, partial_log_likelihood, tie_terms
 from tenure.operators.training import RunLog, cross_validate, train_final
+from tenure.plans.pairs import pairs_below
 from tenure.plans.timeline import PART_ROWS
 
 FEATURES = ["f1", "f2", "f3"]
@@ -200,14 +201,32 @@ def concordance(pdf):
     return conc, tied, comp
 
 
-@pytest.mark.parametrize("limit,block", [(50_000, 4096), (10, 3)])
-def test_c_index_is_exact(cohort, cohort_pdf, limit, block):
-    row = c_index(cohort, limit=limit, block=block).first()
+@pytest.mark.parametrize("part_rows,buckets", [(PART_ROWS, 1024), (50, 1024), (7, 3)])
+def test_c_index_is_exact(cohort, cohort_pdf, part_rows, buckets):
+    row = c_index(cohort, part_rows=part_rows, buckets=buckets).first()
     conc, tied, comp = concordance(cohort_pdf)
     assert (row["concordant"], row["tied"], row["comparable"]) == (conc, tied, comp)
     assert row["c_index"] == pytest.approx((conc + tied / 2) / comp)
 
 
+@pytest.mark.parametrize("part_rows", [PART_ROWS, 40])
+def test_c_index_of_groups(spark, cohort_pdf, part_rows):
+    pdf = cohort_pdf.assign(fold=[i % 3 for i in range(len(cohort_pdf))])
+    rows = c_index(spark.createDataFrame(pdf), by="fold", part_rows=part_rows, buckets=4).collect()
+    assert {r["fold"]: (r["concordant"], r["tied"], r["comparable"]) for r in rows} == {k: concordance(pdf[pdf.fold == k]) for k in range(3)}
+
+
+def test_c_index_of_nothing(spark, cohort):
+    assert c_index(cohort.limit(0)).first()["c_index"] is None
+    odd = spark.createDataFrame([(None, 1.0, True), (2.0, None, True), (3.0, 1.0, True), (4.0, 1.0, None)], "duration double, risk double, event boolean")
+    assert tuple(c_index(odd).first()) == (0.0, 1.0, 1.0, 0.5)
+
+
+def test_sums_beyond_64_bits():
+    below, same = pairs_below(np.arange(3), np.array([1.0, 2.0, 2.0]), np.full(3, 2**31), np.full(3, 2**31))
+    assert (below, same) == (2 * 2**62, 2**62)
+
+
 def test_c_index_of_one_hot_risk(spark):
     df = spark.createDataFrame([(1.0, float(i), i % 2 == 0) for i in range(50)], "risk double, duration double, event boolean")
     assert c_index(df).first()["c_index"] == 0.5
