@@ -25,59 +25,52 @@ def day(text: str) -> datetime:
     return datetime.fromisoformat(text)
 
 
+# Orders of three customers by day of 2021: (number, day, value, items, category, payment, returned, discount).
+ORDERS = {
+    "ana": [(11, "05-02", 20.0, 1, "Garden", "paypal", False, 0.0), (12, "06-11", 35.0, 2, "Kitchen", "debit_card", True, 0.05),
+            (13, "06-30", 65.0, 6, "Garden", "paypal", False, 0.25)],
+    "ben": [(21, "04-18", 9.5, 1, "Toys", "crypto", False, 0.0)],
+    "cid": [(31, "02-07", 210.0, 8, "Sport", "credit_card", False, 0.1), (32, "07-19", 40.0, 3, "Sport", "debit_card", True, 0.3)],
+}
+# Visits: (customer, day, device, pages with their seconds and whether something went into the cart). Cid never visits.
+VISITS = [
+    ("ana", "05-02", "tablet", [("search", 12.0, False), ("product", 48.0, False), ("checkout", 30.0, True)]),
+    ("ana", "06-11", "desktop", [("home", 15.0, False)]),
+    ("ben", "04-18", "mobile", [("product", 25.0, True), ("product", 75.0, False)]),
+]
+
+
 @pytest.fixture(scope="session")
-def tiny(spark):
-    """Two customers with hand-checked features."""
-    transactions = spark.createDataFrame(
-        [
-            ("t1", "c1", day("2023-01-10"), 50.0, 2, "Books", "credit_card", False, 0.0),
-            ("t2", "c1", day("2023-03-01"), 80.0, 3, "Electronics", "paypal", False, 0.1),
-            ("t3", "c2", day("2023-02-15"), 30.0, 1, "Books", "credit_card", True, 0.0),
-            ("t4", "c2", day("2023-04-20"), 120.0, 4, "Books", "credit_card", False, 0.2),
-        ],
-        "transaction_id string, customer_id string, event_timestamp timestamp, order_value double, "
-        "num_items int, product_category string, payment_method string, is_returned boolean, "
-        "discount_applied double",
-    )
-    clickstream = spark.createDataFrame(
-        [
-            ("s1", "c1", day("2023-01-10"), "home", 30.0, "desktop", False),
-            ("s1", "c1", day("2023-01-10"), "product", 90.0, "desktop", True),
-            ("s2", "c1", day("2023-02-01"), "cart", 45.0, "mobile", True),
-            ("s3", "c2", day("2023-02-15"), "home", 20.0, "mobile", False),
-            ("s3", "c2", day("2023-02-15"), "checkout", 60.0, "mobile", False),
-        ],
-        "session_id string, customer_id string, event_timestamp timestamp, page_type string, "
-        "time_on_page_seconds double, device_type string, added_to_cart boolean",
-    )
-    tickets = spark.createDataFrame(
-        [
-            ("tk1", "c1", day("2023-02-01"), "billing", "I was charged twice", -0.5, True, 2.0),
-            ("tk2", "c1", day("2023-03-15"), "shipping", "My order is late", -0.2, False, None),
-        ],
-        "ticket_id string, customer_id string, created_at timestamp, topic string, raw_text string, "
-        "sentiment_score double, resolved boolean, resolution_days double",
-    )
-    customers = spark.createDataFrame(
-        [("c1", 28.0, "F", "Gold", "organic_search"), ("c2", 45.0, "M", "Bronze", "paid_search")],
-        "customer_id string, age double, gender string, loyalty_tier string, "
-        "acquisition_channel string",
-    )
-    labels = spark.createDataFrame(
-        [
-            ("c1", day("2023-01-10"), day("2023-04-01"), 80.0, True, 2, 130.0),
-            ("c2", day("2023-02-15"), day("2023-04-20"), 64.0, False, 2, 150.0),
-        ],
-        "customer_id string, first_purchase_date timestamp, last_purchase_date timestamp, "
-        "duration_days double, event_observed boolean, total_orders bigint, total_revenue double",
-    )
-    return {
-        "customers": customers,
-        "transactions": transactions,
-        "clickstream": clickstream,
-        "tickets": tickets,
-        "labels": labels,
+def shop(spark):
+    """The five tables of three customers: one leaves, one wrote all tickets, one has neither visits nor tickets."""
+    at = lambda d: day(f"2021-{d}")
+    orders = [(f"o-{n}", c, at(d), *rest) for c, rows in ORDERS.items() for n, d, *rest in rows]
+    clicks = [(f"v-{i}", c, at(d), page, s, device, cart) for i, (c, d, device, pages) in enumerate(VISITS) for page, s, cart in pages]
+    tickets = [
+        ("q-1", "ben", at("04-20"), "returns", "wrong size, please exchange", 0.1, True, 4.0),
+        ("q-2", "ben", at("05-01"), "returns", "still no label", -0.6, False, None),
+        ("q-3", "ben", at("05-03"), "payment", "refund arrived", 0.8, True, 1.0),
+    ]
+    people = [("ana", 33.0, "Non-binary", "Silver", "email"), ("ben", 61.0, "M", "Platinum", "referral"), ("cid", 19.0, "F", "Bronze", "direct")]
+    outcome = [
+        ("ana", at("05-02"), at("06-30"), 59.0, True, 3, 120.0),
+        ("ben", at("04-18"), at("04-18"), 92.0, False, 1, 9.5),
+        ("cid", at("02-07"), at("07-19"), 162.0, False, 2, 250.0),
+    ]
+    # The column names of the customer tables.
+    schemas = {
+        "customers": "customer_id string, age double, gender string, loyalty_tier string, acquisition_channel string",
+        "transactions": "transaction_id string, customer_id string, event_timestamp timestamp, order_value double, num_items int, "
+        "product_category string, payment_method string, is_returned boolean, discount_applied double",
+        "clickstream": "session_id string, customer_id string, event_timestamp timestamp, page_type string, time_on_page_seconds double, "
+        "device_type string, added_to_cart boolean",
+        "tickets": "ticket_id string, customer_id string, created_at timestamp, topic string, raw_text string, sentiment_score double, "
+        "resolved boolean, resolution_days double",
+        "labels": "customer_id string, first_purchase_date timestamp, last_purchase_date timestamp, duration_days double, event_observed boolean, "
+        "total_orders bigint, total_revenue double",
     }
+    rows = {"customers": people, "transactions": orders, "clickstream": clicks, "tickets": tickets, "labels": outcome}
+    return {name: spark.createDataFrame(rows[name], schema) for name, schema in schemas.items()}
 
 
 @pytest.fixture(scope="session")

@@ -79,81 +79,70 @@ def test_labels_of_zone_less_timestamps_ignore_clock_changes(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_churned_identity_and_summary(spark, tiny):
-    labels = survival_labels(tiny["transactions"], day("2023-12-31"))
+def test_churned_identity_and_summary(spark, shop):
+    labels = survival_labels(shop["transactions"], day("2021-12-31"))
     assert churned_identity_breaks(labels).count() == 0
     row = cohort_summary(labels).first()
     assert row["churn_rate"] == 1.0
-    assert row["median_revenue"] == 140.0
+    assert row["median_revenue"] == 120.0
 
 
 def test_signed_duration(spark):
-    df = spark.createDataFrame([(True, 100.0), (False, 200.0), (True, 50.0)], "e boolean, d double")
+    df = spark.createDataFrame([(False, 12.5), (True, 7.0), (False, 0.0)], "e boolean, d double")
     got = [r[0] for r in df.select(signed_duration(F.col("e"), F.col("d"))).collect()]
-    assert got == [100.0, -200.0, 50.0]
+    assert got == [-12.5, 7.0, 0.0]
 
 
-def test_target_of_unknown_customer_raises(spark, tiny):
+def test_target_of_unknown_customer_raises(spark, shop):
     rows = spark.createDataFrame([("nobody",)], "customer_id string")
     with pytest.raises(KeyError, match="nobody"):
-        with_targets(rows, tiny["labels"])
+        with_targets(rows, shop["labels"])
 
 
 # --- features -----------------------------------------------------------------------------------
 
 
-def test_purchase_features(tiny):
-    got = by_customer(Rfm(day("2023-05-01")).fit_transform(tiny["transactions"]))
-    assert got["c1"]["frequency"] == got["c2"]["frequency"] == 2
-    assert got["c1"]["monetary_total"] == 130.0
-    assert got["c2"]["monetary_total"] == 150.0
-    assert got["c1"]["recency_days"] == 61
-    assert got["c2"]["n_categories"] == 1
-    assert got["c2"]["return_rate"] == 0.5
+def test_purchase_features(shop):
+    got = by_customer(Rfm(day("2021-08-01")).fit_transform(shop["transactions"]))
+    assert {c: (r["frequency"], r["monetary_total"], r["recency_days"], r["n_categories"]) for c, r in got.items()} == {
+        "ana": (3, 120.0, 32, 2), "ben": (1, 9.5, 105, 1), "cid": (2, 250.0, 13, 1)
+    }
+    assert got["ana"]["return_rate"] == pytest.approx(1 / 3) and got["cid"]["return_rate"] == 0.5
+    assert (got["ana"]["monetary_mean"], got["ana"]["avg_items_per_order"]) == (40.0, 3.0)
+    assert got["ana"]["avg_discount"] == pytest.approx(0.1)
+    assert got["cid"]["monetary_std"] == pytest.approx(85 * 2**0.5)
 
 
-def test_one_purchase_has_no_spread(tiny):
-    one = tiny["transactions"].filter("transaction_id = 't1'")
+def test_one_purchase_has_no_spread(shop):
+    one = shop["transactions"].filter("customer_id = 'ben'")
     assert Rfm().fit_transform(one).first()["monetary_std"] == 0.0
 
 
-def test_reference_date_is_learned_and_recency_rounds_down(tiny):
+def test_reference_date_is_learned_and_recency_rounds_down(shop):
     with pytest.raises(RuntimeError):
-        Rfm().transform(tiny["transactions"])
-    fitted = Rfm().fit(tiny["transactions"])
-    assert fitted.fitted_date == window_end(tiny["transactions"]) == day("2023-04-20")
-    later = tiny["transactions"].withColumn(
-        "event_timestamp", F.lit("2023-04-21 18:00:00").cast("timestamp")
-    )
+        Rfm().transform(shop["transactions"])
+    fitted = Rfm().fit(shop["transactions"])
+    assert fitted.fitted_date == window_end(shop["transactions"]) == day("2021-07-19")
+    later = shop["transactions"].withColumn("event_timestamp", F.lit("2021-07-20 12:00:00").cast("timestamp"))
     assert fitted.transform(later).first()["recency_days"] == -2.0
 
 
-def test_behaviour_features(tiny):
-    got = by_customer(Behaviour().fit(tiny["clickstream"]).transform(tiny["clickstream"]))
-    c1, c2 = got["c1"], got["c2"]
-    assert (c1["n_sessions"], c2["n_sessions"]) == (2, 1)
-    assert c1["avg_session_duration_s"] == 82.5
-    assert c1["avg_pages_per_session"] == 1.5
-    assert c1["cart_session_rate"] == 1.0
-    assert c1["device_desktop_pct"] == pytest.approx(2 / 3)
-    assert c1["page_cart_pct"] == pytest.approx(1 / 3)
-    assert c2["avg_session_duration_s"] == 80.0
-    assert c2["device_mobile_pct"] == 1.0
-    assert c2["device_desktop_pct"] == 0.0
-
-
-def test_null_session_counts_in_shares_only(spark, tiny):
-    extra = spark.createDataFrame(
-        [(None, "c1", day("2023-03-01"), "home", 1000.0, "tablet", False),
-         (None, "c9", day("2023-03-01"), "home", 1000.0, "tablet", False)],
-        tiny["clickstream"].schema,
-    )
-    clicks = tiny["clickstream"].unionByName(extra)
+def test_behaviour_features(shop):
+    got = by_customer(Behaviour().fit(shop["clickstream"]).transform(shop["clickstream"]))
+    assert sorted(got) == ["ana", "ben"]
+    names = ["n_sessions", "avg_session_duration_s", "avg_pages_per_session", "cart_session_rate", "device_tablet_pct", "device_mobile_pct", "page_product_pct"]
+    assert [got["ana"][n] for n in names] == [2, 52.5, 2.0, 0.5, 0.75, 0.0, 0.25]
+    assert [got["ben"][n] for n in names] == [1, 100.0, 2.0, 1.0, 0.0, 1.0, 1.0]
+
+
+def test_null_session_counts_in_shares_only(spark, shop):
+    rows = [(None, c, day("2021-07-01"), "home", 500.0, "mobile", False) for c in ("ana", "zoe")]
+    clicks = shop["clickstream"].unionByName(spark.createDataFrame(rows, shop["clickstream"].schema))
     got = by_customer(Behaviour().fit(clicks).transform(clicks))
-    assert got["c1"]["n_sessions"] == 2
-    assert got["c1"]["avg_session_duration_s"] == 82.5
-    assert got["c1"]["device_tablet_pct"] == 0.25
-    assert "c9" not in got
+    assert got["ana"]["n_sessions"] == 2
+    assert got["ana"]["avg_session_duration_s"] == 52.5
+    assert got["ana"]["device_mobile_pct"] == 0.2
+    assert "zoe" not in got
 
 
 def test_sessions_from_silences(spark):
@@ -175,37 +164,37 @@ def test_sessions_from_silences(spark):
     assert counts == {v: want.count(v) for v in want}
 
 
-def test_ticket_features(tiny):
-    got = by_customer(ticket_features(tiny["tickets"]))
-    assert list(got) == ["c1"]
-    assert got["c1"]["n_tickets"] == 2
-    assert got["c1"]["avg_resolution_days"] == 2.0
-    assert got["c1"]["pct_resolved"] == 0.5
+def test_ticket_features(shop):
+    got = by_customer(ticket_features(shop["tickets"]))
+    assert list(got) == ["ben"]
+    assert (got["ben"]["n_tickets"], got["ben"]["avg_resolution_days"]) == (3, 2.5)
+    assert got["ben"]["pct_resolved"] == pytest.approx(2 / 3)
 
 
-def test_demographics_and_unseen_levels(spark, tiny):
-    fitted = Demographics().fit(tiny["customers"])
-    got = by_customer(fitted.transform(tiny["customers"]))
-    assert got["c1"]["loyalty_tier_ordinal"] > got["c2"]["loyalty_tier_ordinal"]
-    other = spark.createDataFrame([("c3", 30.0, "X", "Iron", None)], tiny["customers"].schema)
+def test_demographics_and_unseen_levels(spark, shop):
+    fitted = Demographics().fit(shop["customers"])
+    got = by_customer(fitted.transform(shop["customers"]))
+    tiers = [got[c]["loyalty_tier_ordinal"] for c in ("cid", "ana", "ben")]
+    assert tiers == sorted(set(tiers))
+    other = spark.createDataFrame([("dot", 50.0, "X", "Iron", None)], shop["customers"].schema)
     row = fitted.transform(other).first()
     assert row["loyalty_tier_ordinal"] is None
-    assert row["gender_F"] == row["gender_M"] == row["channel_paid_search"] == 0.0
+    assert row["gender_F"] == row["gender_M"] == row["channel_email"] == 0.0
 
 
 # --- feature matrix -----------------------------------------------------------------------------
 
 
-def test_pipeline(tiny):
+def test_pipeline(shop):
     order = ("customers", "transactions", "clickstream", "tickets", "labels")
-    tables = [tiny[n] for n in order]
+    tables = [shop[n] for n in order]
     with pytest.raises(RuntimeError):
         FeaturePipeline().transform(*tables)
     pipe = FeaturePipeline()
     out = pipe.fit_transform(*tables)
     rows = by_customer(out)
-    assert rows["c1"]["event"] is True and rows["c2"]["event"] is False
-    assert rows["c2"]["duration"] == 64.0
+    assert [rows[c]["event"] for c in ("ana", "ben", "cid")] == [True, False, False]
+    assert rows["cid"]["duration"] == 162.0
     pdf = out.toPandas()
     x = pdf[pipe.feature_names].to_numpy()
     assert not np.isnan(x).any()
@@ -217,13 +206,13 @@ def test_pipeline(tiny):
     )
 
 
-def test_raw_matrix_counts_no_tickets_as_zero(tiny):
+def test_raw_matrix_counts_no_tickets_as_zero(shop):
     pipe = FeaturePipeline(scale=False).fit(
-        *[tiny[n] for n in ("customers", "transactions", "clickstream", "tickets", "labels")]
+        *[shop[n] for n in ("customers", "transactions", "clickstream", "tickets", "labels")]
     )
-    raw = by_customer(pipe.raw_features(*[tiny[n] for n in ("customers", "transactions", "clickstream", "tickets", "labels")]))
-    assert raw["c2"]["n_tickets"] == 0.0
-    assert raw["c2"]["avg_sentiment"] is None
+    raw = by_customer(pipe.raw_features(*[shop[n] for n in ("customers", "transactions", "clickstream", "tickets", "labels")]))
+    assert raw["cid"]["n_tickets"] == 0.0
+    assert raw["cid"]["avg_sentiment"] is None
 
 
 def test_preprocessor_moments(spark):
@@ -377,16 +366,16 @@ def test_sessionise_keeps_events_without_customer_or_time(spark):
 # --- files --------------------------------------------------------------------------------------
 
 
-def test_tables_round_trip(spark, tiny, tmp_path):
+def test_tables_round_trip(spark, shop, tmp_path):
     path = str(tmp_path / "deep" / "labels")
-    write_table(tiny["labels"], path)
-    assert read_table(spark, path).exceptAll(tiny["labels"]).count() == 0
+    write_table(shop["labels"], path)
+    assert read_table(spark, path).exceptAll(shop["labels"]).count() == 0
     with pytest.raises(Exception, match="exists"):
-        write_table(tiny["labels"], path, overwrite=False)
+        write_table(shop["labels"], path, overwrite=False)
     with pytest.raises(Exception, match="(?i)path does not exist|PATH_NOT_FOUND"):
         read_table(spark, str(tmp_path / "none"))
-    paths = write_bundle({"customers": tiny["customers"]}, str(tmp_path / "bundle"))
-    assert read_table(spark, paths["customers"]).count() == 2
+    paths = write_bundle({"customers": shop["customers"]}, str(tmp_path / "bundle"))
+    assert read_table(spark, paths["customers"]).count() == 3
 
 
 # --- untyped input ------------------------------------------------------------------------------
