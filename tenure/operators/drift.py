@@ -6,19 +6,20 @@ collapsed map-side, and compared along the value order of each column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.columns import kolmogorov_p
 from tenure.functions.special import chi_square_p, chi_square_tail
-from tenure.plans.ordered import BUCKET, ONE_WINDOW_LIMIT, SKETCH_ERROR, measure_splits, running, union_all, with_bucket
-from tenure.plans.quantiles import exact_quantiles
+from tenure.plans.columns import quoted
+from tenure.plans.ordered import BUCKET, MAX_BUCKETS, ONE_WINDOW_LIMIT, SKETCH_ERROR, Splits, running, union_all, with_bucket
 
 # Which methods measure a distance (drift above the threshold).
 DISTANCES = {"psi", "wasserstein", "ed", "kl_div", "jensenshannon", "hellinger"}
@@ -44,96 +45,189 @@ def drift_rule(method: Column, score: Column, threshold: Column) -> Column:
     )
 
 
-@dataclass
-class _Pair:
-    """Both tables under one another with a side flag, and per-column facts of one scan.
+FACTS = ("n", "sd", "lo", "hi", "distinct")
+Fields = Callable[[int, str, Column], list[Column]]
+
+
+class _Rows:
+    """A side given as a table: numeric columns as double, NaN as null."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        self.columns = list(columns)
+        values = [F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(self.columns)]
+        self.rows = df.select(*values)
+
+    def facts(self) -> dict[str, dict]:
+        """Per column: values, deviation, extent and (about) how many are distinct; one scan."""
+        kinds = (F.count, F.stddev_pop, F.min, F.max, lambda v: F.approx_count_distinct(v, SKETCH_ERROR))
+        names = [f"v{i}" for i in range(len(self.columns))]
+        row = self.rows.agg(*[kind(v).alias(f"{k}|{v}") for v in names for k, kind in zip(FACTS, kinds)]).first()
+        return {c: {k: row[f"{k}|{v}"] for k in FACTS} for c, v in zip(self.columns, names)}
+
+    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None) -> DataFrame:
+        """(_i, what fields makes of a value, w): a row per row and column with a value; in buckets if splits are given."""
+        rows = self.rows
+        entries = []
+        for i, c in enumerate(self.columns):
+            extra = []
+            if splits is not None:
+                rows = with_bucket(rows, Splits(f"v{i}", splits[c].points), f"_b{i}")
+                extra = [F.col(f"_b{i}").alias(BUCKET)]
+            entry = F.struct(F.lit(i).alias("_i"), *fields(i, c, F.col(f"v{i}")), *extra, F.lit(1).cast("long").alias("w"))
+            entries.append(F.when(F.col(f"v{i}").isNotNull(), entry))
+        return rows.select(F.explode(F.array_compact(F.array(*entries))).alias("_x")).select("_x.*")
+
 
-    A column without values on one side cannot be compared and is left out.
+class _Cells:
+    """A side given as a profile: distinct values of each column with their number of rows."""
+
+    def __init__(self, profile: ReferenceProfile, columns: Sequence[str]):
+        self.columns, self.profile = list(columns), profile
+
+    def facts(self) -> dict[str, dict]:
+        return {c: self.profile.facts[c] for c in self.columns}
+
+    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None) -> DataFrame:
+        parts = []
+        for i, c in enumerate(self.columns):
+            cells = self.profile.values.filter(F.col("_i") == self.profile.numeric.index(c)).select("value", "n")
+            extra = []
+            if splits is not None:
+                cells = with_bucket(cells, Splits("value", splits[c].points))
+                extra = [BUCKET]
+            parts.append(cells.select(F.lit(i).alias("_i"), *fields(i, c, F.col("value")), *extra, F.col("n").alias("w")))
+        return union_all(parts)
+
+
+class ReferenceProfile:
+    """What comparisons need of a reference table, written once: cells of its values and categories, and facts of its columns.
+
+    A report, or every micro-batch of a stream, reads the profile instead of the table.
     """
 
-    rows: DataFrame  # numeric columns as double, `_cur` boolean
+    def __init__(self, spark: SparkSession, path: str):
+        self.values = spark.read.parquet(f"{path}/values")
+        self.categories = spark.read.parquet(f"{path}/categories")
+        rows = spark.read.parquet(f"{path}/facts").orderBy("position").collect()  # one row per column
+        self.numeric = [r["column"] for r in rows if r["n"] is not None]
+        self.categorical = [r["column"] for r in rows if r["n"] is None]
+        self.facts = {r["column"]: {k: r[k] for k in FACTS} for r in rows if r["n"] is not None}
+
+    @property
+    def columns(self) -> list[str]:
+        return self.numeric + self.categorical
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802
+        return self.values.sparkSession
+
+    @classmethod
+    def fit(cls, reference: DataFrame, path: str, columns: Sequence[str] | None = None) -> ReferenceProfile:
+        spark = reference.sparkSession
+        numeric, categorical = route_columns(reference, reference, columns)
+        side = _Rows(reference, numeric)
+        facts = side.facts() if numeric else {}
+        rows = [(i, c, *(None if facts[c][k] is None else float(facts[c][k]) for k in FACTS)) for i, c in enumerate(numeric)]
+        rows += [(len(numeric) + i, c, *(None for _ in FACTS)) for i, c in enumerate(categorical)]
+        schema = "position int, column string, " + ", ".join(f"{k} double" for k in FACTS)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/facts")
+        values = spark.createDataFrame([], "value double, n long, _i int")
+        if numeric:
+            values = side.stack(lambda i, c, v: [v.alias("value")]).groupBy("_i", "value").agg(F.sum("w").alias("n")).select("value", "n", "_i")
+        values.write.partitionBy("_i").parquet(f"{path}/values") if numeric else values.write.parquet(f"{path}/values")
+        _side_categories(reference, categorical).write.parquet(f"{path}/categories")
+        return cls(spark, path)
+
+
+@dataclass
+class _Pair:
+    """Both sides and the facts of the columns that have values on both; others cannot be compared and are left out."""
+
+    reference: _Rows | _Cells
+    current: _Rows
     columns: list[str]
-    facts: pd.DataFrame  # index column: n_ref, n_cur, sd_ref, lo, hi, distinct (approximate)
+    facts: pd.DataFrame  # index column: n_ref, n_cur, sd_ref, lo, hi, distinct (at most, and about)
 
     @classmethod
-    def of(cls, reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> "_Pair":
-        columns = list(columns)
-
-        def side(df: DataFrame, is_current: bool) -> DataFrame:
-            values = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]
-            return df.select(*values, F.lit(is_current).alias("_cur"))
-
-        rows = side(reference, False).unionByName(side(current, True))
-        ref, cur = ~F.col("_cur"), F.col("_cur")
-        aggregates = []
-        for c in columns:
-            v = F.col(c)
-            aggregates += [
-                F.count(F.when(ref, v)).alias(f"n_ref|{c}"),
-                F.count(F.when(cur, v)).alias(f"n_cur|{c}"),
-                F.stddev_pop(F.when(ref, v)).alias(f"sd_ref|{c}"),
-                F.min(v).alias(f"lo|{c}"),
-                F.max(v).alias(f"hi|{c}"),
-                F.approx_count_distinct(v, SKETCH_ERROR).alias(f"distinct|{c}"),
-            ]
-        row = rows.agg(*aggregates).first()
-        kinds = ("n_ref", "n_cur", "sd_ref", "lo", "hi", "distinct")
+    def of(cls, reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str]) -> _Pair:
+        side = _side(reference, columns)
+        ref, cur = side.facts(), _Rows(current, columns).facts()
+        both = [c for c in columns if ref[c]["n"] and cur[c]["n"]]
         facts = pd.DataFrame(
-            [{"column": c, **{k: row[f"{k}|{c}"] for k in kinds}} for c in columns]
+            [
+                {
+                    "column": c,
+                    "n_ref": ref[c]["n"],
+                    "n_cur": cur[c]["n"],
+                    "sd_ref": ref[c]["sd"],
+                    "lo": min(ref[c]["lo"], cur[c]["lo"]),
+                    "hi": max(ref[c]["hi"], cur[c]["hi"]),
+                    "distinct": ref[c]["distinct"] + cur[c]["distinct"],
+                }
+                for c in both
+            ],
+            columns=["column", "n_ref", "n_cur", "sd_ref", "lo", "hi", "distinct"],
         ).set_index("column")
-        both = [c for c in columns if facts.n_ref[c] and facts.n_cur[c]]
-        return cls(rows, both, facts.loc[both])
+        return cls(_side(reference, both), _Rows(current, both), both, facts)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.current.rows.sparkSession
+
+    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None) -> DataFrame:
+        """Both sides' stacks under one another, with weights r and c."""
+        none = F.lit(0).cast("long")
+        ref = self.reference.stack(fields, splits).withColumnRenamed("w", "r").withColumn("c", none)
+        cur = self.current.stack(fields, splits).withColumnRenamed("w", "c").withColumn("r", none)
+        return ref.unionByName(cur)
 
     def facts_table(self) -> DataFrame:
         """One row per monitored column, hence broadcast."""
-        spark = self.rows.sparkSession
         rows = [
             (i, c, float(f.n_ref), float(f.n_cur), float(f.sd_ref or 0.0))
             for i, (c, f) in enumerate(self.facts.iterrows())
         ]
         return F.broadcast(
-            spark.createDataFrame(
+            self.spark.createDataFrame(
                 rows, "_i int, column string, n_ref double, n_cur double, sd_ref double"
             )
         )
 
 
-def _distribution(pair: _Pair, limit: int) -> DataFrame:
-    """(column, value, next_value, f_ref, f_cur, n_ref, n_cur, sd_ref): both distribution functions
-    at every distinct value. Columns go by number until the end: keys stay fixed width."""
-    distinct = {c: int(n) for c, n in pair.facts["distinct"].items()}
-    splits = measure_splits(pair.rows, pair.columns, limit, distinct)
+def _side(table: DataFrame | ReferenceProfile, columns: Sequence[str]) -> _Rows | _Cells:
+    return _Cells(table, columns) if isinstance(table, ReferenceProfile) else _Rows(table, columns)
+
+
+def _splits(pair: _Pair, limit: int) -> dict[str, Splits]:
+    """Bucket borders of the columns with more distinct values than one window may hold, from the distinct values of both sides."""
+    large = {
+        c: max(2, min(MAX_BUCKETS, int(n // limit) + 1)) for c, n in pair.facts["distinct"].items() if (1 + 3 * SKETCH_ERROR) * n > limit
+    }
+    found = {c: Splits(c) for c in pair.columns}
+    if large:
+        number = {c: i for i, c in enumerate(pair.columns)}
+        most = max(large.values())
+        cells = pair.stack(lambda i, c, v: [v.alias("value")]).filter(F.col("_i").isin([number[c] for c in large]))
+        points = F.percentile_approx("value", [i / most for i in range(1, most)], max(1000, 20 * most))
+        cut = {r["_i"]: r["p"] for r in cells.select("_i", "value").distinct().groupBy("_i").agg(points.alias("p")).collect()}
+        found |= {c: Splits(c, tuple(sorted(set(cut[number[c]])))) for c in large}
+    return found
+
+
+def _running(pair: _Pair, limit: int) -> tuple[DataFrame, bool]:
+    """(_i, value, u_ref, u_cur): rows of both sides up to every distinct value of a column, and whether they are in buckets.
+
+    Columns go by number until the end: keys stay fixed width.
+    """
+    splits = _splits(pair, limit)
     bucketed = any(s.bucketed for s in splits.values())
-    rows = pair.rows
-    for i, c in enumerate(pair.columns):
-        rows = with_bucket(rows, splits[c], f"_b{i}")
-    stacked = rows.select(
-        "_cur",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("_i"),
-                        F.col(c).alias("value"),
-                        F.col(f"_b{i}").alias(BUCKET),
-                    )
-                    for i, c in enumerate(pair.columns)
-                ]
-            )
-        ).alias("_x"),
-    ).select("_cur", "_x.*")
-    stacked = stacked.filter(F.col("value").isNotNull())
-    counts = {"u_ref": F.count_if(~F.col("_cur")), "u_cur": F.count_if("_cur")}
-    cells = stacked.groupBy("_i", BUCKET, "value").agg(
-        *[c.alias(f"c_{n[2:]}") for n, c in counts.items()]
-    )
+    stacked = pair.stack(lambda i, c, v: [v.alias("value")], splits)
+    cells = stacked.groupBy("_i", BUCKET, "value").agg(F.sum("r").alias("c_ref"), F.sum("c").alias("c_cur"))
     totals = None
     if bucketed:
         # Straight from the rows: partial sums leave one row per (task, column, bucket), so this
         # second scan shuffles next to nothing. One row per column and bucket in the end.
-        per_bucket = stacked.groupBy("_i", BUCKET).agg(
-            *[c.alias(n) for n, c in counts.items()], F.min("value").alias("_start")
-        )
+        per_bucket = stacked.groupBy("_i", BUCKET).agg(F.sum("r").alias("u_ref"), F.sum("c").alias("u_cur"), F.min("value").alias("_start"))
         following = Window.partitionBy("_i").orderBy(BUCKET)
         totals = per_bucket.withColumn("_next_start", F.lead("_start").over(following)).drop("_start")
     upto = running(
@@ -144,6 +238,13 @@ def _distribution(pair: _Pair, limit: int) -> DataFrame:
         bucketed=bucketed,
         totals=totals,
     )
+    return upto, bucketed
+
+
+def _distribution(pair: _Pair, limit: int) -> DataFrame:
+    """(column, value, next_value, f_ref, f_cur, n_ref, n_cur, sd_ref): both distribution functions
+    at every distinct value."""
+    upto, bucketed = _running(pair, limit)
     inside = Window.partitionBy("_i", *([BUCKET] if bucketed else [])).orderBy("value")
     following_value = F.lead("value").over(inside)
     if bucketed:
@@ -161,8 +262,26 @@ def _distribution(pair: _Pair, limit: int) -> DataFrame:
     )
 
 
+def _quartiles(pair: _Pair, limit: int) -> dict[str, tuple[float, float]]:
+    """The quartiles of both sides' values together, with linear interpolation."""
+    ranks = {c: [(f.n_ref + f.n_cur - 1) * q for q in (0.25, 0.75)] for c, f in pair.facts.iterrows()}
+    upto, _ = _running(pair, limit)
+    rows = F.col("u_ref") + F.col("u_cur")
+    at = []
+    for k in range(4):
+        wanted = [float((math.floor, math.ceil)[k % 2](ranks[c][k // 2])) for c in pair.columns]
+        rank = F.array(*map(F.lit, wanted))[F.col("_i")]
+        at.append(F.min(F.when(rows > rank, F.col("value"))).alias(f"q{k}"))
+    out = {}
+    for r in upto.groupBy("_i").agg(*at).collect():
+        c = pair.columns[r["_i"]]
+        low, high = ((r[f"q{2 * j}"], r[f"q{2 * j + 1}"], ranks[c][j]) for j in (0, 1))
+        out[c] = tuple(a + (b - a) * (p - math.floor(p)) for a, b, p in (low, high))
+    return out
+
+
 def ordered_scores(
-    reference: DataFrame,
+    reference: DataFrame | ReferenceProfile,
     current: DataFrame,
     columns: Sequence[str],
     limit: int = ONE_WINDOW_LIMIT,
@@ -220,52 +339,49 @@ def _shares(counts: DataFrame) -> DataFrame:
 def _numeric_bins(pair: _Pair) -> DataFrame:
     """(column, bin, c_ref, c_cur): equal widths over the joint range, or one bin per value."""
     few = _few_valued(pair)
-    entries = []
-    for c in pair.columns:
+
+    def place(i: int, c: str, value: Column) -> list[Column]:
         f = pair.facts.loc[c]
+        bins = int(np.ceil(np.log2(f.n_ref + f.n_cur))) + 1
         if c in few:
-            place = F.col(c).cast("string")
-        else:
-            bins = int(np.ceil(np.log2(f.n_ref + f.n_cur))) + 1
-            at = F.floor((F.col(c) - F.lit(f.lo)) / F.lit((f.hi - f.lo) / bins))
-            place = F.least(at, F.lit(bins - 1)).cast("string")
-        entries.append(F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), place).alias("bin")))
-    return _side_counts(pair.rows.select("_cur", F.explode(F.array(*entries)).alias("_x")))
-
+            return [value.cast("string").alias("bin")]
+        at = F.floor((value - F.lit(float(f.lo))) / F.lit((float(f.hi) - float(f.lo)) / bins))
+        return [F.least(at, F.lit(bins - 1)).cast("string").alias("bin")]
 
-def _side_counts(stacked: DataFrame) -> DataFrame:
-    return (
-        stacked.select("_cur", "_x.*")
-        .filter(F.col("bin").isNotNull())
-        .groupBy("column", "bin")
-        .agg(F.count_if(~F.col("_cur")).alias("c_ref"), F.count_if("_cur").alias("c_cur"))
-    )
+    counts = pair.stack(place).groupBy("_i", "bin").agg(F.sum("r").alias("c_ref"), F.sum("c").alias("c_cur"))
+    names = F.array(*map(F.lit, pair.columns))
+    return counts.select(names[F.col("_i")].alias("column"), "bin", "c_ref", "c_cur")
 
 
 def _few_valued(pair: _Pair) -> set[str]:
     """Columns with at most FEW_VALUES values; the sketch only rules out the clear cases."""
-    maybe = [c for c in pair.columns if pair.facts["distinct"][c] <= 2 * FEW_VALUES]
-    return {
-        c
-        for c in maybe
-        if len(
-            pair.rows.select(c).filter(F.col(c).isNotNull()).distinct().take(FEW_VALUES + 1)
-        )
-        <= FEW_VALUES
-    }
+    maybe = [i for i, c in enumerate(pair.columns) if pair.facts["distinct"][c] <= 4 * FEW_VALUES]
+    if not maybe:
+        return set()
+    values = pair.stack(lambda i, c, v: [v.alias("value")]).filter(F.col("_i").isin(maybe)).select("_i", "value").distinct()
+    return {pair.columns[r["_i"]] for r in values.groupBy("_i").count().collect() if r["count"] <= FEW_VALUES}
+
+
+def _side_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, bin, n): rows of every value of every column."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, bin string, n long")
+    entries = [F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("bin")) for c in columns]
+    stacked = df.select(F.explode(F.array(*entries)).alias("_x")).select("_x.*")
+    return stacked.filter(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _categorical_counts(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str]
+    reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
-    def side(df: DataFrame, is_current: bool) -> DataFrame:
-        return df.select(
-            *[F.col(c).cast("string").alias(c) for c in columns], F.lit(is_current).alias("_cur")
-        )
-
-    rows = side(reference, False).unionByName(side(current, True))
-    entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("bin")) for c in columns]
-    return _side_counts(rows.select("_cur", F.explode(F.array(*entries)).alias("_x")))
+    none = F.lit(0).cast("long")
+    if isinstance(reference, ReferenceProfile):
+        ref = reference.categories.filter(F.col("column").isin(list(columns)))
+    else:
+        ref = _side_categories(reference, columns)
+    ref = ref.withColumnRenamed("n", "r").withColumn("c", none)
+    cur = _side_categories(current, columns).withColumnRenamed("n", "c").withColumn("r", none)
+    return ref.unionByName(cur).groupBy("column", "bin").agg(F.sum("r").alias("c_ref"), F.sum("c").alias("c_cur"))
 
 
 def divergences(counts: DataFrame) -> DataFrame:
@@ -287,7 +403,7 @@ def divergences(counts: DataFrame) -> DataFrame:
 
 
 def binned_scores(
-    reference: DataFrame,
+    reference: DataFrame | ReferenceProfile,
     current: DataFrame,
     numeric: Sequence[str] = (),
     categorical: Sequence[str] = (),
@@ -302,7 +418,7 @@ def binned_scores(
 
 
 def chi_square_scores(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str]
+    reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """(column, statistic, df, chi2_p): current counts against the reference proportions.
 
@@ -327,45 +443,40 @@ def chi_square_scores(
 
 
 def epps_singleton(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str]
+    reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str], limit: int = ONE_WINDOW_LIMIT
 ) -> DataFrame:
     """(column, statistic, es_p): distance of the characteristic functions at two points.
 
-    The test needs means and covariances of four numbers per row and side: plain aggregates in
-    one scan. Only the 4 x 4 systems are solved here. A column whose quartiles are equal has no scale and is left out.
+    The test needs means and products of four numbers per row and side: plain aggregates in
+    one scan, after the quartiles. Only the 4 x 4 systems are solved here. A column whose quartiles are equal has no scale and is left out.
     """
     pair = _Pair.of(reference, current, columns)
-    quartiles = exact_quantiles(pair.rows, pair.columns, [0.25, 0.75])
+    quartiles = _quartiles(pair, limit) if pair.columns else {}
     spread = {c: (q[1] - q[0]) / 2 for c, q in quartiles.items()}
-    columns = [c for c in pair.columns if spread[c] > 0]
     schema = "column string, statistic double, es_p double"
-    if not columns:
-        return reference.sparkSession.createDataFrame([], schema)
+    if not any(s > 0 for s in spread.values()):
+        return pair.spark.createDataFrame([], schema)
     points = (0.4, 0.8)
-    aggregates = []
-    for ci, c in enumerate(columns):
-        sigma = spread[c]
-        angles = [F.col(c) * F.lit(t / sigma) for t in points]
-        waves = [F.cos(a) for a in angles] + [F.sin(a) for a in angles]
-        for side, flag in (("ref", ~F.col("_cur")), ("cur", F.col("_cur"))):
-            for i in range(4):
-                x = F.when(flag, waves[i])
-                aggregates.append(F.avg(x).alias(f"m{ci}|{side}|{i}"))
-                for j in range(i, 4):
-                    aggregates.append(
-                        F.covar_pop(x, F.when(flag, waves[j])).alias(f"v{ci}|{side}|{i}|{j}")
-                    )
-    row = pair.rows.agg(*aggregates).first()
+
+    def waves(i: int, c: str, value: Column) -> list[Column]:
+        angles = [value * F.lit(t / spread[c] if spread[c] > 0 else 0.0) for t in points]
+        return [w.alias(f"w{k}") for k, w in enumerate([F.cos(x) for x in angles] + [F.sin(x) for x in angles])]
+
+    numbers = range(4)
+    aggregates = [F.sum(F.col(s) * F.col(f"w{i}")).alias(f"{s}{i}") for s in "rc" for i in numbers]
+    aggregates += [F.sum(F.col(s) * F.col(f"w{i}") * F.col(f"w{j}")).alias(f"{s}{i}{j}") for s in "rc" for i in numbers for j in range(i, 4)]
     out = []
-    for ci, c in enumerate(columns):
+    for row in pair.stack(waves).groupBy("_i").agg(*aggregates).collect():
+        c = pair.columns[row["_i"]]
+        if spread[c] <= 0:
+            continue
         n_ref, n_cur = float(pair.facts.n_ref[c]), float(pair.facts.n_cur[c])
         n = n_ref + n_cur
         mean, cov = {}, {}
-        for side in ("ref", "cur"):
-            mean[side] = np.array([row[f"m{ci}|{side}|{i}"] for i in range(4)])
-            cov[side] = np.array(
-                [[row[f"v{ci}|{side}|{min(i, j)}|{max(i, j)}"] for j in range(4)] for i in range(4)]
-            )
+        for side, s, size in (("ref", "r", n_ref), ("cur", "c", n_cur)):
+            mean[side] = np.array([row[f"{s}{i}"] for i in numbers]) / size
+            square = np.array([[row[f"{s}{min(i, j)}{max(i, j)}"] for j in numbers] for i in numbers]) / size
+            cov[side] = square - np.outer(mean[side], mean[side])
         inverse = np.linalg.pinv((n / n_ref) * cov["ref"] + (n / n_cur) * cov["cur"])
         rank = int(np.linalg.matrix_rank(inverse))
         gap = mean["ref"] - mean["cur"]
@@ -373,18 +484,21 @@ def epps_singleton(
         if max(n_ref, n_cur) < 25:
             stat /= 1.0 + n**-0.45 + 10.1 * (n_ref**-1.7 + n_cur**-1.7)
         out.append((c, stat, chi_square_tail(stat, rank)))
-    return reference.sparkSession.createDataFrame(out, schema)
+    return pair.spark.createDataFrame(out, schema)
 
 
 # --- report -------------------------------------------------------------------------------------
 
 
 def route_columns(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None
+    reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str] | None = None
 ) -> tuple[list[str], list[str]]:
     """(numeric, categorical) shared columns by type; dates are not monitored."""
     shared = columns or [c for c in reference.columns if c in current.columns]
-    kinds = {f.name: f.dataType for f in reference.schema.fields}
+    if isinstance(reference, ReferenceProfile):
+        kinds = dict.fromkeys(reference.numeric, T.DoubleType()) | dict.fromkeys(reference.categorical, T.StringType())
+    else:
+        kinds = {f.name: f.dataType for f in reference.schema.fields}
     unknown = [c for c in shared if c not in kinds or c not in current.columns]
     if unknown:
         raise KeyError(f"not in both tables: {', '.join(unknown)}")
@@ -394,7 +508,7 @@ def route_columns(
 
 
 def _scores(
-    reference: DataFrame, current: DataFrame, columns: list[str], method: str, numeric: bool
+    reference: DataFrame | ReferenceProfile, current: DataFrame, columns: list[str], method: str, numeric: bool
 ) -> DataFrame:
     m = method.lower()
     if m in BINNED:
@@ -416,7 +530,7 @@ def _scores(
 
 
 def drift_report(
-    reference: DataFrame,
+    reference: DataFrame | ReferenceProfile,
     current: DataFrame,
     columns: Sequence[str] | None = None,
     num_method: str = "ks",

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tenure.operators.drift import drift_report
+from tenure.operators.drift import ReferenceProfile, drift_report
 from tenure.operators.scoring import counted, score
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalModel
 from tenure.plans.materialise import discard, materialise
@@ -140,7 +141,20 @@ def scoring_counters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drift_stream(
-    current: DataFrame, reference: DataFrame, path: str, checkpoint: str, **options
+    current: DataFrame, reference: DataFrame | ReferenceProfile, path: str, checkpoint: str, **options
 ) -> DataStreamWriter:
-    """A drift report of every micro-batch against a fixed reference table."""
-    return each_batch(current, lambda b: drift_report(reference, b, **options), path, checkpoint)
+    """A drift report of every micro-batch against a fixed reference.
+
+    A table is made into a profile before the stream starts, below `path`-reference; the micro-batches read that.
+    """
+    if not isinstance(reference, ReferenceProfile):
+        profile = f"{path}-reference/{uuid.uuid4().hex}"
+        reference = ReferenceProfile.fit(reference, profile, options.get("columns"))
+
+    def report(batch: DataFrame) -> DataFrame:
+        written = materialise(batch, "batch")  # read more than once
+        out = materialise(drift_report(reference, written, **options), "report")
+        discard(written)
+        return out
+
+    return each_batch(current, report, path, checkpoint)

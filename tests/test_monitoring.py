@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.special import chi_square_tail
 from tenure.operators.drift import (
+    ReferenceProfile,
     alert_digest,
     binned_scores,
     chi_square_scores,
@@ -188,3 +189,34 @@ def test_a_column_without_values_does_not_end_the_report(spark, method):
         assert rows[c]["score"] is None and not rows[c]["drifted"]
     only = drift_report(reference, current, columns=["y"], num_method=method).collect()
     assert [(r["column"], r["score"]) for r in only] == [("y", None)]
+
+
+@pytest.mark.parametrize("limit", [50_000, 30])
+def test_a_profile_stands_for_its_table(spark, tmp_path, limit):
+    """All methods give what the reference table gives, for fine and coarse numbers, gaps and names with dots."""
+    rng = np.random.default_rng(7)
+
+    def side(n, shift):
+        pdf = pd.DataFrame({"fine": rng.normal(shift, 1, n), "coarse": rng.integers(0, 6, n).astype(float), "a.b": np.round(rng.normal(0, 2, n), 1)})
+        pdf.loc[::9, "fine"] = np.nan
+        pdf["kind"] = rng.choice(["x", "y", "z"], n)
+        return spark.createDataFrame(pdf).repartition(3)
+
+    reference, current = side(400, 0.0), side(300, 0.3)
+    profile = ReferenceProfile.fit(reference, str(tmp_path / "profile"))
+    assert profile.numeric == ["fine", "coarse", "a.b"] and profile.categorical == ["kind"]
+    again = ReferenceProfile(spark, str(tmp_path / "profile"))
+    number = ["fine", "coarse", "a.b"]
+
+    def figures(table):
+        return sorted(tuple(r) for r in table.collect())
+
+    for run in (
+        lambda r: ordered_scores(r, current, number, limit),
+        lambda r: epps_singleton(r, current, number, limit),
+        lambda r: binned_scores(r, current, number, ["kind"]),
+        lambda r: chi_square_scores(r, current, ["kind"]),
+        lambda r: drift_report(r, current).select("column", "method", "score"),
+    ):
+        for got, want in zip(figures(run(again)), figures(run(reference)), strict=True):
+            assert got == pytest.approx(want, abs=1e-9) if not isinstance(got[1], str) else got[:2] == want[:2] and got[2] == pytest.approx(want[2])
