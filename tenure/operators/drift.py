@@ -20,6 +20,7 @@ from tenure.functions.columns import kolmogorov_p
 from tenure.functions.special import chi_square_p, chi_square_tail
 from tenure.plans.columns import quoted
 from tenure.plans.ordered import BUCKET, MAX_BUCKETS, ONE_WINDOW_LIMIT, SKETCH_ERROR, Splits, running, union_all, with_bucket
+from tenure.plans.parallel import together
 
 # Which methods measure a distance (drift above the threshold).
 DISTANCES = {"psi", "wasserstein", "ed", "kl_div", "jensenshannon", "hellinger"}
@@ -151,7 +152,7 @@ class _Pair:
     @classmethod
     def of(cls, reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str]) -> _Pair:
         side = _side(reference, columns)
-        ref, cur = side.facts(), _Rows(current, columns).facts()
+        ref, cur = together(side.facts, _Rows(current, columns).facts)
         both = [c for c in columns if ref[c]["n"] and cur[c]["n"]]
         facts = pd.DataFrame(
             [
@@ -210,7 +211,7 @@ def _splits(pair: _Pair, limit: int) -> dict[str, Splits]:
         cells = pair.stack(lambda i, c, v: [v.alias("value")]).filter(F.col("_i").isin([number[c] for c in large]))
         points = F.percentile_approx("value", [i / most for i in range(1, most)], max(1000, 20 * most))
         cut = {r["_i"]: r["p"] for r in cells.select("_i", "value").distinct().groupBy("_i").agg(points.alias("p")).collect()}
-        found |= {c: Splits(c, tuple(sorted(set(cut[number[c]])))) for c in large}
+        found |= {c: Splits(c, tuple(sorted({p + 0.0 for p in cut[number[c]]}))) for c in large}
     return found
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalModel
 from tenure.plans.columns import quoted
-from tenure.plans.materialise import materialise
+from tenure.plans.materialise import discard, materialise
 from tenure.plans.ordered import (
     BUCKET,
     MAX_BUCKETS,
@@ -28,6 +28,7 @@ from tenure.plans.ordered import (
     with_bucket,
 )
 from tenure.plans.pairs import decimals, pairs_below, total
+from tenure.plans.parallel import together
 from tenure.plans.timeline import PART_ROWS, Part, Timeline
 
 DRIVER_CELLS = 1 << 24  # (part, risk bucket) counts the driver may hold
@@ -335,31 +336,34 @@ def evaluate(
         ),
         "scored",
     )
-    sizes = train.agg(F.count(F.lit(1)).alias("n"), F.max("duration").alias("end")).first()
-    seen = scored.agg(F.count(F.lit(1)).alias("n"), F.max("duration").alias("end")).first()
-    end = min(sizes["end"], seen["end"])
-    times = [h for h in horizons if h < end]
-    concordance = c_index(scored).first()["c_index"]
-    brier_at: dict[int, float] = {}
-    auc_at: dict[int, float] = {}
+    def ends(rows: DataFrame):
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.max("duration").alias("end")).first()
+
+    def at_horizons() -> tuple[int, int, dict[int, float], dict[int, float]]:
+        sizes, seen, km = together(lambda: ends(train), lambda: ends(scored), lambda: materialise(censoring_km(train), "censoring"))
+        end = min(sizes["end"], seen["end"])
+        times = [h for h in horizons if h < end]
+        if not times:
+            return sizes["n"], seen["n"], {}, {}
+        hazards, weighted = together(lambda: model.hazard_at(times), lambda: materialise(with_censoring_weight(scored, km), "weighted"))
+        scores, areas = together(
+            lambda: brier(weighted, km, hazards, times).collect(), lambda: td_auc(weighted, times).collect() if len(times) >= 2 else []
+        )
+        brier_at = {r["t"]: math.nan if r["brier"] is None else r["brier"] for r in scores}
+        discard(km, weighted)
+        return sizes["n"], seen["n"], brier_at, {r["t"]: r["auc"] for r in areas if r["auc"] is not None}
+
+    pairs, (n_train, n_test, brier_at, auc_at) = together(lambda: c_index(scored).first(), at_horizons)
+    concordance = pairs["c_index"]
+    discard(scored)
     ibs = math.nan
-    if times:
-        km = materialise(censoring_km(train), "censoring")
-        weighted = materialise(with_censoring_weight(scored, km), "weighted")
-        scores = brier(weighted, km, model.hazard_at(times), times)
-        brier_at = {r["t"]: math.nan if r["brier"] is None else r["brier"] for r in scores.collect()}
-        if len(times) >= 2:
-            ordered = sorted(brier_at)
-            area = sum(
-                (b - a) * (brier_at[a] + brier_at[b]) / 2 for a, b in zip(ordered, ordered[1:])
-            )
-            ibs = area / (ordered[-1] - ordered[0])
-            auc_at = {
-                r["t"]: r["auc"] for r in td_auc(weighted, times).collect() if r["auc"] is not None
-            }
+    if len(brier_at) >= 2:
+        ordered = sorted(brier_at)
+        area = sum((b - a) * (brier_at[a] + brier_at[b]) / 2 for a, b in zip(ordered, ordered[1:]))
+        ibs = area / (ordered[-1] - ordered[0])
     figures = [("c_index", None, math.nan if concordance is None else concordance), ("ibs", None, ibs)]
     figures += [("brier", t, v) for t, v in brier_at.items()] + [("td_auc", t, v) for t, v in auc_at.items()]
-    figures += [("n_train", None, sizes["n"]), ("n_test", None, seen["n"])]
+    figures += [("n_train", None, n_train), ("n_test", None, n_test)]
     return FoldMetrics(model.name, fold, tuple(figures))
 
 

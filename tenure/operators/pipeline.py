@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from tenure.operators.features import Behaviour, Demographics, Rfm, ticket_features
 from tenure.plans.columns import quoted
 from tenure.plans.materialise import materialise
+from tenure.plans.parallel import together
 from tenure.plans.quantiles import exact_quantiles
 
 KEY = "customer_id"
@@ -203,13 +204,13 @@ class FeaturePipeline:
         self, customers: DataFrame, transactions: DataFrame, clickstream: DataFrame
     ) -> "FeaturePipeline":
         known = self.known_levels
-        self._rfm = Rfm(self.reference_date).fit(transactions)
-        self._behaviour = Behaviour(
-            known.get("device_type"), known.get("page_type"), self.session_gap_seconds
-        ).fit(clickstream)
-        self._demographics = Demographics(
-            genders=known.get("gender"), channels=known.get("acquisition_channel")
-        ).fit(customers)
+        behaviour = Behaviour(known.get("device_type"), known.get("page_type"), self.session_gap_seconds)
+        demographics = Demographics(genders=known.get("gender"), channels=known.get("acquisition_channel"))
+        self._rfm, self._behaviour, self._demographics = together(
+            lambda: Rfm(self.reference_date).fit(transactions),
+            lambda: behaviour.fit(clickstream),
+            lambda: demographics.fit(customers),
+        )
         return self
 
     def _fit(self, customers, transactions, clickstream, tickets, labels) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from tenure.operators.evaluate import (
 )
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalEstimator, SurvivalModel
 from tenure.plans.materialise import checkpoint_root
+from tenure.plans.parallel import together
 
 RUN_SCHEMA = (
     "run_id string, parent_run_id string, name string, params map<string,string>, "
@@ -111,8 +112,7 @@ def cross_validate(
         return evaluate(models[fold], test, train, horizons, fold)
 
     # A fold's figures are many small jobs: those of all folds share the cluster.
-    with ThreadPoolExecutor(n_splits) as pool:
-        results = list(pool.map(evaluated, range(n_splits)))
+    results = together(*[partial(evaluated, fold) for fold in range(n_splits)])
     table = results_table(spark, results)
     if runs is not None:
         tags = {"model": estimator.name, "n_splits": n_splits, "n_samples": int(sum(r.value("n_test") for r in results)), "n_features": len(features)}

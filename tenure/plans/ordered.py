@@ -60,7 +60,7 @@ def measure_splits(
     for k, n in wanted.items():
         cut = F.percentile_approx(F.col(quoted(k)).cast("double"), [i / n for i in range(1, n)], max(1000, 20 * n))
         row = df.select(quoted(k)).distinct().agg(cut.alias("cut")).first()
-        found[k] = Splits(k, tuple(sorted(set(row["cut"]))))
+        found[k] = Splits(k, tuple(sorted({p + 0.0 for p in row["cut"]})))
     return found
 
 
@@ -72,8 +72,10 @@ def with_bucket(df: DataFrame, splits: Splits, name: str = BUCKET) -> DataFrame:
     if not splits.bucketed:
         return df.withColumn(name, F.lit(0))
     borders = [float("-inf"), *splits.points, float("inf")]
-    binner = Bucketizer(splits=borders, inputCol=splits.key, outputCol=name, handleInvalid="keep")
-    return binner.transform(df).withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1)))
+    # Adding zero makes one of both zeros, which are one key.
+    binner = Bucketizer(splits=borders, inputCol="_key", outputCol="_at", handleInvalid="keep")
+    placed = binner.transform(df.withColumn("_key", F.col(quoted(splits.key)).cast("double") + F.lit(0.0)))
+    return placed.withColumn(name, F.coalesce(F.col("_at").cast("int"), F.lit(-1))).drop("_key", "_at")
 
 
 def running(

@@ -100,6 +100,13 @@ def test_quantiles_of_any_doubles(spark):
     assert got == np.sort(v)[::97].tolist()
 
 
+def test_both_zeros_are_one_key(spark):
+    df = spark.createDataFrame(pd.DataFrame({"k": [0.0, -0.0, -1.0, 1.0, 2.0, -2.0] * 20}))
+    splits = measure_splits(df, ["k"], limit=1)["k"]
+    cells = with_bucket(df, splits).groupBy(BUCKET, "k").count().collect()
+    assert 0.0 in splits.points and sorted((r["k"], r["count"]) for r in cells) == [(-2.0, 20), (-1.0, 20), (0.0, 40), (1.0, 20), (2.0, 20)]
+
+
 def test_borders_come_from_distinct_keys(spark):
     """A value most rows share leaves the borders to the others."""
     df = spark.createDataFrame(pd.DataFrame({"k": np.concatenate([np.zeros(20_000), np.arange(400.0)])}))
