@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tenure.catalog import register
+from tenure.catalog.customers import _QUOTED, feature_table, matrix_sql
 from tenure.catalog.extended import _TREE_FEATURES, _TREE_SQL
 from tenure.catalog.models import _MEDIANS_SQL, _NEWTON_STEPS, _newton_sql, fixed_model, scored_table
 from tenure.catalog.monitoring import _REPORT_SQL, _psi_report, sides
@@ -148,6 +149,49 @@ def _json(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
+# --- the likelihood of all features -------------------------------------------------------------
+
+_BETA = 0.02
+
+
+def _derivatives_sql(efron: bool) -> str:
+    """Gradient and curvature of every feature at one point, by definition."""
+    left = "m / d * e" if efron else "0 * e"
+    risk = " + ".join(_QUOTED)
+    return matrix_sql(
+        f"""SELECT feature, round(max(total) + {_BETA} - any_value(died), 5) AS gradient, round(max(curve) + 1, 5) AS curvature FROM (
+          SELECT feature, sum(r1 / r0) AS total, sum(r2 / r0 - (r1 / r0) ** 2) AS curve FROM (
+            SELECT feature, s0 - {left}0 AS r0, s1 - {left}1 AS r1, s2 - {left}2 AS r2 FROM (
+              SELECT feature, d, s0, s1, s2, e0, e1, e2, unnest(range(d::BIGINT)) AS m FROM sets)) GROUP BY feature)
+          JOIN (SELECT feature, sum(x) FILTER (WHERE event_observed) AS died FROM long GROUP BY feature) USING (feature) GROUP BY feature""",
+        "imputed",
+        "scaled",
+    ).replace(
+        "SELECT feature, round(max(total)",
+        f""", wide AS (SELECT scaled.*, event_observed, duration_days AS t, exp({_BETA} * ({risk})) AS w FROM scaled JOIN labels USING (customer_id)),
+        long AS (SELECT feature, x, event_observed, t, w FROM wide UNPIVOT (x FOR feature IN ({", ".join(_QUOTED)}))),
+        sets AS (SELECT feature, t, sum(event_observed::INT) AS d, sum(sum(w)) OVER o AS s0, sum(sum(w * x)) OVER o AS s1, sum(sum(w * x * x)) OVER o AS s2,
+            coalesce(sum(w) FILTER (WHERE event_observed), 0) AS e0, coalesce(sum(w * x) FILTER (WHERE event_observed), 0) AS e1,
+            coalesce(sum(w * x * x) FILTER (WHERE event_observed), 0) AS e2 FROM long GROUP BY feature, t WINDOW o AS (PARTITION BY feature ORDER BY t DESC))
+        SELECT feature, round(max(total)""",
+        1,
+    )
+
+
+def _register_derivatives(name: str, ties: str) -> None:
+    @register(name, _derivatives_sql(ties == "efron"))
+    def _derivatives(spark, sf_dir):
+        """Gradient and curvature of the penalised likelihood of the whole feature matrix at one point."""
+        table, names = feature_table(spark, sf_dir)
+        _, gradient, second = CoxPH(alpha=1.0, ties=ties).derivatives(table, names, [_BETA] * len(names))
+        rows = [(n, float(g), float(c)) for n, g, c in zip(names, gradient, second.diagonal())]
+        return rounded(spark.createDataFrame(rows, "feature string, gradient double, curvature double"), 5, "gradient", "curvature")
+
+
+_register_derivatives("cox_derivatives", "breslow")
+_register_derivatives("cox_derivatives_efron", "efron")
+
+
 # --- models, runs, scores -----------------------------------------------------------------------
 
 

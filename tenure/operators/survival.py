@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.special import digamma, log_gamma, trigamma
-from tenure.plans.materialise import materialise
+from tenure.plans.materialise import discard, materialise
 from tenure.plans.ordered import (
     BUCKET,
     Splits,
@@ -344,6 +344,16 @@ class CoxPH:
         """One model per fold, each fitted on the rows of all other folds; every scan serves all models."""
         return self._fit(df, list(features), fold, k)
 
+    def derivatives(self, df: DataFrame, features: Sequence[str], beta: Sequence[float]) -> tuple[float, np.ndarray, np.ndarray]:
+        """The penalised negative log partial likelihood at beta, with its gradient and second derivatives."""
+        problem = _CoxProblem.prepare(df, list(features), self, None, 1)
+        try:
+            state = problem.evaluate({0: np.array(beta, float)})[0]
+            n = problem.n[0]
+            return float(state.loss * n), state.gradient * n, problem.hessian({0: state})[0] * n
+        finally:
+            problem.release()
+
     def _fit(self, df: DataFrame, features: list[str], fold: str | None, k: int) -> list[CoxModel]:
         if self.alpha < 0:
             raise ValueError("alpha must not be negative")
@@ -367,7 +377,7 @@ class CoxPH:
                 for m, baseline in enumerate(problem.baselines(states))
             ]
         finally:
-            problem.timeline.release()
+            problem.release()
 
     def _minimise(self, problem: _CoxProblem) -> tuple[dict[int, _State], dict[int, int]]:
         """Newton steps of all models at once; a model that has converged drops out of the scans."""
@@ -446,6 +456,7 @@ class _CoxProblem:
     """
 
     timeline: Timeline
+    source: DataFrame
     spec: CoxPH
     features: list[str]
     models: int
@@ -501,6 +512,7 @@ class _CoxProblem:
         rows = keep.select("t", "e", "g", *[(F.col(v) - F.lit(float(c))).alias(f"x{i}") for i, (v, c) in enumerate(zip(names, centre))])
         return cls(
             timeline=Timeline(rows, [f"x{i}" for i in range(p)], size, spec.part_rows),
+            source=keep,
             spec=spec,
             features=features,
             models=models,
@@ -510,6 +522,11 @@ class _CoxProblem:
             death_x=np.array([o[1, :p] - o[1, p] * centre for o in own]),
         )
 
+    def release(self) -> None:
+        """Give back the parts and the table they can be made from again."""
+        self.timeline.release()
+        discard(self.source)
+
     @property
     def efron(self) -> bool:
         return self.spec.ties == "efron"
