@@ -253,3 +253,21 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = _components(keyed, scratch, size, percent)
     kept = found.filter("component is null or doc_id is null or _key = component").select("_key")
     return keyed.join(kept, "_key", "left_semi").select("_row.*")
+
+
+def oracle(size: int = 2, percent: int = 80) -> str:
+    """DuckDB SQL for the rows of near_duplicates over documents: all pairs that share a shingle, and who reaches whom."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = f"coalesce(regexp_extract_all(translate(text, '{letters.upper()}', '{letters}'), '[^\\x20\\x09-\\x0D]+'), [])"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {size}], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {size}, 0) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        t AS (SELECT doc_id, g, n FROM s JOIN n USING (doc_id)),
+        links AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS p, any_value(b.n) AS q, count(*) AS c
+            FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id)
+            WHERE 100 * c >= {percent} * (p + q - c)),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+        low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) JOIN low ON doc_id = x"""

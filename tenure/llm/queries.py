@@ -89,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op6_minhash": minhash.oracle(),
+    "op7_mixing": mixing.oracle(),
     "op11_decontamination": decontaminate.oracle(),
     "op12_conversations": conversations.oracle(),
     "op13_vector_codes": codes.oracle(),
