@@ -25,6 +25,11 @@ SAMPLE = [
     "behaviour_features",
     "feature_matrix_scaled",
     "survival_curve",
+    "survival_all_times",
+    "cox_derivatives",
+    "boosted_first_tree",
+    "contract_types",
+    "drift_report_default",
     "cox_fit_small",
     "c_index",
     "td_auc",
