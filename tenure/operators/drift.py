@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tenure.functions.columns import kolmogorov_p
 from tenure.functions.special import chi_square_p, chi_square_tail
 from tenure.plans.columns import quoted
-from tenure.plans.ordered import BUCKET, MAX_BUCKETS, ONE_WINDOW_LIMIT, SKETCH_ERROR, Splits, running, union_all, with_bucket
+from tenure.plans.ordered import BUCKET, MAX_BUCKETS, ONE_WINDOW_LIMIT, SKETCH_ERROR, Splits, running, some_distinct, union_all, with_bucket
 from tenure.plans.parallel import together
 
 # Which methods measure a distance (drift above the threshold).
@@ -65,18 +65,20 @@ class _Rows:
         row = self.rows.agg(*[kind(v).alias(f"{k}|{v}") for v in names for k, kind in zip(FACTS, kinds)]).first()
         return {c: {k: row[f"{k}|{v}"] for k in FACTS} for c, v in zip(self.columns, names)}
 
-    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None) -> DataFrame:
-        """(_i, what fields makes of a value, w): a row per row and column with a value; in buckets if splits are given."""
+    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None, only: Sequence[int] | None = None) -> DataFrame:
+        """(_i, what fields makes of a value, w): a row per row and column (all, or only some) with a value; in buckets if splits are given."""
         rows = self.rows
         entries = []
         for i, c in enumerate(self.columns):
+            if only is not None and i not in only:
+                continue
             extra = []
             if splits is not None:
                 rows = with_bucket(rows, Splits(f"v{i}", splits[c].points), f"_b{i}")
                 extra = [F.col(f"_b{i}").alias(BUCKET)]
-            entry = F.struct(F.lit(i).alias("_i"), *fields(i, c, F.col(f"v{i}")), *extra, F.lit(1).cast("long").alias("w"))
-            entries.append(F.when(F.col(f"v{i}").isNotNull(), entry))
-        return rows.select(F.explode(F.array_compact(F.array(*entries))).alias("_x")).select("_x.*")
+            there = F.col(f"v{i}").isNotNull().alias("_there")
+            entries.append(F.struct(F.lit(i).alias("_i"), *fields(i, c, F.col(f"v{i}")), *extra, F.lit(1).cast("long").alias("w"), there))
+        return rows.select(F.explode(F.array(*entries)).alias("_x")).select("_x.*").filter("_there").drop("_there")
 
 
 class _Cells:
@@ -88,9 +90,11 @@ class _Cells:
     def facts(self) -> dict[str, dict]:
         return {c: self.profile.facts[c] for c in self.columns}
 
-    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None) -> DataFrame:
+    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None, only: Sequence[int] | None = None) -> DataFrame:
         parts = []
         for i, c in enumerate(self.columns):
+            if only is not None and i not in only:
+                continue
             cells = self.profile.values.filter(F.col("_i") == self.profile.numeric.index(c)).select("value", "n")
             extra = []
             if splits is not None:
@@ -175,11 +179,11 @@ class _Pair:
     def spark(self) -> SparkSession:
         return self.current.rows.sparkSession
 
-    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None) -> DataFrame:
+    def stack(self, fields: Fields, splits: dict[str, Splits] | None = None, only: Sequence[int] | None = None) -> DataFrame:
         """Both sides' stacks under one another, with weights r and c."""
         none = F.lit(0).cast("long")
-        ref = self.reference.stack(fields, splits).withColumnRenamed("w", "r").withColumn("c", none)
-        cur = self.current.stack(fields, splits).withColumnRenamed("w", "c").withColumn("r", none)
+        ref = self.reference.stack(fields, splits, only).withColumnRenamed("w", "r").withColumn("c", none)
+        cur = self.current.stack(fields, splits, only).withColumnRenamed("w", "c").withColumn("r", none)
         return ref.unionByName(cur)
 
     def facts_table(self) -> DataFrame:
@@ -208,10 +212,11 @@ def _splits(pair: _Pair, limit: int) -> dict[str, Splits]:
     if large:
         number = {c: i for i, c in enumerate(pair.columns)}
         most = max(large.values())
-        cells = pair.stack(lambda i, c, v: [v.alias("value")]).filter(F.col("_i").isin([number[c] for c in large]))
+        cells = pair.stack(lambda i, c, v: [v.alias("value")], only=[number[c] for c in large]).select("_i", "value")
         points = F.percentile_approx("value", [i / most for i in range(1, most)], max(1000, 20 * most))
-        cut = {r["_i"]: r["p"] for r in cells.select("_i", "value").distinct().groupBy("_i").agg(points.alias("p")).collect()}
-        found |= {c: Splits(c, tuple(sorted({p + 0.0 for p in cut[number[c]]}))) for c in large}
+        some = some_distinct(cells, "value", min(pair.facts["distinct"][c] for c in large), most)
+        cut = {r["_i"]: r["p"] for r in some.groupBy("_i").agg(points.alias("p")).collect()}
+        found |= {c: Splits(c, tuple(sorted({p + 0.0 for p in cut.get(number[c]) or []}))) for c in large}
     return found
 
 
@@ -359,7 +364,7 @@ def _few_valued(pair: _Pair) -> set[str]:
     maybe = [i for i, c in enumerate(pair.columns) if pair.facts["distinct"][c] <= 4 * FEW_VALUES]
     if not maybe:
         return set()
-    values = pair.stack(lambda i, c, v: [v.alias("value")]).filter(F.col("_i").isin(maybe)).select("_i", "value").distinct()
+    values = pair.stack(lambda i, c, v: [v.alias("value")], only=maybe).select("_i", "value").distinct()
     return {pair.columns[r["_i"]] for r in values.groupBy("_i").count().collect() if r["count"] <= FEW_VALUES}
 
 

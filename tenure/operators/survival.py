@@ -35,6 +35,7 @@ from tenure.sources.io import read_table, write_table
 
 DEFAULT_HORIZONS = (30, 60, 90, 180, 365)
 RANK_TOLERANCE = 1e-10  # of the greatest eigenvalue: below it the likelihood is flat
+FEW_TIMES = 64  # times that are written into the plan itself
 CURVE_POINTS = 4096  # times in one array of a curve
 ENDLESS = 12.0  # log hazard per standard deviation beyond which a coefficient has no finite value
 DIRECT_TIES = 512  # tied events summed term by term; beyond that in closed form
@@ -193,6 +194,9 @@ class SurvivalModel:
         """Cumulative baseline hazard at each time: 0 before the first, carried forward after."""
         if not len(times):
             return []
+        if len(times) <= FEW_TIMES:
+            at = [F.coalesce(F.max(F.when(F.col("t") <= float(t), F.col("hazard"))), F.lit(0.0)).alias(f"h{i}") for i, t in enumerate(times)]
+            return [float(v) for v in self.baseline.agg(*at).first()]
         asked = self.baseline.sparkSession.createDataFrame([(i, float(t)) for i, t in enumerate(times)], "i int, at double")
         found = step_lookup(asked, "at", self.baseline, "t", ["hazard"])
         hazard = {r["i"]: r["hazard"] for r in found.select("i", "hazard").collect()}
@@ -223,7 +227,11 @@ class SurvivalModel:
         Every row meets every array of the curve, as every row has a value at every time.
         """
         at = F.transform("_points", lambda x: F.struct(x["t"].alias("t"), F.exp(-x["h"] * F.exp(F.col("risk"))).alias("surv")))
-        rows = self.risk(df).crossJoin(self.curve(times).withColumnRenamed("points", "_points"))
+        if times is not None and 0 < len(times) <= FEW_TIMES:
+            points = [F.struct(F.lit(float(t)).alias("t"), F.lit(h).alias("h")) for t, h in zip(times, self.hazard_at(times))]
+            rows = self.risk(df).withColumn("_points", F.array(*points))
+        else:
+            rows = self.risk(df).crossJoin(self.curve(times).withColumnRenamed("points", "_points"))
         return rows.withColumn("_at", F.explode(at)).select(
             *df.columns, "risk", F.col("_at.t").alias("t"), F.col("_at.surv").alias("surv")
         )

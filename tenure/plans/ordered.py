@@ -23,6 +23,7 @@ from tenure.plans.materialise import materialise
 
 BUCKET = "_bucket"
 ONE_WINDOW_LIMIT = 50_000  # distinct keys one ordered window may hold
+VALUES_PER_BUCKET = 1000  # distinct keys from which a bucket's border is estimated
 MAX_BUCKETS = 1024  # bounds every per-bucket table
 SKETCH_ERROR = 0.05  # a wider sketch carries thousands of buffer columns through the plan
 
@@ -59,11 +60,20 @@ def measure_splits(
     found = {k: Splits(k) for k in keys}
     for k, n in wanted.items():
         cut = F.percentile_approx(F.col(quoted(k)).cast("double"), [i / n for i in range(1, n)], max(1000, 20 * n))
-        row = df.select(quoted(k)).distinct().agg(cut.alias("cut")).first()
-        found[k] = Splits(k, tuple(sorted({p + 0.0 for p in row["cut"]})))
+        row = some_distinct(df.select(quoted(k)), quoted(k), distinct[k], n).agg(cut.alias("cut")).first()
+        found[k] = Splits(k, tuple(sorted({p + 0.0 for p in row["cut"] or []})))
     return found
 
 
+def some_distinct(df: DataFrame, key: str, distinct: int, buckets: int) -> DataFrame:
+    """Distinct rows of df, of about VALUES_PER_BUCKET values of the key for each bucket: those whose hash falls into a share of all hashes.
+
+    A value is in or out as a whole, however often it repeats, and only those that are in are shuffled.
+    """
+    share = max(1, int(distinct // (VALUES_PER_BUCKET * buckets)))
+    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).distinct()
+
+
 def with_bucket(df: DataFrame, splits: Splits, name: str = BUCKET) -> DataFrame:
     """Add the bucket number of the key, 0 everywhere when not bucketed.
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.plans.columns import quoted
+from tenure.plans.materialise import discard, materialise
 
 EXACT_ROWS = 200_000  # rows one exact percentile aggregate may hold
 DIGIT = 13
@@ -44,12 +45,14 @@ def exact_quantiles(
     if n_rows <= limit:
         row = numbers.agg(*[F.percentile(f"c{i}", probs).alias(f"c{i}") for i in range(len(cols))]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
+    numbers = materialise(numbers, "numbers")  # scanned once for each digit
     counts = numbers.agg(*[F.count(c) for c in numbers.columns]).first()
     wanted = {}
     for i, n in enumerate(counts):
         places = [(n - 1) * p for p in probs] if n else []
         wanted[i] = sorted({r for at in places for r in (floor(at), ceil(at))})
     values = select_ranks(numbers, wanted)
+    discard(numbers)
     out: dict[str, list[float | None]] = {}
     for i, (c, n) in enumerate(zip(cols, counts)):
         out[c] = [None] * len(probs)
