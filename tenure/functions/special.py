@@ -80,4 +80,5 @@ def trigamma(x: np.ndarray) -> np.ndarray:
     return out + 1.0 / x + 0.5 * y + tail / x
 
 
-log_gamma = np.vectorize(math.lgamma, otypes=[float])
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
