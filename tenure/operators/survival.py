@@ -24,6 +24,7 @@ from tenure.functions.special import digamma, log_gamma, trigamma
 from tenure.plans.materialise import discard, materialise
 from tenure.plans.ordered import (
     BUCKET,
+    ONE_WINDOW_LIMIT,
     Splits,
     measure_splits,
     running,
@@ -37,6 +38,8 @@ DEFAULT_HORIZONS = (30, 60, 90, 180, 365)
 RANK_TOLERANCE = 1e-10  # of the greatest eigenvalue: below it the likelihood is flat
 FEW_TIMES = 64  # times that are written into the plan itself
 CURVE_POINTS = 4096  # times in one array of a curve
+TASKS_PER_CORE = 4  # of rows that meet a whole curve
+AREA_CELLS = 1 << 18  # (row, time) values that a task of restricted_mean holds at once
 ENDLESS = 12.0  # log hazard per standard deviation beyond which a coefficient has no finite value
 DIRECT_TIES = 512  # tied events summed term by term; beyond that in closed form
 
@@ -236,10 +239,18 @@ class SurvivalModel:
             *df.columns, "risk", F.col("_at.t").alias("t"), F.col("_at.surv").alias("surv")
         )
 
+    def _few(self, times: Sequence[float] | None = None) -> bool:
+        """Whether the times of a curve (all training times by default) are counted to be few enough for every task to hold them."""
+        return (self.baseline.count() if times is None else len(times)) <= ONE_WINDOW_LIMIT
+
     def restricted_mean(self, df: DataFrame) -> DataFrame:
         """Add `risk`, `n_times`, `horizon_days` (the last training time) and `mean_days`: the area below the whole curve up to there."""
-        span = Window.orderBy("t")
         points = materialise(self.baseline.select("t", F.col("hazard").alias("h")), "curve")
+        if self._few():
+            curve = points.orderBy("t").toArrow()
+            if curve.num_rows and not any(c.null_count for c in curve.columns):
+                return _restricted_mean_by_rows(self.risk(df), curve)
+        span = Window.orderBy("t")
         splits = measure_splits(points, ["t"], CURVE_POINTS)["t"]
         ranges = with_bucket(points, splits)
         first = ranges.groupBy(BUCKET).agg(F.min("t").alias("t"))
@@ -256,7 +267,7 @@ class SurvivalModel:
         # A row's ranges are added up in the order of time, so the sum does not hang on the order of rows.
         row = self.risk(df).withColumn("_row", F.struct(*df.columns, "risk"))
         number = F.monotonically_increasing_id()
-        met = row.withColumn("_id", number).crossJoin(pieces).select("_id", "_row", "_first", "_last", F.size("_points").alias("_n"), area.alias("_area"))
+        met = _meet(row.withColumn("_id", number), pieces, False).select("_id", "_row", "_first", "_last", F.size("_points").alias("_n"), area.alias("_area"))
         parts = F.array_sort(F.collect_list(F.struct("_first", "_area")))
         whole = met.groupBy("_id").agg(F.first("_row").alias("_row"), F.sum("_n").alias("n_times"), F.max("_last").alias("horizon_days"), parts.alias("_parts"))
         mean = F.aggregate("_parts", F.col("_start"), lambda s, x: s + x["_area"])
@@ -284,6 +295,39 @@ class SurvivalModel:
         return dict(self.params)
 
 
+def _meet(rows: DataFrame, pieces: DataFrame, few: bool) -> DataFrame:
+    """Every row beside every piece of a curve.
+
+    Rows are streamed: few pieces are copied to every task, others are read again for each part of the rows. Left to itself Spark
+    may copy the rows and stream the pieces, and one task then holds all rows beside its piece.
+    """
+    return _spread(rows).crossJoin(F.broadcast(pieces)) if few else _spread(rows).hint("shuffle_replicate_nl").crossJoin(pieces)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, however few files hold them: their work is rows times points of a curve."""
+    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _restricted_mean_by_rows(rows: DataFrame, curve: pa.Table) -> DataFrame:
+    """restricted_mean() of rows with `risk` below a curve (t, h) in order of time that every task holds."""
+    t, h = (curve.column(c).to_numpy() for c in ("t", "h"))
+    shared = rows.sparkSession.sparkContext.broadcast((h, np.diff(t, append=t[-1:])))
+
+    @F.arrow_udf("double")
+    def area(risk: pa.Array) -> pa.Array:
+        hazard, width = shared.value
+        scale = np.exp(risk.to_numpy(zero_copy_only=False).astype(float))
+        out, step = np.empty(len(scale)), max(1, AREA_CELLS // len(hazard))
+        for i in range(0, len(scale), step):
+            out[i : i + step] = np.exp(scale[i : i + step, None] * -hazard) @ width
+        return pa.array(out, pa.float64(), mask=risk.is_null().to_numpy(zero_copy_only=False))
+
+    return _spread(rows).select(
+        "*", F.lit(len(t)).cast("long").alias("n_times"), F.lit(float(t[-1])).alias("horizon_days"), (F.lit(float(t[0])) + area("risk")).alias("mean_days")
+    )
+
+
 @dataclass
 class CoxModel(SurvivalModel):
     coef: list[float] = field(default_factory=list)

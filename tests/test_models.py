@@ -141,6 +141,25 @@ def test_curves_at_all_training_times(spark):
     assert model.hazard_at([0, 1 / 7, 5000 / 7 + 0.01, 1e9]) == pytest.approx([0, 0.001, 5.0, 10.0])
 
 
+@pytest.mark.parametrize("limit", [50_000, 100])
+def test_area_below_a_curve_holds_no_table_in_one_task(spark, monkeypatch, limit):
+    monkeypatch.setattr(survival, "ONE_WINDOW_LIMIT", limit, raising=False)
+    times = [(i / 7, i * 0.001) for i in range(1, 5_001)]
+    model = CoxModel(name="m", features=["x"], baseline=spark.createDataFrame(times, "t double, hazard double"), coef=[1.0])
+    values = [None, math.nan, *(i / 100 for i in range(200))]
+    means = model.restricted_mean(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "id int, x double").coalesce(1))
+    plan = means._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" in plan and "BroadcastNestedLoopJoin BuildLeft" not in plan
+    t, hazard = np.array(times).T
+    got = {r["id"]: r for r in means.collect()}
+    assert len(got) == len(values) and means.columns == ["id", "x", "risk", "n_times", "horizon_days", "mean_days"]
+    assert dict(means.dtypes)["n_times"] == "bigint" and got[0]["mean_days"] is None and math.isnan(got[1]["mean_days"])
+    for r in (got[2], got[77], got[201]):
+        s = np.exp(-hazard * math.exp(r["x"]))
+        assert r["mean_days"] == pytest.approx(t[0] + (s[:-1] * np.diff(t)).sum())
+        assert (r["n_times"], r["horizon_days"]) == (5_000, t[-1])
+
+
 def test_closed_form_tie_terms(monkeypatch):
     d = np.array([600.0, 600.0, 0.0])
     s0, e0 = np.array([1000.0, 650.0, 5.0]), np.array([600.0, 650.0, 0.0])
