@@ -229,15 +229,13 @@ class SurvivalModel:
 
         Every row meets every array of the curve, as every row has a value at every time.
         """
-        at = F.transform("_points", lambda x: F.struct(x["t"].alias("t"), F.exp(-x["h"] * F.exp(F.col("risk"))).alias("surv")))
         if times is not None and 0 < len(times) <= FEW_TIMES:
             points = [F.struct(F.lit(float(t)).alias("t"), F.lit(h).alias("h")) for t, h in zip(times, self.hazard_at(times))]
             rows = self.risk(df).withColumn("_points", F.array(*points))
         else:
-            rows = self.risk(df).crossJoin(self.curve(times).withColumnRenamed("points", "_points"))
-        return rows.withColumn("_at", F.explode(at)).select(
-            *df.columns, "risk", F.col("_at.t").alias("t"), F.col("_at.surv").alias("surv")
-        )
+            rows = _meet(self.risk(df), self.curve(times).withColumnRenamed("points", "_points"), self._few(times))
+        scaled = rows.withColumn("_scale", F.exp(F.col("risk"))).withColumn("_at", F.explode("_points"))
+        return scaled.select(*df.columns, "risk", F.col("_at.t").alias("t"), F.exp(-F.col("_at.h") * F.col("_scale")).alias("surv"))
 
     def _few(self, times: Sequence[float] | None = None) -> bool:
         """Whether the times of a curve (all training times by default) are counted to be few enough for every task to hold them."""

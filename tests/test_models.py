@@ -160,6 +160,20 @@ def test_area_below_a_curve_holds_no_table_in_one_task(spark, monkeypatch, limit
         assert (r["n_times"], r["horizon_days"]) == (5_000, t[-1])
 
 
+@pytest.mark.parametrize("limit", [50_000, 100])
+def test_rows_of_one_file_meet_a_whole_curve_in_many_tasks(spark, monkeypatch, limit):
+    monkeypatch.setattr(survival, "ONE_WINDOW_LIMIT", limit, raising=False)
+    times = [(i / 7, i * 0.001) for i in range(1, 5_001)]
+    model = CoxModel(name="m", features=["x"], baseline=spark.createDataFrame(times, "t double, hazard double"), coef=[1.0])
+    curves = model.survival(spark.createDataFrame([(i, i / 100) for i in range(40)], "id int, x double").coalesce(1))
+    assert curves.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    got = curves.groupBy("id", "x").agg(F.count("t").alias("n"), F.sum("surv").alias("s"), F.max("t").alias("end")).collect()
+    hazard = np.array([h for _, h in times])
+    assert len(got) == 40 and {(r["n"], r["end"]) for r in got} == {(5_000, times[-1][0])}
+    for r in got[:5]:
+        assert r["s"] == pytest.approx(np.exp(-hazard * math.exp(r["x"])).sum())
+
+
 def test_closed_form_tie_terms(monkeypatch):
     d = np.array([600.0, 600.0, 0.0])
     s0, e0 = np.array([1000.0, 650.0, 5.0]), np.array([600.0, 650.0, 0.0])
