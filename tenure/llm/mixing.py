@@ -105,16 +105,41 @@ def _plan(docs: DataFrame, scratch: Scratch, budget: float, most: int) -> DataFr
     )
 
 
+def _copies(plan: DataFrame) -> DataFrame:
+    """_key, size and _position of each time the mix takes a document."""
+    copies = plan.filter("passes > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int") - 1)))
+    words = F.col("words_before") + F.col("_pass") * F.col("source_size")
+    return copies.select("_key", "size", position(words, F.col("target"), F.col("start"), F.col("end")).alias("_position"))
+
+
+def _in_order(copies: DataFrame) -> DataFrame:
+    return copies.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key")
+
+
 def curriculum(docs: DataFrame, budget: float = 1.0, most: int = MOST) -> DataFrame:
     """docs as the mix takes them, a row for each time, sorted by training position."""
     scratch = Scratch(docs.sparkSession)
     keyed = with_key(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row")), scratch)
-    plan = _plan(keyed.select("_key", "doc_id", "source", "text"), scratch, budget, most).filter("passes > 0")
-    copies = plan.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int") - 1)))
-    words = F.col("words_before") + F.col("_pass") * F.col("source_size")
-    copies = copies.select("_key", position(words, F.col("target"), F.col("start"), F.col("end")).alias("_position"))
-    rows = keyed.select("_key", "_row").join(copies, "_key")
-    return rows.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select("_row.*")
+    copies = _copies(_plan(keyed.select("_key", "doc_id", "source", "text"), scratch, budget, most)).drop("size")
+    return _in_order(keyed.select("_key", "_row").join(copies, "_key")).select("_row.*")
+
+
+def taken(docs: DataFrame, budget: float = 1.0, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken, passes, first_position of every document, counted from the mix itself.
+
+    The mix, a row for each time a document is taken, is written in the order of the curriculum, without the texts. A
+    document that it never takes has taken and passes 0 and the position at which it would stand.
+    """
+    scratch = Scratch(docs.sparkSession)
+    plan = scratch.table(_plan(with_key(docs.select("doc_id", "source", "text"), scratch), scratch, budget, most))
+    mix = scratch.table(_in_order(_copies(plan)))
+    found = mix.groupBy(F.col("_key").alias("_k")).agg(F.sum("size").alias("_taken"), F.count("*").alias("_passes"), F.min("_position").alias("_first"))
+    of = plan.join(found, F.col("_key") == F.col("_k"), "left")
+    none = F.lit(0).cast("long")
+    return of.select(
+        "doc_id", "size", "source_size", "target", F.coalesce("_taken", none).alias("taken"), F.coalesce("_passes", none).alias("passes"),
+        F.coalesce("_first", "first_position").alias("first_position"),
+    )
 
 
 def oracle(rounds: int = 8) -> str:

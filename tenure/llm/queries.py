@@ -39,9 +39,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_read(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "passes", "first_position"
-    )
+    return mixing.taken(_read(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.llm import ctw, embed, langid, licenses, minhash, mixing, packing, quality, suffix, tokens
+from tenure.llm import ctw, embed, langid, licenses, minhash, mixing, packing, quality, queries, suffix, tokens
 from tenure.llm.text import Text
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -243,6 +243,21 @@ def test_mixing_meets_targets(spark):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_mixing_counts_what_the_sorted_mix_holds(spark, monkeypatch, tmp_path):
+    rows = [(i, "abc"[i % 3], "w " * (1 + i * 7 % 40)) for i in range(120)] + [(None, "b", "no id"), (5, "a", "again"), (300, None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    mixes, in_order = [], mixing._in_order
+    monkeypatch.setattr(mixing, "_in_order", lambda copies: mixes.append(in_order(copies)) or mixes[-1], raising=False)
+    got = queries.op7_mixing(spark, str(tmp_path)).collect()
+    assert len(mixes) == 1 and len(got) == len(rows)
+    mix = mixes[0].collect()
+    assert len(mix) == sum(r["passes"] for r in got) and sum(r["size"] for r in mix) == sum(r["taken"] for r in got)
+    assert [r["_position"] for r in mix] == sorted(r["_position"] for r in mix)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "passes", "first_position").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_curriculum_takes_every_row_by_its_own_passes(spark):
     rng = random.Random(9)
     rows = [(None if i % 5 == 0 else i // 3, prose(rng, rng.randint(1, 60)), "abc"[i % 3]) for i in range(300)]
