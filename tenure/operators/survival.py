@@ -589,11 +589,12 @@ class _CoxProblem:
             mine = (part.g != m).astype(float)
             died = part.e * mine
             w = np.exp(part.x @ beta) * mine
-            moved = part.x * w[:, None]
-            columns = [died[:, None], w[:, None], moved]
+            p = part.x.shape[1]
+            out = np.empty((len(part.start), (3 + 2 * p) if efron else 2 + p))
+            out[:, 0], out[:, 1], out[:, 2 : 2 + p] = part.per_time(died), part.per_time(w), part.weighted(w)
             if efron:
-                columns += [(died * w)[:, None], moved * died[:, None]]
-            return part.per_time(np.hstack(columns)), w, died
+                out[:, 2 + p], out[:, 3 + p :] = part.per_time(died * w), part.weighted(died * w)
+            return out, w, died
 
         return cells
 
@@ -673,7 +674,7 @@ class _CoxProblem:
                     acc = np.concatenate([[high], low + np.cumsum(x["a"][::-1])[::-1], [low]])[: len(own)]
                     tied = np.concatenate([[b[0]], x["b"], [b[1]]])[: len(own)]
                 weight = w * (part.spread(acc) - died * part.spread(tied))
-                total = part.x.T @ (part.x * weight[:, None]) - _outer(x)
+                total = part.squares(weight) - _outer(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(i), m), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["m", "i", "j", "v"]
                 )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 PART_ROWS = 1 << 16  # rows a task holds, while there are no more parts than the driver follows
 MAX_PARTS = 1 << 16
 BLOCK_ROWS = 1 << 10
+STRIP = 1 << 12  # rows whose features are multiplied at once: a part's task holds no second matrix
 LAYOUT = "part int, t binary, e binary, g binary, x binary, r binary, m binary"
 NO_GROUP = -1
 
@@ -43,6 +44,23 @@ class Part:
     def per_time(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.start, axis=0)
 
+    def strips(self) -> Iterator[slice]:
+        return (slice(a, min(a + STRIP, len(self.t))) for a in range(0, len(self.t), STRIP))
+
+    def weighted(self, w: np.ndarray) -> np.ndarray:
+        """Sums of the features times w at each distinct time."""
+        out = np.zeros((len(self.start), self.x.shape[1]))
+        for rows in self.strips():
+            first = np.searchsorted(self.start, rows.start, "right") - 1
+            end = np.searchsorted(self.start, rows.stop, "left")
+            begin = np.maximum(self.start[first:end] - rows.start, 0)
+            out[first:end] += np.add.reduceat(self.x[rows] * w[rows, None], begin, axis=0)
+        return out
+
+    def squares(self, w: np.ndarray) -> np.ndarray:
+        """x' diag(w) x."""
+        return sum((self.x[rows].T @ (self.x[rows] * w[rows, None]) for rows in self.strips()), np.zeros((self.x.shape[1],) * 2))
+
     @property
     def time(self) -> np.ndarray:
         return self.t[self.start]
@@ -66,14 +84,15 @@ def parts_of(batches: Iterator[pa.RecordBatch], width: int, kind: type = np.floa
         for i in range(batch.num_rows):
             number = batch.column(0)[i].as_py()
             if held and number != now:
-                yield joined(held, now)
-                held = []
+                part, held = joined(held, now), []
+                yield part
+                del part
             now = number
-            t, e, g, x, r, m = (batch.column(c)[i].as_buffer() for c in range(1, 7))
-            numbers = (np.frombuffer(b, k) for b, k in ((t, np.float64), (e, np.int8), (g, np.int32), (x, kind), (r, np.int64), (m, np.float64)))
-            held.append(tuple(numbers))
+            kinds = (np.float64, np.int8, np.int32, kind, np.int64, np.float64)
+            held.append(tuple(np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in enumerate(kinds, 1)))
     if held:
-        yield joined(held, now)
+        part, held, batch = joined(held, now), [], None  # the blocks go before the part is worked on
+        yield part
 
 
 Encode = Callable[[np.ndarray], np.ndarray]

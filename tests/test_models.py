@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -26,7 +27,7 @@ from tenure.operators.scoring import counted, score
 from tenure.operators.survival import CoxModel, CoxPH, partial_log_likelihood, tie_terms
 from tenure.operators.training import RunLog, cross_validate, train_final
 from tenure.plans.pairs import pairs_below
-from tenure.plans.timeline import PART_ROWS
+from tenure.plans.timeline import NO_GROUP, PART_ROWS, Part
 
 FEATURES = ["f1", "f2", "f3"]
 
@@ -112,6 +113,24 @@ def test_fit_without_penalty(spark, cohort, cohort_pdf):
     assert flat.loss == pytest.approx(less.loss)
 
 
+@pytest.mark.parametrize("rows,times", [(20_000, 300), (9_000, 9_000), (20_000, 1)])
+def test_a_part_is_summed_up_without_a_second_matrix(rows, times):
+    rng = np.random.default_rng(5)
+    p, t = 24, np.sort(rng.integers(0, times, rows) if times < rows else np.arange(rows))[::-1].astype(float)
+    x, e = rng.normal(size=(rows, p)), (rng.random(rows) < 0.4).astype(np.int8)
+    part = Part(0, t, e, np.full(rows, NO_GROUP), x, np.arange(rows), np.zeros(rows), np.flatnonzero(np.append(True, t[1:] != t[:-1])))
+    problem = survival._CoxProblem(None, None, CoxPH(ties="efron"), [f"x{i}" for i in range(p)], 1, *[np.zeros(1)] * 4)
+    beta = rng.normal(size=p) / 10
+    tracemalloc.start()
+    cells, w, died = problem._cells()(part, 0, beta)
+    peak = tracemalloc.get_traced_memory()[1] - cells.nbytes
+    tracemalloc.stop()
+    assert peak < x.nbytes / 2 or times == rows
+    each = np.column_stack([died, w, x * w[:, None], died * w, x * (died * w)[:, None]])
+    want = np.array([each[t == v].sum(axis=0) for v in t[part.start]])
+    assert np.allclose(cells, want) and np.allclose(part.squares(w), x.T @ (x * w[:, None]))
+
+
 def test_fit_names_what_has_no_finite_coefficient(spark):
     rows = [(float(i), True, float(10 - i), float(i % 2)) for i in range(1, 10)]
     df = spark.createDataFrame(rows, "duration double, event boolean, early double, odd double")
