@@ -30,7 +30,9 @@ from tenure.plans.timeline import NO_GROUP, PART_ROWS, Part, Timeline, border_ve
 from tenure.sources.io import read_table, write_table
 
 BINS = 256
-ROUNDS = 25  # trees between two moves of the margins
+ROUNDS = 25  # trees between two moves of the margins, in one task
+TABLE_ROUNDS = 8  # the same over several parts, where every scan adds the trees since the last move to the margins
+TASK_ROWS = 1 << 18  # rows of bytes that one task grows trees from; more are parts of part_rows
 LEAST_GAIN = 1e-6
 QUANTILE_ACCURACY = 10_000
 NODE_SCHEMA = (
@@ -71,15 +73,18 @@ class Tree:
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """The node at which each row of values ends."""
+        inner, own = self.feature >= 0, np.arange(len(self.feature))
+        feature = np.maximum(self.feature, 0)
+        child = np.column_stack([np.where(inner, self.above, own), np.where(inner, self.below, own)]).ravel()  # a leaf leads to itself
+        level = np.zeros(len(own), dtype=np.int64)
+        for n in own[inner]:
+            level[[self.below[n], self.above[n]]] = level[n] + 1
+        values, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
         node = np.zeros(len(x), dtype=np.int64)
-        row = np.arange(len(x))
-        while True:
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                return node
-            below = x[row, np.maximum(f, 0)] <= self.threshold[node]
-            node = np.where(inner, np.where(below, self.below[node], self.above[node]), node)
+        for _ in range(level.max()):
+            below = values.take(row + feature.take(node)) <= self.threshold.take(node)
+            node = child.take(2 * node + below)
+        return node
 
     def values(self, x: np.ndarray) -> np.ndarray:
         return self.value[self.leaf(x)]
@@ -455,7 +460,10 @@ class BoostedCox:
         train = prepared(df)
         tables = [train] + ([prepared(eval_set)] if eval_set is not None and eval_set is not df else [])
         cuts = bin_borders(train, names)
-        lines = [Timeline(t, names, t.count(), self.part_rows, np.uint8, binned(cuts)) for t in tables]
+        sizes = [t.count() for t in tables]
+        # Both tables are in one part or both in several, as each tree is grown by one of both ways.
+        rows = max(self.part_rows, TASK_ROWS) if self.part_rows == PART_ROWS and max(sizes) <= TASK_ROWS else self.part_rows
+        lines = [Timeline(t, names, n, rows, np.uint8, binned(cuts)) for t, n in zip(tables, sizes)]
         try:
             trees, losses = self._rounds(lines[0], lines[-1] if eval_set is not None else None, len(names))
         finally:
@@ -486,7 +494,7 @@ class BoostedCox:
         trees: list[Tree] = []
         losses: list[float] = []
         while len(trees) < self.n_estimators:
-            more = self._grown(line, width, len(trees), min(ROUNDS, self.n_estimators - len(trees)))
+            more = self._grown(line, width, len(trees), min(ROUNDS if line.parts == 1 else TABLE_ROUNDS, self.n_estimators - len(trees)))
             trees += more
             if held_out is not None:
                 losses += _losses(held_out, more, self.learning_rate)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import tracemalloc
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -459,6 +460,19 @@ def plain_tree(pdf, margin, spec, number=0):
     return out
 
 
+def test_boosting_of_a_few_parts_worth_of_rows_runs_in_one_task(spark, monkeypatch):
+    """A Spark job for each level of each tree is for tables beyond one task."""
+    seen, grown = [], BoostedCox._grown
+    monkeypatch.setattr(BoostedCox, "_grown", lambda self, line, *a: seen.append(line.parts) or grown(self, line, *a))
+    rows = spark.range(PART_ROWS + 500).select(
+        (F.pmod(F.col("id") * 7919, F.lit(997)) + 1).alias("duration"), (F.col("id") % 3 > 0).alias("event"), F.pmod(F.col("id") * 31, F.lit(17)).alias("x")
+    )
+    spec = BoostedCox(n_estimators=3, max_depth=2, part_rows=PART_ROWS)
+    whole, parts = spec.fit(rows, ["x"], eval_set=rows), replace(spec, part_rows=40_000).fit(rows, ["x"], eval_set=rows)
+    assert seen == [1, 2]
+    assert len(whole.losses) == len(parts.losses) == 3 and whole.losses == pytest.approx(parts.losses, rel=1e-3)
+
+
 @pytest.mark.parametrize("part_rows", [PART_ROWS, 50])
 def test_boosting_matches_the_definition(cohort, cohort_pdf, part_rows):
     spec = BoostedCox(
