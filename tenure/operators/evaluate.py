@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalModel
 from tenure.plans.columns import quoted
-from tenure.plans.materialise import discard, materialise
+from tenure.plans.materialise import discard, materialise, materialise_by
 from tenure.plans.ordered import (
     BUCKET,
     MAX_BUCKETS,
@@ -25,6 +26,7 @@ from tenure.plans.ordered import (
     measure_splits,
     running,
     step_lookup,
+    union_all,
     with_bucket,
 )
 from tenure.plans.pairs import decimals, pairs_below, total
@@ -32,10 +34,11 @@ from tenure.plans.parallel import together
 from tenure.plans.timeline import PART_ROWS, Part, Timeline
 
 DRIVER_CELLS = 1 << 24  # (part, risk bucket) counts the driver may hold
+BUCKET_ROWS = 1 << 13  # of a group, whose pairs across parts are counted at once
 METRIC_SCHEMA = "model string, fold int, metric string, t int, value double"
 
 
-def c_index(scored: DataFrame, by: str | None = None, part_rows: int = PART_ROWS, buckets: int = MAX_BUCKETS) -> DataFrame:
+def c_index(scored: DataFrame, by: str | None = None, part_rows: int = PART_ROWS, buckets: int | None = None) -> DataFrame:
     """Harrell's concordance: concordant, tied, comparable, c_index, in one row or one per value of the whole number `by`. Exact.
 
     A pair is comparable when the earlier one is an event (a censoring at the same time counts as later). Rows are laid out
@@ -60,6 +63,9 @@ def c_index(scored: DataFrame, by: str | None = None, part_rows: int = PART_ROWS
         for r in at_time.groupBy("g").agg(F.sum("same").alias("same"), F.sum(count * (count - 1) / 2).alias("times"), F.sum("all").alias("rows")).collect()
     }
     size = sum(n for *_, n in apart.values())
+    if buckets is None:
+        # A bucket of a group is a call of its own: no more of them than the rows need.
+        buckets = max(2, min(MAX_BUCKETS, -(-size // (BUCKET_ROWS * max(1, len(apart))))))
     line = Timeline(rows, ["risk"], size, part_rows, ties=[F.col("e"), F.col("risk").desc()])
     try:
         counts = _concordance(line, rows, sorted(apart), buckets)
@@ -132,6 +138,8 @@ def _concordance(line: Timeline, rows: DataFrame, groups: list[int], buckets: in
         return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "below": pa.array(decimals([below]), kind), "same": pa.array(decimals([same]), kind)})
 
     table = line.rows(cells, "part int, g int, bucket int, risk double, n long, died long")
+    # Cells are few bytes, and Spark would let one task count them all.
+    table = table.repartition(min(line.parts, width * len(groups)), "g", "bucket")
     table = table.groupBy("g", "bucket").applyInArrow(across, "g int, below decimal(38,0), same decimal(38,0)")
     for r in table.groupBy("g").agg(F.sum("below").alias("below"), F.sum("same").alias("same")).collect():
         found[r["g"]][0] += int(r["below"])
@@ -148,23 +156,38 @@ def censoring_km(train: DataFrame) -> DataFrame:
         F.col("duration").cast("double").alias("t"), F.col("event").cast("int").alias("_e")
     )
     splits = measure_splits(staged, ["t"])["t"]
-    cells = (
-        with_bucket(staged, splits)
-        .groupBy(BUCKET, "t")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("_e").alias("d"),
-            F.sum(1 - F.col("_e")).alias("c"),
-        )
+    return _uncensored(_time_cells(with_bucket(staged, splits), []), [], splits.bucketed).select("t", "g")
+
+
+def censoring_km_by_fold(folded: DataFrame, k: int, fold: str = "fold") -> DataFrame:
+    """(fold, t, g): for each of k folds, censoring_km() of the rows of all others. The rows are read once for all of them."""
+    staged = folded.select(
+        F.col("duration").cast("double").alias("t"), F.col("event").cast("int").alias("_e"), F.col(quoted(fold)).cast("int").alias("_f")
+    )
+    splits = measure_splits(staged, ["t"])["t"]
+    own = _time_cells(with_bucket(staged, splits), ["_f"])
+    others = own.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(k)]))).filter(F.col("fold") != F.col("_f"))
+    cells = others.groupBy("fold", BUCKET, "t").agg(*[F.sum(c).alias(c) for c in ("n", "d", "c")])
+    return _uncensored(cells, ["fold"], splits.bucketed).select("fold", "t", "g")
+
+
+def _time_cells(staged: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, events and censorings at each time."""
+    return staged.groupBy(*by, BUCKET, "t").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("_e").alias("d"),
+        F.sum(1 - F.col("_e")).alias("c"),
     )
-    at_risk = running(cells, "t", {"at_risk": F.col("n")}, descending=True, bucketed=splits.bucketed)
+
+
+def _uncensored(cells: DataFrame, by: list[str], bucketed: bool) -> DataFrame:
+    """The product-limit `g` over cells of _time_cells()."""
+    at_risk = running(cells, "t", {"at_risk": F.col("n")}, by=by, descending=True, bucketed=bucketed)
     stay = 1.0 - F.coalesce(
         F.try_divide(F.col("c").cast("double"), (F.col("at_risk") - F.col("d")).cast("double")),
         F.lit(0.0),
     )
-    return running(
-        at_risk, "t", {"g": stay}, product=True, bucketed=splits.bucketed
-    ).select("t", "g")
+    return running(at_risk, "t", {"g": stay}, by=by, product=True, bucketed=bucketed)
 
 
 def with_censoring_weight(scored: DataFrame, km: DataFrame) -> DataFrame:
@@ -330,32 +353,72 @@ def evaluate(
     fold: int = 0,
 ) -> FoldMetrics:
     """All figures of a fitted model; the test rows are scored once and reused."""
-    scored = materialise(
-        model.risk(test).select(
-            F.col("risk"), F.col("duration").cast("double").alias("duration"), F.col("event")
-        ),
-        "scored",
-    )
+    scored = materialise(_scored(model, test), "scored")
+
     def ends(rows: DataFrame):
         return rows.agg(F.count(F.lit(1)).alias("n"), F.max("duration").alias("end")).first()
 
     def at_horizons() -> tuple[int, int, dict[int, float], dict[int, float]]:
         sizes, seen, km = together(lambda: ends(train), lambda: ends(scored), lambda: materialise(censoring_km(train), "censoring"))
-        end = min(sizes["end"], seen["end"])
-        times = [h for h in horizons if h < end]
-        if not times:
-            return sizes["n"], seen["n"], {}, {}
-        hazards, weighted = together(lambda: model.hazard_at(times), lambda: materialise(with_censoring_weight(scored, km), "weighted"))
-        scores, areas = together(
-            lambda: brier(weighted, km, hazards, times).collect(), lambda: td_auc(weighted, times).collect() if len(times) >= 2 else []
-        )
-        brier_at = {r["t"]: math.nan if r["brier"] is None else r["brier"] for r in scores}
-        discard(km, weighted)
-        return sizes["n"], seen["n"], brier_at, {r["t"]: r["auc"] for r in areas if r["auc"] is not None}
+        found = _at_horizons(model, scored, km, [h for h in horizons if h < min(sizes["end"], seen["end"])])
+        discard(km)
+        return sizes["n"], seen["n"], *found
 
     pairs, (n_train, n_test, brier_at, auc_at) = together(lambda: c_index(scored).first(), at_horizons)
-    concordance = pairs["c_index"]
     discard(scored)
+    return _fold_metrics(model, fold, pairs["c_index"], brier_at, auc_at, n_train, n_test)
+
+
+def evaluate_folds(models: Sequence[SurvivalModel], folded: DataFrame, horizons: Sequence[int] = DEFAULT_HORIZONS, fold: str = "fold") -> list[FoldMetrics]:
+    """evaluate() of every fold's model on the rows of its fold, beside the rows of all other folds.
+
+    What does not hang on a model's horizons is found for all folds at once: sizes and ends, concordance, censoring curves.
+    """
+    k = len(models)
+    sides = [_scored(model, folded.filter(F.col(fold) == i)).withColumn("fold", F.lit(i)) for i, model in enumerate(models)]
+    rows = folded.groupBy(F.col(fold).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.max("duration").alias("end"))
+    scored, seen, km = together(
+        lambda: materialise_by(union_all(sides), "fold", "scored"),
+        lambda: {r["fold"]: (r["n"], r["end"]) for r in rows.collect()},
+        lambda: materialise(censoring_km_by_fold(folded, k, fold), "censoring"),
+    )
+
+    def at_horizons(i: int) -> tuple[dict[int, float], dict[int, float]]:
+        known = [end for f, (_, end) in seen.items() if f != i and end is not None]
+        end = min(max(known, key=lambda t: (math.isnan(t), t), default=None), seen.get(i, (0, None))[1])
+        mine = F.col("fold") == i
+        return _at_horizons(models[i], scored.filter(mine).drop("fold"), km.filter(mine).drop("fold"), [h for h in horizons if h < end])
+
+    pairs, *found = together(lambda: c_index(scored, by="fold").collect(), *[partial(at_horizons, i) for i in range(k)])
+    discard(scored, km)
+    concordance = {r["fold"]: r["c_index"] for r in pairs}
+    total = sum(n for n, _ in seen.values())
+    return [
+        _fold_metrics(model, i, concordance.get(i), *found[i], total - seen.get(i, (0, None))[0], seen.get(i, (0, None))[0])
+        for i, model in enumerate(models)
+    ]
+
+
+def _scored(model: SurvivalModel, rows: DataFrame) -> DataFrame:
+    return model.risk(rows).select(F.col("risk"), F.col("duration").cast("double").alias("duration"), F.col("event"))
+
+
+def _at_horizons(model: SurvivalModel, scored: DataFrame, km: DataFrame, times: Sequence[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Brier scores and areas under the curve by time."""
+    if not times:
+        return {}, {}
+    hazards, weighted = together(lambda: model.hazard_at(times), lambda: materialise(with_censoring_weight(scored, km), "weighted"))
+    scores, areas = together(
+        lambda: brier(weighted, km, hazards, times).collect(), lambda: td_auc(weighted, times).collect() if len(times) >= 2 else []
+    )
+    discard(weighted)
+    brier_at = {r["t"]: math.nan if r["brier"] is None else r["brier"] for r in scores}
+    return brier_at, {r["t"]: r["auc"] for r in areas if r["auc"] is not None}
+
+
+def _fold_metrics(
+    model: SurvivalModel, fold: int, concordance: float | None, brier_at: dict[int, float], auc_at: dict[int, float], n_train: int, n_test: int
+) -> FoldMetrics:
     ibs = math.nan
     if len(brier_at) >= 2:
         ordered = sorted(brier_at)

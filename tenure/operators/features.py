@@ -105,7 +105,8 @@ def levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     """
     if not cols:
         return {}
-    stacked = df.select(
+    # Rows of all columns are made distinct first: an event is then not stacked once for each column.
+    stacked = df.select(*cols).distinct().select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
         ).alias("_x")

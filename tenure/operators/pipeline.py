@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from tenure.operators.features import Behaviour, Demographics, Rfm, ticket_features
 from tenure.plans.columns import quoted
-from tenure.plans.materialise import materialise
+from tenure.plans.materialise import is_written, materialise
 from tenure.plans.parallel import together
 from tenure.plans.quantiles import exact_quantiles
 
 KEY = "customer_id"
 TARGETS = ("event", "duration")
+COLUMNS_AT_ONCE = 10  # whose moments are one generated aggregation; beyond a hundred fields Spark generates none
 
 
 def merge_features(
@@ -73,35 +75,35 @@ class Preprocessor:
 
     @classmethod
     def fit(cls, raw: DataFrame, scale: bool = True) -> "Preprocessor":
-        """Two scans of a materialised table, no shuffle beyond the final partials.
+        """Scans of a materialised table, no shuffle beyond the final partials.
 
         Moments of the imputed column follow from those of the present values, because every
         absent value becomes the same constant.
         """
         cols = feature_columns(raw)
         value = {c: _number(c) for c in cols}
-        moments = [F.count(F.lit(1)).alias("rows")]
-        if scale:
-            for c in cols:
-                moments += [
-                    F.count(value[c]).alias(f"n_{c}"),
-                    F.avg(value[c]).alias(f"m_{c}"),
-                    F.var_pop(value[c]).alias(f"v_{c}"),
-                ]
-        row = raw.agg(*moments).first()
-        rows = row["rows"]
-        quantiles = exact_quantiles(raw.select(*[value[c].alias(c) for c in cols]), cols, [0.5], rows=rows)
+        moments: dict[str, tuple] = {}
+
+        def learn(some: list[str]) -> None:
+            each = [f(value[c]) for c in some for f in (F.count, F.avg, F.var_pop)]
+            row = raw.agg(*[v.alias(f"a{i}") for i, v in enumerate(each)]).first()
+            moments.update({c: row[3 * i : 3 * i + 3] for i, c in enumerate(some)})
+
+        groups = [cols[i : i + COLUMNS_AT_ONCE] for i in range(0, len(cols), COLUMNS_AT_ONCE)] if scale else []
+        rows, *_ = together(raw.count, *[partial(learn, some) for some in groups])
+        counts = [moments[c][0] for c in cols] if scale else None
+        numbers = raw.select(*[value[c].alias(c) for c in cols])
+        quantiles = exact_quantiles(numbers, cols, [0.5], rows=rows, counts=counts, written=is_written(raw))
         medians = {c: q[0] for c, q in quantiles.items() if q[0] is not None}
         kept = tuple(c for c in cols if c in medians)
         means: dict[str, float] = {}
         scales: dict[str, float] = {}
         if scale:
             for c in kept:
-                present = row[f"n_{c}"] / rows
-                mean = present * row[f"m_{c}"] + (1 - present) * medians[c]
-                var = present * (row[f"v_{c}"] + (row[f"m_{c}"] - mean) ** 2) + (1 - present) * (
-                    medians[c] - mean
-                ) ** 2
+                n, m, v = moments[c]
+                present = n / rows
+                mean = present * m + (1 - present) * medians[c]
+                var = present * (v + (m - mean) ** 2) + (1 - present) * (medians[c] - mean) ** 2
                 constant = var <= 1e-24 * max(1.0, mean * mean)
                 means[c], scales[c] = mean, 1.0 if constant else var**0.5
         return cls(kept, medians, means, scales, scale)

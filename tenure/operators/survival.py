@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.special import digamma, log_gamma, trigamma
-from tenure.plans.materialise import discard, materialise
+from tenure.plans.materialise import discard, is_written, materialise
 from tenure.plans.ordered import (
     BUCKET,
     ONE_WINDOW_LIMIT,
@@ -131,13 +131,6 @@ def partial_log_likelihood(
     )
 
 
-def _matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
-    out = np.empty((batch.num_rows, len(columns)))
-    for i, c in enumerate(columns):
-        out[:, i] = batch.column(c).to_numpy(zero_copy_only=False)
-    return out
-
-
 def tie_terms(d: np.ndarray, s0: np.ndarray, e0: np.ndarray) -> dict[str, np.ndarray]:
     """Efron sums over the d tied events of each time, m = 0..d-1, D_m = s0 - (m/d) e0:
 
@@ -506,7 +499,7 @@ class _CoxProblem:
     """
 
     timeline: Timeline
-    source: DataFrame
+    source: DataFrame | None  # the table written for this fit
     spec: CoxPH
     features: list[str]
     models: int
@@ -517,52 +510,54 @@ class _CoxProblem:
 
     @classmethod
     def prepare(cls, df: DataFrame, features: list[str], spec: CoxPH, fold: str | None, models: int) -> _CoxProblem:
-        """Write the needed columns once, centre them and lay them out in the order of time."""
+        """Lay the needed columns out in the order of time, from a table that is written, and centre them by the sums of the parts."""
         group = F.lit(NO_GROUP) if fold is None else F.col(fold).cast("int")
         p = len(features)
         names = [f"v{i}" for i in range(p)]
-        keep = materialise(
-            df.select(
-                F.col("duration").cast("double").alias("t"),
-                F.col("event").cast("int").alias("e"),
-                group.alias("g"),
-                *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)],
-            ),
-            "cox",
+        keep = df.select(
+            F.col("duration").cast("double").alias("t"),
+            F.col("event").cast("int").alias("e"),
+            group.alias("g"),
+            *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)],
         )
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = _matrix(batch, names)
-                g = batch.column("g").to_numpy(zero_copy_only=False)
-                died = np.nan_to_num(batch.column("e").to_numpy(zero_copy_only=False).astype(float))
-                for m in np.unique(g):
-                    mine = g == m
-                    parts = [x[mine].sum(axis=0), died[mine] @ x[mine], (x[mine] ** 2).sum(axis=0)]
-                    parts = [np.append(v, last) for v, last in zip(parts, (mine.sum(), died[mine].sum(), 0.0))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(p + 1, m), pa.int32()), pa.array(range(p + 1), pa.int32()), *map(pa.array, parts)], ["g", "i", "s", "d", "q"]
-                    )
-
-        totals: dict[int, np.ndarray] = {}
-        parts = keep.mapInArrow(sums, "g int, i int, s double, d double, q double")
-        for r in parts.groupBy("g", "i").agg(*(F.sum(c).alias(c) for c in "sdq")).collect():
-            totals.setdefault(r["g"], np.zeros((3, p + 1)))[:, r["i"]] = r["s"], r["d"], r["q"]
-        every = sum(totals.values(), np.zeros((3, p + 1)))
-        size = int(every[0, p])
+        source = None if is_written(df) else materialise(keep, "cox")
+        keep = keep if source is None else source
+        size = keep.count()
         if not size:
             raise ValueError("no rows to fit on")
-        centre = every[0, :p] / size
-        if np.isnan(centre).any():
-            bad = [f for f, c in zip(features, centre) if np.isnan(c)]
-            raise ValueError(f"missing values in {', '.join(bad)}: impute first")
-        own = [every - totals.get(m, 0.0) for m in range(models)] if fold is not None else [every]
-        if any(o[1, p] == 0 for o in own):
-            raise ValueError("no event observed")
-        rows = keep.select("t", "e", "g", *[(F.col(v) - F.lit(float(c))).alias(f"x{i}") for i, (v, c) in enumerate(zip(names, centre))])
+        line = Timeline(keep, names, size, spec.part_rows)
+
+        def sums(part: Part) -> Iterator[tuple[int, np.ndarray]]:
+            for m in np.unique(part.g):
+                out = np.zeros((3, p + 1))
+                for rows in part.strips():
+                    mine = part.g[rows] == m
+                    x, died = part.x[rows][mine], part.e[rows][mine].astype(float)
+                    out[:, :p] += x.sum(axis=0), died @ x, (x**2).sum(axis=0)
+                    out[:2, p] += mine.sum(), died.sum()
+                yield int(m), out.ravel()
+
+        try:
+            totals: dict[int, np.ndarray] = {}
+            for _, m, v in line.vectors(sums):
+                totals[m] = totals.get(m, 0.0) + v.reshape(3, p + 1)
+            every = sum(totals.values(), np.zeros((3, p + 1)))
+            centre = every[0, :p] / size
+            if np.isnan(centre).any():
+                bad = [f for f, c in zip(features, centre) if np.isnan(c)]
+                raise ValueError(f"missing values in {', '.join(bad)}: impute first")
+            own = [every - totals.get(m, 0.0) for m in range(models)] if fold is not None else [every]
+            if any(o[1, p] == 0 for o in own):
+                raise ValueError("no event observed")
+        except Exception:
+            line.release()
+            if source is not None:
+                discard(source)
+            raise
+        line.centre = centre
         return cls(
-            timeline=Timeline(rows, [f"x{i}" for i in range(p)], size, spec.part_rows),
-            source=keep,
+            timeline=line,
+            source=source,
             spec=spec,
             features=features,
             models=models,
@@ -573,9 +568,10 @@ class _CoxProblem:
         )
 
     def release(self) -> None:
-        """Give back the parts and the table they can be made from again."""
+        """Give back the parts and, where one was written for them, the table they can be made from again."""
         self.timeline.release()
-        discard(self.source)
+        if self.source is not None:
+            discard(self.source)
 
     @property
     def efron(self) -> bool:

@@ -5,21 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.operators.evaluate import (
-    FoldMetrics,
     aggregate_folds,
-    evaluate,
+    evaluate_folds,
     results_table,
     stratified_folds,
 )
 from tenure.operators.survival import DEFAULT_HORIZONS, SurvivalEstimator, SurvivalModel
-from tenure.plans.materialise import checkpoint_root
-from tenure.plans.parallel import together
+from tenure.plans.materialise import materialise_by
 
 RUN_SCHEMA = (
     "run_id string, parent_run_id string, name string, params map<string,string>, "
@@ -98,21 +95,12 @@ def cross_validate(
     spark = df.sparkSession
     features = list(features)
     folded = stratified_folds(df.select(key, *features, "duration", "event"), n_splits, random_state, key)
-    path = f"{checkpoint_root(spark)}/folds-{uuid.uuid4().hex}"
-    folded.write.partitionBy("fold").parquet(path)
-    folded = spark.read.parquet(path)
-    sides = [(folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)) for fold in range(n_splits)]
+    folded = materialise_by(folded, "fold", "folds")
     if hasattr(estimator, "fit_folds"):
         models = estimator.fit_folds(folded, features, n_splits)
     else:
-        models = [estimator.fit(train, features) for train, _ in sides]
-
-    def evaluated(fold: int) -> FoldMetrics:
-        train, test = sides[fold]
-        return evaluate(models[fold], test, train, horizons, fold)
-
-    # A fold's figures are many small jobs: those of all folds share the cluster.
-    results = together(*[partial(evaluated, fold) for fold in range(n_splits)])
+        models = [estimator.fit(folded.filter(F.col("fold") != fold), features) for fold in range(n_splits)]
+    results = evaluate_folds(models, folded, horizons)
     table = results_table(spark, results)
     if runs is not None:
         tags = {"model": estimator.name, "n_splits": n_splits, "n_samples": int(sum(r.value("n_test") for r in results)), "n_features": len(features)}

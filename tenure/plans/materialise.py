@@ -39,9 +39,25 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
+    return _marked(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _marked(df: DataFrame, path: str) -> DataFrame:
+    df._written_to = path
+    return df
+
+
+def materialise_by(df: DataFrame, column: str, label: str = "table") -> DataFrame:
+    """The same, partitioned by a column: a filter on it reads its rows alone."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").partitionBy(column).parquet(path)
+    return _marked(spark.read.parquet(path), path)
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether this is a table as it was written here, so that scanning it again computes nothing again."""
+    return hasattr(df, "_written_to")
 
 
 def discard(*tables: DataFrame) -> None:

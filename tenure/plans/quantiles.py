@@ -30,11 +30,14 @@ def exact_quantiles(
     probs: Sequence[float],
     limit: int = EXACT_ROWS,
     rows: int | None = None,
+    counts: Sequence[int] | None = None,
+    written: bool = False,
 ) -> dict[str, list[float | None]]:
     """`{column: [quantile per prob]}`; nulls are skipped, an all-null column gives None.
 
     Spark's exact percentile keeps one counter per distinct value in a single task, so above
-    `limit` rows the order statistics are selected by digits instead.
+    `limit` rows the order statistics are selected by digits instead. counts: the number of values of each column, where the
+    caller knows them; written: df is a projection of a written table and need not be written again.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
@@ -45,14 +48,17 @@ def exact_quantiles(
     if n_rows <= limit:
         row = numbers.agg(*[F.percentile(f"c{i}", probs).alias(f"c{i}") for i in range(len(cols))]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
-    numbers = materialise(numbers, "numbers")  # scanned once for each digit
-    counts = numbers.agg(*[F.count(c) for c in numbers.columns]).first()
+    copy = None if written else materialise(numbers, "numbers")  # scanned once for each digit
+    numbers = numbers if copy is None else copy
+    if counts is None:
+        counts = numbers.agg(*[F.count(c) for c in numbers.columns]).first()
     wanted = {}
     for i, n in enumerate(counts):
         places = [(n - 1) * p for p in probs] if n else []
         wanted[i] = sorted({r for at in places for r in (floor(at), ceil(at))})
     values = select_ranks(numbers, wanted)
-    discard(numbers)
+    if copy is not None:
+        discard(copy)
     out: dict[str, list[float | None]] = {}
     for i, (c, n) in enumerate(zip(cols, counts)):
         out[c] = [None] * len(probs)
@@ -79,6 +85,7 @@ def from_bits(bits: int) -> float:
 def select_ranks(numbers: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
     """(column number, rank) to the value of that rank from 0, for columns of doubles; nulls have no rank."""
     names = numbers.columns
+    width = len(names)
     found = {(c, r): 0 for c, ranks in wanted.items() for r in ranks}  # the bits so far
     before = dict(found)  # values below those bits
     done = 0
@@ -90,9 +97,12 @@ def select_ranks(numbers: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple
             total = np.zeros((len(prefixes), 1 << step), np.int64)
             for batch in batches:
                 keys = {}
+                flat = batch.column(0).flatten()
+                values = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
                 for i, (c, bits) in enumerate(prefixes):
                     if c not in keys:
-                        keys[c] = ordered_bits(batch.column(c).drop_null().to_numpy(zero_copy_only=False).astype(np.float64))
+                        keys[c] = ordered_bits(values[known[:, c], c])
                     key = keys[c]
                     if done:
                         key = key[key >> np.uint64(64 - done) == np.uint64(bits)]
@@ -101,7 +111,8 @@ def select_ranks(numbers: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple
             i, digit = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(digit, pa.int32()), pa.array(total[i, digit])], ["i", "digit", "n"])
 
-        parts = numbers.select(*names).mapInArrow(count, "i int, digit int, n long").groupBy("i", "digit").agg(F.sum("n").alias("n")).toArrow()
+        # One array a row: many columns make methods that the JVM does not compile.
+        parts = numbers.select(F.array(*names).alias("x")).mapInArrow(count, "i int, digit int, n long").groupBy("i", "digit").agg(F.sum("n").alias("n")).toArrow()
         total = np.zeros((len(prefixes), 1 << step), np.int64)
         total[parts.column("i").to_numpy(), parts.column("digit").to_numpy()] = parts.column("n").to_numpy()
         upto = np.cumsum(total, axis=1)

@@ -70,13 +70,16 @@ class Part:
         return np.repeat(per_time, np.diff(np.append(self.start, len(self.t))), axis=0)
 
 
-def parts_of(batches: Iterator[pa.RecordBatch], width: int, kind: type = np.float64) -> Iterator[Part]:
-    """The parts of a task; the blocks of a part follow one another."""
+def parts_of(batches: Iterator[pa.RecordBatch], width: int, kind: type = np.float64, centre: np.ndarray | None = None) -> Iterator[Part]:
+    """The parts of a task, less the centre of the features; the blocks of a part follow one another."""
 
     def joined(held: list[tuple], number: int) -> Part:
         t, e, g, x, r, m = (np.concatenate(c) for c in zip(*held))
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        return Part(number, t, e, g, x.reshape(len(t), width), r, m, start)
+        x = x.reshape(len(t), width)
+        if centre is not None:
+            x -= centre  # the blocks were copied: in place
+        return Part(number, t, e, g, x, r, m, start)
 
     held: list[tuple] = []
     now = -1
@@ -113,24 +116,27 @@ class Timeline:
     ):
         """rows: t, e (null counts as censored), g (a group number) and `columns`; size: their number.
 
-        encode turns a matrix of the columns into kind; ties orders rows of one time.
+        encode turns a matrix of the columns into kind; ties orders rows of one time. The columns are one array from the scan to
+        the blocks: rows of many columns make methods that the JVM does not compile, and every value is converted by itself.
         """
         columns = list(columns)
         self.spark = rows.sparkSession
         self.width = len(columns)
         self.kind = kind
+        self.centre: np.ndarray | None = None  # what the kernels find taken off the features
         self.parts = max(1, min(MAX_PARTS, -(-size // part_rows)))
         rows = rows.select(
             F.col("t").cast("double").alias("t"),
             F.coalesce(F.col("e").cast("int"), F.lit(0)).alias("e"),
             F.col("g").cast("int").alias("g"),
             F.monotonically_increasing_id().alias("_r"),
-            *columns,
+            F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>").alias("_x"),
+            *(columns if ties else []),
         )
         latest = [F.col("t").desc(), *ties, F.col("_r")]
         dealt = rows.repartition(1) if self.parts == 1 else rows.repartitionByRange(self.parts, *latest)
-        ordered = dealt.sortWithinPartitions(*latest)
-        self.first = self.blocks = ordered.mapInArrow(_packer(columns, kind, encode), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
+        ordered = dealt.sortWithinPartitions(*latest).select("t", "e", "g", "_r", "_x")
+        self.first = self.blocks = ordered.mapInArrow(_packer(self.width, kind, encode), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
         self.blocks.unpersist()
@@ -154,10 +160,10 @@ class Timeline:
 
     def rows(self, kernel: Callable[[Part], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """What the kernel makes of every part."""
-        width, kind = self.width, self.kind
+        width, kind, centre = self.width, self.kind, self.centre
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts_of(batches, width, kind):
+            for part in parts_of(batches, width, kind, centre):
                 yield from kernel(part)
 
         return self.blocks.mapInArrow(run, schema)
@@ -182,15 +188,13 @@ def _block(part: int, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *packed], ["part", "t", "e", "g", "x", "r", "m"])
 
 
-def _packer(columns: list[str], kind: type, encode: Encode | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(width: int, kind: type, encode: Encode | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK_ROWS):
                 rows = batch.slice(begin, BLOCK_ROWS)
-                x = np.empty((rows.num_rows, len(columns)))
-                for i, c in enumerate(columns):
-                    x[:, i] = rows.column(c).to_numpy(zero_copy_only=False)
+                x = rows.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, width)
                 t, e, g, r = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("t", "e", "g", "_r"))
                 x = (x if encode is None else encode(x)).astype(kind)
                 yield _block(part, t.astype(np.float64), e.astype(np.int8), g.astype(np.int32), x, r.astype(np.int64), np.zeros(len(t)))

@@ -128,8 +128,8 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_clicks(events: DataFrame) -> DataFrame:
-    k = _event_key(F.col("props"))
-    return events.select(
+    k = F.col("_k")  # parsed once for each event
+    return events.withColumn("_k", _event_key(F.col("props"))).select(
         F.col("user_id").cast("string").alias("customer_id"),
         F.col("ts").alias("event_timestamp"),
         _coded(F.col("event_type"), PAGES).alias("page_type"),
@@ -145,10 +145,11 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def support_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _event_key(F.col("props"))
+    k = F.col("_k")  # parsed once for each event
     return (
         table(spark, sf_dir, "events")
         .filter(F.col("event_type") == "error")
+        .withColumn("_k", _event_key(F.col("props")))
         .select(
             F.col("event_id").cast("string").alias("ticket_id"),
             F.col("user_id").cast("string").alias("customer_id"),

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.operators import boosted, survival
+from tenure.operators import boosted, survival, training
+from tenure.operators import evaluate as evaluation
 from tenure.operators.behaviour import changed_scores, curve_breaks, quartile_means, risk_by_outcome, spearman
 from tenure.operators.boosted import BoostedCox, BoostedModel
 from tenure.operators.evaluate import (
@@ -16,7 +17,9 @@ from tenure.operators.evaluate import (
     brier,
     c_index,
     censoring_km,
+    censoring_km_by_fold,
     evaluate,
+    evaluate_folds,
     integrated_brier,
     metric_lines,
     results_table,
@@ -363,6 +366,57 @@ def test_cross_validation_and_runs(spark, cohort, tmp_path):
     assert CoxModel.load(spark, f"{tmp_path}/models/{run_id}").version == run_id
 
 
+@pytest.fixture(scope="module")
+def folded(cohort):
+    """Three folds, with a time and an event missing here and there."""
+    number = F.substring("customer_id", 2, 9).cast("int")
+    gaps = cohort.withColumn("duration", F.when(number % 50 != 7, F.col("duration"))).withColumn("event", F.when(number % 40 != 9, F.col("event")))
+    return gaps.withColumn("fold", number % 3)
+
+
+def test_censoring_of_all_folds_at_once(folded):
+    got = {k: [(r["t"], r["g"]) for r in censoring_km_by_fold(folded, 3).filter(F.col("fold") == k).orderBy("t").collect()] for k in range(3)}
+    want = {k: [tuple(r) for r in censoring_km(folded.filter(F.col("fold") != k)).orderBy("t").collect()] for k in range(3)}
+    assert got == want
+
+
+def test_folds_evaluated_at_once(folded, cox):
+    """The same figures as fold by fold."""
+    folded = folded.filter("duration IS NOT NULL")
+    models = [cox, replace(cox, coef=[0.1, 0.2, -0.3]), cox]
+    got = [m.rows() for m in evaluate_folds(models, folded, [10, 20, 4000])]
+    want = [evaluate(m, folded.filter(F.col("fold") == k), folded.filter(F.col("fold") != k), [10, 20, 4000], k).rows() for k, m in enumerate(models)]
+    for rows, expected in zip(got, want):
+        assert [r[:4] for r in rows] == [r[:4] for r in expected]
+        assert [r[4] for r in rows] == pytest.approx([r[4] for r in expected], nan_ok=True)
+
+
+def test_cross_validation_reads_the_folds_once(cohort, monkeypatch):
+    """The folded table is not written again for the fit, and what all folds share is found in one pass over it."""
+    written, ranked = [], []
+
+    def spy(module, name, seen, note):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: (seen.append(note(*a)), plain(*a, **k))[1])
+
+    for module, name in ((survival, "materialise"), (evaluation, "materialise")):
+        spy(module, name, written, lambda df, label="table": label)
+    spy(evaluation, "materialise_by", written, lambda df, column, label="table": label)
+    spy(training, "materialise_by", written, lambda df, column, label="table": label)
+    spy(evaluation, "c_index", ranked, lambda *a: "c_index")
+    cross_validate(CoxPH(alpha=0.5), cohort, FEATURES, n_splits=3, horizons=[10, 20])
+    counts = {label: written.count(label) for label in ("folds", "cox", "scored", "censoring")}
+    assert counts == {"folds": 1, "cox": 0, "scored": 1, "censoring": 1} and len(ranked) == 1
+
+
+def test_buckets_of_risks_follow_the_rows(cohort, monkeypatch):
+    """Every bucket is a call of its own: a few hundred rows do not make a thousand of them."""
+    asked = []
+    plain = evaluation._concordance
+    monkeypatch.setattr(evaluation, "_concordance", lambda line, rows, groups, buckets: (asked.append(buckets), plain(line, rows, groups, buckets))[1])
+    by_default, many = c_index(cohort, part_rows=50).first(), c_index(cohort, part_rows=50, buckets=1024).first()
+    assert by_default == many and asked == [2, 1024]
+
 def test_evaluation_summary(cohort, cox):
     result = evaluate(cox, cohort, cohort, [10, 20], fold=3)
     assert result.value("n_train") == result.value("n_test") == cohort.count()
