@@ -111,7 +111,7 @@ def select_ranks(numbers: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple
             i, digit = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(digit, pa.int32()), pa.array(total[i, digit])], ["i", "digit", "n"])
 
-        # One array a row: many columns make methods that the JVM does not compile.
+        # One array a row: it reaches Python sooner than many columns do.
         parts = numbers.select(F.array(*names).alias("x")).mapInArrow(count, "i int, digit int, n long").groupBy("i", "digit").agg(F.sum("n").alias("n")).toArrow()
         total = np.zeros((len(prefixes), 1 << step), np.int64)
         total[parts.column("i").to_numpy(), parts.column("digit").to_numpy()] = parts.column("n").to_numpy()
