@@ -117,7 +117,7 @@ class Timeline:
         """rows: t, e (null counts as censored), g (a group number) and `columns`; size: their number.
 
         encode turns a matrix of the columns into kind; ties orders rows of one time. The columns are one array from the scan to
-        the blocks: 38 of them reach Python in about half the time they take as columns.
+        the blocks: 38 of them reach Python in half to two thirds of the time they take as columns.
         """
         columns = list(columns)
         self.spark = rows.sparkSession
