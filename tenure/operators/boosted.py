@@ -3,8 +3,10 @@
 Features are cut into at most 256 bins once and kept as bytes, in the order of time (`plans.timeline`). A round takes the risk-set
 sums that give each row its gradient and curvature, then grows a tree level by level: gradients and curvatures are added up per
 node, feature and bin inside each part and summed by Spark, the larger child of a node being its parent less the smaller, and
-the split with the greatest gain is taken. Margins are kept with the rows and moved on every ROUNDS trees; the
-blocks before are given back. Where the table is one part, its task grows ROUNDS trees in a row by the same steps.
+the split with the greatest gain is taken. Margins are kept with the rows and moved on every TABLE_ROUNDS trees; the
+blocks before are given back. Where the table is one part, its task grows the trees by the same steps, all of them where the losses
+are those of its own rows, else ROUNDS in a row. It keeps the rows column by column and the rows of each node as a list, counts columns of
+few bins together and those where one bin has most rows by the other rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import math
 import random
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -32,8 +34,12 @@ from tenure.sources.io import read_table, write_table
 BINS = 256
 ROUNDS = 25  # trees between two moves of the margins, in one task
 TABLE_ROUNDS = 8  # the same over several parts, where every scan adds the trees since the last move to the margins
-TASK_ROWS = 1 << 18  # rows of bytes that one task grows trees from; more are parts of part_rows
+TASK_ROWS = 1 << 20  # rows of bytes that one task grows trees from; more are parts of part_rows
+UNIT_CELLS = 1 << 12  # joint bins of columns that are counted together
+MOSTLY = 0.875  # share of the rows in one bin
+UNIT_ROWS = 1 << 14  # rows of a node from which that pays
 LEAST_GAIN = 1e-6
+LOSS = -1  # as a node's number: the loss after the tree
 QUANTILE_ACCURACY = 10_000
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, below int, above int, value double"
@@ -232,37 +238,153 @@ def _drawn(part: Part, seed: int, number: int, share: float) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 < share
 
 
-def _histograms(part: Part, node: np.ndarray, wanted: list[int], columns: list[int], g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """(wanted node, column, bin, 2): summed gradient and curvature."""
-    place = np.full(max(int(node.max(initial=0)), max(wanted)) + 1, -1)
-    place[wanted] = range(len(wanted))
-    here = np.flatnonzero(place[node] >= 0)
-    slot = place[node[here]] * BINS
-    out = np.empty((len(wanted), len(columns), BINS, 2))
-    for i, c in enumerate(columns):
-        at = slot + part.x[here, c]
-        for k, v in enumerate((g, h)):
-            out[:, i, :, k] = np.bincount(at, v[here], len(wanted) * BINS).reshape(-1, BINS)
-    return out
+@dataclass(frozen=True)
+class _Unit:
+    """Columns of few bins as one code. usual: the code of half of the rows or more, whose sums are what the others leave."""
+
+    columns: tuple[int, ...]
+    code: np.ndarray
+    digits: tuple[np.ndarray, ...]  # by column: the bin of each code
+    usual: int | None
+
+
+def _units(x: np.ndarray) -> list[_Unit]:
+    """All columns (a row of x each), those of few bins together, while their joint bins stay under UNIT_CELLS.
+
+    Columns with one bin for almost all rows are kept from the others, so that their unit has one too.
+    """
+    sizes = x.max(axis=1).astype(int) + 1
+    even = np.array([np.bincount(column).max() < MOSTLY * len(column) for column in x])
+    sets: list[list[int]] = []
+    cells = 1
+    for c in np.lexsort((sizes, even)):
+        if not sets or even[c] != even[sets[-1][0]] or cells * sizes[c] > UNIT_CELLS:
+            sets.append([])
+            cells = 1
+        sets[-1].append(int(c))
+        cells *= int(sizes[c])
+    units = []
+    for columns in sets:
+        code, digits = x[columns[0]], [np.arange(sizes[columns[0]])]
+        for c in columns[1:]:
+            code = code.astype(np.uint16) * np.uint16(sizes[c]) + x[c]
+            digits = [np.repeat(d, sizes[c]) for d in digits] + [np.tile(np.arange(sizes[c]), len(digits[0]))]
+        counts = np.bincount(code, minlength=len(digits[0]))
+        usual = int(counts.argmax())
+        units.append(_Unit(tuple(columns), code, tuple(digits), usual if 2 * counts[usual] >= len(code) else None))
+    return units
+
+
+class _Rows:
+    """Rows of bytes column by column, and the rows of each node of the tree that grows."""
+
+    def __init__(self, x: np.ndarray, units: bool = False):
+        self.x = np.ascontiguousarray(x.T)
+        self.units = _units(self.x) if units and len(x) >= UNIT_ROWS else []
+        self.held: dict[int, np.ndarray] = {}
+
+    def hold(self, rows: np.ndarray) -> None:
+        """A tree begins, with these rows at its root."""
+        self.held = {0: rows}
+
+    def sink(self, tree: Tree) -> None:
+        """Every row goes down to where the tree has grown."""
+        todo = list(self.held)
+        while todo:
+            node = todo.pop()
+            if tree.feature[node] < 0:
+                continue
+            rows = self.held.pop(node)
+            below = self.x[tree.feature[node]].take(rows) <= np.uint8(tree.threshold[node])
+            for child, side in ((tree.below[node], below), (tree.above[node], ~below)):
+                self.held[int(child)] = rows.take(np.flatnonzero(side))
+                todo.append(int(child))
+
+    def histograms(self, node: int, columns: list[int], g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """(column, bin, 2): the summed gradient and curvature of a node's rows."""
+        rows = self.held[node]
+        both = g.take(rows), h.take(rows)
+        out = np.zeros((len(columns), BINS, 2))
+        if not self.units or len(rows) < UNIT_ROWS:
+            for i, c in enumerate(columns):
+                at = self.x[c].take(rows)
+                for k, v in enumerate(both):
+                    out[i, :, k] = np.bincount(at, v, BINS)
+            return out
+        place = {c: i for i, c in enumerate(columns)}
+        pairs = both[0] + 1j * both[1]  # added up in one pass
+        whole = pairs.sum()
+        for unit in self.units:
+            if not any(c in place for c in unit.columns):
+                continue
+            at, values, sums = unit.code.take(rows), pairs, np.zeros(len(unit.digits[0]), complex)
+            if unit.usual is not None:
+                others = np.flatnonzero(at != unit.usual)
+                at, values = at.take(others), pairs.take(others)
+            np.add.at(sums, at.astype(np.intp), values)
+            if unit.usual is not None:
+                sums[unit.usual] = whole - sums.sum()
+            for c, digit in zip(unit.columns, unit.digits):
+                if c in place:
+                    for k, v in enumerate((sums.real, sums.imag)):
+                        out[place[c], :, k] = np.bincount(digit, v, BINS)
+        return out
 
 
 class _InTask:
     """The sums of a round from the rows of a single part, inside its task."""
 
     def __init__(self, part: Part, spec: BoostedCox):
-        self.part, self.spec = part, spec
-        self.m = part.m
+        self.spec, self.m, self.followed = spec, part.m, 0
+        self.rows, self.part = _Rows(part.x, units=True), replace(part, x=part.x[:0])  # the rows are held once
+        self.e = part.e.astype(float)
+        self.events = part.per_time(self.e)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        self.w = np.exp(self.m)
+        self.at = np.column_stack([self.events, self.part.per_time(self.w)])
+        self.sums = np.cumsum(self.at, axis=0)
+
+    def follow(self, trees: Sequence[Tree]) -> None:
+        """Margins move on by the trees grown since."""
+        for tree in trees[self.followed :]:
+            self.m = self.m + self.spec.learning_rate * self._values(tree)
+            self._weigh()
+        self.followed = len(trees)
+
+    def _values(self, tree: Tree) -> np.ndarray:
+        out = np.empty(len(self.m))
+        sampled = self.rows.held
+        for rows in (sampled, {0: self.left_out}):
+            self.rows.held = rows
+            self.rows.sink(tree)
+            for node, at in rows.items():
+                out[at] = tree.value[node]
+        return out
+
+    def loss(self) -> float:
+        """The mean negative log partial likelihood per event."""
+        dead = self.at[:, 0] > 0
+        total = self.e.sum()
+        return float((self.at[dead, 0] @ np.log(self.sums[dead, 1]) - self.m[self.e > 0].sum()) / total) if total else math.nan
 
     def start(self, trees: Sequence[Tree], number: int) -> None:
-        if trees:
-            self.m = self.m + self.spec.learning_rate * trees[-1].values(self.part.x)
-        self.g, self.h = _gradients(self.part, np.exp(self.m), None)
+        self.follow(trees)
+        a, b = (self.part.spread(_ascending(s)) for s in _steps(self.sums, self.at))
+        a *= self.w
+        self.g, self.h = a - self.e, a - self.w * self.w * b
         if self.spec.subsample < 1:
-            out = ~_drawn(self.part, self.spec.random_state, number, self.spec.subsample)
-            self.g, self.h = np.where(out, 0.0, self.g), np.where(out, 0.0, self.h)
+            drawn = _drawn(self.part, self.spec.random_state, number, self.spec.subsample)
+            self.left_out = np.flatnonzero(~drawn)
+            self.rows.hold(np.flatnonzero(drawn))
+        else:
+            self.left_out = np.zeros(0, int)
+            self.rows.hold(np.arange(len(self.m)))
 
     def histograms(self, tree: Tree, wanted: list[int], columns: list[int]) -> np.ndarray:
-        return _histograms(self.part, tree.leaf(self.part.x), wanted, columns, self.g, self.h)
+        self.rows.sink(tree)
+        return np.array([self.rows.histograms(node, columns, self.g, self.h) for node in wanted])
 
 
 class _OnTable:
@@ -306,10 +428,11 @@ class _OnTable:
         def add_up(part: Part) -> Iterator[pa.RecordBatch]:
             carry = tuple(v[part.number] for v in shared.value)
             g, h = _gradients(part, np.exp(_margin(part, given, spec.learning_rate)), carry)
-            if spec.subsample < 1:
-                out = ~_drawn(part, spec.random_state, number, spec.subsample)
-                g, h = np.where(out, 0.0, g), np.where(out, 0.0, h)
-            sums = _histograms(part, tree.leaf(part.x), wanted, columns, g, h).reshape(-1, 2)
+            rows = _Rows(part.x)
+            drawn = _drawn(part, spec.random_state, number, spec.subsample) if spec.subsample < 1 else np.ones(len(g), bool)
+            rows.hold(np.flatnonzero(drawn))
+            rows.sink(tree)
+            sums = np.array([rows.histograms(node, columns, g, h) for node in wanted]).reshape(-1, 2)
             cell = np.flatnonzero(sums.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell, 0]), pa.array(sums[cell, 1])], ["cell", "g", "h"])
 
@@ -493,15 +616,17 @@ class BoostedCox:
         """The trees, their thresholds being bins, and the losses after each."""
         trees: list[Tree] = []
         losses: list[float] = []
+        # A task that holds all rows also knows their losses: it grows the trees to the end.
+        alone = line.parts == 1 and held_out in (None, line)
         while len(trees) < self.n_estimators:
-            more = self._grown(line, width, len(trees), min(ROUNDS if line.parts == 1 else TABLE_ROUNDS, self.n_estimators - len(trees)))
+            at_once = self.n_estimators if alone else ROUNDS if line.parts == 1 else TABLE_ROUNDS
+            more, after = self._grown(line, width, len(trees), min(at_once, self.n_estimators - len(trees)), alone and held_out is not None)
             trees += more
             if held_out is not None:
-                losses += _losses(held_out, more, self.learning_rate)
-                best = int(np.argmin(losses))
-                if self.early_stopping_rounds is not None and len(losses) - 1 - best >= self.early_stopping_rounds:
+                losses += after if alone else _losses(held_out, more, self.learning_rate)
+                if self._past_best(losses):
                     # Rounds that a round-by-round check would not have seen do not count.
-                    end = next(n for n in range(len(losses)) if n - int(np.argmin(losses[: n + 1])) >= self.early_stopping_rounds)
+                    end = next(n for n in range(len(losses)) if self._past_best(losses[: n + 1]))
                     losses = losses[: end + 1]
                     return trees[: int(np.argmin(losses)) + 1], losses
             if len(trees) < self.n_estimators:
@@ -510,29 +635,44 @@ class BoostedCox:
                     each.advance(lambda part, given=tuple(trees): _margin(part, given, rate))
         return trees, losses
 
-    def _grown(self, line: Timeline, width: int, first: int, rounds: int) -> list[Tree]:
+    def _past_best(self, losses: list[float]) -> bool:
+        return self.early_stopping_rounds is not None and len(losses) - 1 - int(np.argmin(losses)) >= self.early_stopping_rounds
+
+    def _grown(self, line: Timeline, width: int, first: int, rounds: int, judged: bool) -> tuple[list[Tree], list[float]]:
+        """The trees of so many rounds; judged: the task also gives the losses after each and ends early by them."""
         if line.parts > 1:
             sums, trees = _OnTable(line, self), []
             for number in range(first, first + rounds):
                 sums.start(trees, number)
                 trees.append(_grow(sums, self, width, number))
-            return trees
+            return trees, []
         spec = self
 
         def boost(part: Part) -> Iterator[pa.RecordBatch]:
-            sums, grown = _InTask(part, spec), []
+            sums, grown, losses = _InTask(part, spec), [], []
+            del part
             for number in range(first, first + rounds):
                 sums.start(grown, number)
                 grown.append(_grow(sums, spec, width, number))
+                if judged:
+                    sums.follow(grown)
+                    losses.append(sums.loss())
+                    if spec._past_best(losses):
+                        break
             rows = [r for i, t in enumerate(grown) for r in t.rows(i)]
+            rows += [(i, LOSS, -1, 0.0, -1, -1, loss) for i, loss in enumerate(losses)]
             names = ["tree", "node", "feature", "threshold", "below", "above", "value"]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         by_tree: dict[int, list] = {}
-        for r in line.rows(boost, NODE_SCHEMA).collect():
-            by_tree.setdefault(r["tree"], []).append(r)
-        return [Tree.of_rows(sorted(by_tree[k], key=lambda r: r["node"])) for k in sorted(by_tree)]
+        after: list[float] = []
+        for r in sorted(line.rows(boost, NODE_SCHEMA).collect(), key=lambda r: (r["tree"], r["node"])):
+            if r["node"] == LOSS:
+                after.append(r["value"])
+            else:
+                by_tree.setdefault(r["tree"], []).append(r)
+        return [Tree.of_rows(by_tree[k]) for k in sorted(by_tree)], after
 
 
 def _in_values(tree: Tree, cuts: list[np.ndarray]) -> Tree:

@@ -134,6 +134,9 @@ class Timeline:
             *(columns if ties else []),
         )
         latest = [F.col("t").desc(), *ties, F.col("_r")]
+        if encode is not None and self.parts == 1 and not ties:
+            # The one task that packs the part gets its rows encoded: that work is done where the rows are read.
+            rows, encode = rows.mapInArrow(_encoder(self.width, kind, encode), "t double, e int, g int, _r long, _x binary"), None
         dealt = rows.repartition(1) if self.parts == 1 else rows.repartitionByRange(self.parts, *latest)
         ordered = dealt.sortWithinPartitions(*latest).select("t", "e", "g", "_r", "_x")
         self.first = self.blocks = ordered.mapInArrow(_packer(self.width, kind, encode), LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
@@ -188,15 +191,32 @@ def _block(part: int, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *packed], ["part", "t", "e", "g", "x", "r", "m"])
 
 
+def _matrix(rows: pa.RecordBatch, width: int, kind: type, encode: Encode | None) -> np.ndarray:
+    """The features of rows: arrays of numbers, or the bytes of numbers of kind where they were encoded before."""
+    column = rows.column("_x")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows.num_rows, width)
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, width)
+    return (x if encode is None else encode(x)).astype(kind)
+
+
+def _encoder(width: int, kind: type, encode: Encode) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([row.tobytes() for row in _matrix(batch, width, kind, encode)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t", "e", "g", "_r")), x], ["t", "e", "g", "_r", "_x"])
+
+    return run
+
+
 def _packer(width: int, kind: type, encode: Encode | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK_ROWS):
                 rows = batch.slice(begin, BLOCK_ROWS)
-                x = rows.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, width)
                 t, e, g, r = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("t", "e", "g", "_r"))
-                x = (x if encode is None else encode(x)).astype(kind)
+                x = _matrix(rows, width, kind, encode)
                 yield _block(part, t.astype(np.float64), e.astype(np.int8), g.astype(np.int32), x, r.astype(np.int64), np.zeros(len(t)))
 
     return pack

@@ -31,7 +31,7 @@ from tenure.operators.scoring import counted, score
 from tenure.operators.survival import CoxModel, CoxPH, partial_log_likelihood, tie_terms
 from tenure.operators.training import RunLog, cross_validate, train_final
 from tenure.plans.pairs import pairs_below
-from tenure.plans.timeline import NO_GROUP, PART_ROWS, Part
+from tenure.plans.timeline import NO_GROUP, PART_ROWS, Part, Timeline
 
 FEATURES = ["f1", "f2", "f3"]
 
@@ -559,6 +559,46 @@ def test_parts_grow_the_same_trees(cohort, monkeypatch):
     assert models[0].losses[-1] == pytest.approx(partial_log_likelihood(models[0].risk(held_out)).first()["loss"])
 
 
+def test_rows_of_one_task_are_boosted_and_judged_in_one_job(cohort, monkeypatch):
+    """No scan for the losses and none to move the margins, where the losses are those of the rows that are boosted."""
+
+    def none(*a):
+        raise AssertionError("another scan")
+
+    monkeypatch.setattr(boosted, "ROUNDS", 2)
+    monkeypatch.setattr(boosted, "_losses", none)
+    monkeypatch.setattr(Timeline, "advance", none)
+    model = BoostedCox(n_estimators=5, max_depth=2, learning_rate=0.3, min_child_weight=2).fit(cohort, FEATURES, eval_set=cohort)
+    assert len(model.trees) == len(model.losses) == 5
+    assert model.losses[-1] == pytest.approx(partial_log_likelihood(model.risk(cohort)).first()["loss"])
+
+
+def test_columns_counted_together_give_the_sums_of_each():
+    """Few bins, many bins, one bin for almost all rows; nodes of many rows and of few."""
+    rng = np.random.default_rng(8)
+    n = 3 * boosted.UNIT_ROWS
+    rare = rng.random(n) < 0.1
+    x = np.column_stack(
+        [rng.integers(0, 2, n), rng.integers(0, 256, n), np.where(rare, rng.integers(0, 200, n), 7), rng.integers(0, 5, n), np.where(rare, 1, 0), np.zeros(n)]
+    ).astype(np.uint8)
+    g, h = rng.normal(size=n), rng.random(n)
+    together = boosted._Rows(x, units=True)
+    assert sorted(c for u in together.units for c in u.columns) == list(range(6)) and len(together.units) < 6
+    assert any(u.usual is not None for u in together.units)
+    tree = boosted.Tree(np.array([4, -1, -1]), np.zeros(3), np.array([1, -1, -1]), np.array([2, -1, -1]), np.zeros(3))
+    drawn = np.flatnonzero(rng.random(n) < 0.9)
+    together.hold(drawn)
+    for columns in ([0, 1, 2, 3, 4, 5], [1, 3, 4]):
+        for node in (0, 1, 2):
+            if node == 1:
+                together.sink(tree)
+                assert set(together.held) == {1, 2} and len(together.held[2]) < boosted.UNIT_ROWS < len(together.held[1])
+            rows = drawn if node == 0 else drawn[(x[drawn, 4] > 0) == (node == 2)]
+            want = [[np.bincount(x[rows, c], v[rows], boosted.BINS) for v in (g, h)] for c in columns]
+            np.testing.assert_allclose(together.histograms(node, columns, g, h), np.moveaxis(want, 1, 2), atol=1e-9)
+        together.hold(drawn)
+
+
 def test_bins_of_many_values_and_gaps(spark):
     rows = [(float(i % 700), float(i % 3) if i % 5 else None, float("nan")) for i in range(2100)]
     a, b, c = boosted.bin_borders(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"])
