@@ -35,6 +35,9 @@ BINS = 256
 ROUNDS = 25  # trees between two moves of the margins, in one task
 TABLE_ROUNDS = 8  # the same over several parts, where every scan adds the trees since the last move to the margins
 TASK_ROWS = 1 << 20  # rows of bytes that one task grows trees from; more are parts of part_rows
+MOVES = 8  # of the margins, one after the other, until they are taken from all trees again
+NODES_AT_ONCE = 64  # nodes of one level whose sums one job takes
+SENT_BYTES = 1 << 27  # of sums that the tasks of such a job send to the driver
 UNIT_CELLS = 1 << 12  # joint bins of columns that are counted together
 MOSTLY = 0.875  # share of the rows in one bin
 UNIT_ROWS = 1 << 14  # rows of a node from which that pays
@@ -425,22 +428,22 @@ class _OnTable:
     def histograms(self, tree: Tree, wanted: list[int], columns: list[int]) -> np.ndarray:
         spec, given, number, shared = self.spec, self.trees, self.number, self.shared
 
-        def add_up(part: Part) -> Iterator[pa.RecordBatch]:
-            carry = tuple(v[part.number] for v in shared.value)
-            g, h = _gradients(part, np.exp(_margin(part, given, spec.learning_rate)), carry)
-            rows = _Rows(part.x)
-            drawn = _drawn(part, spec.random_state, number, spec.subsample) if spec.subsample < 1 else np.ones(len(g), bool)
-            rows.hold(np.flatnonzero(drawn))
-            rows.sink(tree)
-            sums = np.array([rows.histograms(node, columns, g, h) for node in wanted]).reshape(-1, 2)
-            cell = np.flatnonzero(sums.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell, 0]), pa.array(sums[cell, 1])], ["cell", "g", "h"])
+        out = []
+        for begin in range(0, len(wanted), NODES_AT_ONCE):
+            nodes = wanted[begin : begin + NODES_AT_ONCE]
 
-        rows = self.timeline.rows(add_up, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-        out = np.zeros((len(wanted) * len(columns) * BINS, 2))
-        cell = rows.column("cell").to_numpy()
-        out[cell, 0], out[cell, 1] = rows.column("g").to_numpy(), rows.column("h").to_numpy()
-        return out.reshape(len(wanted), len(columns), BINS, 2)
+            def add_up(part: Part, nodes: list[int] = nodes) -> np.ndarray:
+                carry = tuple(v[part.number] for v in shared.value)
+                g, h = _gradients(part, np.exp(_margin(part, given, spec.learning_rate)), carry)
+                rows = _Rows(part.x)
+                drawn = _drawn(part, spec.random_state, number, spec.subsample) if spec.subsample < 1 else np.ones(len(g), bool)
+                rows.hold(np.flatnonzero(drawn))
+                rows.sink(tree)
+                return np.array([rows.histograms(node, columns, g, h) for node in nodes]).ravel()
+
+            most = SENT_BYTES // (len(nodes) * len(columns) * BINS * 16)
+            out.append(self.timeline.total(add_up, most).reshape(len(nodes), len(columns), BINS, 2))
+        return np.concatenate(out)
 
 
 class _Growing:
@@ -618,6 +621,7 @@ class BoostedCox:
         losses: list[float] = []
         # A task that holds all rows also knows their losses: it grows the trees to the end.
         alone = line.parts == 1 and held_out in (None, line)
+        moved = moves = 0
         while len(trees) < self.n_estimators:
             at_once = self.n_estimators if alone else ROUNDS if line.parts == 1 else TABLE_ROUNDS
             more, after = self._grown(line, width, len(trees), min(at_once, self.n_estimators - len(trees)), alone and held_out is not None)
@@ -630,9 +634,12 @@ class BoostedCox:
                     losses = losses[: end + 1]
                     return trees[: int(np.argmin(losses)) + 1], losses
             if len(trees) < self.n_estimators:
-                rate = self.learning_rate
+                rate, moves = self.learning_rate, moves + 1
+                afresh = moves % MOVES == 0
+                given = tuple(trees if afresh or not moved else trees[moved:])
                 for each in {id(x): x for x in (line, held_out) if x is not None}.values():
-                    each.advance(lambda part, given=tuple(trees): _margin(part, given, rate))
+                    each.advance(lambda part, given=given: _margin(part, given, rate), afresh)
+                moved = len(trees)
         return trees, losses
 
     def _past_best(self, losses: list[float]) -> bool:

@@ -145,8 +145,9 @@ class Timeline:
         self.blocks.unpersist()
         self.first.unpersist()
 
-    def advance(self, margin: Callable[[Part], np.ndarray]) -> None:
-        """Give every row the margin that follows from its first blocks. The blocks with the last margins are given back."""
+    def advance(self, margin: Callable[[Part], np.ndarray], afresh: bool = True) -> None:
+        """Give every row the margin that follows from its first blocks (margins 0) or, not afresh, from its last. The last blocks are
+        given back. Steps that are not afresh make the plan longer: the caller sees to it that they are few in a row."""
 
         def moved(part: Part) -> Iterator[pa.RecordBatch]:
             m = margin(part)
@@ -154,8 +155,9 @@ class Timeline:
                 rows = slice(begin, begin + BLOCK_ROWS)
                 yield _block(part.number, *(a[rows] for a in (part.t, part.e, part.g, part.x, part.r, m)))
 
-        # Always one step from the first blocks: a chain of steps would make every plan longer than the one before.
-        before, self.blocks = self.blocks, self.first
+        before = self.blocks
+        if afresh:
+            self.blocks = self.first
         self.blocks = self.rows(moved, LAYOUT).persist(StorageLevel.MEMORY_AND_DISK)
         self.blocks.agg(F.count("part")).collect()
         if before is not self.first:
@@ -171,6 +173,22 @@ class Timeline:
 
         return self.blocks.mapInArrow(run, schema)
 
+    def total(self, kernel: Callable[[Part], np.ndarray], most: int) -> np.ndarray:
+        """The sum of an array that the kernel gives for each part; at most `most` tasks, which add up the arrays of their parts."""
+        width, kind, centre = self.width, self.kind, self.centre
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for part in parts_of(batches, width, kind, centre):
+                mine = kernel(part)
+                held = mine if held is None else held + mine
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["v"])
+
+        tasks = max(1, min(self.parts, most, self.spark.sparkContext.defaultParallelism))
+        rows = self.blocks.coalesce(tasks).mapInArrow(run, "v binary").toArrow()
+        return sum(np.frombuffer(v.as_buffer(), np.float64) for v in rows.column(0))
+
     def vectors(self, kernel: Callable[[Part], Iterator[tuple[int, np.ndarray]]]) -> list[tuple[int, int, np.ndarray]]:
         """(part, number, vector) of what the kernel gives for each part: a few numbers per part."""
 

@@ -559,6 +559,26 @@ def test_parts_grow_the_same_trees(cohort, monkeypatch):
     assert models[0].losses[-1] == pytest.approx(partial_log_likelihood(models[0].risk(held_out)).first()["loss"])
 
 
+def test_margins_move_on_from_the_last_move(cohort, monkeypatch):
+    """With the trees grown since alone, and from all trees every MOVES moves; a level's nodes are summed a few at a time."""
+    for name, few in (("ROUNDS", 2), ("TABLE_ROUNDS", 2), ("MOVES", 3), ("NODES_AT_ONCE", 1)):
+        monkeypatch.setattr(boosted, name, few)
+    seen, advance = [], Timeline.advance
+    monkeypatch.setattr(Timeline, "advance", lambda line, margin, afresh: seen.append(afresh) or advance(line, margin, afresh))
+    held_out = cohort.filter("f3 > 0")
+    spec = BoostedCox(n_estimators=7, max_depth=3, learning_rate=0.3, min_child_weight=2)
+    whole = spec.fit(cohort, FEATURES)  # one task, no moves
+    assert not seen
+    for part_rows in (PART_ROWS, 60):
+        model = replace(spec, part_rows=part_rows).fit(cohort, FEATURES, eval_set=held_out)
+        assert seen == [flag for flag in (False, False, True) for _ in range(2)]
+        seen.clear()
+        for one, many in zip(whole.trees, model.trees, strict=True):
+            assert one.feature.tolist() == many.feature.tolist() and one.threshold.tolist() == many.threshold.tolist()
+            assert one.value == pytest.approx(many.value)
+        assert model.losses[-1] == pytest.approx(partial_log_likelihood(model.risk(held_out)).first()["loss"])
+
+
 def test_rows_of_one_task_are_boosted_and_judged_in_one_job(cohort, monkeypatch):
     """No scan for the losses and none to move the margins, where the losses are those of the rows that are boosted."""
 
